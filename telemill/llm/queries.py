@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import exact_dedup, mixing, packing
+from telemill.llm import exact_dedup, langid, mixing, packing, quality, simhash, toxicity
+from telemill.llm.common import crc_bucket
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,10 +29,47 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id", "links"
+    )
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have a row in ``labels``, with its columns."""
+    return documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id")
+
+
+def site_columns() -> tuple:
+    """Host and path of a document. Documents have no address: the source serves as host, its language section as path."""
+    return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.learn(labelled(spark, sf_dir))
+    return quality.posteriors(documents(spark, sf_dir), model, ["doc_id"], *site_columns()).withColumn("kept", F.col("p_good") >= 0.5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), TOKENIZER, with_ids=False).drop("ids")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), crc_bucket("doc_id", 3) == 1
+    model = langid.learn(docs.where(~held_out))
+    found = langid.classify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = toxicity.learn(labelled(spark, sf_dir).where(~held_out))
+    found = toxicity.score(documents(spark, sf_dir), model).withColumnRenamed("id", "doc_id")
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "misspelled", "quoted"
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take_plan(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies", "quality", "key"
@@ -40,7 +78,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_langid": op7_langid,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
