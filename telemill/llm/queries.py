@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import exact_dedup, langid, mixing, packing, quality, simhash, toxicity
+from telemill.llm import ann, exact_dedup, katz, langid, mixing, packing, quality, simhash, toxicity
 from telemill.llm.common import crc_bucket
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir), crc_bucket("doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
@@ -61,6 +65,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_bucket("doc_id", 5) == 0
     model = toxicity.learn(labelled(spark, sf_dir).where(~held_out))
@@ -77,11 +85,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_langid": op7_langid,
+    "op8_ann": op8_ann,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
