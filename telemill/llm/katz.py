@@ -36,16 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.common import scratch, text_of, written
+from telemill.llm.packed import PACKED, PACKED_KINDS, PACKED_NAMES, as_batch, pack_keys, squeeze, unpack_keys, unsqueeze
 
 START, END = 1, 2  # keys of the start context and the end token
 LONGEST = 1 << 14  # longer words are hashed one by one
-PACKED = "level int, shard int, block long, keys binary, values binary"
 
 _powers = np.cumprod(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
 _space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -83,25 +82,6 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(hashes), np.bincount(text_of_word, minlength=len(texts))
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def unsqueeze(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte planes apart, compressed: the planes of zeros cost nothing."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return squeeze(steps.view(np.uint8).reshape(-1, 8).T)
-
-
-def unpack_keys(b: bytes) -> np.ndarray:
-    planes = unsqueeze(b, "u1").reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def tokenised(docs: DataFrame, id_column: str, text_column: str, held_out: Column, block_tokens: int) -> DataFrame:
     """Blocks: (block, n, doc_ids, held, lengths, vocab, tokens)."""
     schema = "block long, n long, doc_ids array<long>, held array<boolean>, lengths array<long>, vocab binary, tokens binary"
@@ -183,15 +163,6 @@ class Block:
                 yield level, shard, self.number, pack_keys(keys[a:b]), squeeze(values[a:b])
 
 
-def as_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-PACKED_NAMES = ["level", "shard", "block", "keys", "values"]
-PACKED_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-
-
 def exchange(rows: DataFrame, kind: str, width: int, least: dict[int, int] | None = None) -> DataFrame:
     """Totals by key over all blocks, returned to each block in the order of its keys.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import ann, exact_dedup, katz, langid, mixing, packing, quality, simhash, toxicity
+from telemill.llm import ann, exact_dedup, katz, langid, mixing, packing, quality, simhash, suffix_dedup, toxicity
 from telemill.llm.common import crc_bucket
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), with_text=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have a row in ``labels``, with its columns."""
     return documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id")
@@ -88,6 +93,7 @@ QUERIES = {
     "op1_katz": op1_katz,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_langid": op7_langid,
