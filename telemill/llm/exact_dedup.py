@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from telemill.llm.common import scratch, text_of
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Session settings while the streaming query starts. Without preallocated logs, many small state partitions stay small on disk.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_digest(text: Column) -> Column:
@@ -54,8 +57,9 @@ def digest_state(spark: SparkSession, feed_path: str, checkpoint: str) -> DataFr
     keyed = feed.groupBy("digest").agg(
         F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n")
     )
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keyed.writeStream.outputMode("update").format("noop")
@@ -63,7 +67,8 @@ def digest_state(spark: SparkSession, feed_path: str, checkpoint: str) -> DataFr
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     state = spark.read.format("statestore").load(checkpoint)
     value = state.schema["value"].dataType.fieldNames()
     return state.select(
