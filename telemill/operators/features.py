@@ -96,7 +96,7 @@ def assign_windows(rows: DataFrame, window_seconds: int, slide_seconds: int, tim
     check_windows(window_seconds, slide_seconds)
     last = S.epoch_floor(F.floor(F.unix_micros(time) / 1_000_000), slide_seconds)
     steps = F.sequence(F.lit(0), F.lit(window_seconds // slide_seconds - 1))
-    return rows.withColumn("window_start", F.explode(F.transform(steps, lambda i: last - i * slide_seconds)).cast("long"))
+    return rows.withColumn("window_start", F.explode(F.transform(steps, lambda i: (last - i * slide_seconds).cast("long"))))
 
 
 def pane_features(samples: DataFrame, window_seconds: int, slide_seconds: int) -> DataFrame:
@@ -112,7 +112,7 @@ def pane_features(samples: DataFrame, window_seconds: int, slide_seconds: int) -
         sums += [F.count(s).alias(f"{s}_n"), F.avg(s).alias(f"{s}_m"), F.var_pop(s).alias(f"{s}_v")]
     panes = samples.groupBy("machine_id", pane.alias("pane")).agg(*sums)
     steps = F.sequence(F.lit(0), F.lit(window_seconds // slide_seconds - 1))
-    spread = panes.withColumn("window_start", F.explode(F.transform(steps, lambda i: F.col("pane") - i * slide_seconds)).cast("long"))
+    spread = panes.withColumn("window_start", F.explode(F.transform(steps, lambda i: (F.col("pane") - i * slide_seconds).cast("long"))))
     merged = [F.sum("n").alias("sample_count")]
     for s in C.SENSORS:
         n, m, v = F.col(f"{s}_n"), F.col(f"{s}_m"), F.col(f"{s}_v")
