@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
 from telemill.functions import scalars as S
+from telemill.plans.scratch import scratch
 
 WINDOW, SLIDE, GATE = 86_400, 21_600, 5
 
@@ -78,10 +79,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.format_instant(F.col("ingest_time")).alias("ingest_time"), "machine_state", F.struct(*C.SENSORS).alias("readings"),
     )
     text = F.to_json(message, {"ignoreNullFields": "false"})
-    return s.select(
+    path = scratch(spark, "topic")  # messages are bytes at rest, as in a topic
+    s.select(
         F.lit("telemetry.raw").alias("topic"), "partition", "offset", F.encode("machine_id", "UTF-8").alias("key"),
         F.encode(F.when(fault == 5, F.substring(text, 1, 40)).otherwise(text), "UTF-8").alias("value"),
-    )
+    ).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
