@@ -42,7 +42,7 @@ from telemill.llm.common import scratch, text_of, unit_hash, written
 from telemill.llm.packed import PACKED, PACKED_KINDS, PACKED_NAMES, as_batch, pack_keys, squeeze, unpack_keys, unsqueeze
 
 BASE = 0x9E3779B97F4A7C15
-PIECE = 1 << 20  # bytes handled at a time
+PIECE = 1 << 18  # bytes handled at a time
 PLACE = np.uint64((1 << 24) - 1)  # of a window value: the bits for the place in the piece
 
 
@@ -278,7 +278,7 @@ def sampled_splitters(docs: DataFrame, text_column: str, width: int, gram: int,
 
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 200, gram: int = 64,
-    block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, with_text: bool = True,
+    block_bytes: int = 2 << 20, shard_bytes: int = 16 << 20, with_text: bool = True,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for every row.
 
