@@ -277,7 +277,7 @@ def sampled_splitters(docs: DataFrame, text_column: str, width: int, gram: int,
 
 
 def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 200, gram: int = 64,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 200, gram: int = 100,
     block_bytes: int = 2 << 20, shard_bytes: int = 16 << 20, with_text: bool = True,
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for every row.
@@ -287,7 +287,7 @@ def remove_repeats(
     spark = docs.sparkSession
     table = f"suffix_blocks_{uuid.uuid4().hex}"
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks_of(docs, id_column, text_column, block_bytes).write.bucketBy(buckets, "block").option("path", scratch(spark, "suffix-blocks")).saveAsTable(table)
+    blocks_of(docs, id_column, text_column, block_bytes).write.bucketBy(buckets, "block").option("compression", "zstd").option("path", scratch(spark, "suffix-blocks")).saveAsTable(table)
     blocks = spark.table(table)
     total = blocks.select(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
     shards = int(max(8, total // shard_bytes))
