@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm.common import scratch, text_of
+from telemill.llm.common import scratch, text_of, written
 
 #: Session settings while the streaming query starts. Without preallocated logs, many small state partitions stay small on disk.
 STATE_SETTINGS = {
@@ -38,13 +38,13 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def content_locator(docs: DataFrame, id_column: str) -> Column:
-    """File and row of a row's content; for frames that are no plain file scan, a hash of the row."""
+def with_locator(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_locator``, the file and row of each row's content; frames that are no plain file scan are written first."""
     try:
         docs.select("_metadata.file_path", "_metadata.row_index")
-        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
-        return F.struct(F.lit("").alias("file"), F.xxhash64(F.col(id_column)).alias("row"))
+        docs = written(docs, "dedup-input")
+    return docs.withColumn("_locator", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
 def digest_state(spark: SparkSession, feed_path: str, checkpoint: str) -> DataFrame:
@@ -92,9 +92,8 @@ def deduplicate(
     spread over n / ``rows_per_salt`` salts, to each of which the kept text goes.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_column).alias("id"), text_of(text_column).alias("text"), content_locator(docs, id_column).alias("locator")
-    )
+    located = docs if "_locator" in docs.columns else with_locator(docs)
+    rows = located.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.col("_locator").alias("locator"))
     feed_path = scratch(spark, "digest-feed")
     rows.select("id", "locator", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")).write.parquet(feed_path)
     feed = spark.read.parquet(feed_path)
@@ -153,13 +152,10 @@ def keep_first_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Where identifiers are unique this keeps, of equal texts, the largest identifier.
     Repeated rows with one identifier and one text shrink to one row.
     """
-    dropped = deduplicate(docs, id_column, text_column).where("not kept").select(
-        F.col("id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_sha"), F.col("locator").alias("_dropped_locator")
+    located = with_locator(docs)
+    dropped = deduplicate(located, id_column, text_column).where("not kept").select(
+        F.col("text_sha256").alias("_dropped_sha"), F.col("locator").alias("_dropped_locator")
     )
-    located = docs.withColumn("_locator", content_locator(docs, id_column))
     return located.join(
-        dropped,
-        F.col(id_column).eqNullSafe(F.col("_dropped_id")) & (F.col("_locator") == F.col("_dropped_locator"))
-        & (F.sha2(text_of(text_column), 256) == F.col("_dropped_sha")),
-        "left_anti",
+        dropped, (F.col("_locator") == F.col("_dropped_locator")) & (F.sha2(text_of(text_column), 256) == F.col("_dropped_sha")), "left_anti"
     ).drop("_locator")

@@ -236,7 +236,7 @@ def score(
 
     path = model_path or scratch(spark, "katz-counts")
     exchange(blocks.mapInArrow(counts, PACKED), "i8", 1, {1: 1, 2: least}).write.partitionBy("level").parquet(path)
-    counted = spark.read.parquet(path)
+    counted = spark.read.schema("shard int, block long, keys binary, values binary, level int").parquet(path).select(*PACKED_NAMES)
 
     stats = {1: np.zeros(66, np.int64), 2: np.zeros(66, np.int64)}
     for r in counted.where("block = -2").select("level", "values").toLocalIterator():  # 66 numbers a shard
