@@ -85,11 +85,19 @@ def shaped(docs: DataFrame, keep: list[str], text_column: str) -> DataFrame:
     return docs.select(*keep, text_of(text_column).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def learn(labelled: DataFrame, label_column: str = "quality", text_column: str = "text", max_labelled: int = 20_000, seed: int = 11):
-    """(mean, scale, coefficients, share of good rows), or None without rows of both labels."""
-    known = labelled.where(F.col(label_column).isin(0, 1)).select(F.col(label_column).cast("int").alias("y"), F.col(text_column).alias("text"))
+def learn(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality", text_column: str = "text",
+    max_labelled: int = 20_000, seed: int = 11,
+):
+    """(mean, scale, coefficients, share of good rows), or None without rows of both labels.
+
+    At most about ``max_labelled`` identifiers are used. They are chosen in ``labels`` first, so
+    only their texts move.
+    """
+    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y")).dropDuplicates([id_column])
     n = known.count()
-    sample = known.where(unit_hash(text_of("text"), seed=seed) < min(1.0, max_labelled / max(1, n)))
+    chosen = known.where(unit_hash(F.col(id_column), seed=seed) < min(1.0, max_labelled / max(1, n)))
+    sample = docs.select(id_column, F.col(text_column).alias("text")).join(F.broadcast(chosen), id_column)  # max_labelled rows, about
     rows = shaped(sample, ["y"], "text").collect()  # max_labelled short rows, about
     y = np.array([r["y"] for r in rows], float)
     if len(y) == 0 or y.min() == y.max():

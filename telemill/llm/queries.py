@@ -44,9 +44,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a row in ``labels``, with its columns."""
-    return documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id")
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def site_columns() -> tuple:
@@ -55,7 +54,7 @@ def site_columns() -> tuple:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.learn(labelled(spark, sf_dir))
+    model = quality.learn(documents(spark, sf_dir), labels(spark, sf_dir))
     return quality.posteriors(documents(spark, sf_dir), model, ["doc_id"], *site_columns()).withColumn("kept", F.col("p_good") >= 0.5)
 
 
@@ -76,7 +75,7 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_bucket("doc_id", 5) == 0
-    model = toxicity.learn(labelled(spark, sf_dir).where(~held_out))
+    model = toxicity.learn(documents(spark, sf_dir), labels(spark, sf_dir).where(~held_out))
     found = toxicity.score(documents(spark, sf_dir), model).withColumnRenamed("id", "doc_id")
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "exact", "misspelled", "quoted"

@@ -19,6 +19,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -230,39 +231,50 @@ def learn_lexicon(
     left = {r["term"]: (set(r["ids"]), r["clean"] / kinds[0] * kinds[1]) for r in candidates}
     covered: Counter[int] = Counter()
     entries: list[tuple[str, float]] = []
-    gain = {t: len(ids) - 3 * c for t, (ids, c) in left.items()}
-    while gain and len(entries) < max_entries:
-        # among equals a whole word, which may be misspelled, then the longest stem, which is the most specific
-        best = max(gain, key=lambda t: (gain[t], t[-1] != "*", len(t), t))
+    # among equals a whole word, which may be misspelled, then the longest stem, which is the most specific
+    queue = [(3 * clean - len(ids), t[-1] == "*", -len(t), t) for t, (ids, clean) in left.items()]
+    heapq.heapify(queue)
+    while queue and len(entries) < max_entries:
+        before, *rest, best = heapq.heappop(queue)
+        if best not in left:
+            continue
         ids, clean = left[best]
         now = sum(covered[i] < covers for i in ids) - 3 * clean
-        if now < gain[best]:  # gains only shrink: count again when it comes up
-            gain[best] = now
-            if now < least_texts:
-                del gain[best]
-            continue
         if now < least_texts:
-            break
+            continue
+        if -now > before:  # gains only shrink: back into the queue with what it is now
+            heapq.heappush(queue, (-now, *rest, best))
+            continue
         entries.append((best, float(np.log((len(ids) + 0.5) / (clean + 0.5)))))
         covered.update(ids)
+        del left[best]
         # shorter and longer stems of the same texts say nothing new
         stem = best.rstrip("*")
-        for t in [t for t in gain if (t.startswith(stem) or stem.startswith(t.rstrip("*"))) and len(left[t][0] & ids) >= 0.9 * len(left[t][0] | ids)]:
-            del gain[t]
+        for t in [t for t in left if t.startswith(stem) or stem.startswith(t.rstrip("*"))]:
+            if len(left[t][0] & ids) >= 0.9 * len(left[t][0] | ids):
+                del left[t]
     stems = tuple(e[:-1] for e, _ in entries if e[-1] == "*")
     plain = [e for e, _ in entries if e[-1] != "*" and not e.startswith(stems)] if stems else [e for e, _ in entries]
     return [(e, w, (len(e) >= 5) + (len(e) >= 8) if e in plain else 0) for e, w in entries]
 
 
-def learn(labelled: DataFrame, label_column: str = "toxic", text_column: str = "text", texts_per_label: int = 4000, seed: int = 5):
-    """(entries, logistic model) from labelled rows; at most about ``texts_per_label`` texts of each label are used. None without both labels."""
-    known = labelled.where(F.col(label_column).isin(0, 1)).select(text_of(text_column).alias("text"), F.col(label_column).cast("int").alias("y"))
+def learn(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "toxic", text_column: str = "text",
+    texts_per_label: int = 4000, seed: int = 5,
+):
+    """(entries, logistic model) from the texts of labelled identifiers; None without both labels.
+
+    At most about ``texts_per_label`` identifiers of each label are used. They are chosen in
+    ``labels`` first, so only their texts move.
+    """
+    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y")).dropDuplicates([id_column])
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
-    u = unit_hash(F.col("text"), seed=seed)
+    u = unit_hash(F.col(id_column), seed=seed)
     chosen = known.where(u < F.when(F.col("y") == 1, texts_per_label / counts[1]).otherwise(texts_per_label / counts[0]))
-    sample = written(chosen.dropDuplicates(["text"]).withColumn("id", F.xxhash64("text")), "toxicity-sample")
+    texts = docs.select(id_column, text_of(text_column).alias("text")).join(F.broadcast(chosen), id_column)  # 2 * texts_per_label rows, about
+    sample = written(texts.select("text", "y").dropDuplicates(["text"]).withColumn("id", F.xxhash64("text")), "toxicity-sample")
     entries = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
