@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from telemill.llm import ann, common, exact_dedup, katz, langid, mixing, packing, quality, queries, simhash, suffix_dedup, toxicity
+from telemill.llm import ann, common, exact_dedup, katz, langid, mixing, packing, quality, queries, simhash, similar, suffix_dedup, toxicity
 from telemill.llm.components import connected_components
 
 # exact dedup
@@ -119,6 +119,30 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
 
 
+def test_similar_texts(spark, docs, empty):
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([12, 60, 300]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2]) * len(words) // 100 + rng.choice([0, 1])):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, None), (1001, " "), (1002, "")]
+    sets = {i: set(similar.shingle_set((t or "").encode(), 5).tolist()) for i, t in rows}
+    want = components(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (400_000, 20):
+        got = {r["id"]: r["component_id"] for r in similar.similar_groups(df, chunk=chunk).collect()}
+        pairs = [(a, b) for a in sets for b in sets if a < b and want[a] == want[b]]
+        assert set(got) == set(sets) and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+        assert all(want[a] == want[b] for a in sets for b in sets if got[a] == got[b])
+    kept = similar.keep_one_each(docs)
+    assert kept.columns == docs.columns and kept.count() < docs.count()
+    assert similar.keep_one_each(empty).count() == 0
+
+
 # suffix dedup
 
 
