@@ -34,7 +34,7 @@ def agg_machine_profiles(spark, d):
     return t.rounded(detectors.machine_profiles(t.features(spark, d), SOME))
 
 
-NORMAL = F_SQL + PROFILES + "SELECT machine_id, window_start, feature, round((value - median) / iqr, 5) + 0 AS value FROM long JOIN profiles USING (machine_id, feature)"
+NORMAL = F_SQL + PROFILES + "SELECT machine_id, window_start, feature, round((value - median) / iqr, 8) + 0 AS value FROM long JOIN profiles USING (machine_id, feature)"
 
 
 def normalised(spark, d):
@@ -44,16 +44,16 @@ def normalised(spark, d):
 
 @query("ml_normalize", NORMAL)
 def ml_normalize(spark, d):
-    return t.rounded(detectors.long_form(normalised(spark, d), SOME, *KEYS), 5)
+    return t.rounded(detectors.long_form(normalised(spark, d), SOME, *KEYS), 8)
 
 
-@query("join_profile_lookup", F_SQL + PROFILES + """SELECT machine_id, window_start, feature, round((value - coalesce(p.median, f.median)) / coalesce(p.iqr, f.iqr), 5) + 0 AS value FROM long
+@query("join_profile_lookup", F_SQL + PROFILES + """SELECT machine_id, window_start, feature, round((value - coalesce(p.median, f.median)) / coalesce(p.iqr, f.iqr), 8) + 0 AS value FROM long
   LEFT JOIN (SELECT * FROM profiles WHERE machine_id IN ('M-001', 'M-002')) p USING (machine_id, feature) JOIN (SELECT * FROM profiles WHERE machine_id IS NULL) f USING (feature)""")
 def join_profile_lookup(spark, d):
     """Only two machines have a profile; the others take the fleet's."""
     f = t.features(spark, d)
     p = detectors.machine_profiles(f, SOME).where("machine_id is null or machine_id in ('M-001', 'M-002')")
-    return t.rounded(detectors.long_form(detectors.normalise(f, p, SOME), SOME, *KEYS), 5)
+    return t.rounded(detectors.long_form(detectors.normalise(f, p, SOME), SOME, *KEYS), 8)
 
 
 @query("anti_unknown_machines", F_SQL + "SELECT DISTINCT machine_id FROM features WHERE machine_id NOT IN ('M-001', 'M-002')")

@@ -26,7 +26,7 @@ def plain(value):
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, (int, float)):
-        return f"{float(value):.5f}".replace("-0.00000", "0.00000")
+        return f"{float(value) + 0.0:.9g}"
     if isinstance(value, (list, tuple)):
         return [plain(v) for v in value]
     if isinstance(value, dict):
