@@ -67,7 +67,8 @@ def splits(samples: DataFrame, truth: DataFrame, s: Settings) -> dict[str, DataF
         slide = s.window if name == "train" else s.slide
         windows = window_features(parted.where(F.col("split") == name), s.window, slide).where(admitted_for_training(s.gate)).withColumns(
             {"window_start": F.unix_seconds("window_start"), "window_end": F.unix_seconds("window_end")})
-        out[name] = labels.align(truth, windows, s.window, slide, s.least_fraction)
+        # read many times by every candidate; the caller releases them
+        out[name] = labels.align(truth, windows, s.window, slide, s.least_fraction).persist()
     return out
 
 
@@ -76,11 +77,13 @@ def evaluate(detector: str, parts: dict[str, DataFrame], truth: DataFrame, s: Se
     features = list(s.features)
     model = fitted(parts["train"] if train is None else train, features, detector)
     episodes = labels.episode_table(truth)
-    validation = score(parts["validation"], model)
+    validation = score(parts["validation"], model).persist()
     best = evaluation.within_budget(evaluation.operating_points(validation, episodes, s.slide), s.budget).first()
-    test = score(parts["test"], model)
+    test = score(parts["test"], model).persist()
     metrics = evaluation.window_metrics(test, best["threshold"]).first()
     caught = evaluation.episode_outcomes(test, episodes.join(test.select("episode_id"), "episode_id", "left_semi"), best["threshold"]).agg(F.avg(F.col("detected").cast("double"))).first()[0]
+    validation.unpersist()
+    test.unpersist()
     row = (detector, best["quantile"], best["threshold"], best["window_f1"], best["episode_recall"], metrics["precision"], metrics["recall"], metrics["f1"], metrics["average_precision"], caught,
            float(model["detector"].get("condition", 1.0)), model["detector"].get("rank", 1) == len(model["detector"].get("columns", [0])))
     schema = ("name string, quantile double, threshold double, validation_f1 double, validation_episode_recall double, test_precision double, test_recall double, test_f1 double,"
@@ -95,6 +98,8 @@ def run(samples: DataFrame, truth: DataFrame, s: Settings, candidates: tuple[str
     for name in candidates:
         one = evaluate(name, parts, truth, s)
         rows = one if rows is None else rows.unionByName(one)
+    for part in parts.values():
+        part.unpersist()
     judged = rows.select("name", F.col("validation_episode_recall").alias("episode_recall"), F.col("validation_f1").alias("f1"), "condition", "full_rank", F.lit(False).alias("secondary"), F.lit(False).alias("failed"))
     winner = select_model(judged).select("name", F.lit(True).alias("selected"))
     return rows.join(winner, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
@@ -110,7 +115,10 @@ def clean_variant(samples: DataFrame, truth: DataFrame, s: Settings, detector: s
     """The same detector fitted on all training windows and on those without labelled anomalies, side by side."""
     parts = splits(samples, truth, s)
     whole = evaluate(detector, parts, truth, s).withColumn("variant", F.lit("all"))
-    return whole.unionByName(evaluate(detector, parts, truth, s, parts["train"].where(~F.col("is_anomaly"))).withColumn("variant", F.lit("clean")))
+    clean = evaluate(detector, parts, truth, s, parts["train"].where(~F.col("is_anomaly"))).withColumn("variant", F.lit("clean"))
+    for part in parts.values():
+        part.unpersist()
+    return whole.unionByName(clean)
 
 
 def champion(rows: DataFrame) -> DataFrame:
