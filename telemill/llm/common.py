@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent, a temporary folder serves in local mode; on a
     cluster the setting is required.
     """
+    # texts may be long: fewer rows go to Python at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:

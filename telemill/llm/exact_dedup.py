@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from telemill.llm.common import scratch, text_of, written
 
-#: Session settings while the streaming query starts. Without preallocated logs, many small state partitions stay small on disk.
+#: Session settings for the keyed state: on disk, without preallocated logs and with small buffers, so that many state
+#: partitions stay small on disk and in memory. They also hold when the state is read, so they stay set.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
 }
 
 
@@ -57,18 +60,13 @@ def digest_state(spark: SparkSession, feed_path: str, checkpoint: str) -> DataFr
     keyed = feed.groupBy("digest").agg(
         F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n")
     )
-    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
     for k, v in STATE_SETTINGS.items():
         spark.conf.set(k, v)
-    try:
-        query = (
-            keyed.writeStream.outputMode("update").format("noop")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    query = (
+        keyed.writeStream.outputMode("update").format("noop")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
     state = spark.read.format("statestore").load(checkpoint)
     value = state.schema["value"].dataType.fieldNames()
     return state.select(
