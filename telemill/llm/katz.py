@@ -31,6 +31,7 @@ alone (probability 1); an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,17 +142,17 @@ class Block:
         self.number, self.doc_ids, self.held = row["block"], row["doc_ids"], np.array(row["held"], bool)
         self.lengths = np.array(row["lengths"], np.int64)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = unsqueeze(row["tokens"], "u4").astype(np.int64)
+        self.tokens = unsqueeze(row["tokens"], "u4").view(np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.training = np.repeat(~self.held, self.lengths)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = np.searchsorted(self.vocab, np.uint64(START))
-        pairs, inverse = np.unique(before * len(self.vocab) + self.tokens, return_inverse=True)
+        pairs, inverse = np.unique(before.astype(np.int64) * len(self.vocab) + self.tokens, return_inverse=True)
         self.before = before
         keys = pair_key(self.vocab[pairs // len(self.vocab)], self.vocab[pairs % len(self.vocab)])
         order = np.argsort(keys)
-        place = np.empty_like(order)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         self.pairs, self.pair_keys, self.inverse = pairs[order], keys[order], place[inverse]
 
@@ -218,19 +219,22 @@ def discounts(counts: np.ndarray, k: int) -> np.ndarray:
 
 def score(
     docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", least: int = 2, katz_k: int = 5,
-    block_tokens: int = 4_000_000, shard_tokens: int = 1_000_000, model_path: str | None = None,
+    block_tokens: int = 2_000_000, shard_tokens: int = 1_000_000, model_path: str | None = None,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learns from rows that are not held out."""
     spark = docs.sparkSession
-    blocks = written(tokenised(docs, id_column, text_column, held_out, block_tokens), "katz-blocks")
+    # bucketed by block, so that blocks are not shuffled again
+    table, buckets = f"katz_blocks_{uuid.uuid4().hex}", max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tokenised(docs, id_column, text_column, held_out, block_tokens).write.bucketBy(buckets, "block").option("path", scratch(spark, "katz-blocks")).saveAsTable(table)
+    blocks = spark.table(table)
     shards = int(max(8, (blocks.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row)
-                words = np.bincount(b.tokens, weights=b.training, minlength=len(b.vocab)).astype(np.int64)
-                pairs = np.bincount(b.inverse, weights=b.training, minlength=len(b.pairs)).astype(np.int64)
+            for i in range(batch.num_rows):
+                b = Block(batch.slice(i, 1).to_pylist()[0])
+                words = np.bincount(b.tokens[b.training], minlength=len(b.vocab))
+                pairs = np.bincount(b.inverse[b.training], minlength=len(b.pairs))
                 rows = [*b.packed(1, b.vocab, words, shards), *b.packed(2, b.pair_keys, pairs, shards)]
                 yield as_batch(rows, PACKED_NAMES, PACKED_KINDS)
 
