@@ -7,9 +7,12 @@ anchor one beyond the covering radius. At similarity 0.8 two texts meet in a ban
 bands with 0.98; at 0.9 with over 0.999. Cells are anchors split by length, as sets of such similarity
 differ in size by a fifth at most.
 
-In a cell, members are compared with leaders only (a member that is near no leader becomes one), so a group
+In a cell, members are first compared with leaders only (a member that is near no leader becomes one), so a group
 of copies costs a row each, not a row per pair. What is near on 128 bits is then compared exactly on the texts'
-shingle sets, and the links that hold form the groups.
+shingle sets, and the links that hold form groups. Then every pair in a cell that is near on 128 bits and
+not yet in one group is compared exactly too: a text near a leader, but not similar to it, still meets all
+others. Only texts that are near and not similar cost a row per pair, less those that the triangle inequality of
+Jaccard distances rules out: what was compared with the same text and differs in distance to it by over 0.2 is not similar.
 
 Defined results: null, empty and blank texts share the empty set and form a group; repeated rows share a
 fingerprint; an empty table gives an empty result; other columns are ignored (``keep_one_each`` keeps them).
@@ -112,6 +115,37 @@ def leader_links(cell: np.ndarray, home: np.ndarray, word: np.ndarray) -> tuple[
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (home, row) of one cell and different groups that are near, of rows sorted by cell; at most about ``most`` are looked at together.
+
+    ``seen``: a text each row was compared with and the distance to it; distances that differ by more than ``apart`` rule a pair out."""
+    order = np.lexsort((group, cell))
+    cell, home, group, word = cell[order], home[order], group[order], word[order]
+    new_cell = np.r_[True, cell[1:] != cell[:-1]]
+    new_group = new_cell | np.r_[True, group[1:] != group[:-1]]
+    cells, groups = np.flatnonzero(new_cell), np.flatnonzero(new_group)
+    of_cell, of_group = np.cumsum(new_cell) - 1, np.cumsum(new_group) - 1
+    first, last = cells[of_cell], np.append(cells[1:], len(cell))[of_cell]
+    own, after = groups[of_group], np.append(groups[1:], len(cell))[of_group]
+    leads = np.flatnonzero(home)
+    # a home meets the rows before its group in the cell, then those after it
+    rows, at = np.concatenate([leads, leads]), np.concatenate([first[leads], after[leads]])
+    n = np.concatenate([own[leads] - first[leads], last[leads] - after[leads]])
+    rows, at, n = rows[n > 0], at[n > 0], n[n > 0]
+    part = (np.cumsum(n) - n) // most
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        a = np.repeat(rows[lo:hi], n[lo:hi])
+        b = np.repeat(at[lo:hi], n[lo:hi]) + np.arange(len(a)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+        once = ~home[b] | (a < b)
+        a, b = a[once], b[once]
+        near = np.bitwise_count(word[a] ^ word[b]).sum(axis=1) <= NEAR_BITS
+        if seen is not None:
+            by, far = seen
+            near &= (by[order[a]] != by[order[b]]) | (np.abs(far[order[a]] - far[order[b]]) <= apart + 1e-9)
+        yield order[a[near]], order[b[near]]
+
+
 def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000) -> DataFrame:
     """(id, component_id) for every row; identifiers are taken to be unique, null ones are left alone."""
     shared_dir(docs.sparkSession)
@@ -138,8 +172,10 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
             for at in range(0, len(ids), 4096):
                 part = slice(at, at + 4096)
                 row, cell, home = cells_of(np.ascontiguousarray(words[part]), sizes[part], similarity)
+                more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(5, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *(pa.array(words[part][row, i].view(np.int64)) for i in (1, 2))], names=["cell", "away", "node", "w1", "w2"]
+                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in (1, 2))],
+                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), "w1", "w2"],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,30 +201,73 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if len(held[0]):
             yield linked(held)
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The open pairs of whole cells; a cell larger than ``chunk`` comes in parts, its homes, which come first, stay for all of them."""
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2), np.uint64)]
+        fresh = 0
+
+        def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in open_pairs(x[0], x[1], x[3], x[6], seen=(x[4], x[5]), apart=1 - similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(x[2][a]), pa.array(x[2][b])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (6, 7)], axis=1).view(np.uint64)]
+            held = [np.concatenate(p) for p in zip(held, new, strict=True)]
+            fresh += batch.num_rows
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from met([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+                fresh = len(held[0])
+            if fresh > chunk:
+                yield from met(held)
+                held, fresh = [x[held[1]] for x in held], 0
+        if len(held[0]):
+            yield from met(held)
+
     placed = nodes.select("node", "w0", "w1", "w2", "size").mapInArrow(spread, "cell long, away boolean, node long, w1 long, w2 long")
     pairs = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(link, "a long, b long")
     # members of one node: compared with it as well
     same = fps.join(nodes, key).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(same), "similar-pairs")
 
-    linked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-linked")
-    texts = written(known.join(linked, "id"), "similar-texts")  # a small table of links is broadcast by its size on disk
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "set"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, own = a, shingle_set(x.as_py(), shingle)
-                other = shingle_set(y.as_py(), shingle)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(common >= similarity * (len(own) + len(other) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    links = written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar-links")
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, other = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                union = len(one) + len(other) - common
+                found.append((common >= similarity * union, 1 - common / union if union else 0.0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.bool_()), pa.array([d for _, d in found], pa.float64())], names=["a", "b", "similar", "far"]
+            )
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Every pair with its texts' exact distance, and whether they are similar."""
+        linked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-linked")
+        texts = written(known.join(linked, "id").mapInArrow(sets, "id long, set binary"), "similar-sets")  # a small table of links is broadcast by its size on disk
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, similar boolean, far double"), name)
+
+    compared = verified(pairs, "similar-links")
+    links = compared.where("similar").select("a", "b")
+    groups = written(connected_components(links, "a", "b"), "similar-first-groups")
+    # of the texts that each was compared with, itself included, the one with the smallest identifier
+    seen = compared.select(F.col("b").alias("node"), F.struct(F.col("a").alias("by"), "far").alias("seen")).groupBy("node").agg(F.min("seen").alias("seen"))
+    grouped = nodes.join(groups, "node", "left").join(seen, "node", "left").select(
+        "node", "w0", "w1", "w2", "size", F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
+    )
+    placed = grouped.mapInArrow(spread, "cell long, away boolean, node long, group long, by long, far double, w1 long, w2 long")
+    met = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(meet, "a long, b long")
+    more = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-open-pairs")
+    links = links.unionByName(verified(more, "similar-more-links").where("similar").select("a", "b"))
     roots = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("root").alias("component_id"))
     return fps.select("id").join(roots, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
 

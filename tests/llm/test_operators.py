@@ -143,6 +143,41 @@ def test_similar_texts(spark, docs, empty):
     assert similar.keep_one_each(empty).count() == 0
 
 
+def test_similar_texts_near_a_leader_that_is_not_similar(spark):
+    """Texts at 0.6 to 0.85 of the one with the smallest identifier, in pairs of 0.9 and more, several of them with one text on either side of 0.8."""
+    rng = random.Random(9)
+    first = [f"w{i}" for i in range(400)]
+
+    def changed(words, places):
+        return [f"x{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+
+    rows = [(0, first)]
+    for _ in range(60):
+        places = rng.sample(range(5, 395, 6), rng.choice([7, 14, 15]))
+        one = changed(first, set(places))
+        rows += [(len(rows), one), (len(rows) + 1, changed(one, set(rng.sample(range(5, 395, 6), 3))))]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    sets = {i: set(similar.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
+    want = components(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 20
+    pairs = [(a, b) for a in sets for b in sets if a < b and want[a] == want[b]]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(want[a] == want[b] for a in sets for b in sets if got[a] == got[b])
+
+
+def test_open_pairs():
+    rng = np.random.default_rng(3)
+    cell = np.sort(rng.integers(0, 6, 300))
+    home, group = rng.random(300) < 0.5, rng.integers(0, 5, 300)
+    word = rng.integers(0, 4, (300, 2)).astype(np.uint64) * np.uint64(0xFFFFF)
+    near = lambda i, j: sum(int(x).bit_count() for x in word[i] ^ word[j]) <= similar.NEAR_BITS
+    want = {(i, j) for i in range(300) for j in range(i) if cell[i] == cell[j] and group[i] != group[j] and (home[i] or home[j]) and near(i, j)}
+    for most in (7, 2_000_000):
+        got = [(int(max(x)), int(min(x))) for a, b in similar.open_pairs(cell, home, group, word, most) for x in zip(a, b, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # suffix dedup
 
 
