@@ -5,7 +5,7 @@ frequent last, where references to them are shortest. They are counted over at m
 ``docs_per_language`` labelled texts of a language (chosen by hash; a documented
 bound on training only). A text is predicted by compressing its distinct lower-cased words, in order of
 first appearance, with every dictionary: the smallest frame wins. Near ties are
-decided by the sum over single words, then by the language seen more often in
+decided by the sum over all its distinct words one by one, then by the language seen more often in
 training. ``accepted`` is false where the winning margin is narrow.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; so does
@@ -88,7 +88,9 @@ def learn(
 class Classifier:
     """Compressors with the learned dictionaries; made once per task."""
 
-    def __init__(self, model: list[tuple[str, int, bytes]], level: int = 6) -> None:
+    def __init__(self, model: list[tuple[str, int, bytes]], level: int = 6, cache_limit: int = 200_000) -> None:
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache_limit = cache_limit
         self.langs = [lang for lang, _, _ in model]
         self.compressors = []
         for _, _, content in model:
@@ -97,7 +99,17 @@ class Classifier:
             d.precompute_compress(level=level)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def predict(self, text: str | None, near: int = 4, words_for_ties: int = 64) -> tuple[str, float, int]:
+    def word_sizes(self, word: str) -> tuple[int, ...]:
+        """Sizes of a single word's frames, kept for the next text."""
+        found = self.cache.get(word)
+        if found is None:
+            if len(self.cache) >= self.cache_limit:
+                self.cache.clear()
+            raw = f" {word} ".encode()
+            found = self.cache[word] = tuple(len(c.compress(raw)) for c in self.compressors)
+        return found
+
+    def predict(self, text: str | None, near: int = 4) -> tuple[str, float, int]:
         """(language, score, margin in bytes)."""
         words = words_of(text) if text else {}
         if not self.langs or not words or not has_letter(words):
@@ -107,8 +119,7 @@ class Classifier:
         margin = ranked[1] - ranked[0] if len(ranked) > 1 else len(raw)
         if margin <= near and len(sizes) > 1:
             # a frame of a few bytes hardly shrinks; single words show which dictionary has them
-            few = [f" {w} ".encode() for w in list(words)[:words_for_ties]]
-            sizes = [s + sum(len(c.compress(w)) for w in few) for s, c in zip(sizes, self.compressors, strict=True)]
+            sizes = [sum(s) for s in zip(sizes, *map(self.word_sizes, words), strict=True)]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         score = 1.0 / sum(2.0 ** (-min(500, s - sizes[best]) * 0.5) for s in sizes)
         return self.langs[best], score, margin

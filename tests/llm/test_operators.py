@@ -371,6 +371,15 @@ def test_language(docs, empty, spark):
     assert langid.classify(empty, model).count() == 0
 
 
+def test_near_ties_are_decided_on_the_whole_text():
+    rng = random.Random(6)
+    vocabulary = {lang: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(120)] for lang in ("en", "de")}
+    classifier = langid.Classifier([(lang, 1, " ".join(["", *words, ""]).encode()) for lang, words in vocabulary.items()])
+    text = " ".join([*vocabulary["en"][:64], *vocabulary["de"][:80]])
+    assert classifier.predict(text, near=10**6)[0] == "de"
+    assert classifier.predict(text, near=10**6) == langid.Classifier([(k, 1, " ".join(["", *v, ""]).encode()) for k, v in vocabulary.items()], cache_limit=5).predict(text, near=10**6)
+
+
 def test_quality(docs, empty, spark):
     rng = random.Random(0)
     good = [(i, " ".join(rng.choice("house tree river stone garden".split()) for _ in range(40)) + ".", 1) for i in range(100)]
