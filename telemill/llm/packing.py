@@ -7,10 +7,11 @@ may be cut) and emitted. Windows still open at a partition's end are
 merged the same way, ``merge_fan_in`` partitions at a time; the few that are left
 then are cut into powers of two, so no sequence needs padding.
 
-Token ids are those of the byte-level BPE in the given ``tokenizers`` file. They
-are computed with tiktoken from that file's vocabulary, which is several times
-faster; ``load_encoder`` compares both on a probe text and falls back to
-``tokenizers`` when they differ.
+Token ids are made by ``tokenizers`` from the given file. Byte-level BPE never merges across
+pre-tokens, so each worker asks the library once per distinct pre-token (a word with the space before it, a run of
+digits, of white space, of other characters) and keeps the ids of the short ones; texts are split by the library's own
+rule. Files with another pre-tokenizer, a normalizer or more than the plain BPE, texts with a special token and texts with characters
+on which the two Unicode tables differ go to the library whole.
 
 Defined results: null text is empty and packs as the end token alone; documents of
 any length are cut; repeated rows are packed each; an empty table gives no piece;
@@ -19,15 +20,20 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from telemill.llm.common import scratch, text_of
 
@@ -36,35 +42,51 @@ PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
     " closed boolean, grp long, ids binary"
 )
-PROBE = "The owl's  5 über-naïve\tbirds\n\n said: \"ça va?\" 数字 1234567 ___ ... don't   "
-
-
-def load_encoder(path: str) -> Callable[[str], list[int]]:
-    """Text to ids, without special tokens, as ``tokenizers`` gives them for the file at ``path``."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in printable)}
-    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    try:
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level pre-tokenizer's pattern
-        fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        same = fast.encode_ordinary(PROBE) == slow.encode(PROBE, add_special_tokens=False).ids
-    except KeyError:
-        same = False
-
-    def encode(text: str) -> list[int]:
-        if not same or any(s in text for s in special):
-            return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
-
-    return encode
+#: Fixed value: the byte-level pre-tokenizer's rule.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.cache
+def newer_characters() -> frozenset[str]:
+    """Letters and digits that are younger than Python's Unicode table: the tables of ``regex`` and ``tokenizers`` may differ on them."""
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn")
+
+
+class Encoder(dict):
+    """Text to ids, without special tokens, as ``tokenizers`` gives them for the file at ``path``; as a dict, the ids (little-endian, as bytes) of the pre-tokens met so far."""
+
+    def __init__(self, path: str, cache_limit: int = 400_000, longest: int = 32) -> None:
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kind, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer")
+        self.by_parts = plain and model["type"] == "BPE" and not model.get("dropout")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.split = regex.compile(SPLIT)
+        self.cache_limit, self.longest = cache_limit, longest
+
+    def ask(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.ask(part)
+        if len(part) <= self.longest:
+            if len(self) >= self.cache_limit:
+                self.clear()
+            self[part] = found
+        return found
+
+    def __call__(self, text: str, at_once: int = 1 << 18) -> np.ndarray:
+        if not self.by_parts or any(s in text for s in self.special) or not (text.isascii() or newer_characters().isdisjoint(text)):
+            return np.frombuffer(self.ask(text), "<u4")
+        if len(text) <= at_once:
+            return np.frombuffer(b"".join(map(self.__getitem__, self.split.findall(text))), "<u4")
+        parts, out = self.split.finditer(text), []
+        while some := [m.group() for m in itertools.islice(parts, at_once // 4)]:
+            out.append(b"".join(map(self.__getitem__, some)))
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 class Windows:
@@ -162,12 +184,12 @@ def pack(
     spark = docs.sparkSession
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = load_encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
         rows = Rows(part << 32, with_ids, _schema())
         windows = Windows(window, open_windows, rows.sequence)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py()), end_id], np.uint32)
+                ids = np.append(encode(text.as_py()), np.uint32(end_id))
                 windows.add(doc, len(ids), 0, ids)
                 if len(rows.rows) >= 4096:
                     yield rows.batch()

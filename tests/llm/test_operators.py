@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on texts with every odd case, and on an empty table."""
 
+import functools
 import hashlib
 import math
 import random
@@ -217,8 +218,19 @@ def test_multikey_order():
 # packing
 
 
+@functools.cache
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.TOKENIZER)
+
+
+def library(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty, texts):
-    encode = packing.load_encoder(queries.TOKENIZER)
+    encode = library
     got = packing.pack(docs, queries.TOKENIZER, window=64, open_windows=4).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
@@ -248,11 +260,38 @@ def test_packing(docs, empty, texts):
 
 
 def test_encoder_equals_the_library():
-    from tokenizers import Tokenizer
+    encode = packing.Encoder(queries.TOKENIZER, cache_limit=50)
+    newer = "".join(sorted(packing.newer_characters())[::500])
+    for text in ("", "a", "don't  stop\n\n\tnow", "über 数字 😀", "x<|endoftext|>y", "  lead", "a" * 3000, "\x00\x7f\x1c\x85", "1234567 ²", "we're  'll ''s", newer, f"a {newer}1", "\u00a0\u2003 x"):
+        assert encode(text).tolist() == library(text)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("ab1'sé ²\n\t-.\u00a0\u3000😀字") for _ in range(60))
+        assert encode(text).tolist() == library(text) == encode(text, at_once=8).tolist()
+
+
+def test_every_character_is_split_as_the_library_does():
+    encode = packing.Encoder(queries.TOKENIZER)
+    known = [chr(c) for c in [*range(0x3100), *range(0xA000, 0xD800, 7), *range(0xE000, 0x20000)] if not 0xD800 <= c < 0xE000 and chr(c) not in packing.newer_characters()]
+    for at in range(0, len(known), 5000):
+        text = "".join(f"a{c}1{c} {c}-{c}" for c in known[at : at + 5000])
+        assert [span for _, span in encode.library.pre_tokenizer.pre_tokenize_str(text)] == [m.span() for m in encode.split.finditer(text)]
+
+
+def test_runs_of_millions_of_characters(spark):
+    """White space, letters and others, as whole texts and inside one; no crash, the library's ids."""
+    encode = packing.Encoder(queries.TOKENIZER)
+    rows = [(i, c * 2_000_000 + "x") for i, c in enumerate(" \t\na-")] + [(9, "word " * 300_000 + " " * 1_500_000)]
+    for _, text in rows:
+        assert np.array_equal(encode(text), library(text))
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.TOKENIZER, with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: len(encode(t)) + 1 for i, t in rows}
+
 
-    slow, encode = Tokenizer.from_file(queries.TOKENIZER), packing.load_encoder(queries.TOKENIZER)
-    for text in ("", "a", "don't  stop\n\n\tnow", "über 数字 😀", "x<|endoftext|>y", "  lead", "a" * 3000, "\x00\x7f", "1234567 ²"):
-        assert encode(text) == slow.encode(text, add_special_tokens=False).ids
+def test_packing_of_clashing_names(spark):
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "closed", "grp", "ids"]
+    df = spark.createDataFrame([(1, "some text", *names), (2, None, *names)], ["doc_id", "text", *names])
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in packing.pack(df, queries.TOKENIZER).collect()) == [(1, len(library("some text")) + 1), (2, 1)]
 
 
 # mixing
@@ -486,9 +525,8 @@ def test_pipeline(spark):
         assert docs.columns == before.columns
     pieces = corpus_pipeline.run(spark, sf)
     want = Counter()
-    encode = packing.load_encoder(queries.TOKENIZER)
     for i, text in docs.select("doc_id", "text").collect():
-        want[i] += len(encode(text or "")) + 1
+        want[i] += len(library(text or "")) + 1
     assert {r["doc_id"]: r["n"] for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == dict(want)
 
 
