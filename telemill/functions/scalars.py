@@ -62,6 +62,11 @@ def tolerant(value: Column, domain: tuple[str, ...]) -> Column:
     return F.when(value.isNull(), F.lit(None)).when(value.isin(*domain), value).otherwise("UNKNOWN")
 
 
+def strict(value: Column, domain: tuple[str, ...]) -> Column:
+    """Whether a strict reader accepts the value: one of the domain, or null."""
+    return F.coalesce(value.isin(*domain), F.lit(True))
+
+
 def epoch_floor(seconds: Column, step: int) -> Column:
     return F.floor(seconds / step) * step
 

@@ -16,12 +16,32 @@ def strongest(rows: DataFrame, arrival: str) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+SPAN = 7 * 86_400  # seconds of a machine's history that one task orders at a time
+
+
+def runs_in_days(rows: DataFrame, keys: list[str], starts: Column, name: str = "_run", time: str = "window_start", span: int = SPAN) -> DataFrame:
+    """Gaps and islands per key: ``starts`` (may use ``_gap``, seconds since the row before) opens a new run.
+
+    A key's history is cut into spans of time, each ordered on its own. What a span must know of those before it, the last time and
+    the number of runs so far, comes from a row per key and span, so a long history of one key is no single task.
+    """
+    cut = F.floor(F.col(time) / span)
+    w = W.partitionBy(*keys, "_span").orderBy(time)
+    spans = W.partitionBy(*keys).orderBy("_span")  # over a row per span
+    rows = rows.withColumn("_span", cut)
+    ends = rows.groupBy(*keys, "_span").agg(F.max(time).alias("_end"))
+    ends = ends.select(*keys, "_span", F.lag("_end").over(spans).alias("_before"))
+    opened = F.when(F.col("_gap").isNull() | starts, 1).otherwise(0)
+    rows = rows.join(ends, [*keys, "_span"]).withColumn("_gap", F.col(time) - F.coalesce(F.lag(time).over(w), "_before")).withColumn("_open", opened)
+    counts = rows.groupBy(*keys, "_span").agg(F.sum("_open").alias("_n"))
+    counts = counts.select(*keys, "_span", F.coalesce(F.sum("_n").over(spans.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_so_far"))
+    inside = F.sum("_open").over(w.rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(counts, [*keys, "_span"]).withColumn(name, inside + F.col("_so_far")).drop("_span", "_before", "_gap", "_open", "_so_far")
+
+
 def number_runs(rows: DataFrame, starts: Column, name: str = "run_id") -> DataFrame:
-    """Gaps and islands per machine: ``starts`` (may use ``_gap``, seconds since the window before) opens a new run."""
-    w = W.partitionBy("machine_id").orderBy("window_start")
-    return rows.withColumn("_gap", F.col("window_start") - F.lag("window_start").over(w)).withColumn(
-        name, F.sum(F.when(F.col("_gap").isNull() | starts, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    ).drop("_gap")
+    """Runs per machine, numbered in order of time (see ``runs_in_days``)."""
+    return runs_in_days(rows, ["machine_id"], starts, name)
 
 
 def alert_events(scored: DataFrame, threshold: Column | float, slide_seconds: int, least: int = 2) -> DataFrame:
@@ -61,6 +81,14 @@ def latest_emission(rows: DataFrame, offset: str = "offset") -> DataFrame:
 
 
 def out_of_order(samples: DataFrame, order: str, time: str = "event_time") -> DataFrame:
-    """Samples whose time lies before one that came earlier from the same machine."""
-    before = W.partitionBy("machine_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return samples.withColumn("_most", F.max(time).over(before)).where(F.col(time) < F.col("_most")).drop("_most")
+    """Samples whose time lies before one that came earlier from the same machine.
+
+    Offsets are cut into blocks; a block starts with the latest time of the blocks before it.
+    """
+    rows = samples.withColumn("_block", F.floor(F.col(order) / 100_000))
+    blocks = rows.groupBy("machine_id", "_block").agg(F.max(time).alias("_last"))
+    earlier = W.partitionBy("machine_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # over a row per block
+    blocks = blocks.select("machine_id", "_block", F.max("_last").over(earlier).alias("_from"))
+    before = W.partitionBy("machine_id", "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(blocks, ["machine_id", "_block"]).withColumn("_most", F.greatest(F.max(time).over(before), "_from"))
+    return rows.where(F.col(time) < F.col("_most")).drop("_most", "_from", "_block")

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.operators.ranking import quantiles
+
 GRID = 1001
 
 
 def fit_ecdf(scores: DataFrame, column: str = "raw_score", size: int = GRID) -> list[float]:
     """Quantiles at ``size`` even steps, interpolated."""
-    at = F.array(*[F.lit(i / (size - 1)) for i in range(size)])
-    row = scores.where(F.col(column).isNotNull() & ~F.isnan(column)).agg(F.percentile(column, at)).first()
-    return list(row[0] or [])
+    return [r["value"] for r in quantiles(scores, [], column, size).orderBy("i").collect()]  # ``size`` rows
 
 
 def ecdf(grid: list[float]):

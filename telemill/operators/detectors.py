@@ -11,10 +11,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.operators.ranking import quantile_columns, quantiles
+from telemill.sources.shared import kept
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -26,22 +30,27 @@ def long_form(windows: DataFrame, features: list[str], *keep: str) -> DataFrame:
 
 def reference_profile(windows: DataFrame, features: list[str]) -> DataFrame:
     """Per feature: count, mean, deviation, range and percentiles (interpolated)."""
-    at = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    return long_form(windows, features).groupBy("feature").agg(
+    rows = kept(long_form(windows, features), "profile-values")
+    moments = rows.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.array(*map(F.lit, at))).alias("_p"),
-    ).select("*", *[F.col("_p")[i].alias(f"p{round(100 * q):02d}") for i, q in enumerate(at)]).drop("_p")
+    )
+    return moments.join(quantile_columns(rows, ["feature"], "value", {f"p{q:02d}": q / 100 for q in (1, 5, 25, 50, 75, 95, 99)}), "feature", "left")
 
 
 def machine_profiles(windows: DataFrame, features: list[str]) -> DataFrame:
     """(machine_id, feature, median, iqr); the row with a null machine is the fleet's. No spread takes the fleet's, then 1."""
-    both = long_form(windows, features, "machine_id").groupingSets([["machine_id", "feature"], ["feature"]], "machine_id", "feature")
-    q = both.agg(F.percentile("value", F.array(*map(F.lit, QUARTILES))).alias("q"), F.grouping("machine_id").alias("g"))
-    q = q.select(F.when(F.col("g") == 0, F.col("machine_id")).alias("machine_id"), "feature", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "g")
-    one = F.lit(1.0)
-    fleet = q.where("g = 1").select("feature", F.coalesce("median", F.lit(0.0)).alias("_m"), F.when(F.col("iqr") > 1e-9, F.col("iqr")).otherwise(one).alias("_i"))
+    rows = long_form(windows, features, "machine_id")
+    whose = F.explode(F.array(F.struct(F.lit(False).alias("fleet"), F.col("machine_id").alias("who")), F.struct(F.lit(True).alias("fleet"), F.lit(None).cast("string").alias("who"))))
+    rows = kept(rows.select(whose.alias("w"), "feature", "value").select("w.fleet", F.col("w.who").alias("machine_id"), "feature", "value"), "profile-values")
+    named = dict(zip(("_q1", "_q2", "_q3"), QUARTILES, strict=True))
+    keys, one = ["fleet", "machine_id", "feature"], F.lit(1.0)
+    found = quantile_columns(rows, keys, "value", named).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = (F.col("fleet") == F.col("_fleet")) & F.col("machine_id").eqNullSafe(F.col("_machine_id")) & (F.col("feature") == F.col("_feature"))
+    # machines without a value of a feature take the fleet's
+    q = kept(rows.select(*keys).distinct().join(found, same, "left").select(*keys, F.col("_q2").alias("median"), (F.col("_q3") - F.col("_q1")).alias("iqr")), "profile-quartiles")
+    fleet = q.where("fleet").select("feature", F.coalesce("median", F.lit(0.0)).alias("_m"), F.when(F.col("iqr") > 1e-9, F.col("iqr")).otherwise(one).alias("_i"))
     spread = F.when(F.col("iqr") > 1e-9, F.col("iqr")).otherwise(F.col("_i"))
-    return q.join(fleet, "feature").select("machine_id", "feature", F.coalesce("median", "_m").alias("median"), spread.alias("iqr"))
+    return kept(q.join(fleet, "feature").select("machine_id", "feature", F.coalesce("median", "_m").alias("median"), spread.alias("iqr")), "profiles")
 
 
 def normalise(windows: DataFrame, profiles: DataFrame, features: list[str]) -> DataFrame:
@@ -61,8 +70,10 @@ def unknown_machines(windows: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def preparation(windows: DataFrame, features: list[str]) -> dict:
     """Medians, which features lack values in training, and mean and deviation (of the whole) after imputation."""
-    row = windows.agg(*[F.percentile(f, 0.5).alias(f"m_{f}") for f in features], *[F.count_if(F.col(f).isNull()).alias(f"n_{f}") for f in features]).first()
-    medians = {f: float(row[f"m_{f}"]) if row[f"m_{f}"] is not None else 0.0 for f in features}
+    windows = kept(windows.select(*features), "preparation")
+    found = {r["feature"]: r["value"] for r in quantiles(long_form(windows, features), ["feature"], "value", (0.5,)).collect()}  # a row per feature
+    row = windows.agg(*[F.count_if(F.col(f).isNull()).alias(f"n_{f}") for f in features]).first()
+    medians = {f: float(found.get(f) or 0.0) for f in features}
     missing = [f for f in features if row[f"n_{f}"]]
     filled = impute(windows, features, medians, missing)
     columns = [*features, *(f"missing_{f}" for f in missing)]
@@ -104,15 +115,24 @@ def three_sigma(model: dict[str, tuple[float, float]]) -> Column:
 
 
 def _moments(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and covariance by one aggregation of sums of products, a partial sum per task."""
+    """Mean and covariance: a matrix product per task, its entries summed as rows, a matrix as wide as the columns on the driver."""
     k = len(columns)
-    products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[i:]]
-    row = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in columns], *products).first()
-    n, mean = row[0], np.array(row[1 : k + 1], float) / max(1, row[0])
-    upper = np.zeros((k, k))
-    upper[np.triu_indices(k)] = np.array(row[k + 1 :], float) / max(1, n)
-    full = upper + np.triu(upper, 1).T
-    return mean, (full - np.outer(mean, mean)) * n / max(1, n - 1), n
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns)])
+            total += x.T @ x
+        i, j = np.triu_indices(k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    sums = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    full = np.zeros((k + 1, k + 1))
+    for r in sums:
+        full[r["i"], r["j"]] = full[r["j"], r["i"]] = r["s"]
+    n = int(full[0, 0])
+    mean = full[0, 1:] / max(1, n)
+    return mean, (full[1:, 1:] / max(1, n) - np.outer(mean, mean)) * n / max(1, n - 1), n
 
 
 def independent_columns(covariance: np.ndarray, columns: list[str], least_variance: float = 1e-12, tolerance: float = 1e-6) -> list[str]:
@@ -139,13 +159,14 @@ def fit_mahalanobis(rows: DataFrame, columns: list[str], support: float = 0.75,
     columns = independent_columns(covariance, columns)
     if not columns:
         return {"columns": [], "mean": [], "precision": [], "rank": 0, "condition": float("inf")}
-    chosen = rows.select(*columns)
+    rows = kept(rows.select(*columns), "mahalanobis")
+    chosen = rows
     for step in range(steps + 1):
         mean, covariance, n = _moments(chosen, columns)
         precision = np.linalg.pinv(covariance)
         if step < steps and n > 2 * len(columns):
             distance = mahalanobis({"columns": columns, "mean": mean.tolist(), "precision": precision.tolist()})
-            cut = rows.agg(F.percentile(distance, support)).first()[0]
+            cut = rows.agg(F.percentile_approx(distance, support, 10_000)).first()[0]  # the share kept is off by a ten thousandth at most
             chosen = rows.where(distance <= cut).select(*columns)
     d = np.sqrt(np.diag(covariance))
     d[d == 0] = 1.0
@@ -157,10 +178,15 @@ def fit_mahalanobis(rows: DataFrame, columns: list[str], support: float = 0.75,
 
 
 def mahalanobis(model: dict) -> Column:
-    """Squared distance from the centre, as a native column."""
-    diff = [F.col(c) - m for c, m in zip(model["columns"], model["mean"], strict=True)]
-    rows = [reduce(Column.__add__, [d * float(p) for d, p in zip(diff, line, strict=True)]) * own for own, line in zip(diff, model["precision"], strict=True)]
-    return reduce(Column.__add__, rows)
+    """Squared distance from the centre. A product of matrices per Arrow batch: as a column it would have a term per pair of features."""
+    mean, precision = np.array(model["mean"]), np.array(model["precision"])
+
+    @F.pandas_udf("double")
+    def distance(x: pd.Series) -> pd.Series:
+        d = np.array(x.tolist(), float).reshape(len(x), len(mean)) - mean
+        return pd.Series(np.einsum("ij,ij->i", d @ precision, d)) if len(mean) else pd.Series(np.zeros(len(x)))
+
+    return distance(F.array(*[F.col(c).cast("double") for c in model["columns"]]) if model["columns"] else F.array(F.lit(0.0)))
 
 
 # isolation forest
@@ -192,13 +218,27 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def fit_isolation_forest(rows: DataFrame, columns: list[str], trees: int = 300, subsample: int = 256, seed: int = 0) -> DataFrame:
-    """The forest as a table (``TREE``): every tree is grown in its own group from its own subsample of about ``subsample`` rows."""
+    """The forest as a table (``TREE``): every tree is grown in its own group from its own subsample of about ``subsample`` rows.
+
+    A row draws the trees it goes to from its own hash, so the rows made are those that the trees take.
+    """
     n = max(1, rows.count())
-    key = F.xxhash64(*[F.col(c) for c in columns])
     share = min(1.0, 1.5 * subsample / n)
-    drawn = rows.select(*columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_u", F.xxhash64(key, F.col("tree"), F.lit(seed))
-    ).where(F.pmod("_u", F.lit(1 << 30)) < share * (1 << 30))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, tree, u = [], [], []
+            for row, h in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                rng = np.random.default_rng([h & (1 << 64) - 1, seed])
+                own = rng.choice(trees, rng.binomial(trees, share), replace=False)
+                at += [row] * len(own)
+                tree += own.tolist()
+                u += rng.integers(0, 1 << 62, len(own)).tolist()
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(tree, pa.int32()), pa.array(u, pa.int64())], names=[*columns, "tree", "_u"])
+
+    values = rows.select(*[F.col(c).cast("double") for c in columns])
+    drawn = values.withColumn("_h", F.xxhash64(*columns)).mapInArrow(draw, ", ".join(f"`{c}` double" for c in columns) + ", tree int, _u long")
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_u").head(subsample)
@@ -206,7 +246,7 @@ def fit_isolation_forest(rows: DataFrame, columns: list[str], trees: int = 300,
         nodes = _grow(part[columns].to_numpy(float), np.random.default_rng([seed, tree]), int(np.ceil(np.log2(max(2, subsample)))))
         return pd.DataFrame([(tree, *x) for x in nodes], columns=["tree", "node", "feature", "split", "left", "right", "size", "depth"])
 
-    return drawn.groupBy("tree").applyInPandas(grow, TREE)
+    return drawn.repartition(min(trees, 64), "tree").groupBy("tree").applyInPandas(grow, TREE)  # a few trees a task
 
 
 def _path_correction(n: np.ndarray) -> np.ndarray:
@@ -217,9 +257,15 @@ def _path_correction(n: np.ndarray) -> np.ndarray:
 
 def isolation_scores(rows: DataFrame, forest: DataFrame, columns: list[str], subsample: int = 256) -> DataFrame:
     """Rows with ``raw_score``: 2 to the minus mean path length over the expected one. The forest has a fixed size, at most 2 * subsample * trees nodes."""
-    nodes = forest.orderBy("tree", "node").toPandas()
-    trees = [g.to_dict("list") for _, g in nodes.groupby("tree")]
-    model = rows.sparkSession.sparkContext.broadcast([{k: np.array(v) for k, v in t.items()} for t in trees])
+    return forest_scores(rows, forest.orderBy("tree", "node").toPandas().to_dict("list"), columns, subsample)
+
+
+def forest_scores(rows: DataFrame, forest: dict[str, list], columns: list[str], subsample: int = 256) -> DataFrame:
+    """``isolation_scores`` with the forest as lists per column of ``TREE``, in order of tree and node."""
+    nodes = {k: np.array(v) for k, v in forest.items()}
+    cuts = np.flatnonzero(np.diff(nodes["tree"])) + 1 if len(nodes["tree"]) else np.zeros(0, int)
+    trees = [dict(zip(nodes, parts, strict=True)) for parts in zip(*(np.split(v, cuts) for v in nodes.values()), strict=True)] if len(nodes["tree"]) else []
+    model = rows.sparkSession.sparkContext.broadcast(trees)
     schema = T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,32 +288,36 @@ def isolation_scores(rows: DataFrame, forest: DataFrame, columns: list[str], sub
 # one-class boundary on random Fourier features
 
 
-def fit_one_class(rows: DataFrame, columns: list[str], nu: float = 0.05, width: int = 64, steps: int = 25, seed: int = 0) -> dict:
+def fit_one_class(rows: DataFrame, columns: list[str], nu: float = 0.05, width: int = 64, steps: int = 25, most: int = 8000, seed: int = 0) -> dict:
     """A linear one-class boundary on random Fourier features of an RBF kernel (an approximation).
 
-    Kernel width as 1 / (features * variance). Each step is one distributed sum of the features of the rows outside.
+    Fitted, as kernel machines must be, on a sample: the ``most`` rows of the smallest hashes, a documented bound.
+    Kernel width as 1 / (features * variance). Each step pulls the boundary towards the rows outside it.
     """
-    mean, covariance, n = _moments(rows, columns)
-    variance = float(np.trace(covariance) / len(columns) + ((mean - mean.mean()) ** 2).mean()) or 1.0
+    x = np.array([list(r) for r in subsample(rows.select(*[F.col(c).cast("double") for c in columns]), columns, most, seed).collect()]).reshape(-1, len(columns))
+    variance = float(x.var()) if len(x) else 0.0
     rng = np.random.default_rng(seed)
-    w = rng.standard_normal((width, len(columns))) * np.sqrt(2.0 / (len(columns) * variance))
+    w = rng.standard_normal((width, len(columns))) * np.sqrt(2.0 / (len(columns) * (variance or 1.0)))
     b = rng.uniform(0, 2 * np.pi, width)
-    model = {"columns": columns, "w": w.tolist(), "b": b.tolist(), "weights": [1.0 / np.sqrt(width)] * width, "rho": 0.0}
-    phi = rows.select(fourier(model).alias("phi")).persist()
-    for step in range(1, steps + 1):
-        score = _dot(F.col("phi"), model["weights"])
-        model["rho"] = float(phi.agg(F.percentile(score, nu)).first()[0] or 0.0)
-        outside = phi.where(score < model["rho"]).agg(F.count(F.lit(1)), *[F.sum(F.col("phi")[i]) for i in range(width)]).first()
-        pull = np.array(outside[1:], float) / (nu * max(1, n)) if outside[0] else np.zeros(width)
-        model["weights"] = (np.array(model["weights"]) * (1 - 1 / step) + pull / step).tolist()
-    model["rho"] = float(phi.agg(F.percentile(_dot(F.col("phi"), model["weights"]), nu)).first()[0] or 0.0)
-    phi.unpersist()
-    return model
+    phi = np.cos(x @ w.T + b) * np.sqrt(2.0 / width)
+    weights, rho = np.full(width, 1.0 / np.sqrt(width)), 0.0
+    for step in range(1, steps + 1 if len(x) else 1):
+        score = phi @ weights
+        pull = phi[score < np.quantile(score, nu)].sum(axis=0) / (nu * len(x))
+        weights = weights * (1 - 1 / step) + pull / step
+        rho = float(np.quantile(phi @ weights, nu))
+    return {"columns": columns, "w": w.tolist(), "b": b.tolist(), "weights": weights.tolist(), "rho": rho}
 
 
 def fourier(model: dict) -> Column:
-    scale = float(np.sqrt(2.0 / len(model["b"])))
-    return F.array(*[F.cos(_sum([F.col(c) * v for c, v in zip(model["columns"], line, strict=True)]) + shift) * scale for line, shift in zip(model["w"], model["b"], strict=True)])
+    """Random Fourier features, a product of matrices per Arrow batch."""
+    w, b = np.array(model["w"]), np.array(model["b"])
+
+    @F.pandas_udf("array<double>")
+    def features(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.cos(np.array(x.tolist(), float).reshape(len(x), w.shape[1]) @ w.T + b) * np.sqrt(2.0 / len(b))))
+
+    return features(F.array(*[F.col(c).cast("double") for c in model["columns"]]))
 
 
 def _sum(columns: list[Column]) -> Column:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemill.operators.ranking import quantile_columns, quantiles, running
+
 
 def psi(reference: DataFrame, current: DataFrame, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability index per feature over (feature, value) rows, in bins of the reference's quantiles; an empty bin counts as ``floor``."""
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = reference.groupBy("feature").agg(F.percentile("value", at).alias("q"))
+    cuts = quantiles(reference, ["feature"], "value", tuple(i / bins for i in range(1, bins)))
+    edges = cuts.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("q")).select("feature", F.col("q.value").alias("q"))
     place = F.size(F.filter("q", lambda v: v <= F.col("value")))
 
     def shares(rows: DataFrame, name: str) -> DataFrame:
@@ -24,12 +26,11 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10, floor: float =
 
 
 def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per feature; equal values are counted first, so the running sums are over distinct values."""
+    """Two-sample Kolmogorov-Smirnov distance per feature, from running sums over distinct values."""
     counts = reference.select("feature", "value", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         current.select("feature", "value", F.lit(0).alias("a"), F.lit(1).alias("b"))).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    upto, all_ = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("feature")
-    gap = F.sum("a").over(upto) / F.sum("a").over(all_) - F.sum("b").over(upto) / F.sum("b").over(all_)
-    return counts.withColumn("gap", gap).groupBy("feature").agg(F.max(F.abs("gap")).alias("ks"))
+    gap = F.col("upto_a") / F.col("all_a") - F.col("upto_b") / F.col("all_b")
+    return running(counts, ["feature"], "value", ["a", "b"]).withColumn("gap", gap).groupBy("feature").agg(F.max(F.abs("gap")).alias("ks"))
 
 
 def unusual_days(alerts: DataFrame, expected: float, low: float = 0.2, high: float = 5.0) -> DataFrame:
@@ -40,8 +41,8 @@ def unusual_days(alerts: DataFrame, expected: float, low: float = 0.2, high: flo
 
 def daily_scores(scored: DataFrame, time: str = "event_time") -> DataFrame:
     """Per machine and day: number, median and 95th percentile of the scores."""
-    return scored.groupBy("machine_id", F.date_trunc("day", time).alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("score", 0.5).alias("median"), F.percentile("score", 0.95).alias("p95"))
+    rows, keys = scored.withColumn("day", F.date_trunc("day", time)), ["machine_id", "day"]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(quantile_columns(rows, keys, "score", {"median": 0.5, "p95": 0.95}), keys, "left")
 
 
 def disagreement(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemill.operators import ranking
+from telemill.operators.alerting import runs_in_days
+from telemill.operators.ranking import running
+from telemill.sources.shared import kept
+
 # The quantiles of the sweep.
 QUANTILES = (0.80, 0.85, 0.90, 0.925, 0.95, 0.96, 0.97, 0.98, 0.985, 0.99, 0.995, 0.999)
 
@@ -27,25 +32,16 @@ def rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     }
 
 
-def pr_curve(scored: DataFrame, parts: int = 64) -> DataFrame:
+def pr_curve(scored: DataFrame) -> DataFrame:
     """(threshold, precision, recall, tp, fp) for every distinct score, missing scores counting as 0.
 
-    The running sums have two levels: score ranges are summed first, so no task orders all scores.
+    The running sums go through range partitions of the scores, so no task orders all of them.
     """
     points = scored.groupBy(F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)).alias("threshold")).agg(
         F.count_if("is_anomaly").alias("p"), F.count_if(~F.col("is_anomaly")).alias("n")
     )
-    span = points.agg(F.min("threshold").alias("_a"), F.max("threshold").alias("_b"))
-    part = F.least(F.lit(parts - 1), F.floor(F.coalesce(F.try_divide(F.col("threshold") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)) * parts)).cast("int")
-    placed = points.crossJoin(F.broadcast(span)).withColumn("_part", part).drop("_a", "_b")  # one row
-    higher = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)  # over `parts` rows
-    sums = placed.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n"),
-        F.sum("_p").over(W.partitionBy()).alias("_all"),
-    )
-    inside = W.partitionBy("_part").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    full = placed.join(F.broadcast(sums), "_part").withColumns({"tp": F.col("_p") + F.sum("p").over(inside), "fp": F.col("_n") + F.sum("n").over(inside)})
-    return full.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "_all").alias("recall"), "tp", "fp", "p", F.col("_all").alias("positives"))
+    full = running(points, [], "threshold", ["p", "n"], descending=True).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp", "all_p": "positives"})
+    return full.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "positives").alias("recall"), "tp", "fp", "p", "positives")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -55,12 +51,13 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 def thin(curve: DataFrame, points: int = 400) -> DataFrame:
     """At most ``points`` rows of a curve, evenly spread over rising thresholds; the last point is among them."""
+    curve = kept(curve, "curve")
     n = curve.count()
     if n <= points:
         return curve
-    numbered = curve.withColumn("_i", F.row_number().over(W.orderBy("threshold")) - 1)
-    kept = F.floor(F.col("_i") * (points - 1) / (n - 1)) != F.floor((F.col("_i") - 1) * (points - 1) / (n - 1))
-    return numbered.where(kept | (F.col("_i") == 0)).drop("_i")
+    numbered = running(curve.withColumn("_one", F.lit(1)), [], "threshold", ["_one"]).withColumn("_i", F.col("upto__one") - 1)
+    chosen = F.floor(F.col("_i") * (points - 1) / (n - 1)) != F.floor((F.col("_i") - 1) * (points - 1) / (n - 1))
+    return numbered.where(chosen | (F.col("_i") == 0)).select(*curve.columns)
 
 
 def window_metrics(scored: DataFrame, threshold: Column | float) -> DataFrame:
@@ -82,25 +79,24 @@ def episode_outcomes(scored: DataFrame, episodes: DataFrame, threshold: Column |
 
 def operating_points(scored: DataFrame, episodes: DataFrame, slide_seconds: int, quantiles: tuple[float, ...] = QUANTILES, least: int = 2) -> DataFrame:
     """What each quantile of the scores as threshold buys: one pass over the windows, spread over the dozen thresholds."""
-    q = F.array(*map(F.lit, quantiles))
-    spots = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).agg(F.percentile("score", q).alias("_t"), F.max("window_start").alias("_b"), F.min("window_start").alias("_a"), F.count_distinct("machine_id").alias("_m"))
-    thresholds = spots.select(
-        F.posexplode("_t").alias("_i", "threshold"), F.greatest((F.col("_b") - F.col("_a")) / 3600.0, F.lit(1e-9)).alias("hours"), F.greatest("_m", F.lit(1)).alias("machines")
-    ).withColumn("quantile", F.element_at(q, F.col("_i") + 1)).drop("_i")
+    scored = kept(scored, "scored")
+    span = scored.agg(F.max("window_start").alias("_b"), F.min("window_start").alias("_a"), F.count_distinct("machine_id").alias("_m"))
+    at = F.array(*map(F.lit, quantiles))
+    thresholds = ranking.quantiles(scored, [], "score", quantiles).crossJoin(span).select(  # a dozen rows and one
+        F.col("value").alias("threshold"), F.greatest((F.col("_b") - F.col("_a")) / 3600.0, F.lit(1e-9)).alias("hours"), F.greatest("_m", F.lit(1)).alias("machines"),
+        F.element_at(at, F.col("i") + 1).alias("quantile"),
+    )
     each = scored.crossJoin(F.broadcast(thresholds))  # a dozen rows
     hit, true = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)), F.col("is_anomaly")
     windows = each.groupBy("quantile", "threshold", "hours", "machines").agg(
         F.count_if(hit).alias("alert_windows"), F.count_if(true & hit).alias("tp"), F.count_if(~true & hit).alias("fp"), F.count_if(true & ~hit).alias("fn")
     )
-    w = W.partitionBy("quantile", "machine_id").orderBy("window_start")
-    over = each.where(hit).withColumn("_gap", F.col("window_start") - F.lag("window_start").over(w))
-    over = over.withColumn("_run", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") != slide_seconds), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    over = runs_in_days(each.where(hit), ["quantile", "machine_id"], F.col("_gap") != slide_seconds)
     events = over.groupBy("quantile", "machine_id", "_run").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).groupBy("quantile").agg(F.count(F.lit(1)).alias("alert_events"))
     caught = each.where(F.col("episode_id").isNotNull()).groupBy("quantile", "episode_id").agg(F.min(F.when(hit, F.col("window_end"))).alias("_first"))
-    outcome = caught.join(episodes.select("episode_id", "started_at"), "episode_id").groupBy("quantile").agg(
-        F.count(F.lit(1)).alias("episodes_total"), F.count("_first").alias("episodes_detected"),
-        F.percentile(F.col("_first") - F.unix_micros("started_at") / 1e6, 0.5).alias("median_detection_latency_seconds"),
-    )
+    late = caught.join(episodes.select("episode_id", "started_at"), "episode_id").withColumn("_after", F.col("_first") - F.unix_micros("started_at") / 1e6)
+    outcome = late.groupBy("quantile").agg(F.count(F.lit(1)).alias("episodes_total"), F.count("_first").alias("episodes_detected"))
+    outcome = outcome.join(ranking.quantile_columns(late, ["quantile"], "_after", {"median_detection_latency_seconds": 0.5}), "quantile", "left")
     zero = F.lit(0).cast("long")
     joined = windows.join(events, "quantile", "left").join(outcome, "quantile", "left").withColumns(
         {c: F.coalesce(c, zero) for c in ("alert_events", "episodes_total", "episodes_detected")}
@@ -136,9 +132,11 @@ def false_positive_profile(scored: DataFrame, threshold: Column | float) -> Data
 def missed_profile(outcomes: DataFrame) -> DataFrame:
     """Per anomaly type: episodes, missed and detected ones, median durations and the median highest score of the missed."""
     missed = ~F.col("detected")
-    return outcomes.groupBy("anomaly_type").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(missed).alias("missed"), F.count_if("detected").alias("found"),
-        F.percentile(F.when(missed, F.col("duration_seconds")), 0.5).alias("median_missed_seconds"),
-        F.percentile(F.when(F.col("detected"), F.col("duration_seconds")), 0.5).alias("median_detected_seconds"),
-        F.percentile(F.when(missed, F.col("max_score")), 0.5).alias("median_missed_score"),
-    )
+    outcomes = kept(outcomes, "outcomes")
+    out = outcomes.groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(missed).alias("missed"), F.count_if("detected").alias("found"))
+    for name, x in (
+        ("median_missed_seconds", F.when(missed, F.col("duration_seconds"))), ("median_detected_seconds", F.when(F.col("detected"), F.col("duration_seconds"))),
+        ("median_missed_score", F.when(missed, F.col("max_score"))),
+    ):
+        out = out.join(ranking.quantile_columns(outcomes, ["anomaly_type"], x, {name: 0.5}), "anomaly_type", "left")
+    return out

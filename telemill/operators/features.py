@@ -63,7 +63,7 @@ def derived(aggregated: DataFrame) -> DataFrame:
     made: dict[str, Column] = {}
     for s in SIGNALS:
         first, last, mean, sd = F.col(f"_{s}_first"), F.col(f"_{s}_last"), F.col(f"{s}_mean"), F.col(f"{s}_stddev")
-        elapsed = seconds(F.col(f"_{s}_to")) - seconds(F.col(f"_{s}_from"))
+        elapsed = (F.unix_micros(f"_{s}_to") - F.unix_micros(f"_{s}_from")) / 1_000_000.0
         made[f"{s}_slope_per_second"] = F.when(elapsed > 0, (last - first) / elapsed)
         if s in C.SENSORS:
             made[f"{s}_range"] = F.col(f"{s}_max") - F.col(f"{s}_min")

@@ -62,6 +62,12 @@ def scored_event(windows: DataFrame, model: dict[str, str], scored_at: Column, *
     )
 
 
+def encoded(events: DataFrame) -> DataFrame:
+    """Scored messages as records of a topic: the machine as key, JSON with all fields as value."""
+    text = [S.format_instant(F.col(c)).alias(c) if kind == "timestamp" else F.col(c) for c, kind in events.dtypes]
+    return events.select(F.col("machine_id").alias("key"), S.json_encode(F.struct(*text)).alias("value"))
+
+
 def window_means(features: Column) -> list[Column]:
     """Five means and the share of missing readings out of a feature map."""
     names = [*(f"{s}_mean" for s in C.SENSORS), "null_ratio"]

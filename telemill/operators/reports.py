@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemill.operators.alerting import out_of_order
+from telemill.operators.ranking import quantile_columns, running
 
 
 def update_ratio(scored: DataFrame) -> DataFrame:
@@ -16,11 +16,12 @@ def update_ratio(scored: DataFrame) -> DataFrame:
 
 
 def delay_statistics(scored: DataFrame) -> DataFrame:
-    on = F.when(F.col("is_scored"), F.col("processing_delay_ms"))
-    return scored.agg(*[
-        f.alias(f"{name}_{kind}") for kind, x in (("all", F.col("processing_delay_ms")), ("scored", on))
-        for name, f in (("min", F.min(x)), ("median", F.percentile(x, 0.5)), ("max", F.max(x)))
-    ])
+    """Least, median and greatest delay, of all windows and of the scored ones."""
+    kinds = {"all": F.col("processing_delay_ms"), "scored": F.when(F.col("is_scored"), F.col("processing_delay_ms"))}
+    out = scored.agg(*[f(x).alias(f"{name}_{kind}") for kind, x in kinds.items() for name, f in (("min", F.min), ("max", F.max))])
+    for kind, x in kinds.items():
+        out = out.crossJoin(quantile_columns(scored, [], x, {f"median_{kind}": 0.5}))  # single rows
+    return out
 
 
 def duplicate_deliveries(alerts: DataFrame) -> DataFrame:
@@ -35,17 +36,17 @@ def dead_letters(envelopes: DataFrame) -> DataFrame:
 
 def late_records(late: DataFrame) -> DataFrame:
     x = F.col("lateness_seconds")
-    return late.agg(F.count(F.lit(1)).alias("messages"), F.min(x).alias("least"), F.percentile(x, 0.5).alias("median"), F.max(x).alias("most"))
+    ends = late.agg(F.count(F.lit(1)).alias("messages"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return ends.crossJoin(quantile_columns(late, [], x, {"median": 0.5}))  # single rows
 
 
 def nearest_rank(rows: DataFrame, column: str, fractions: tuple[float, ...]) -> DataFrame:
     """(fraction, value): the value at place round-half-even(fraction * (n - 1)) in order.
 
-    Values are counted first, so the running sum is over distinct values.
+    Values are counted first; the running sum is over distinct values in range partitions.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    placed = counts.select(F.col(column).alias("value"), upto.alias("_to"), F.sum("_c").over(W.partitionBy()).alias("_n"), "_c")
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(counts, [], "value", ["_c"]).withColumnsRenamed({"upto__c": "_to", "all__c": "_n"})
     spread = placed.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
     place = F.bround(F.col("fraction") * (F.col("_n") - 1), 0)
     return spread.where((place >= F.col("_to") - F.col("_c")) & (place < F.col("_to"))).select("fraction", "value")

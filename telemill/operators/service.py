@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from telemill.operators.ranking import quantile_columns
+
 SORTABLE = ("detected_at", "anomaly_score", "severity", "status")
 GRANULARITIES = ("hour", "day")
 SUMMARY = ("alert_id", "code", "line_code", "severity", "status", "anomaly_score", "detected_at")
@@ -89,7 +91,7 @@ def seconds_to_acknowledge(alerts: DataFrame, acknowledgements: DataFrame) -> Da
 
 
 def median_time_to_acknowledge(alerts: DataFrame, acknowledgements: DataFrame) -> DataFrame:
-    return seconds_to_acknowledge(alerts, acknowledgements).agg(F.percentile("seconds", 0.5).alias("median_seconds"))
+    return seconds_to_acknowledge(alerts, acknowledgements).transform(lambda x: quantile_columns(x, [], "seconds", {"median_seconds": 0.5}))
 
 
 def history(alerts: DataFrame, acknowledgements: DataFrame) -> DataFrame:

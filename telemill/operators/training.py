@@ -7,11 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemill.functions import contracts as C
 from telemill.operators import calibration, detectors, evaluation, labels
 from telemill.operators.features import window_features
 from telemill.operators.policy import admitted_for_training
+from telemill.sources.shared import kept
 
-CANDIDATES = ("three_sigma", "three_sigma_all", "mahalanobis")
+#: Candidates and their roles; ``secondary`` ones are reported for comparison and never chosen.
+CANDIDATES = {
+    "isolation_forest": "mandatory", "one_class": "mandatory", "three_sigma": "baseline", "three_sigma_all": "secondary", "mahalanobis": "exploratory",
+}
 
 
 @dataclass(frozen=True)
@@ -26,37 +31,64 @@ class Settings:
     features: tuple[str, ...] = ()
 
 
-def fitted(windows: DataFrame, features: list[str], detector: str = "three_sigma") -> dict:
-    """A calibrated model of training windows: profiles, preparation, detector and the grid of its training scores."""
+def base(windows: DataFrame, features: list[str]) -> tuple[dict, DataFrame]:
+    """What every detector shares, profiles and preparation of the training windows, and the prepared rows."""
+    windows = kept(windows, "training-windows")
     profiles = detectors.machine_profiles(windows, features)
-    normal = detectors.normalise(windows, profiles, features)
+    normal = kept(detectors.normalise(windows, profiles, features), "training-normal")
     prep = detectors.preparation(normal, features)
-    rows = detectors.prepared(normal, features, prep)
+    model = {"features": list(features), "machine_profiles": profiles, "preparation": prep, "reference_profile": kept(detectors.reference_profile(windows, features), "reference")}
+    return model, kept(detectors.prepared(normal, features, prep), "training-rows")
+
+
+def with_detector(model: dict, rows: DataFrame, detector: str) -> dict:
+    """The shared model with a detector fitted on the prepared rows and the grid of its scores there."""
+    features, columns = model["features"], model["preparation"]["columns"]
     if detector == "mahalanobis":
-        fit: dict = detectors.fit_mahalanobis(rows, prep["columns"])
+        fit: dict = detectors.fit_mahalanobis(rows, columns)
+    elif detector == "isolation_forest":
+        forest = detectors.fit_isolation_forest(rows, columns)
+        fit = {"columns": columns, "forest": {c: list(v) for c, v in forest.orderBy("tree", "node").toPandas().to_dict("list").items()}}  # 300 trees of at most 511 nodes
+    elif detector == "one_class":
+        fit = detectors.fit_one_class(rows, columns)
+    elif detector in ("three_sigma", "three_sigma_all"):
+        means = [f"{s}_mean" for s in C.SENSORS if f"{s}_mean" in features]
+        fit = {"sigma": detectors.fit_three_sigma(rows, columns if detector == "three_sigma_all" else means or list(features))}
     else:
-        means = [f for f in features if f.endswith("_mean")]
-        fit = {"sigma": detectors.fit_three_sigma(rows, prep["columns"] if detector == "three_sigma_all" else means or list(features))}
-    model = {"features": list(features), "machine_profiles": profiles, "preparation": prep, "detector": {"name": detector, **fit}}
-    model["calibration"] = calibration.fit_ecdf(raw_scores(rows, model), "raw_score")
-    model["reference_profile"] = detectors.reference_profile(windows, features)
-    return model
+        raise ValueError(f"no detector {detector}")
+    model = {**model, "detector": {"name": detector, **fit}}
+    return {**model, "calibration": calibration.fit_ecdf(raw_scores(rows, model), "raw_score")}
+
+
+def fitted(windows: DataFrame, features: list[str], detector: str = "three_sigma") -> dict:
+    """A calibrated model of training windows: profiles, preparation, detector and the grid of its training scores."""
+    return with_detector(*base(windows, features), detector)
 
 
 def raw_scores(rows: DataFrame, model: dict) -> DataFrame:
     d = model["detector"]
-    score = detectors.mahalanobis(d) if d["name"] == "mahalanobis" else detectors.three_sigma(d["sigma"])
-    return rows.withColumn("raw_score", score)
+    if d["name"] == "isolation_forest":
+        return detectors.forest_scores(rows, d["forest"], d["columns"])
+    score = {"mahalanobis": detectors.mahalanobis, "one_class": detectors.one_class}.get(d["name"])
+    return rows.withColumn("raw_score", score(d) if score else detectors.three_sigma(d["sigma"]))
+
+
+def ready(windows: DataFrame, model: dict) -> DataFrame:
+    """Windows as the detectors take them."""
+    return detectors.prepared(detectors.normalise(windows, model["machine_profiles"], model["features"]), model["features"], model["preparation"])
+
+
+def calibrated(rows: DataFrame, model: dict) -> DataFrame:
+    """Prepared rows with ``raw_score`` and ``score``."""
+    return raw_scores(rows, model).withColumn("score", calibration.ecdf(model["calibration"])("raw_score"))
 
 
 def score(windows: DataFrame, model: dict) -> DataFrame:
     """Windows with ``raw_score`` and ``score``; their features stay as they came."""
     features = model["features"]
     keep = [c for c in windows.columns if c not in features]
-    kept = windows.withColumns({f"_in_{f}": F.col(f) for f in features})
-    rows = raw_scores(detectors.prepared(detectors.normalise(kept, model["machine_profiles"], features), features, model["preparation"]), model)
-    out = rows.withColumn("score", calibration.ecdf(model["calibration"])("raw_score"))
-    return out.select(*keep, *[F.col(f"_in_{f}").alias(f) for f in features], "raw_score", "score")
+    rows = windows.withColumns({f"_in_{f}": F.col(f) for f in features})
+    return calibrated(ready(rows, model), model).select(*keep, *[F.col(f"_in_{f}").alias(f) for f in features], "raw_score", "score")
 
 
 def splits(samples: DataFrame, truth: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -67,40 +99,50 @@ def splits(samples: DataFrame, truth: DataFrame, s: Settings) -> dict[str, DataF
         slide = s.window if name == "train" else s.slide
         windows = window_features(parted.where(F.col("split") == name), s.window, slide).where(admitted_for_training(s.gate)).withColumns(
             {"window_start": F.unix_seconds("window_start"), "window_end": F.unix_seconds("window_end")})
-        # read many times by every candidate; the caller releases them
-        out[name] = labels.align(truth, windows, s.window, slide, s.least_fraction).persist()
+        out[name] = kept(labels.align(truth, windows, s.window, slide, s.least_fraction), f"split-{name}")  # read by every candidate
     return out
 
 
-def evaluate(detector: str, parts: dict[str, DataFrame], truth: DataFrame, s: Settings, train: DataFrame | None = None) -> DataFrame:
-    """One row: the threshold chosen on validation and the metrics on validation and test."""
-    features = list(s.features)
-    model = fitted(parts["train"] if train is None else train, features, detector)
-    episodes = labels.episode_table(truth)
-    validation = score(parts["validation"], model).persist()
+SCORED = ("machine_id", "window_start", "window_end", "machine_state", "is_anomaly", "episode_id", "score")
+
+
+def evaluate(detector: str, model: dict, rows: dict[str, DataFrame], episodes: DataFrame, s: Settings) -> DataFrame:
+    """One row: the threshold chosen on validation and the metrics on validation and test. ``rows``: the prepared splits."""
+    model = with_detector(model, rows["train"], detector)
+    validation, test = (kept(calibrated(rows[name], model).select(*SCORED), name) for name in ("validation", "test"))
     best = evaluation.within_budget(evaluation.operating_points(validation, episodes, s.slide), s.budget).first()
-    test = score(parts["test"], model).persist()
     metrics = evaluation.window_metrics(test, best["threshold"]).first()
     caught = evaluation.episode_outcomes(test, episodes.join(test.select("episode_id"), "episode_id", "left_semi"), best["threshold"]).agg(F.avg(F.col("detected").cast("double"))).first()[0]
-    validation.unpersist()
-    test.unpersist()
     row = (detector, best["quantile"], best["threshold"], best["window_f1"], best["episode_recall"], metrics["precision"], metrics["recall"], metrics["f1"], metrics["average_precision"], caught,
-           float(model["detector"].get("condition", 1.0)), model["detector"].get("rank", 1) == len(model["detector"].get("columns", [0])))
+           float(model["detector"].get("condition", 1.0)), model["detector"].get("rank", 1) == len(model["detector"].get("columns", [0])) if "rank" in model["detector"] else True)
     schema = ("name string, quantile double, threshold double, validation_f1 double, validation_episode_recall double, test_precision double, test_recall double, test_f1 double,"
               " test_average_precision double, test_episode_recall double, condition double, full_rank boolean")
-    return truth.sparkSession.createDataFrame([tuple(float(x) if isinstance(x, float) else x for x in row)], schema)
+    return episodes.sparkSession.createDataFrame([row], schema)
+
 
+def prepared_splits(parts: dict[str, DataFrame], train: DataFrame, features: list[str]) -> tuple[dict, dict[str, DataFrame]]:
+    """The shared model of the training windows and all splits prepared by it, each written once for all candidates."""
+    model, rows = base(train, features)
+    return model, {"train": rows, **{name: kept(ready(parts[name], model), f"ready-{name}") for name in ("validation", "test")}}
 
-def run(samples: DataFrame, truth: DataFrame, s: Settings, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
-    """A row per candidate, with ``selected`` for the one that validation prefers."""
-    parts = splits(samples, truth, s)
+
+def run(samples: DataFrame, truth: DataFrame, s: Settings, candidates: dict[str, str] = CANDIDATES) -> DataFrame:
+    """A row per candidate (name: role), with ``selected`` for the one that validation prefers."""
+    parts, episodes = splits(samples, truth, s), kept(labels.episode_table(truth), "episodes")
+    model, ready_rows = prepared_splits(parts, parts["train"], list(s.features))
     rows = None
-    for name in candidates:
-        one = evaluate(name, parts, truth, s)
+    for name, role in candidates.items():
+        one = evaluate(name, model, ready_rows, episodes, s).withColumn("role", F.lit(role))
         rows = one if rows is None else rows.unionByName(one)
-    for part in parts.values():
-        part.unpersist()
-    judged = rows.select("name", F.col("validation_episode_recall").alias("episode_recall"), F.col("validation_f1").alias("f1"), "condition", "full_rank", F.lit(False).alias("secondary"), F.lit(False).alias("failed"))
+    return choose(kept(rows, "candidates"))
+
+
+def choose(rows: DataFrame) -> DataFrame:
+    """Rows of ``evaluate`` with their ``role``, marked with ``selected``."""
+    judged = rows.select(
+        "name", F.col("validation_episode_recall").alias("episode_recall"), F.col("validation_f1").alias("f1"), "condition", "full_rank",
+        (F.col("role") == "secondary").alias("secondary"), F.lit(False).alias("failed"),
+    )
     winner = select_model(judged).select("name", F.lit(True).alias("selected"))
     return rows.join(winner, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
@@ -113,12 +155,12 @@ def select_model(candidates: DataFrame) -> DataFrame:
 
 def clean_variant(samples: DataFrame, truth: DataFrame, s: Settings, detector: str = "three_sigma") -> DataFrame:
     """The same detector fitted on all training windows and on those without labelled anomalies, side by side."""
-    parts = splits(samples, truth, s)
-    whole = evaluate(detector, parts, truth, s).withColumn("variant", F.lit("all"))
-    clean = evaluate(detector, parts, truth, s, parts["train"].where(~F.col("is_anomaly"))).withColumn("variant", F.lit("clean"))
-    for part in parts.values():
-        part.unpersist()
-    return whole.unionByName(clean)
+    parts, episodes = splits(samples, truth, s), kept(labels.episode_table(truth), "episodes")
+    out = None
+    for variant, train in (("all", parts["train"]), ("clean", parts["train"].where(~F.col("is_anomaly")))):
+        one = evaluate(detector, *prepared_splits(parts, train, list(s.features)), episodes, s).withColumn("variant", F.lit(variant))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def champion(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from telemill.functions import scalars as S
 from telemill.operators import detectors, policy
 from telemill.operators import features as X
 from telemill.plans import tables as t
-from telemill.plans.registry import query
+from telemill.plans.registry import near, query
 
 KEYS = ["machine_id", "window_start"]
 BASE = t.with_(t.SAMPLES, t.window_sql(), t.features_sql())
@@ -61,7 +61,7 @@ def agg_coverage(spark, d):
 
 @query("agg_sum", t.with_(t.SAMPLES) + "SELECT machine_id, round(sum(power_kw), 4) AS power, count(power_kw) AS n FROM samples GROUP BY 1")
 def agg_sum(spark, d):
-    return t.samples(spark, d).groupBy("machine_id").agg(F.round(F.sum("power_kw"), 4).alias("power"), F.count("power_kw").alias("n"))
+    return t.samples(spark, d).groupBy("machine_id").agg(near(F.sum("power_kw"), 4).alias("power"), F.count("power_kw").alias("n"))
 
 
 @query("agg_first_last_by_time", t.with_(t.SAMPLES, t.window_sql()) + """
@@ -69,13 +69,13 @@ SELECT machine_id, window_start, round(arg_min(power_kw, event_time) FILTER (WHE
   round(arg_max(power_kw, event_time) FILTER (WHERE power_kw IS NOT NULL), 6) AS last_power FROM windowed GROUP BY ALL""")
 def agg_first_last_by_time(spark, d):
     rows = X.sliding(t.samples(spark, d), t.WINDOW, t.SLIDE)
-    return rows.select("machine_id", F.unix_seconds("window_start").alias("window_start"), F.round("_power_kw_first", 6).alias("first_power"), F.round("_power_kw_last", 6).alias("last_power"))
+    return rows.select("machine_id", F.unix_seconds("window_start").alias("window_start"), near("_power_kw_first", 6).alias("first_power"), near("_power_kw_last", 6).alias("last_power"))
 
 
 @query("pane_features", BASE + "SELECT machine_id, window_start, sample_count, round(power_kw_mean, 6) + 0 AS power_kw_mean, round(power_kw_stddev, 4) + 0 AS power_kw_stddev FROM features")
 def pane_features(spark, d):
     rows = X.pane_features(t.samples(spark, d), t.WINDOW, t.SLIDE)
-    return rows.select(*KEYS, "sample_count", (F.round("power_kw_mean", 6) + 0.0).alias("power_kw_mean"), (F.round("power_kw_stddev", 4) + 0.0).alias("power_kw_stddev"))
+    return rows.select(*KEYS, "sample_count", (near("power_kw_mean", 6) + 0.0).alias("power_kw_mean"), (near("power_kw_stddev", 4) + 0.0).alias("power_kw_stddev"))
 
 
 @query("join_range_window_samples", t.with_(t.SAMPLES, t.window_sql()) + "SELECT machine_id, window_start, count(*) AS n FROM windowed GROUP BY ALL")
@@ -189,13 +189,15 @@ def prj_scored_event(spark, d):
     ))
 
 
+MODEL = {"name": "three_sigma", "version": "1.0.0", "trained_at": "2024-01-01T00:00:00.000Z", "artifact_sha256": "0" * 64}
+
+
 def scored_events(spark, d):
     f = stamped(spark, d)
     raw = detectors.three_sigma(detectors.fit_three_sigma(f, FIVE))
     z = F.array(*[F.col(n).cast("double") for n in C.feature_names()])
     rows = f.withColumns({"raw_score": raw, "score": raw / (1 + raw), "threshold": F.lit(0.6), "z": z})
-    model = {"name": "three_sigma", "version": "1.0.0", "trained_at": "2024-01-01T00:00:00.000Z", "artifact_sha256": "0" * 64}
-    return policy.scored_event(rows, model, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE)
+    return policy.scored_event(rows, MODEL, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE)
 
 
 @query("flt_scored_anomalous", SIGMA + f"""SELECT machine_id, window_start, round(score, 6) + 0 AS anomaly_score, 'three_sigma' AS model_name

@@ -9,7 +9,7 @@ from telemill.functions import scalars as S
 from telemill.operators import alerting, constraints, reports
 from telemill.sources import ingest, tables
 from telemill.plans import tables as t
-from telemill.plans.registry import query
+from telemill.plans.registry import near, query
 from telemill.plans.scratch import scratch
 
 FAULT = """CASE WHEN "offset" % 50 = 5 THEN 'MALFORMED_JSON' WHEN "offset" % 50 = 1 THEN 'UNSUPPORTED_SCHEMA_VERSION' WHEN "offset" % 50 IN (2, 3, 4) THEN 'SCHEMA_VALIDATION_FAILED' END"""
@@ -49,7 +49,7 @@ def src_manifest(spark, d):
 @query("prj_parse_json", FAULTY + "SELECT \"offset\", machine_id, round(power_kw, 6) AS power_kw, epoch_us(date_trunc('millisecond', event_time)) AS event_us FROM parsed WHERE dlq_reason IS NULL")
 def prj_parse_json(spark, d):
     good, _ = ingest.split_valid(parsed(spark, d))
-    return good.select("offset", "machine_id", F.round("power_kw", 6).alias("power_kw"), F.unix_micros("event_time").alias("event_us"))
+    return good.select("offset", "machine_id", near("power_kw", 6).alias("power_kw"), F.unix_micros("event_time").alias("event_us"))
 
 
 @query("prj_dlq_reason", FAULTY + 'SELECT "offset", dlq_reason FROM parsed')
@@ -57,10 +57,10 @@ def prj_dlq_reason(spark, d):
     return parsed(spark, d).select("offset", "dlq_reason")
 
 
-@query("prj_dlq_detail", FAULTY + """SELECT "offset", CASE "offset" % 50 WHEN 1 THEN 'unsupported schema_version 2.0; 1.x is understood' WHEN 2 THEN 'schema_version'
-  WHEN 3 THEN 'machine_id' WHEN 4 THEN 'event_time (raw=yesterday)' END AS dlq_detail FROM parsed WHERE "offset" % 50 <> 5""")
+@query("prj_dlq_detail", FAULTY + """SELECT "offset", CASE "offset" % 50 WHEN 1 THEN 'version 2.0 is not of the 1.x family' WHEN 2 THEN 'schema_version'
+  WHEN 3 THEN 'machine_id' WHEN 4 THEN 'event_time; event_time was yesterday' WHEN 5 THEN 'unreadable message: ' || substr('{"schema_version":"1.0","event_id":"' || event_id || '","machine_id"', 1, 40) END AS dlq_detail FROM parsed""")
 def prj_dlq_detail(spark, d):
-    return parsed(spark, d).where("offset % 50 <> 5").select("offset", "dlq_detail")
+    return parsed(spark, d).select("offset", "dlq_detail")
 
 
 @query("flt_split_valid", FAULTY + "SELECT dlq_reason IS NULL AS accepted, count(*) AS n FROM parsed GROUP BY 1")
@@ -73,7 +73,7 @@ def flt_split_valid(spark, d):
 @query("flt_split_late", FAULTY + 'SELECT "offset", lag AS lateness_seconds FROM parsed WHERE dlq_reason IS NULL AND lag > 90')
 def flt_split_late(spark, d):
     _, late = ingest.split_late(ingest.split_valid(parsed(spark, d))[0])
-    return late.select("offset", F.expr("ingest_time").isNotNull().alias("_x"), "lateness_seconds").drop("_x")
+    return late.select("offset", "lateness_seconds")
 
 
 def sides(spark, d):
@@ -114,9 +114,13 @@ def src_dlq_replay(spark, d):
     return back.join(original, "offset").select("offset", F.decode("key", "UTF-8").alias("key_text"), (F.col("value") == F.col("original")).alias("same_bytes"))
 
 
-@query("flt_contract_raw_strict", FAULTY + """SELECT "offset", CASE WHEN "offset" % 50 = 2 THEN 'schema_version' WHEN "offset" % 50 = 3 THEN 'machine_id' ELSE '' END AS errors FROM parsed WHERE "offset" % 50 <> 5""")
+# of a message that breaks off nothing can be read
+UNREADABLE = "; ".join(sorted([*ingest.REQUIRED, *(f"readings.{s}" for s in C.SENSORS)]))
+
+
+@query("flt_contract_raw_strict", FAULTY + f"""SELECT "offset", CASE "offset" % 50 WHEN 2 THEN 'schema_version' WHEN 3 THEN 'machine_id' WHEN 5 THEN '{UNREADABLE}' ELSE '' END AS errors FROM parsed""")
 def flt_contract_raw_strict(spark, d):
-    return ingest.strict_errors(t.records(spark, d)).where("offset % 50 <> 5").select("offset", "errors")
+    return ingest.strict_errors(t.records(spark, d)).select("offset", "errors")
 
 
 @query("set_dedup_event_id", t.with_(t.SAMPLES) + "SELECT event_id, min(\"offset\") AS \"offset\" FROM samples GROUP BY 1")
@@ -192,9 +196,10 @@ def fn_enum_tolerant(spark, d):
     return t.table(spark, d, "events").select("event_id", S.tolerant(word, C.MACHINE_STATES).alias("state"))
 
 
-@query("fn_enum_strict", "SELECT event_id FROM events WHERE event_type NOT IN ('view', 'click')")
+@query("fn_enum_strict", "SELECT event_id, event_type IN ('view', 'click') OR event_id % 9 = 0 AS accepted FROM events")
 def fn_enum_strict(spark, d):
-    return t.table(spark, d, "events").where(~F.col("event_type").isin("view", "click")).select("event_id")
+    word = F.when(F.col("event_id") % 9 == 0, F.lit(None)).when(F.col("event_type") == "view", "RUNNING").when(F.col("event_type") == "click", "IDLE").otherwise(F.upper("event_type"))
+    return t.table(spark, d, "events").select("event_id", S.strict(word, C.MACHINE_STATES).alias("accepted"))
 
 
 @query("fn_epoch_floor", "SELECT event_id, (epoch_us(ts) // 1000000 // 10) * 10 AS slot FROM events")
@@ -229,10 +234,11 @@ def fn_partition_key(spark, d):
     return t.samples(spark, d).select("event_id", F.hex(S.partition_key(F.col("machine_id"))).alias("key"))
 
 
-@query("fn_sha256_digest", "SELECT count(*) AS rows, 64 AS width FROM events")
+@query("fn_sha256_digest", """WITH h AS (SELECT sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}') AS h FROM events),
+s AS (SELECT count(*) AS rows, """ + ", ".join(f"sum(CAST('0x' || substr(h, {at}, 15) AS UBIGINT)) AS s{i}" for i, at in enumerate((1, 16, 31, 46))) + """ FROM h)
+SELECT rows, sha256(concat_ws('|', rows, s0, s1, s2, s3)) AS digest FROM s""")
 def fn_sha256_digest(spark, d):
-    f = S.fingerprint(t.table(spark, d, "events").drop("ts"))
-    return f.select("rows", F.length("digest").alias("width"))
+    return S.fingerprint(t.table(spark, d, "events").select("event_id", "event_type", "user_id"))
 
 
 # topic reports

@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
-from telemill.operators import alerting, artifacts, calibration, constraints, detectors, drift, evaluation, labels, training
+from telemill.functions import scalars as S
+from telemill.operators import alerting, artifacts, calibration, constraints, detectors, drift, evaluation, labels, policy, training
 from telemill.plans import feature_queries as fq
 from telemill.plans import tables as t
-from telemill.plans.registry import query
-from telemill.plans.scratch import scratch
+from telemill.plans.registry import near, query
+from telemill.plans.scratch import kept, scratch
 
 FIVE, KEYS = fq.FIVE, fq.KEYS
-SOME = [*FIVE, "null_ratio", "power_per_rpm_stddev"]
+ALL = C.feature_names()
 F_SQL = t.with_(t.SAMPLES, t.LABELS, t.window_sql(), t.features_sql())
-LONG = ", long AS (" + " UNION ALL ".join(f"SELECT machine_id, window_start, '{f}' AS feature, {f}::DOUBLE AS value FROM features" for f in SOME) + ")\n"
+
+
+def long_sql(features: list[str]) -> str:
+    return f""", long AS (SELECT machine_id, window_start, feature, value FROM (SELECT machine_id, window_start, {', '.join(f'{f}::DOUBLE AS {f}' for f in features)} FROM features)
+  UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(features)})))\n"""
+
+
+LONG = long_sql(ALL)
 
 
 @query("agg_reference_profile", F_SQL + LONG + "SELECT feature, count(value) AS count, round(avg(value), 6) + 0 AS mean, round(stddev_samp(value), 6) + 0 AS std, round(min(value), 6) + 0 AS min, round(max(value), 6) + 0 AS max, "
        + ", ".join(f"round(quantile_cont(value, {q / 100}), 6) + 0 AS p{q:02d}" for q in (1, 5, 25, 50, 75, 95, 99)) + " FROM long GROUP BY 1")
 def agg_reference_profile(spark, d):
-    return t.rounded(detectors.reference_profile(t.features(spark, d), SOME))
+    return t.rounded(detectors.reference_profile(windows(spark, d), ALL))
 
 
 PROFILES = LONG + """, q AS (SELECT machine_id, feature, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS i FROM long GROUP BY GROUPING SETS ((machine_id, feature), (feature))),
@@ -31,48 +39,48 @@ profiles AS (SELECT q.machine_id, feature, coalesce(m, fm) AS median, CASE WHEN
 
 @query("agg_machine_profiles", F_SQL + PROFILES + "SELECT machine_id, feature, round(median, 6) + 0 AS median, round(iqr, 6) + 0 AS iqr FROM profiles")
 def agg_machine_profiles(spark, d):
-    return t.rounded(detectors.machine_profiles(t.features(spark, d), SOME))
+    return t.rounded(detectors.machine_profiles(windows(spark, d), ALL))
 
 
-NORMAL = F_SQL + PROFILES + "SELECT machine_id, window_start, feature, round((value - median) / iqr, 8) + 0 AS value FROM long JOIN profiles USING (machine_id, feature)"
+NORMAL = F_SQL + PROFILES + "SELECT machine_id, window_start, feature, round((value - median) / iqr, 6) + 0 AS value FROM long JOIN profiles USING (machine_id, feature)"
 
 
 def normalised(spark, d):
-    f = t.features(spark, d)
-    return detectors.normalise(f, detectors.machine_profiles(f, SOME), SOME)
+    f = windows(spark, d)
+    return detectors.normalise(f, detectors.machine_profiles(f, ALL), ALL)
 
 
 @query("ml_normalize", NORMAL)
 def ml_normalize(spark, d):
-    return t.rounded(detectors.long_form(normalised(spark, d), SOME, *KEYS), 8)
+    return t.rounded(detectors.long_form(normalised(spark, d), ALL, *KEYS))
 
 
-@query("join_profile_lookup", F_SQL + PROFILES + """SELECT machine_id, window_start, feature, round((value - coalesce(p.median, f.median)) / coalesce(p.iqr, f.iqr), 8) + 0 AS value FROM long
+@query("join_profile_lookup", F_SQL + PROFILES + """SELECT machine_id, window_start, feature, round((value - coalesce(p.median, f.median)) / coalesce(p.iqr, f.iqr), 6) + 0 AS value FROM long
   LEFT JOIN (SELECT * FROM profiles WHERE machine_id IN ('M-001', 'M-002')) p USING (machine_id, feature) JOIN (SELECT * FROM profiles WHERE machine_id IS NULL) f USING (feature)""")
 def join_profile_lookup(spark, d):
     """Only two machines have a profile; the others take the fleet's."""
-    f = t.features(spark, d)
-    p = detectors.machine_profiles(f, SOME).where("machine_id is null or machine_id in ('M-001', 'M-002')")
-    return t.rounded(detectors.long_form(detectors.normalise(f, p, SOME), SOME, *KEYS), 8)
+    f = windows(spark, d)
+    p = detectors.machine_profiles(f, ALL).where("machine_id is null or machine_id in ('M-001', 'M-002')")
+    return t.rounded(detectors.long_form(detectors.normalise(f, p, ALL), ALL, *KEYS))
 
 
 @query("anti_unknown_machines", F_SQL + "SELECT DISTINCT machine_id FROM features WHERE machine_id NOT IN ('M-001', 'M-002')")
 def anti_unknown_machines(spark, d):
-    f = t.features(spark, d)
-    return detectors.unknown_machines(f, detectors.machine_profiles(f.where("machine_id in ('M-001', 'M-002')"), SOME))
+    f = windows(spark, d)
+    return detectors.unknown_machines(f, detectors.machine_profiles(f.where("machine_id in ('M-001', 'M-002')"), ALL))
 
 
 @query("agg_impute_stats", F_SQL + LONG + "SELECT feature, round(quantile_cont(value, 0.5), 6) + 0 AS median, count(*) > count(value) AS had_gaps FROM long GROUP BY 1")
 def agg_impute_stats(spark, d):
-    p = detectors.preparation(t.features(spark, d), SOME)
-    return t.rounded(spark.createDataFrame([(f, p["medians"][f], f in p["missing"]) for f in SOME], "feature string, median double, had_gaps boolean"))
+    p = detectors.preparation(windows(spark, d), ALL)
+    return t.rounded(spark.createDataFrame([(f, p["medians"][f], f in p["missing"]) for f in ALL], "feature string, median double, had_gaps boolean"))
 
 
 @query("ml_impute_indicator", F_SQL + ", m AS (SELECT quantile_cont(power_per_rpm_stddev, 0.5) AS med FROM features) SELECT machine_id, window_start, round(coalesce(power_per_rpm_stddev, med), 6) + 0 AS filled, (power_per_rpm_stddev IS NULL)::INT AS was_missing FROM features, m")
 def ml_impute_indicator(spark, d):
-    f = t.features(spark, d)
-    p = detectors.preparation(f, SOME)
-    rows = detectors.impute(f, SOME, p["medians"], p["missing"])
+    f = windows(spark, d)
+    p = detectors.preparation(f, ALL)
+    rows = detectors.impute(f, ALL, p["medians"], p["missing"])
     return t.rounded(rows.select(*KEYS, F.col("power_per_rpm_stddev").alias("filled"), F.col("missing_power_per_rpm_stddev").cast("int").alias("was_missing")))
 
 
@@ -81,40 +89,43 @@ SCALE = F_SQL + ", m AS (SELECT quantile_cont(power_kw_mean, 0.5) AS med FROM fe
 
 @query("agg_scale_stats", SCALE + "SELECT 'power_kw_mean' AS feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation FROM filled")
 def agg_scale_stats(spark, d):
-    mean, deviation = detectors.preparation(t.features(spark, d), SOME)["scale"]["power_kw_mean"]
+    mean, deviation = detectors.preparation(windows(spark, d), ALL)["scale"]["power_kw_mean"]
     return t.rounded(spark.createDataFrame([("power_kw_mean", mean, deviation)], "feature string, mean double, deviation double"))
 
 
 @query("ml_standardize", SCALE + "SELECT machine_id, window_start, round((x - (SELECT avg(x) FROM filled)) / (SELECT stddev_pop(x) FROM filled), 5) + 0 AS z FROM filled")
 def ml_standardize(spark, d):
-    f = t.features(spark, d)
-    return t.rounded(detectors.prepared(f, SOME, detectors.preparation(f, SOME)).select(*KEYS, F.col("power_kw_mean").alias("z")), 5)
+    f = windows(spark, d)
+    return t.rounded(detectors.prepared(f, ALL, detectors.preparation(f, ALL)).select(*KEYS, F.col("power_kw_mean").alias("z")), 5)
+
+
+def windows(spark, d):
+    """All features, written once: fits read them many times."""
+    return kept(t.features(spark, d), "windows")
 
 
 def standard(spark, d):
-    f = t.features(spark, d)
-    return detectors.prepared(f, SOME, detectors.preparation(f, SOME)).select(*KEYS, "window_end", "machine_state", *SOME)
+    f = windows(spark, d)
+    return kept(detectors.prepared(f, ALL, detectors.preparation(f, ALL)).select(*KEYS, "window_end", "machine_state", *ALL), "standard")
 
 
 @query("ml_mahalanobis")
 def ml_mahalanobis(spark, d):
     rows = standard(spark, d)
-    return t.rounded(rows.select(*KEYS, detectors.mahalanobis(detectors.fit_mahalanobis(rows, SOME)).alias("raw_score")))
+    return t.rounded(rows.select(*KEYS, detectors.mahalanobis(detectors.fit_mahalanobis(rows, ALL)).alias("raw_score")))
 
 
 @query("ml_isolation_forest")
 def ml_isolation_forest(spark, d):
     rows = standard(spark, d)
-    forest = detectors.fit_isolation_forest(rows, SOME, trees=60)
-    path = scratch(spark, "forest")
-    forest.write.parquet(path)
-    return t.rounded(detectors.isolation_scores(rows.select(*KEYS, *SOME), spark.read.parquet(path), SOME).select(*KEYS, "raw_score"))
+    forest = kept(detectors.fit_isolation_forest(rows, ALL), "forest")
+    return t.rounded(detectors.isolation_scores(rows.select(*KEYS, *ALL), forest, ALL).select(*KEYS, "raw_score"))
 
 
 @query("ml_one_class_kernel")
 def ml_one_class_kernel(spark, d):
     rows = standard(spark, d)
-    return t.rounded(rows.select(*KEYS, detectors.one_class(detectors.fit_one_class(rows, SOME, steps=8)).alias("raw_score")))
+    return t.rounded(rows.select(*KEYS, detectors.one_class(detectors.fit_one_class(rows, ALL)).alias("raw_score")))
 
 
 @query("ml_subsample", t.with_(t.SAMPLES) + "SELECT least(2000, count(*)) AS n, TRUE AS again FROM samples")
@@ -149,7 +160,7 @@ query("ml_ecdf_native", ECDF)(lambda spark, d: ecdf_rows(spark, d, True))
 
 @query("ml_contributions", fq.BASE + ", p AS (SELECT avg(power_kw_mean) AS m, stddev_samp(power_kw_mean) AS s FROM features) SELECT machine_id, window_start, round(coalesce((power_kw_mean - m) / s, 0), 5) + 0 AS z FROM features, p")
 def ml_contributions(spark, d):
-    f = t.features(spark, d)
+    f = windows(spark, d)
     z = detectors.contributions(["power_kw_mean"], detectors.reference_profile(f, ["power_kw_mean"]))
     return t.rounded(f.select(*KEYS, z[0].alias("z")), 5)
 
@@ -315,7 +326,7 @@ outcomes AS (SELECT e.episode_id, e.machine_id, e.anomaly_type, e.duration_secon
 @query("ev_episode_outcomes", EV + OUT + "SELECT episode_id, machine_id, anomaly_type, scorable_windows, round(max_score, 6) AS max_score, detected, round(latency, 3) AS detection_latency_seconds FROM outcomes")
 def ev_episode_outcomes(spark, d):
     rows = evaluation.episode_outcomes(scored(spark, d), episodes(spark, d), 0.35)
-    return rows.select("episode_id", "machine_id", "anomaly_type", "scorable_windows", F.round("max_score", 6).alias("max_score"), "detected", F.round("detection_latency_seconds", 3).alias("detection_latency_seconds"))
+    return rows.select("episode_id", "machine_id", "anomaly_type", "scorable_windows", near("max_score", 6).alias("max_score"), "detected", near("detection_latency_seconds", 3).alias("detection_latency_seconds"))
 
 
 @query("join_episode_windows", EV + OUT + "SELECT episode_id, scorable_windows FROM outcomes")
@@ -367,7 +378,7 @@ def ev_false_positive_profile(spark, d):
   round(median(max_score) FILTER (WHERE NOT detected), 6) AS median_missed_score FROM outcomes GROUP BY 1""")
 def ev_missed_profile(spark, d):
     rows = evaluation.missed_profile(evaluation.episode_outcomes(scored(spark, d), episodes(spark, d), 0.35))
-    return rows.withColumns({"median_missed_seconds": F.round("median_missed_seconds", 3), "median_detected_seconds": F.round("median_detected_seconds", 3), "median_missed_score": F.round("median_missed_score", 6)})
+    return rows.withColumns({"median_missed_seconds": near("median_missed_seconds", 3), "median_detected_seconds": near("median_detected_seconds", 3), "median_missed_score": near("median_missed_score", 6)})
 
 
 @query("agg_conditional_counts", F_SQL + f"""SELECT count(*) AS windows, count(*) FILTER (WHERE few) AS few_samples, count(*) FILTER (WHERE idle) AS ratio_gate, count(*) FILTER (WHERE state) AS state_gate, count(*) FILTER (WHERE idle AND state) AS both_gates,
@@ -384,7 +395,7 @@ def agg_conditional_counts(spark, d):
 
 @query("ml_train_pipeline")
 def ml_train_pipeline(spark, d):
-    return t.rounded(training.run(t.samples(spark, d), t.labels(spark, d), training.Settings(window=t.WINDOW, slide=t.SLIDE, gate=t.GATE, train_hours=240, validation_hours=480, features=tuple(SOME))))
+    return t.rounded(training.run(t.samples(spark, d), t.labels(spark, d), training.Settings(window=t.WINDOW, slide=t.SLIDE, gate=t.GATE, train_hours=240, validation_hours=480, features=tuple(ALL))))
 
 
 @query("ev_report_tables")
@@ -392,54 +403,101 @@ def ev_report_tables(spark, d):
     return training.report(ml_train_pipeline(spark, d))
 
 
-@query("ml_select_model", "SELECT 'b' AS name, 0.8::DOUBLE AS episode_recall, 0.5::DOUBLE AS f1 FROM (SELECT count(*) FROM events)")
+# Simple scores of the windows, so that SQL can compute what the choice rests on.
+SCORES = {"power": "power / 200", "temperature": "(temperature - 20) / 20", "pressure": "pressure / 5", "mixture": "(power / 200 + pressure / 5) / 2"}
+COMPARED = EV.replace("avg(power_kw) AS power FROM windowed", "avg(power_kw) AS power, avg(temperature_c) AS temperature, avg(pressure_bar) AS pressure FROM windowed") + """,
+candidates AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS name, coalesce({x}, 0) AS score, is_anomaly, episode_id FROM aligned" for n, x in SCORES.items()) + f"""),
+results AS (SELECT name, count(DISTINCT CASE WHEN {HIT} THEN episode_id END) / count(DISTINCT episode_id) AS episode_recall, 2 * tp / (2 * tp + fp + fn) AS f1
+  FROM candidates JOIN (SELECT name, {CONF} FROM candidates GROUP BY 1) USING (name) GROUP BY name, tp, fp, fn)
+"""
+
+
+def compared(spark, d):
+    """(name, episode_recall, f1) of each simple score on the labelled windows."""
+    rows = t.features(spark, d).select(
+        *KEYS, "window_end", "sample_count", "machine_state", F.col("power_kw_mean").alias("power"), F.col("temperature_c_mean").alias("temperature"), F.col("pressure_bar_mean").alias("pressure"))
+    rows = kept(labels.align(t.labels(spark, d), rows, t.WINDOW, t.SLIDE), "compared")
+    out = None
+    for name, x in SCORES.items():
+        scored_ = rows.withColumn("score", F.coalesce(F.expr(x), F.lit(0.0)))
+        caught = evaluation.episode_outcomes(scored_, episodes(spark, d), 0.35).where("scorable_windows > 0").agg(F.avg(F.col("detected").cast("double")).alias("episode_recall"))
+        one = evaluation.window_metrics(scored_, 0.35).select(F.lit(name).alias("name"), "f1").crossJoin(caught)  # single rows
+        out = one if out is None else out.unionByName(one)
+    return kept(out, "results")
+
+
+@query("ml_select_model", COMPARED + "SELECT name, round(episode_recall, 6) AS episode_recall, round(f1, 6) AS f1 FROM results WHERE name <> 'mixture' ORDER BY episode_recall DESC, f1 DESC, name LIMIT 1")
 def ml_select_model(spark, d):
-    """Chosen by counts of the events, so that the winner is known: of the candidates that may be taken, the best recall, then F1."""
-    n = t.table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"))
-    rows = n.select(F.explode(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(r).alias("episode_recall"), F.lit(f).alias("f1"), F.lit(c).alias("condition"), F.lit(s).alias("secondary"), F.lit(k).alias("failed"), F.lit(True).alias("full_rank"))
-                                       for a, r, f, c, s, k in (("a", 0.7, 0.9, 1.0, False, False), ("b", 0.8, 0.5, 1.0, False, False), ("c", 0.9, 0.9, 1e13, False, False), ("d", 0.99, 0.9, 1.0, True, False), ("e", 0.99, 0.9, 1.0, False, True))])).alias("e")).select("e.*")
-    return training.select_model(rows).select("name", "episode_recall", "f1")
+    """The best of the simple scores by what it finds on the labelled windows; the mixture is secondary and may not be chosen."""
+    rows = compared(spark, d).withColumns({"condition": F.lit(1.0), "full_rank": F.lit(True), "secondary": F.col("name") == "mixture", "failed": F.lit(False)})
+    return t.rounded(training.select_model(rows).select("name", "episode_recall", "f1"))
 
 
 @query("ml_clean_variant")
 def ml_clean_variant(spark, d):
-    return t.rounded(training.clean_variant(t.samples(spark, d), t.labels(spark, d), training.Settings(window=t.WINDOW, slide=t.SLIDE, gate=t.GATE, train_hours=240, validation_hours=480, features=tuple(SOME))))
+    return t.rounded(training.clean_variant(t.samples(spark, d), t.labels(spark, d), training.Settings(window=t.WINDOW, slide=t.SLIDE, gate=t.GATE, train_hours=240, validation_hours=480, features=tuple(ALL))))
 
 
-@query("ml_champion_challenger", "SELECT 'challenger' AS winner FROM (SELECT count(*) FROM events)")
+@query("ml_champion_challenger", COMPARED + """SELECT CASE WHEN (SELECT count(*) FROM results a, results b WHERE b.name = 'power' AND a.name IN ('temperature', 'pressure')
+  AND (a.episode_recall > b.episode_recall OR a.episode_recall = b.episode_recall AND a.f1 >= b.f1)) = 0 THEN 'challenger' ELSE 'champion' END AS winner""")
 def ml_champion_challenger(spark, d):
-    n = t.table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"))
-    rows = n.select(F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(r).alias("episode_recall"), F.lit(f).alias("f1")) for a, r, f in (("champion", 0.7, 0.6), ("challenger", 0.8, 0.6), ("baseline", 0.5, 0.5))])).alias("e")).select("e.*")
-    return training.champion(rows)
+    role = F.when(F.col("name") == "temperature", "champion").when(F.col("name") == "power", "challenger").when(F.col("name") == "pressure", "baseline")
+    return training.champion(compared(spark, d).withColumn("role", role).where(F.col("role").isNotNull()))
 
 
-@query("ml_artifact_save", "SELECT 7 AS features, 5 AS tables FROM (SELECT count(*) FROM events)")
+@query("ml_artifact_save", F_SQL + "SELECT 52 AS features, 5 AS tables, (count(DISTINCT machine_id) + 1) * 52 AS profiles, 1001 AS grid FROM features")
 def ml_artifact_save(spark, d):
-    path = artifacts.save(spark, scratch(spark, "model"), training.fitted(t.features(spark, d), SOME))
-    return spark.read.json(f"{path}/metadata").select(F.size("features").alias("features"), F.size("tables").alias("tables"))
+    path = artifacts.save(spark, scratch(spark, "model"), training.fitted(t.features(spark, d), ALL))
+    meta = spark.read.json(f"{path}/metadata").select(F.size("features").alias("features"), F.size("tables").alias("tables"))
+    profiles = spark.read.parquet(f"{path}/machine_profiles").agg(F.count(F.lit(1)).alias("profiles"))
+    grid = spark.read.parquet(f"{path}/calibration").select(F.size(F.from_json("json", "array<double>")).alias("grid"))
+    return meta.crossJoin(profiles).crossJoin(grid)  # single rows
 
 
-@query("ml_artifact_load", fq.BASE + "SELECT machine_id, window_start FROM features")
+@query("ml_artifact_load", fq.BASE + "SELECT machine_id, window_start, TRUE AS same FROM features")
 def ml_artifact_load(spark, d):
-    f = t.features(spark, d)
-    model = artifacts.load(spark, artifacts.save(spark, scratch(spark, "model"), training.fitted(f, SOME)), SOME)
-    return training.score(f, model).where("score between 0 and 1").select(*KEYS)
+    """A model that was saved and loaded scores every window as it did before."""
+    f = windows(spark, d)
+    model = training.fitted(f, ALL)
+    loaded = artifacts.load(spark, artifacts.save(spark, scratch(spark, "model"), model), ALL)
+    both = training.score(f, loaded).join(training.score(f, model).select(*KEYS, F.col("score").alias("before")), KEYS)
+    return both.select(*KEYS, (F.abs(F.col("score") - F.col("before")) < 1e-9).alias("same"))
+
+
+# The same model in SQL: machine profiles, imputation, standardising, the largest deviation of the five means.
+FITTED = F_SQL + long_sql(FIVE) + PROFILES[len(LONG):] + f""", normal AS (SELECT machine_id, window_start, feature, (value - median) / iqr AS x FROM long JOIN profiles USING (machine_id, feature)),
+middles AS (SELECT feature, quantile_cont(x, 0.5) AS m FROM normal GROUP BY 1), filled AS (SELECT machine_id, window_start, feature, coalesce(x, m, 0) AS x FROM normal JOIN middles USING (feature)),
+spreads AS (SELECT feature, avg(x) AS a, CASE WHEN stddev_samp(x) > 1e-12 THEN stddev_samp(x) ELSE 1 END AS s FROM filled GROUP BY 1),
+model_scores AS (SELECT machine_id, window_start, max(abs((x - a) / s)) AS raw_score FROM filled JOIN spreads USING (feature) GROUP BY 1, 2)
+"""
 
 
 def model_scores(spark, d):
-    f = t.features(spark, d)
-    rows = training.score(f, training.fitted(f, SOME)).withColumn("threshold", F.lit(0.9))
-    return rows.select(*KEYS, F.when(F.col("sample_count") >= t.GATE, F.col("score")).alias("score"))
+    f = windows(spark, d)
+    model = training.fitted(f, ALL)
+    return training.score(f, model).withColumns({"threshold": F.lit(0.9), "z": detectors.contributions(ALL, model["reference_profile"])})
 
 
-query("ml_score_windows")(lambda spark, d: t.rounded(model_scores(spark, d)))
+@query("ml_score_windows", FITTED + f"SELECT machine_id, window_start, CASE WHEN sample_count >= {t.GATE} THEN round(raw_score, 5) + 0 END AS raw_score, TRUE AS calibrated FROM features JOIN model_scores USING (machine_id, window_start)")
+def ml_score_windows(spark, d):
+    """The calibrated score is compared with brute force in the tests."""
+    rows = model_scores(spark, d)
+    return t.rounded(rows.select(*KEYS, F.when(F.col("sample_count") >= t.GATE, F.col("raw_score")).alias("raw_score"), F.col("score").between(0, 1).alias("calibrated")), 5)
 
 
-@query("udf_scored_encoder")
+@query("udf_scored_encoder", FITTED + f"""SELECT machine_id, window_start, skip_reason IS NULL AS is_scored, skip_reason, CASE WHEN skip_reason IS NULL THEN round(raw_score, 5) + 0 END AS raw_score,
+  CASE WHEN skip_reason IS NULL THEN 3 ELSE 0 END AS contributors, 52 AS features, round(null_ratio, 5) + 0 AS null_ratio, 'three_sigma' AS model, 5000::BIGINT AS processing_delay_ms
+FROM (SELECT *, {fq.SKIP} AS skip_reason FROM features JOIN model_scores USING (machine_id, window_start))""")
 def udf_scored_encoder(spark, d):
-    """Scores as JSON messages, through the pandas scorer."""
-    rows = model_scores(spark, d)
-    return rows.select(*KEYS, F.to_json(F.struct("machine_id", "window_start", F.round("score", 6).alias("score")), {"ignoreNullFields": "false"}).alias("value"))
+    """Whole scored messages as JSON, from the pandas scorer, read back by the contract's schema."""
+    rows = model_scores(spark, d).withColumns({c: F.timestamp_seconds(c) for c in ("window_start", "window_end")})
+    messages = policy.encoded(policy.scored_event(rows, fq.MODEL, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE))
+    m = F.from_json("value", C.SCORED_DDL)
+    return t.rounded(messages.select(m.alias("m")).select(
+        "m.machine_id", F.unix_seconds(S.parse_instant(F.col("m.window_start"))).alias("window_start"), "m.is_scored", "m.skip_reason", "m.raw_score",
+        F.size("m.top_contributors").alias("contributors"), F.size(F.map_keys("m.features")).alias("features"), F.try_element_at("m.features", F.lit("null_ratio")).alias("null_ratio"),
+        F.col("m.model.name").alias("model"), "m.processing_delay_ms",
+    ), 5)
 
 
 # drift

@@ -1,19 +1,5 @@
-"""Where queries that write put their tables: the folder that the cluster names, a temporary one in local mode."""
+"""Where queries that write put their tables."""
 
-from __future__ import annotations
+from telemill.sources.shared import kept, scratch
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        sc._conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["kept", "scratch"]

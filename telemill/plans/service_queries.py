@@ -110,13 +110,19 @@ def agg_median_time_to_ack(spark, d):
 HISTORY = WITH_FIRST + "SELECT alert_id, status, count(k.occurred_at) AS entries, epoch_us(max(k.occurred_at)) AS newest_us FROM alerts LEFT JOIN acks k USING (alert_id) GROUP BY 1, 2"
 
 
-def detail(spark, d):
+@query("join_alert_history", HISTORY)
+def join_alert_history(spark, d):
     rows = service.history(t.alerts(spark, d), t.acknowledgements(spark, d))
     return rows.select("alert_id", "status", F.size("history").cast("long").alias("entries"), F.unix_micros(F.try_element_at("history", F.lit(1))["occurred_at"]).alias("newest_us"))
 
 
-query("join_alert_history", HISTORY)(detail)
-query("prj_alert_detail", HISTORY)(detail)
+@query("prj_alert_detail", t.with_(t.ALERTS, t.ACKS, t.MACHINES) + """SELECT alert_id, code, line_code, severity, status, round(anomaly_score, 6) + 0 AS anomaly_score, count(k.occurred_at) AS entries,
+  string_agg(new_status, '>' ORDER BY occurred_at DESC, k.previous_status DESC, new_status DESC) AS path FROM alerts JOIN machines USING (machine_id) LEFT JOIN acks k USING (alert_id) GROUP BY ALL""")
+def prj_alert_detail(spark, d):
+    """One alert's view: its own fields, its machine's names and its history, newest first."""
+    rows = service.history(t.alerts(spark, d).join(t.machines(spark, d), "machine_id"), t.acknowledgements(spark, d))
+    path = F.when(F.size("history") > 0, F.array_join(F.transform("history", lambda h: h["new_status"]), ">"))
+    return t.rounded(rows.select("alert_id", "code", "line_code", "severity", "status", "anomaly_score", F.size("history").cast("long").alias("entries"), path.alias("path")))
 
 
 @query("agg_alert_statistics", ALL + "SELECT 'severity' AS kind, severity AS value, count(*) AS alerts FROM alerts GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM alerts GROUP BY 2 UNION ALL SELECT 'all', NULL, count(*) FROM alerts")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemill.operators import alerting, reports
+from telemill.functions import contracts as C
+from telemill.functions import scalars as S
+from telemill.operators import alerting, calibration, detectors, reports
 from telemill.plans import feature_queries as fq
 from telemill.plans import ingest_queries as iq
 from telemill.plans import ml_queries as mq
 from telemill.plans import tables as t
 from telemill.plans.registry import query
-from telemill.plans.scratch import scratch
+from telemill.plans.scratch import kept, scratch
 from telemill.sources import ingest, tables
 from telemill.streaming import alert_state, jobs
 
@@ -53,6 +55,9 @@ def str_late_side_output(spark, d):
     return run(spark, jobs.validation(raw_stream(spark, d)))[0].where("topic = 'telemetry.late'").agg(F.count(F.lit(1)).alias("n"))
 
 
+LONG_ENOUGH = 40 * 86_400  # over the span of the table: nothing is late
+
+
 def sample_stream(spark, d, twice=False):
     s = t.samples(spark, d)
     path = scratch(spark, "samples-topic")
@@ -62,25 +67,56 @@ def sample_stream(spark, d, twice=False):
 
 @query("str_dedup_samples", t.with_(t.SAMPLES) + "SELECT machine_id, count(*) AS n FROM samples GROUP BY 1")
 def str_dedup_samples(spark, d):
-    return run(spark, jobs.distinct_samples(sample_stream(spark, d, twice=True), 40 * 86_400))[0].groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, jobs.distinct_samples(sample_stream(spark, d, twice=True), LONG_ENOUGH))[0].groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+LATE = "(\"offset\" % 50 = 7 AND event_time < TIMESTAMP '2024-01-10')"
+ON_TIME = t.with_(t.SAMPLES, f"on_time AS (SELECT * FROM samples WHERE NOT {LATE})", t.window_sql(source="on_time"), t.features_sql())
 
 
-@query("str_watermark_window", fq.BASE + "SELECT machine_id, window_start, sample_count, round(temperature_c_mean, 6) + 0 AS temperature_c_mean FROM features")
+def late_stream(spark, d):
+    """Samples in three files, a batch each; those of the third are weeks behind what the watermark has reached by then."""
+    s = t.samples(spark, d)
+    late = (F.col("offset") % 50 == 7) & (F.col("event_time") < F.timestamp_seconds(F.lit(1704844800)))
+    early = F.col("event_time") < F.timestamp_seconds(F.lit(1705968000))
+    path = scratch(spark, "late-topic")
+    for part in (~late & early, ~late & ~early, late):
+        s.where(part).coalesce(1).write.mode("append").parquet(path)
+    return ingest.read_stream(spark, "parquet", s.schema, path, maxFilesPerTrigger="1")
+
+
+@query("str_watermark_window", ON_TIME + "SELECT machine_id, window_start, sample_count, round(temperature_c_mean, 6) + 0 AS temperature_c_mean, TRUE AS some_dropped FROM features")
 def str_watermark_window(spark, d):
-    """Windows in update mode, the last emission of each; equal to the batch result."""
-    stream = jobs.features(sample_stream(spark, d), t.WINDOW, t.SLIDE, 40 * 86_400)
-    out, _ = run(spark, stream.select("machine_id", F.unix_seconds("window_start").alias("window_start"), "sample_count", "temperature_c_mean"), "update")
-    return t.rounded(alerting.latest_emission(out.withColumn("offset", F.col("batch_id")), "offset").select("machine_id", "window_start", "sample_count", "temperature_c_mean"))
+    """Windows in update mode, the last emission of each: the batch result without the samples that came behind the watermark, which are dropped and counted."""
+    stream = jobs.features(late_stream(spark, d), t.WINDOW, t.SLIDE, t.WINDOW)
+    out, q = run(spark, stream.select("machine_id", F.unix_seconds("window_start").alias("window_start"), "sample_count", "temperature_c_mean"), "update", "watermark")
+    dropped = jobs.progress(spark, [q]).agg((F.sum("dropped_rows") > 0).alias("some_dropped"))
+    last = alerting.latest_emission(out.withColumn("offset", F.col("batch_id")), "offset").select("machine_id", "window_start", "sample_count", "temperature_c_mean")
+    return t.rounded(last.crossJoin(dropped))  # single row
 
 
-@query("str_scoring_query", fq.BASE + f"SELECT machine_id, window_start, {fq.SKIP} AS skip_reason, round(power_kw_mean / 200, 6) + 0 AS score FROM features")
-def str_scoring_query(spark, d):
-    from telemill.operators import policy
+GRID = fq.SIGMA + f", raws AS (SELECT *, {fq.SIGMA_SCORE} AS raw_score FROM features, stats), grid AS (SELECT quantile_cont(raw_score, 0.9) AS cut FROM raws)\n"
 
-    f = jobs.features(sample_stream(spark, d), t.WINDOW, t.SLIDE, 40 * 86_400)
-    scored = f.select("machine_id", F.unix_seconds("window_start").alias("window_start"), policy.skip_reason(t.GATE).alias("skip_reason"), (F.col("power_kw_mean") / 200).alias("score"))
-    out, _ = run(spark, scored, "update")
-    return t.rounded(alerting.latest_emission(out.withColumn("offset", F.col("batch_id")), "offset").select("machine_id", "window_start", "skip_reason", "score"))
+
+@query("str_scoring_query", GRID + f"""SELECT machine_id, window_start, skip_reason IS NULL AS is_scored, skip_reason, CASE WHEN skip_reason IS NULL THEN round(raw_score, 6) + 0 END AS raw_score,
+  CASE WHEN skip_reason IS NULL THEN raw_score >= cut END AS is_anomaly, CASE WHEN skip_reason IS NULL THEN 3 ELSE 0 END AS contributors, round(null_ratio, 6) + 0 AS null_ratio, 'three_sigma' AS model
+FROM (SELECT *, {fq.SKIP} AS skip_reason FROM raws, grid)""")
+def str_scoring_query(spark, d):
+    """A detector fitted and calibrated on the windows of the table scores the stream; the messages are read back by the contract's schema."""
+    f = kept(t.features(spark, d), "training-windows")
+    sigma = detectors.fit_three_sigma(f, fq.FIVE)
+    model = {
+        "sigma": sigma, "calibration": calibration.fit_ecdf(f.select(detectors.three_sigma(sigma).alias("raw_score")), size=21),
+        "reference_profile": detectors.reference_profile(f, C.feature_names()),
+    }
+    windows = jobs.features(sample_stream(spark, d), t.WINDOW, t.SLIDE, LONG_ENOUGH)
+    messages = jobs.scoring(windows, model, fq.MODEL, 0.9, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE)
+    out, _ = run(spark, messages, "update")
+    m = out.select("batch_id", F.from_json("value", C.SCORED_DDL).alias("m")).select(
+        F.col("batch_id").alias("offset"), "m.machine_id", F.unix_seconds(S.parse_instant(F.col("m.window_start"))).alias("window_start"), "m.is_scored", "m.skip_reason", "m.raw_score", "m.is_anomaly",
+        F.size("m.top_contributors").alias("contributors"), F.try_element_at("m.features", F.lit("null_ratio")).alias("null_ratio"), F.col("m.model.name").alias("model"),
+    )
+    return t.rounded(alerting.latest_emission(m).drop("offset"))
 
 
 def anomalous_stream(spark, d):
@@ -93,14 +129,35 @@ def anomalous_stream(spark, d):
 STATE_SQL = mq.EV + mq.EPISODE_ALERTS.replace("SELECT machine_id, window_start, consecutive_windows FROM opened", "SELECT machine_id, window_start, round(score, 6) AS anomaly_score, consecutive_windows FROM opened")
 
 
-def alert_stream(spark, d):
-    stream = anomalous_stream(spark, d).withColumn("event_time", F.timestamp_seconds("window_start")).withWatermark("event_time", "40 days")
+@query("str_alert_state", STATE_SQL)
+def str_alert_state(spark, d):
+    stream = anomalous_stream(spark, d).withColumn("event_time", F.timestamp_seconds("window_start")).withWatermark("event_time", f"{LONG_ENOUGH} seconds")
     return t.rounded(run(spark, alert_state.alerts(stream, 2, 2 * t.SLIDE))[0])
 
 
-query("str_alert_state", STATE_SQL)(alert_stream)
-query("str_event_time_timeout", STATE_SQL)(alert_stream)
-query("udf_state_handler", STATE_SQL)(alert_stream)
+WEEK = 7 * 86_400
+
+
+@query("str_event_time_timeout", STATE_SQL.replace("consecutive_windows FROM opened", "consecutive_windows, TRUE AS some_fell_silent FROM opened"))
+def str_event_time_timeout(spark, d):
+    """Windows come week by week and the watermark follows, so machines that stay silent over the gap time out: the openings are those of the batch rule all the same."""
+    rows = kept(mq.scored(spark, d).where("score >= 0.35").select("machine_id", "window_start", F.col("score").alias("anomaly_score")), "anomalous")
+    path = scratch(spark, "weekly-topic")
+    first, last = rows.agg(F.min("window_start"), F.max("window_start")).first()
+    weeks = range(first or 0, (last or 0) + 1, WEEK)  # a file per week, in order of time
+    for start in weeks:
+        rows.where(F.col("window_start").between(start, start + WEEK - 1)).coalesce(1).write.mode("append").parquet(path)
+    stream = ingest.read_stream(spark, "parquet", rows.schema, path, maxFilesPerTrigger="1").withColumn("event_time", F.timestamp_seconds("window_start")).withWatermark("event_time", "0 seconds")
+    out = kept(run(spark, alert_state.alerts(stream, 2, 2 * t.SLIDE, closings=True))[0], "openings")
+    silent = out.agg((F.count_if(F.col("consecutive_windows") == 0) > 0).alias("some_fell_silent"))
+    return t.rounded(out.where("consecutive_windows > 0").crossJoin(silent))  # single row
+
+
+@query("udf_state_handler", STATE_SQL)
+def udf_state_handler(spark, d):
+    """The handler's state carried over a machine's days in a grouped pandas function."""
+    rows = mq.scored(spark, d).where("score >= 0.35").select("machine_id", "window_start", F.col("score").alias("anomaly_score"), F.floor(F.col("window_start") / 86_400).alias("day"))
+    return t.rounded(alert_state.replayed(rows, "day", 2, 2 * t.SLIDE))
 
 
 @query("src_scored_stream", mq.EV + "SELECT machine_id, window_start, round(score, 6) AS anomaly_score FROM scored WHERE score >= 0.35")
@@ -135,16 +192,22 @@ def str_bounded_run(spark, d):
     return spark.read.parquet(out).agg(F.lit(len(failures)).cast("long").alias("failures"), F.count(F.lit(1)).alias("n"))
 
 
-PROGRESS = "SELECT 'progress' AS name, CAST(count(*) AS BIGINT) AS input_rows, 0::BIGINT AS dropped_rows FROM events"
-
-
-def progress_of(spark, d):
-    q = run(spark, raw_stream(spark, d), name="progress")[1]
-    return reports.progress_totals(jobs.progress(spark, [q])).select("name", "input_rows", "dropped_rows")
+@query("str_progress_metrics", "SELECT 'progress' AS name, row_number() OVER () - 1 AS batch_id, n AS input_rows, 0::BIGINT AS dropped_rows FROM (SELECT count(*) AS n FROM events GROUP BY event_id % 4 ORDER BY min(event_id % 4))")
+def str_progress_metrics(spark, d):
+    """A row per batch of a query over four files."""
+    batch, path = t.records(spark, d), scratch(spark, "progress-topic")
+    for p in range(4):
+        batch.where(F.col("offset") % 4 == p).coalesce(1).write.mode("append").parquet(path)
+    q = run(spark, ingest.read_stream(spark, "parquet", batch.schema, path, maxFilesPerTrigger="1"), name="progress")[1]
+    return jobs.progress(spark, [q]).where("input_rows > 0").select("name", "batch_id", "input_rows", "dropped_rows")
 
 
-query("str_progress_metrics", PROGRESS)(progress_of)
-query("agg_progress_totals", PROGRESS)(progress_of)
+@query("agg_progress_totals", "SELECT 'totals' AS name, 3::BIGINT AS batches, count(*) AS input_rows, TRUE AS some_dropped FROM events")
+def agg_progress_totals(spark, d):
+    """Batches, rows in and rows dropped by the watermark, summed over a windowed query with late samples."""
+    q = run(spark, jobs.features(late_stream(spark, d), t.WINDOW, t.SLIDE, t.WINDOW), "update", "totals")[1]
+    found = jobs.progress(spark, [q]).where("input_rows > 0")
+    return reports.progress_totals(found).select("name", "batches", "input_rows", (F.col("dropped_rows") > 0).alias("some_dropped"))
 
 
 @query("str_upsert_sinks", t.with_(t.ALERTS) + "SELECT count(*) AS alerts, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM alerts")

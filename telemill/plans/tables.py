@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
 from telemill.functions import scalars as S
+from telemill.plans.registry import near
 from telemill.plans.scratch import scratch
 
 WINDOW, SLIDE, GATE = 86_400, 21_600, 5
@@ -144,7 +145,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     out = {}
     for c, kind in df.dtypes:
         if kind == "double":
-            out[c] = F.round(c, digits) + 0.0
+            out[c] = near(c, digits) + 0.0
         elif kind == "timestamp":
             out[c] = F.unix_micros(c)
     return df.withColumns(out) if out else df

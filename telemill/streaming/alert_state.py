@@ -34,12 +34,20 @@ def advance(state: tuple[int, int, int] | None, windows: pd.DataFrame, open_afte
     return (int(is_open), int(n), int(last)), opened
 
 
-def alerts(anomalous: DataFrame, open_after: int = 2, gap_seconds: int = 120) -> DataFrame:
-    """Opening windows of a stream (machine_id, window_start long, anomaly_score) with a watermark on another column."""
+def alerts(anomalous: DataFrame, open_after: int = 2, gap_seconds: int = 120, closings: bool = False) -> DataFrame:
+    """Opening windows of a stream (machine_id, window_start long, anomaly_score) with a watermark on another column.
+
+    A machine that stays silent until the watermark has passed its last window by the gap is forgotten. With ``closings`` that is a row
+    too: the last window, NaN as score, and 0 as ``consecutive_windows``.
+    """
 
     def handle(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["machine_id", "window_start", "anomaly_score", "consecutive_windows"]
         if state.hasTimedOut:
+            last = state.get[2]
             state.remove()
+            if closings:
+                yield pd.DataFrame([(key[0], last, float("nan"), 0)], columns=columns)
             return
         rows = [f[["window_start", "anomaly_score"]] for f in frames]
         if not rows:
@@ -50,6 +58,19 @@ def alerts(anomalous: DataFrame, open_after: int = 2, gap_seconds: int = 120) ->
             # a timeout behind the watermark would fail the query; then the silence has passed already
             state.setTimeoutTimestamp(max((now[2] + gap_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         if opened:
-            yield pd.DataFrame([(key[0], *o) for o in opened], columns=["machine_id", "window_start", "anomaly_score", "consecutive_windows"])
+            yield pd.DataFrame([(key[0], *o) for o in opened], columns=columns)
 
     return anomalous.groupBy("machine_id").applyInPandasWithState(handle, OPENED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replayed(anomalous: DataFrame, batch: str, open_after: int = 2, gap_seconds: int = 120) -> DataFrame:
+    """The same handler over a bounded table: a machine's windows in batches, in order of the column ``batch``."""
+
+    def handle(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        state, out = None, []
+        for _, part in frame.groupby(batch, sort=True):
+            state, opened = advance(state, part[["window_start", "anomaly_score"]], open_after, gap_seconds)
+            out += [(key[0], *o) for o in opened]
+        return pd.DataFrame(out, columns=["machine_id", "window_start", "anomaly_score", "consecutive_windows"])
+
+    return anomalous.groupBy("machine_id").applyInPandas(handle, OPENED)

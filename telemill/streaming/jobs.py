@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from telemill.functions import contracts as C
+from telemill.operators import calibration, detectors, policy
 from telemill.operators.features import derived, sliding
 from telemill.sources import ingest
 
@@ -33,6 +35,19 @@ def accepted_samples(raw: DataFrame, watermark_seconds: int = 90, late_detection
     return on_time
 
 
+def scoring(windows: DataFrame, model: dict, version: dict[str, str], threshold: float, scored_at: Column | None = None, **gate) -> DataFrame:
+    """Windows of features to scored messages: a fitted detector's score, calibrated, with the gates, the contributors and all features.
+
+    ``model``: ``sigma`` (see ``detectors.fit_three_sigma``), ``calibration`` (a grid) and ``reference_profile``.
+    """
+    rows = windows.withColumn("raw_score", detectors.three_sigma(model["sigma"]))
+    rows = rows.withColumns({
+        "score": calibration.ecdf(model["calibration"])("raw_score"), "threshold": F.lit(threshold),
+        "z": detectors.contributions(C.feature_names(), model["reference_profile"]),
+    })
+    return policy.encoded(policy.scored_event(rows, version, F.current_timestamp() if scored_at is None else scored_at, **gate))
+
+
 def distinct_samples(samples: DataFrame, watermark_seconds: int = 90) -> DataFrame:
     """Samples without repeated deliveries; the state forgets an event once the watermark has passed it."""
     return samples.withWatermark("event_time", f"{watermark_seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
 from telemill.functions import scalars as S
-from telemill.operators import alerting, artifacts, calibration, detectors, evaluation, policy, service, training
+from telemill.operators import alerting, artifacts, calibration, detectors, evaluation, policy, ranking, service, training
 from telemill.operators import features as X
 from telemill.sources import ingest, tables
 from telemill.streaming.alert_state import advance
@@ -112,7 +112,7 @@ def test_rejections_and_replay(spark):
     got = {r["offset"]: r for r in ingest.parse(raw).collect()}
     assert [got[i]["dlq_reason"] for i in range(7)] == [
         None, "MALFORMED_JSON", "UNSUPPORTED_SCHEMA_VERSION", "SCHEMA_VALIDATION_FAILED", "SCHEMA_VALIDATION_FAILED", "MALFORMED_JSON", "MALFORMED_JSON"]
-    assert got[3]["dlq_detail"] == "line_id" and got[4]["dlq_detail"] == "event_time (raw=then)"
+    assert got[3]["dlq_detail"] == "line_id" and got[4]["dlq_detail"] == "event_time; event_time was then"
     back = {r["offset"]: bytes(r["value"]) for r in ingest.replayed(ingest.side_outputs(ingest.parse(raw)).where("topic = 'telemetry.dlq'")).collect()}
     assert back[1] == bad[1].encode() and back[5] == b""
 
@@ -173,7 +173,7 @@ def test_ecdf_repeats_and_ends(spark):
 def test_pr_curve_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     score, true = rng.random(300).round(2), rng.random(300) < 0.2
-    got = evaluation.pr_curve(spark.createDataFrame([(float(a), bool(b)) for a, b in zip(score, true)], "score double, is_anomaly boolean"), 7).toPandas().sort_values("threshold", ascending=False)
+    got = evaluation.pr_curve(spark.createDataFrame([(float(a), bool(b)) for a, b in zip(score, true)], "score double, is_anomaly boolean")).toPandas().sort_values("threshold", ascending=False)
     cuts = sorted(set(score), reverse=True)
     assert got["threshold"].tolist() == pytest.approx(cuts)
     assert got["precision"].tolist() == pytest.approx([true[score >= c].mean() for c in cuts])
@@ -205,7 +205,7 @@ def test_detectors_find_the_outlier(spark):
     found = [
         df.withColumn("raw_score", detectors.three_sigma(detectors.fit_three_sigma(df, columns))),
         df.withColumn("raw_score", detectors.mahalanobis(detectors.fit_mahalanobis(df, columns))),
-        df.withColumn("raw_score", detectors.one_class(detectors.fit_one_class(df, columns, steps=6))),
+        df.withColumn("raw_score", detectors.one_class(detectors.fit_one_class(df, columns))),
         detectors.isolation_scores(df, forest, columns, 128),
     ]
     for scored in found:
@@ -233,3 +233,108 @@ def test_artifact_refuses_what_changed(spark, tmp_path):
 def test_sequence_goes_on(spark):
     rows = tables.event_sequence(spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("k")), ["k"], 5).toPandas().sort_values("k")
     assert rows["event_seq"].tolist() == list(range(6, 1006))
+
+
+# models against plain computations
+
+
+def wide(spark, n=300, k=6):
+    x = np.random.default_rng(7).normal(size=(n, k)) @ np.random.default_rng(8).normal(size=(k, k))
+    columns = [f"c{i}" for i in range(k)]
+    return x, columns, spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in columns))
+
+
+def test_mahalanobis_equals_numpy(spark):
+    x, columns, df = wide(spark)
+    mean, covariance, n = detectors._moments(df, columns)
+    assert n == len(x) and np.allclose(mean, x.mean(axis=0)) and np.allclose(covariance, np.cov(x.T))
+    model = detectors.fit_mahalanobis(df, columns, steps=0)
+    want = np.einsum("ij,jk,ik->i", x - x.mean(axis=0), np.linalg.inv(np.cov(x.T)), x - x.mean(axis=0))
+    assert np.allclose(sorted(r[0] for r in df.select(detectors.mahalanobis(model)).collect()), sorted(want))
+
+
+def test_forest_scores_equal_a_walk_through_each_tree(spark):
+    x, columns, df = wide(spark)
+    forest = detectors.fit_isolation_forest(df, columns, trees=20, subsample=64).orderBy("tree", "node").collect()
+    assert {r["tree"] for r in forest} == set(range(20)) and max(r["size"] for r in forest) <= 64
+    nodes = {(r["tree"], r["node"]): r for r in forest}
+    c = lambda n: 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    want = []
+    for row in x:
+        length = 0.0
+        for tree in range(20):
+            at = nodes[tree, 0]
+            while at["feature"] >= 0:
+                at = nodes[tree, at["left"] if row[at["feature"]] <= at["split"] else at["right"]]
+            length += at["depth"] + c(at["size"])
+        want.append(2 ** (-length / 20 / c(64)))
+    got = detectors.isolation_scores(df, spark.createDataFrame(forest), columns, 64)
+    assert np.allclose(sorted(r["raw_score"] for r in got.collect()), sorted(want))
+
+
+def test_one_class_equals_numpy(spark):
+    x, columns, df = wide(spark)
+    m = detectors.fit_one_class(df, columns, nu=0.1)
+    phi = np.cos(x @ np.array(m["w"]).T + np.array(m["b"])) * math.sqrt(2 / len(m["b"]))
+    want = m["rho"] - phi @ np.array(m["weights"])
+    assert np.allclose(sorted(r[0] for r in df.select(detectors.one_class(m)).collect()), sorted(want))
+    assert (want > 0).mean() == pytest.approx(0.1, abs=0.01)
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    values = [(k, None if rng.random() < 0.1 else float(v)) for k, v in zip(rng.choice(list("abc"), 700), np.r_[rng.normal(size=350), rng.integers(0, 4, 350)])] + [("d", 2.5), ("e", None), (None, 1.0), (None, 3.0)]
+    df = spark.createDataFrame(values, "k string, x double").repartition(5)
+    probabilities = (0.0, 0.05, 0.5, 0.731, 1.0)
+    got = {(r["k"], r["i"]): r["value"] for r in ranking.quantiles(df, ["k"], "x", probabilities).collect()}
+    for k in {k for k, _ in values} - {"e"}:
+        mine = [v for key, v in values if key == k and v is not None]
+        assert [got[k, i] for i in range(5)] == pytest.approx(np.quantile(mine, probabilities).tolist())
+    assert not any(k == "e" for k, _ in got)
+    mine = [v for _, v in values if v is not None]
+    for size in (2, 21, 1001):
+        assert calibration.fit_ecdf(df, "x", size) == pytest.approx(np.quantile(mine, np.linspace(0, 1, size)).tolist())
+    assert calibration.fit_ecdf(df.where("k = 'd'"), "x", 5) == [2.5] * 5 and calibration.fit_ecdf(df.where("k = 'e'"), "x", 5) == []
+
+
+def test_runs_across_spans_are_those_of_one_window(spark):
+    rng = np.random.default_rng(2)
+    rows = [(m, int(t)) for m in "ab" for t in np.unique(rng.integers(0, 400, 150)) * 10]
+    df = spark.createDataFrame(rows, "machine_id string, window_start long")
+    one = {(r["machine_id"], r["window_start"]): r["_run"] for r in alerting.runs_in_days(df, ["machine_id"], F.col("_gap") != 10, span=10**9).collect()}
+    for span in (50, 333, 1000):
+        got = {(r["machine_id"], r["window_start"]): r["_run"] for r in alerting.runs_in_days(df, ["machine_id"], F.col("_gap") != 10, span=span).collect()}
+        assert got == one and max(got.values()) > 10
+
+
+def candidates(spark, *rows):
+    return spark.createDataFrame(rows, "name string, role string, validation_episode_recall double, validation_f1 double, condition double, full_rank boolean")
+
+
+def test_selection_leaves_out_what_may_not_be_chosen(spark):
+    rows = candidates(
+        spark, ("isolation_forest", "mandatory", 0.7, 0.9, 1.0, True), ("one_class", "mandatory", 0.8, 0.5, 1.0, True), ("three_sigma", "baseline", 0.8, 0.4, 1.0, True),
+        ("three_sigma_all", "secondary", 0.99, 0.9, 1.0, True), ("mahalanobis", "exploratory", 0.95, 0.9, 1e13, True), ("singular", "exploratory", 0.95, 0.9, 1.0, False))
+    assert {r["name"] for r in training.choose(rows).where("selected").collect()} == {"one_class"}
+    assert training.choose(rows).count() == 6
+    assert set(training.CANDIDATES) == {"isolation_forest", "one_class", "three_sigma", "three_sigma_all", "mahalanobis"} and training.CANDIDATES["three_sigma_all"] == "secondary"
+
+
+def test_calibrated_scores_are_the_share_of_training_scores_below(spark):
+    df = blob(spark).withColumnsRenamed({"a": "temperature_c_mean", "b": "power_kw_mean"})
+    model = training.fitted(df, ["temperature_c_mean", "power_kw_mean", "c"])
+    got = training.score(df, model).select("raw_score", "score").toPandas()
+    raw = np.sort(got["raw_score"].to_numpy())
+    share = np.searchsorted(raw, got["raw_score"], "right") / len(raw)
+    assert np.abs(share - got["score"]).max() < 0.01
+    assert set(model["detector"]["sigma"]) == {"temperature_c_mean", "power_kw_mean"}  # raw means only
+
+
+def test_every_detector_can_be_trained(spark):
+    df = blob(spark).withColumnsRenamed({"a": "temperature_c_mean", "b": "power_kw_mean"})
+    shared = training.base(df, ["temperature_c_mean", "power_kw_mean", "c"])
+    for name in training.CANDIDATES:
+        scored = training.score(df, training.with_detector(*shared, name))
+        top = scored.orderBy(F.desc("raw_score")).limit(20).toPandas()
+        assert 9.0 in top["temperature_c_mean"].tolist(), name
+        assert scored.where("score not between 0 and 1").count() == 0
