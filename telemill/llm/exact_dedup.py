@@ -41,13 +41,20 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_locator``, the file and row of each row's content; frames that are no plain file scan are written first."""
+def with_locator(docs: DataFrame, name: str = "_locator") -> DataFrame:
+    """``docs`` with the column ``name``, the file and row of each row's content; frames that are no plain file scan are written first."""
     try:
         docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
         docs = written(docs, "dedup-input")
-    return docs.withColumn("_locator", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
+def unused_name(docs: DataFrame, name: str = "_locator") -> str:
+    """A column name that the input does not have."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    return name
 
 
 def digest_state(spark: SparkSession, feed_path: str, checkpoint: str) -> DataFrame:
@@ -83,15 +90,17 @@ def deduplicate(
     text_column: str = "text",
     digest: Callable[[Column], Column] = sha256_digest,
     rows_per_salt: int = 2048,
+    locator: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, digest, locator, text_sha256.
 
     The comparison of whole texts is dealt by (digest, salt): a group of n rows is
-    spread over n / ``rows_per_salt`` salts, to each of which the kept text goes.
+    spread over n / ``rows_per_salt`` salts, to each of which the kept text goes. ``locator``: the column of ``with_locator``, if ``docs`` has it already.
     """
     spark = docs.sparkSession
-    located = docs if "_locator" in docs.columns else with_locator(docs)
-    rows = located.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.col("_locator").alias("locator"))
+    name = locator or unused_name(docs)
+    located = docs if locator else with_locator(docs, name)
+    rows = located.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.col(name).alias("locator"))
     feed_path = scratch(spark, "digest-feed")
     rows.select("id", "locator", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")).write.parquet(feed_path)
     feed = spark.read.parquet(feed_path)
@@ -150,10 +159,11 @@ def keep_first_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Where identifiers are unique this keeps, of equal texts, the largest identifier.
     Repeated rows with one identifier and one text shrink to one row.
     """
-    located = with_locator(docs)
-    dropped = deduplicate(located, id_column, text_column).where("not kept").select(
+    name = unused_name(docs)
+    located = with_locator(docs, name)
+    dropped = deduplicate(located, id_column, text_column, locator=name).where("not kept").select(
         F.col("text_sha256").alias("_dropped_sha"), F.col("locator").alias("_dropped_locator")
     )
     return located.join(
-        dropped, (F.col("_locator") == F.col("_dropped_locator")) & (F.sha2(text_of(text_column), 256) == F.col("_dropped_sha")), "left_anti"
-    ).drop("_locator")
+        dropped, (F.col(name) == F.col("_dropped_locator")) & (F.sha2(text_of(text_column), 256) == F.col("_dropped_sha")), "left_anti"
+    ).drop(name)

@@ -3,10 +3,10 @@
 Each language's raw-content dictionary holds its most frequent words, the most
 frequent last, where references to them are shortest. They are counted over at most about
 ``docs_per_language`` labelled texts of a language (chosen by hash; a documented
-bound on training only). A text is predicted by compressing its distinct lower-cased words, in order of
-first appearance, with every dictionary: the smallest frame wins. Near ties are
-decided by the sum over all its distinct words one by one, then by the language seen more often in
-training. ``accepted`` is false where the winning margin is narrow.
+bound on training only); words over ``longest_word`` letters are no words of a dictionary. A text is predicted by compressing
+the whole lower-cased text, as it stands, with every dictionary: the smallest frame wins. A frame of a few bytes hardly
+tells languages apart, so near ties are decided by the frames of all its words one by one, repeats counted, then by
+the language seen more often in training. ``accepted`` is false where the winning margin is narrow.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; so does
 every text when nothing was learned from; texts of any length are used whole;
@@ -17,6 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,13 +32,13 @@ WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
-def words_of(text: str) -> dict[str, None]:
-    """Distinct words of a text in order of first appearance."""
-    return dict.fromkeys(WORD.findall(text.lower()))
+def words_of(text: str) -> Counter[str]:
+    """The words of a lower-cased text and how often each occurs."""
+    return Counter(WORD.findall(text))
 
 
-def has_letter(words: dict[str, None]) -> bool:
-    return any(c.isalpha() for w in words for c in w)
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def learn(
@@ -47,6 +48,7 @@ def learn(
     docs_per_language: int = 1000,
     dictionary_bytes: int = 65_536,
     words_per_language: int = 12_000,
+    longest_word: int = 64,
     seed: int = 7,
 ) -> list[tuple[str, int, bytes]]:
     """(language, labelled texts, dictionary) for every language with a labelled text, the most frequent first."""
@@ -62,7 +64,7 @@ def learn(
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [w for w in words_of(text) if len(w) <= 64]
+                words = [w for w in words_of(text.lower()) if len(w) <= longest_word]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string())], names=["lang", "word"])
 
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -105,21 +107,22 @@ class Classifier:
         if found is None:
             if len(self.cache) >= self.cache_limit:
                 self.cache.clear()
-            raw = f" {word} ".encode()
+            raw = f" {word} ".encode(errors="replace")
             found = self.cache[word] = tuple(len(c.compress(raw)) for c in self.compressors)
         return found
 
     def predict(self, text: str | None, near: int = 4) -> tuple[str, float, int]:
         """(language, score, margin in bytes)."""
-        words = words_of(text) if text else {}
-        if not self.langs or not words or not has_letter(words):
+        if not self.langs or not text or not has_letter(text):
             return UNDETERMINED, 0.0, 0
-        sizes = [len(c.compress(raw)) for c in self.compressors] if (raw := (" " + " ".join(words) + " ").encode()) else []
+        lower = text.lower()
+        raw = f" {lower} ".encode(errors="replace")
+        sizes = [len(c.compress(raw)) for c in self.compressors]
         ranked = sorted(sizes)
         margin = ranked[1] - ranked[0] if len(ranked) > 1 else len(raw)
         if margin <= near and len(sizes) > 1:
-            # a frame of a few bytes hardly shrinks; single words show which dictionary has them
-            sizes = [sum(s) for s in zip(sizes, *map(self.word_sizes, words), strict=True)]
+            for word, n in words_of(lower).items():
+                sizes = [s + n * one for s, one in zip(sizes, self.word_sizes(word), strict=True)]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         score = 1.0 / sum(2.0 ** (-min(500, s - sizes[best]) * 0.5) for s in sizes)
         return self.langs[best], score, margin

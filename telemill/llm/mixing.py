@@ -5,7 +5,8 @@ sizes, at most ``max_epochs`` times its own size, the excess going to the other
 sources by weight until none is above. A source is first taken whole as often as
 its budget holds it (complete epochs); what is left is a fractional epoch, taken
 in the order of exponential keys -ln(u) / quality, prefix-summed to the budget.
-The document that crosses the budget is taken when that comes nearer to it.
+Documents are taken while they fit; then, of the others, the one whose size comes nearest to what is left is
+taken, when that comes nearer to the budget, and again while over half a percent is left. So a long document at the boundary moves no source off its target.
 
 The prefix sum has two levels: key buckets are summed per source, then single
 documents are ordered only inside the bucket that the budget crosses. A source
@@ -13,17 +14,19 @@ with a third of all rows is therefore spread over its buckets.
 
 Defined results: null or empty texts have size 0 and are taken 0 times over the
 whole epochs; a null source is a source, last in order; repeated rows count
-each; equal keys are ordered by identifier and text hash; an empty table gives an
-empty result; further columns are ignored (``mix`` keeps them).
+each, and ``mix`` repeats them exactly as often as the plan does; equal keys are ordered by identifier, text hash and row; an empty table gives an
+empty result; further columns are ignored (``mix`` keeps them). Documents of equal identifier, text and source are exchangeable.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telemill.llm.common import WORD_PATTERN, scratch, text_of, unit_hash
+from telemill.llm.common import WORD_PATTERN, scratch, text_of, unit_hash, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -73,15 +76,24 @@ def take_plan(
     max_epochs: float = 3.0,
     seed: int = 20240601,
     rows_per_bucket: int = 20_000,
+    quality: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+    rounds: int = 8,
+    tolerance: float = 0.005,
 ) -> DataFrame:
-    """A row per document: id, text_hash, source, size, source_size, target, quality, key, epochs, copies, taken."""
+    """A row per document: id, text_hash, source, size, source_size, target, quality, key, row, epochs, copies, taken.
+
+    ``quality`` takes the documents and names of columns, and returns these columns with ``quality``, a weight over 0; without it
+    ``quality_weight`` serves.
+    """
     spark = docs.sparkSession
     text = text_of(text_column)
-    sized = docs.select(F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"), text.alias("text"))
+    mine = {"_mix_id": F.col(id_column), "_mix_source": F.col(source_column).cast("string"), "_mix_hash": F.xxhash64(text), "_mix_size": word_count(text)}
+    sized = docs.withColumns(mine)
+    sized = quality(sized, list(mine)) if quality else sized.select(*mine, quality_weight(text).alias("quality"))
+    sized = sized.withColumnsRenamed({"_mix_id": "id", "_mix_source": "source", "_mix_hash": "text_hash", "_mix_size": "size"})
     path = scratch(spark, "mix-sizes")
-    sized.select(
-        "id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality")
-    ).withColumn("key", -F.log(unit_hash(F.col("id"), F.col("text_hash"), seed=seed)) / F.col("quality")).write.parquet(path)
+    # rows are numbered once, as written, so that equal rows can be told apart
+    sized.withColumns({"key": -F.log(unit_hash(F.col("id"), F.col("text_hash"), seed=seed)) / F.col("quality"), "row": F.monotonically_increasing_id()}).write.parquet(path)
     sized = spark.read.parquet(path)
 
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -104,28 +116,47 @@ def take_plan(
         starts.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "bucket_size", "before", "source_size", "target", "epochs", "rest"),
         F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")),
     ).drop("_s", "_b")
-    inside = W.partitionBy("source", "bucket").orderBy("key", "id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "bucket").orderBy("key", "id", "text_hash", "row").rowsBetween(W.unboundedPreceding, 0)
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest"))
     crossing = placed.where(cut).withColumn("_upto", F.col("before") + F.sum("size").over(inside))
-    # nearer with the document that crosses than without it: its middle lies within the budget
-    crossing = crossing.withColumn("extra", (F.col("_upto") - F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("_upto")
+    crossing = crossing.withColumn("extra", (F.col("_upto") <= F.col("rest")).cast("long")).drop("_upto")
     whole = placed.where(~cut).withColumn("extra", (F.col("before") < F.col("rest")).cast("long"))
+    path = scratch(spark, "mix-first")
+    whole.unionByName(crossing).write.parquet(path)
+    first = spark.read.parquet(path)
+    chosen = first.where("false").select("row")
+    for turn in range(rounds):
+        # what is left of each budget, and the document left out that fits it best: a row per source
+        now = first.join(chosen.withColumn("_chosen", F.lit(1).cast("long")), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("_chosen", F.lit(0)))
+        gaps = now.groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("_gap"), F.first("target").alias("_of")).withColumnRenamed("source", "_s")
+        gaps = gaps if turn == 0 else gaps.where(F.col("_gap") > F.col("_of") * tolerance)
+        others = now.where("extra = 0 and size > 0").join(gaps, F.col("source").eqNullSafe(F.col("_s")))
+        best = others.groupBy("source", "_gap").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), "key", "id", "text_hash", "row")).alias("best"))
+        best = written(best.where(F.col("best.off") < F.col("_gap")).select(F.col("best.row").alias("row")), "mix-last")
+        if best.isEmpty():
+            break
+        chosen = chosen.unionByName(best)
     return (
-        whole.unionByName(crossing)
-        .withColumn("copies", F.col("epochs") + F.col("extra"))
+        first.join(chosen.withColumn("_last", F.lit(1).cast("long")), "row", "left")
+        .withColumn("copies", F.col("epochs") + F.col("extra") + F.coalesce("_last", F.lit(0)))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("bucket", "before", "bucket_size", "rest", "extra")
+        .drop("bucket", "before", "bucket_size", "rest", "extra", "_last")
     )
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; the columns stay as they are."""
-    copies = take_plan(docs, id_column, text_column, source_column, **options).where("copies > 0").groupBy("id", "text_hash", F.col("source").alias("_source")).agg(
-        F.max("copies").alias("_copies")
-    ).withColumnsRenamed({"id": "_id", "text_hash": "_text_hash"})
+    plan = take_plan(docs, id_column, text_column, source_column, **options)
+    copies = plan.groupBy("id", "text_hash", F.col("source").alias("_source")).agg(
+        F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")
+    ).where("_most > 0").withColumnsRenamed({"id": "_id", "text_hash": "_text_hash"})
     joined = docs.join(
         copies,
         (F.xxhash64(text_of(text_column)) == F.col("_text_hash")) & F.col(id_column).eqNullSafe(F.col("_id"))
         & F.col(source_column).cast("string").eqNullSafe(F.col("_source")),
     )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    # of equal rows on both sides of the boundary some are taken once more than the others
+    even = joined.where("_least = _most").withColumn("_copies", F.col("_most"))
+    nth = F.row_number().over(W.partitionBy("_id", "_text_hash", "_source").orderBy(F.lit(0)))
+    uneven = joined.where("_least < _most").withColumn("_copies", F.col("_least") + (nth <= F.col("_sum") - F.col("_least") * F.col("_rows")).cast("long"))
+    return even.unionByName(uneven).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)

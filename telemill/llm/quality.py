@@ -94,7 +94,7 @@ def learn(
     At most about ``max_labelled`` identifiers are used. They are chosen in ``labels`` first, so
     only their texts move.
     """
-    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y")).dropDuplicates([id_column])
+    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y")).groupBy(id_column).agg(F.min("y").alias("y"))  # the worse of labels that disagree
     n = known.count()
     chosen = known.where(unit_hash(F.col(id_column), seed=seed) < min(1.0, max_labelled / max(1, n)))
     sample = docs.select(id_column, F.col(text_column).alias("text")).join(F.broadcast(chosen), id_column)  # max_labelled rows, about

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,8 +84,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """The mix's weights: the quality classifier's posterior, from 0.25 for surely bad to 1 for surely good documents."""
+    model = quality.learn(docs, labels(spark, sf_dir))
+
+    def weights(rows: DataFrame, keep: list[str]) -> DataFrame:
+        # rounded: sums of floating-point numbers differ in the last bits between runs
+        return quality.posteriors(rows, model, keep, *site_columns()).select(*keep, (0.25 + 0.75 * F.round("p_good", 6)).alias("quality"))
+
+    return weights
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.take_plan(documents(spark, sf_dir)).select(
+    return mixing.take_plan(documents(spark, sf_dir), quality=by_quality(spark, documents(spark, sf_dir), sf_dir)).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies", "quality", "key"
     )
 

@@ -92,7 +92,7 @@ class Lexicon:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            # (kind, weight); kind 0: no hit, 1: exact, 2: with edits, 3: a family's stem was read, whatever follows
+            # (kind, weight); kind 0: no hit, 1: exact, 2: with edits, 3: a family's stem was read, whatever follows, 4: the same with edits
             found = [(0, 0.0)]
             for n, e in key:
                 if e == 0 and self.family[n]:
@@ -100,7 +100,7 @@ class Lexicon:
                 elif e == 0 and self.end[n] >= 0:
                     found.append((1, self.weight[n]))
                 elif e <= self.end[n]:
-                    found.append((2, self.weight[n]))
+                    found.append((4 if self.family[n] else 2, self.weight[n]))
             self.result.append(max(found, key=lambda x: (x[0] % 2, x)))
         return self.ids[key]
 
@@ -127,9 +127,11 @@ class Lexicon:
             if after < 0:
                 return stem
             state = after
-            if self.result[state][0] == 3:
-                stem = (1, max(stem[1], self.result[state][1]))
-        return max(stem, self.result[state], key=lambda x: (x[0] % 2, x[1])) if self.result[state][0] != 3 else stem
+            kind, weight = self.result[state]
+            if kind > 2:
+                # an exact stem before one with edits, then the greater weight
+                stem = max(stem, (1, weight) if kind == 3 else (2, weight), key=lambda x: (x[0] % 2, x[1]))
+        return stem if self.result[state][0] > 2 else max(stem, self.result[state], key=lambda x: (x[0] % 2, x[1]))
 
 
 def words_of(text: str) -> list[str]:
@@ -196,7 +198,10 @@ def learn_lexicon(
     sample: DataFrame, least_texts: int = 4, least_stem: int = 4, most_clean_share: float = 0.25, covers: int = 4,
     max_entries: int = 2000, max_candidates: int = 60_000,
 ) -> list[tuple[str, float, int]]:
-    """Lexicon entries, their log-odds and the edits they allow (none for stems and words of a stem's family), from rows (id, text, y) of a bounded sample."""
+    """Lexicon entries, their log-odds and the edits they allow, from rows (id, text, y) of a bounded sample.
+
+    Bounds on learning only: words of 3 to 40 letters, at most ``max_candidates`` terms looked at, the most frequent in toxic texts first, and ``max_entries`` chosen.
+    """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,9 +258,8 @@ def learn_lexicon(
         for t in [t for t in left if t.startswith(stem) or stem.startswith(t.rstrip("*"))]:
             if len(left[t][0] & ids) >= 0.9 * len(left[t][0] | ids):
                 del left[t]
-    stems = tuple(e[:-1] for e, _ in entries if e[-1] == "*")
-    plain = [e for e, _ in entries if e[-1] != "*" and not e.startswith(stems)] if stems else [e for e, _ in entries]
-    return [(e, w, (len(e) >= 5) + (len(e) >= 8) if e in plain else 0) for e, w in entries]
+    # whole words may be misspelled from five letters on, stems, which accept whatever follows, from six on
+    return [(e, w, (len(e) >= 7) + (len(e) >= 10) if e[-1] == "*" else (len(e) >= 5) + (len(e) >= 8)) for e, w in entries]
 
 
 def learn(
@@ -267,7 +271,7 @@ def learn(
     At most about ``texts_per_label`` identifiers of each label are used. They are chosen in
     ``labels`` first, so only their texts move.
     """
-    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y")).dropDuplicates([id_column])
+    known = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column), F.col(label_column).cast("int").alias("y")).groupBy(id_column).agg(F.max("y").alias("y"))  # the worse of labels that disagree
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None

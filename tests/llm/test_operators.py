@@ -37,6 +37,8 @@ def test_exact_dedup(docs, texts, digest):
 
 
 def test_exact_dedup_keeps_one_row_of_each_text(docs, empty, texts):
+    kept = exact_dedup.keep_first_copies(docs.withColumn("_locator", F.lit("mine")))
+    assert {r[0] for r in kept.select("_locator").collect()} == {"mine"}
     kept = exact_dedup.keep_first_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(t or "" for (t,) in kept.select("text").collect()) == sorted({t for _, t in texts})
@@ -144,6 +146,31 @@ def test_similar_texts(spark, docs, empty):
     assert similar.keep_one_each(empty).count() == 0
 
 
+def test_recall_of_planted_pairs():
+    """Thousands of pairs whose shingle sets are similar to 0.8 and 0.9, by the cells and bits alone."""
+    rng = np.random.default_rng(1)
+    for similarity, least in ((0.8, 0.99), (0.9, 0.9995)):
+        met = 0
+        for at in range(4):
+            sizes = rng.integers(40, 400, 500)
+            pairs = []
+            for n in sizes:
+                own = int(n * (1 - similarity) / (1 + similarity))
+                pool = rng.integers(0, 1 << 62, n + own).astype(np.uint64)
+                pairs.append((pool[:n], pool[own:]))
+            a, b = (np.array([similar.wide_fingerprint(p[k]) for p in pairs]) for k in (0, 1))
+            size_a, size_b = np.array([len(p[0]) for p in pairs]), np.array([len(p[1]) for p in pairs])
+            one, other = similar.cells_of(a, size_a, similarity), similar.cells_of(b, size_b, similarity)
+            together = set()
+            for x, y in ((one, other), (other, one)):  # they meet where one of them is at home
+                home = set(zip(x[0][x[2]].tolist(), x[1][x[2]].tolist(), strict=True))
+                together |= {r for r, c in zip(y[0].tolist(), y[1].tolist(), strict=True) if (r, c) in home}
+            near = np.bitwise_count(a[:, 1:3] ^ b[:, 1:3]).sum(axis=1) <= similar.NEAR_BITS
+            met += sum(near[r] for r in together)
+        print(similarity, met / 2000)
+        assert met / 2000 >= least, (similarity, met)
+
+
 def test_similar_texts_near_a_leader_that_is_not_similar(spark):
     """Texts at 0.6 to 0.85 of the one with the smallest identifier, in pairs of 0.9 and more, several of them with one text on either side of 0.8."""
     rng = random.Random(9)
@@ -321,9 +348,24 @@ def test_mixing(docs, empty, texts, spark):
     assert Counter((r["id"], r["text_hash"], r["taken"]) for r in got) == Counter((r["id"], r["text_hash"], r["taken"]) for r in again)
     mixed = mixing.mix(docs, rows_per_bucket=5)
     assert mixed.columns == docs.columns
+    wanted = Counter()
+    for r in got:
+        wanted[r["id"], r["text_hash"]] += r["copies"]
+    made = Counter((r["doc_id"], r["h"]) for r in mixed.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect())
+    assert made == +wanted
     assert mixing.take_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_repeated_rows_are_mixed_as_planned(spark):
+    """Forty equal rows, of which the budget takes some once more than others."""
+    rows = [(1, "one two three " * 10, "a")] * 40 + [(i, "w " * i, "b") for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.take_plan(df).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+    mixed = {r["source"]: r["n"] for r in mixing.mix(df).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert mixed == {r["source"]: r["n"] for r in plan} and all(abs(r["n"] - r["t"]) <= 15 for r in plan)
+    assert mixing.take_plan(df).where("source = 'a'").select("copies").distinct().count() == 2
+
+
 # language model
 
 
@@ -405,6 +447,12 @@ def test_language(docs, empty, spark):
     got = {r["id"]: r for r in langid.classify(df.where("doc_id >= 60").union(odd), model).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[60:])
     assert [got[i]["lang_pred"] for i in (100, 101, 102, 103)] == ["und", "und", "und", "de"]
+    import zstandard
+
+    for i, text, _ in rows[60:]:  # the whole text, as it stands, in the smallest frame
+        sizes = [len(zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(d.rjust(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(f" {text} ".encode())) for _, _, d in model]
+        assert got[i]["margin"] == sorted(sizes)[1] - min(sizes)
+        assert got[i]["margin"] <= 4 or model[sizes.index(min(sizes))][0] == got[i]["lang_pred"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.learn(empty) == [] and {r["lang_pred"] for r in langid.classify(docs, []).collect()} == {"und"}
     assert langid.classify(empty, model).count() == 0
@@ -419,6 +467,55 @@ def test_near_ties_are_decided_on_the_whole_text():
     assert classifier.predict(text, near=10**6) == langid.Classifier([(k, 1, " ".join(["", *v, ""]).encode()) for k, v in vocabulary.items()], cache_limit=5).predict(text, near=10**6)
 
 
+def test_posteriors_equal_plain_bayes(spark):
+    """Every rate and posterior computed again, a document's own share left out; sparse sites move towards their parents."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("house tree $$ ## 12 river".split()) for _ in range(20)), f"h{min(i % 7, 3)}", f"p{i % 5 if i % 7 else i}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labelled = spark.createDataFrame([(i, int(t.count("$$") + t.count("##") < 7)) for i, t, _, _ in rows[::2]], "doc_id long, quality int")
+    model = quality.learn(df, labelled)
+    got = {r["doc_id"]: r for r in quality.posteriors(df, model, ["doc_id", "host", "path"], F.col("host"), F.col("path")).collect()}
+    good = model[3]
+    p = {i: 1 / (1 + math.exp(-(r["llr"] + math.log(good / (1 - good))))) for i, r in got.items()}
+    host, path = defaultdict(list), defaultdict(list)
+    for i, _, h, q in rows:
+        host[h].append(p[i])
+        path[h, q].append(p[i])
+    rate = sum(p.values()) / len(p)
+
+    def strength(groups):
+        big = [(x, m) for x, m in groups if len(x) > 1]
+        n, noise, mean = sum(len(x) for x, _ in big), sum(m * (1 - m) for _, m in big), sum(len(x) * m * (1 - m) for x, m in big)
+        between = max(0.0, sum(len(x) * (sum(x) / len(x) - m) ** 2 for x, m in big) - noise) / n
+        return min(1e4, max(2.0, mean / n / between - 1)) if between > 1e-12 else 1e4
+
+    hm = strength([(x, rate) for x in host.values()])
+    of_host = {h: (sum(x) + hm * rate) / (len(x) + hm) for h, x in host.items()}
+    pm = strength([(x, of_host[h]) for (h, _), x in path.items()])
+    for i, _, h, q in rows:
+        up = (sum(host[h]) - p[i] + hm * rate) / (len(host[h]) - 1 + hm)
+        site = (sum(path[h, q]) - p[i] + pm * up) / (len(path[h, q]) - 1 + pm)
+        want = 1 / (1 + math.exp(-(math.log(site / (1 - site)) + got[i]["llr"])))
+        assert got[i]["path_rate"] == pytest.approx(site, rel=1e-6) and got[i]["p_good"] == pytest.approx(want, rel=1e-6)
+
+
+def test_sites_decide_what_documents_leave_open(spark):
+    """Held out: short texts that look alike; their host's other documents tell them apart."""
+    rng = random.Random(3)
+    words, junk = "house tree river stone garden window".split(), ["x$$$", "###", "%%% y"]
+    rows = []
+    for i in range(600):
+        good = i % 2
+        clear = i % 3 != 0
+        text = " ".join(rng.choice(words if good else junk) for _ in range(40)) if clear else " ".join(rng.choice([*words, *junk]) for _ in range(3))
+        rows.append((i, text, "good" if good else "bad", good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, y int")
+    model = quality.learn(df, df.where("doc_id % 3 <> 2").select("doc_id", F.col("y").alias("quality")))
+    found = quality.posteriors(df, model, ["doc_id", "y"], F.col("host"), F.col("host")).where("doc_id % 3 = 0").collect()
+    alone = sum((r["llr"] + math.log(model[3] / (1 - model[3])) >= 0) == bool(r["y"]) for r in found) / len(found)
+    assert sum((r["p_good"] >= 0.5) == bool(r["y"]) for r in found) / len(found) > alone + 0.1
+
+
 def test_quality(docs, empty, spark):
     rng = random.Random(0)
     good = [(i, " ".join(rng.choice("house tree river stone garden".split()) for _ in range(40)) + ".", 1) for i in range(100)]
@@ -447,17 +544,17 @@ def levenshtein(a, b):
 
 def test_automaton_equals_edit_distance():
     rng = random.Random(2)
-    entries = [("abcab", 1.0, 1), ("bacabbac", 2.0, 2), ("cc", 1.5, 0), ("aab*", 1.0, 0)]
+    entries = [("abcab", 1.0, 1), ("bacabbac", 2.0, 2), ("cc", 1.5, 0), ("aab*", 1.0, 0), ("cbccb*", 1.0, 1)]
     lexicon = toxicity.Lexicon(entries)
     for _ in range(4000):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
         if rng.random() < 0.5:
-            base = list(rng.choice(["abcab", "bacabbac"]))
+            base = list(rng.choice(["abcab", "bacabbac", "cbccb", "cbccbaab"]))
             for _ in range(rng.randint(0, 3)):
                 base[rng.randrange(len(base))] = rng.choice("abcx")
             word = "".join(base)
-        exact = word in ("abcab", "bacabbac", "cc") or word.startswith("aab")
-        near = any(not e.endswith("*") and levenshtein(e, word) <= k for e, _, k in entries)
+        exact = word in ("abcab", "bacabbac", "cc") or word.startswith(("aab", "cbccb"))
+        near = any(levenshtein(e.rstrip("*"), w) <= k for e, _, k in entries for w in ([word[:n] for n in range(len(word) + 1)] if e[-1] == "*" else [word]))
         assert lexicon.match(word)[0] == (1 if exact else 2 if near else 0), word
 
 
@@ -475,6 +572,8 @@ def test_toxicity(docs, empty, spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity.learn(df.drop("toxic"), df.select("doc_id", "toxic"))
     assert {e for e, _, _ in model[0]} >= set(rude)
+    family = toxicity.Lexicon([("scoundrel*", 1.0, 1)])
+    assert [family.match(w)[0] for w in ("scoundrels", "scuondrel", "sconudrelly", "scoudrelish", "scondrel", "sound")] == [1, 0, 0, 2, 2, 0]
     odd = spark.createDataFrame([(900, None), (901, ""), (902, "you blockhaed scoundrell nitwit"), (903, 'the word "nitwit" is old'), (904, "you n1twit bl0ckhead sc*undrel")], "doc_id long, text string")
     got = {r["id"]: r for r in toxicity.score(df.select("doc_id", "text").union(odd), model).collect()}
     assert all((got[i]["score"] >= 0.5) == bool(y) for i, _, y in rows)
