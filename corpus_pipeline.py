@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: rows repeat by whole epochs, a last epoch is sampled."""
-    return mixing.mix(docs)
+    """Sources at their target weights: rows repeat by whole epochs, a last epoch is sampled by quality."""
+    return mixing.mix(docs, quality=queries.by_quality(spark, docs, sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
