@@ -18,7 +18,8 @@ table: local vocabulary as 64-bit hashes, tokens as local numbers. Blocks hand t
 n-grams, pre-aggregated and packed in sorted runs, to shards by hash; a shard adds up
 and returns each block the totals of just the n-grams it sent. Two such
 exchanges, for counts and for the contexts' sums, are all: no table is broadcast, no n-gram is
-looked up per token through a shuffle, and a very frequent n-gram arrives once per block. The kept n-grams are
+looked up per token through a shuffle, and a very frequent n-gram arrives once per block. A block sends ``cells`` rows at most;
+beyond as many shards the exchange takes further hops, so its rows grow with the corpus, not with its square. The kept n-grams are
 stored in a table partitioned by order (``model_path``).
 
 Words are told apart by a 64-bit hash, bigrams by the hash of both: with some
@@ -156,47 +157,68 @@ class Block:
         place[order] = np.arange(len(order))
         self.pairs, self.pair_keys, self.inverse = pairs[order], keys[order], place[inverse]
 
-    def packed(self, level: int, keys: np.ndarray, values: np.ndarray, shards: int) -> Iterator[tuple]:
-        """Rows of ``PACKED``: sorted keys cut by shard; ``values`` has a row per key."""
-        cuts = np.searchsorted(keys, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64))
-        for shard, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-            if b > a:
-                yield level, shard, self.number, pack_keys(keys[a:b]), squeeze(values[a:b])
 
+def cut(level: int, keys: np.ndarray, values: np.ndarray, shards: int, sender: int) -> Iterator[tuple]:
+    """Rows of ``PACKED``: sorted keys cut by shard; ``values`` has a row per key."""
+    cuts = np.searchsorted(keys, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64))
+    for shard, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
+        if b > a:
+            yield level, shard, sender, pack_keys(keys[a:b]), squeeze(values[a:b])
 
-def exchange(rows: DataFrame, kind: str, width: int, least: dict[int, int] | None = None) -> DataFrame:
-    """Totals by key over all blocks, returned to each block in the order of its keys.
 
-    Values are ``width`` numbers of ``kind`` per key. A returned row's keys hold one byte per key: 1 in the
-    first block that sent it. With ``least`` there are two more rows per shard: block -1
-    with the keys and totals that reach the level's least count (the model's table),
-    block -2 with the numbers of keys of count 1 to 64, the sum and the number of counts over 0.
-    """
+class Merged:
+    """Rows of ``PACKED`` of one shard from several senders, added up by key."""
 
-    def add(table: pa.Table) -> pa.Table:
+    def __init__(self, table: pa.Table, kind: str, width: int) -> None:
         table = table.sort_by("block")
-        level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
+        self.senders = table.column("block").to_pylist()
         parts = [unpack_keys(k) for k in table.column("keys").to_pylist()]
+        self.sizes = [len(p) for p in parts]
         values = np.concatenate([unsqueeze(v, kind).reshape(-1, width) for v in table.column("values").to_pylist()])
         keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
         new = np.ones(len(keys), bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
         runs = np.flatnonzero(new)
-        totals = np.add.reduceat(values[order], runs, axis=0)
-        group = np.empty(len(keys), np.int64)
-        group[order] = np.cumsum(new) - 1
-        owner = np.zeros(len(keys), np.uint8)
-        owner[order[runs]] = 1
-        out, at = [], 0
-        for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
-            to = at + len(part)
-            out.append((level, shard, block, squeeze(owner[at:to]), squeeze(totals[group[at:to]])))
-            at = to
+        self.keys, self.totals = keys[order][runs], np.add.reduceat(values[order], runs, axis=0)
+        self.group = np.empty(len(keys), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.first = order[runs]  # the first sender's place of each key
+
+    def given_back(self, level: int, shard: int, totals: np.ndarray, owned: np.ndarray) -> Iterator[tuple]:
+        """A row per sender: totals in the order of the keys it sent, and 1 for those it owns, being the first to send an ``owned`` key."""
+        owner = np.zeros(len(self.group), np.uint8)
+        owner[self.first[owned]] = 1
+        at = 0
+        for sender, n in zip(self.senders, self.sizes, strict=True):
+            yield level, shard, sender, squeeze(owner[at : at + n]), squeeze(totals[self.group[at : at + n]])
+            at += n
+
+
+def exchange(rows: DataFrame, kind: str, width: int, shards: int, cells: int, least: dict[int, int] | None = None, cells_now: int | None = None) -> DataFrame:
+    """Totals by key over all senders, returned to each sender in the order of its keys.
+
+    Values are ``width`` numbers of ``kind`` per key. A returned row's keys hold one byte per key: 1 in the
+    first sender of it. With ``least`` there are two more rows per shard: block -1
+    with the keys and totals that reach the level's least count (the model's table),
+    block -2 with the numbers of keys of count 1 to 64, the sum and the number of counts over 0.
+
+    A sender cuts its keys into ``cells`` at most, however many shards there are, so rows grow with the senders alone. Where
+    shards are more than cells, the rows of a cell are first added up by groups of senders about as large as a shard, which
+    send on what they have in the same way: one hop more for every factor of ``cells``.
+    """
+    now = cells_now or min(shards, cells)
+    if now < shards:
+        return _by_way_of_groups(rows, kind, width, shards, cells, least, now)
+
+    def add(table: pa.Table) -> pa.Table:
+        level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
+        m = Merged(table, kind, width)
+        out = list(m.given_back(level, shard, m.totals, np.ones(len(m.keys), bool)))
         if least:
-            count = totals[:, 0]
+            count = m.totals[:, 0]
             kept = count >= least[level]
-            out.append((level, shard, -1, pack_keys(keys[order[runs]][kept]), squeeze(totals[kept])))
+            out.append((level, shard, -1, pack_keys(m.keys[kept]), squeeze(m.totals[kept])))
             small = np.bincount(count[(count > 0) & (count <= 64)], minlength=65)[1:]
             out.append((level, shard, -2, b"", squeeze(np.r_[small, count.sum(), (count > 0).sum()].astype(np.int64))))
         return pa.Table.from_batches([as_batch(out, PACKED_NAMES, PACKED_KINDS)])
@@ -204,6 +226,31 @@ def exchange(rows: DataFrame, kind: str, width: int, least: dict[int, int] | Non
     return rows.groupBy("level", "shard").applyInArrow(add, PACKED)
 
 
+def _by_way_of_groups(rows: DataFrame, kind: str, width: int, shards: int, cells: int, least: dict[int, int] | None, now: int) -> DataFrame:
+    finer = min(shards, now * cells)
+    group = F.shiftleft(F.col("shard").cast("long"), 31) + F.pmod(F.xxhash64("block"), F.lit(-(-shards // now)))
+    rows = written(rows.withColumn("via", group), "exchange-hop")
+
+    def combine(table: pa.Table) -> pa.Table:
+        level, via = table.column("level")[0].as_py(), table.column("via")[0].as_py()
+        m = Merged(table, kind, width)
+        return pa.Table.from_batches([as_batch(list(cut(level, m.keys, m.totals, finer, via)), PACKED_NAMES, PACKED_KINDS)])
+
+    returned = written(exchange(rows.groupBy("level", "via").applyInArrow(combine, PACKED), kind, width, shards, cells, least, finer), "exchange-back")
+
+    def hand_on(own: pa.Table, back: pa.Table) -> pa.Table:
+        parts = sorted(back.to_pylist(), key=lambda r: r["shard"])
+        totals = np.concatenate([unsqueeze(r["values"], kind).reshape(-1, width) for r in parts])
+        owned = np.concatenate([unsqueeze(r["keys"], "u1") for r in parts]) == 1
+        m = Merged(own, kind, width)
+        out = list(m.given_back(own.column("level")[0].as_py(), own.column("shard")[0].as_py(), totals, owned))
+        return pa.Table.from_batches([as_batch(out, PACKED_NAMES, PACKED_KINDS)])
+
+    to_groups = returned.where("block >= 0").withColumnRenamed("block", "via")
+    back = rows.groupBy("level", "via").cogroup(to_groups.groupBy("level", "via")).applyInArrow(hand_on, PACKED)
+    return back.unionByName(returned.where("block < 0"))
+
+
 def discounts(counts: np.ndarray, k: int) -> np.ndarray:
     """d(0..k + 1) by Katz's formula from the numbers of n-grams seen once, twice, ...; 1 where it has no sense."""
     d = np.ones(k + 2)
@@ -218,8 +265,8 @@ def discounts(counts: np.ndarray, k: int) -> np.ndarray:
 
 
 def score(
-    docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", least: int = 2, katz_k: int = 5,
-    block_tokens: int = 2_000_000, shard_tokens: int = 1_000_000, model_path: str | None = None,
+    docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", least: int = 1, katz_k: int = 5,
+    block_tokens: int = 2_000_000, shard_tokens: int = 1_000_000, cells: int = 4096, model_path: str | None = None,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learns from rows that are not held out."""
     spark = docs.sparkSession
@@ -229,17 +276,19 @@ def score(
     blocks = spark.table(table)
     shards = int(max(8, (blocks.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
 
+    first_hop = min(shards, cells)
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = Block(batch.slice(i, 1).to_pylist()[0])
                 words = np.bincount(b.tokens[b.training], minlength=len(b.vocab))
                 pairs = np.bincount(b.inverse[b.training], minlength=len(b.pairs))
-                rows = [*b.packed(1, b.vocab, words, shards), *b.packed(2, b.pair_keys, pairs, shards)]
+                rows = [*cut(1, b.vocab, words, first_hop, b.number), *cut(2, b.pair_keys, pairs, first_hop, b.number)]
                 yield as_batch(rows, PACKED_NAMES, PACKED_KINDS)
 
     path = model_path or scratch(spark, "katz-counts")
-    exchange(blocks.mapInArrow(counts, PACKED), "i8", 1, {1: 1, 2: least}).write.partitionBy("level").parquet(path)
+    exchange(blocks.mapInArrow(counts, PACKED), "i8", 1, shards, cells, {1: 1, 2: least}).write.partitionBy("level").parquet(path)
     counted = spark.read.schema("shard int, block long, keys binary, values binary, level int").parquet(path).select(*PACKED_NAMES)
 
     stats = {1: np.zeros(66, np.int64), 2: np.zeros(66, np.int64)}
@@ -280,7 +329,7 @@ def score(
             sums = np.stack([
                 np.bincount(first[own], weights=x[own], minlength=len(b.vocab)) for x in (p2, p1[second])
             ], axis=1)
-            rows += [(*r, None, None, None, None, None, None, None) for r in b.packed(1, b.vocab, sums, shards)]
+            rows += [(*r, None, None, None, None, None, None, None) for r in cut(1, b.vocab, sums, first_hop, b.number)]
             backs = ~kept[b.inverse]
             log_p = np.where(backs, np.log10(p1[b.tokens]), np.log10(p2)[b.inverse])
             base = np.log10((c[b.tokens] + 1) / (n + v + 1))
@@ -296,7 +345,7 @@ def score(
     halfway = written(
         blocks.groupBy("block").cogroup(counted.where("block >= 0").select(*PACKED_NAMES).groupBy("block")).applyInArrow(evaluate, schema), "katz-halfway"
     )
-    summed = exchange(halfway.where("shard >= 0").select(*PACKED_NAMES), "f8", 2)
+    summed = exchange(halfway.where("shard >= 0").select(*PACKED_NAMES), "f8", 2, shards, cells)
 
     def finish(parts: pa.Table, returned: pa.Table) -> pa.Table:
         out = []

@@ -369,7 +369,7 @@ def test_repeated_rows_are_mixed_as_planned(spark):
 # language model
 
 
-def simple_katz(texts, held):
+def simple_katz(texts, held, least):
     tok = [[*t.encode().lower().split(), "end"] for _, t in texts]
     words, pairs, context = Counter(), Counter(), Counter()
     for ts, h in zip(tok, held, strict=True):
@@ -394,7 +394,7 @@ def simple_katz(texts, held):
     d1, d2 = discounts(words), discounts(pairs)
     p1 = {w: d1.get(c, 1) * c / (n + 1) for w, c in words.items()}
     unseen = 1 - sum(p1.values())
-    kept = {(h, w): d2.get(c, 1) * c / (context[h] + 1) for (h, w), c in pairs.items() if c >= 2}
+    kept = {(h, w): d2.get(c, 1) * c / (context[h] + 1) for (h, w), c in pairs.items() if c >= least}
     mass, lower = Counter(), Counter()
     for (h, w), p in kept.items():
         mass[h] += p
@@ -413,10 +413,12 @@ def simple_katz(texts, held):
     return out
 
 
-def test_katz(docs, empty, texts):
-    got = katz.score(docs, common.crc_bucket("doc_id", 7) == 2, block_tokens=1000, shard_tokens=1500).collect()
+@pytest.mark.parametrize(("least", "cells"), [(1, 4096), (2, 4096), (1, 3)])
+def test_katz(docs, empty, texts, least, cells):
+    """With few cells the counts take several hops."""
+    got = katz.score(docs, common.crc_bucket("doc_id", 7) == 2, least=least, block_tokens=1000, shard_tokens=1500 if cells > 100 else 100, cells=cells).collect()
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in texts]
-    want = sorted((-1 if i is None else i, h, *w) for (i, _), h, w in zip(texts, held, simple_katz(texts, held), strict=True))
+    want = sorted((-1 if i is None else i, h, *w) for (i, _), h, w in zip(texts, held, simple_katz(texts, held, least), strict=True))
     have = sorted((-1 if r["id"] is None else r["id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
     assert len(have) == len(want)
     for a, b in zip(have, want, strict=True):
