@@ -15,7 +15,7 @@ least that finds ``aim`` of the sample's own neighbours. Every row is indexed.
 
 Equal vectors are one candidate with its k + 1 smallest identifiers (further ones cannot
 be among the k nearest) and one query. Lists are searched in tiles of
-bounded size: chunks of a list against blocks of queries.
+bounded size: chunks of a list against blocks of the queries that probe it, so a candidate goes only where it is asked for.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have
 another dimension than most, take no part; ties go to the smaller identifier;
@@ -81,7 +81,7 @@ def fit(rows: DataFrame, k: int, fit_rows: int = 12_000, aim: float = 0.965, see
     rng = np.random.default_rng(seed)
     x = x[np.lexsort(x.T[::-1])]  # whatever order the rows came in
     rotation = np.linalg.qr(rng.standard_normal((x.shape[1] + 1, x.shape[1] + 1)))[0]
-    lists = int(max(1, min(4096, round(n**0.5 / 2), len(x) // 16)))
+    lists = int(max(1, min(4096, round(n**0.5 / 2), len(x) // 4)))
     index = Index(rotation, np.zeros((1, 1)), float(norm2**0.5) * (1 + 1e-12), x, 1.0)
     y = index.lengthened(x)
     centroids = y[rng.choice(len(y), lists, replace=False)]
@@ -162,45 +162,37 @@ def search(
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
     chunks = np.array([-(-sizes.get(i, 0) // tile_rows) for i in range(len(index.centroids))])
     filled = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
-    blocks = max(1, -(-members.select("rep").distinct().count() // tile_queries))
-
     def to_probes(batches):
         index = shared.value
         probes = max(1, int(np.ceil(index.share * len(index.centroids))))
         kth = min(k + 1, len(index.sample)) - 1
         for batch in batches:
-            reps, vectors_ = batch.column(0).to_pylist(), batch.column(1)
-            q = np.array(vectors_.to_pylist(), float).reshape(batch.num_rows, index.sample.shape[1])
+            reps = batch.column(0).to_numpy()
+            q = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, index.sample.shape[1])
             scores = -np.partition(-(q @ index.sample.T), kth, axis=1)[:, kth]
             radius = (q * q).sum(axis=1) + index.norm**2 - 2 * scores if len(index.sample) > k else np.full(len(q), np.inf)
-            order = index.order(index.asked(q))
-            out = []
-            for i, lists in enumerate(order):
+            at, found, bound = [], [], []
+            for i, lists in enumerate(index.order(index.asked(q))):
                 enough = int(np.searchsorted(np.cumsum(filled[lists]), k + 1)) + 1  # lists that hold k + 1 rows
-                out += [
-                    # the nearest lists that hold k + 1 rows are scanned with no bound from outside, so no query ends with fewer
-                    (i, int(n), c, np.inf if place < enough else radius[i])
-                    for place, n in enumerate(lists[: max(probes, enough)]) for c in range(chunks[n])
-                ]
-            at = pa.array([o[0] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([reps[o[0]] for o in out], pa.int64()), vectors_.take(at), pa.array([float(o[3]) for o in out], pa.float64()),
-                 pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())],
-                names=["rep", "v", "radius", "list", "chunk"],
-            )
-
-    probing = distinct.select("rep", "v").mapInArrow(to_probes, "rep long, v array<double>, radius double, list int, chunk int").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    )
-    of_list = F.element_at(F.array(*[F.lit(int(max(1, c))) for c in chunks]), F.col("list") + 1) if len(chunks) <= 64 else None
-    if of_list is None:
-        table = spark.createDataFrame([(i, int(max(1, c))) for i, c in enumerate(chunks)], "list int, chunks int")
-        placed = placed.join(F.broadcast(table), "list")  # 4096 rows at most
-    else:
-        placed = placed.withColumn("chunks", of_list)
-    tiles = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
+                asked_lists = lists[: max(probes, enough)]
+                at.append(np.full(len(asked_lists), i))
+                found.append(asked_lists)
+                # the nearest lists that hold k + 1 rows are scanned with no bound from outside, so no query ends with fewer
+                bound.append(np.where(np.arange(len(asked_lists)) < enough, np.inf, radius[i]))
+            if at:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(reps[np.concatenate(at)]), pa.array(np.concatenate(found).astype(np.int32)), pa.array(np.concatenate(bound))], names=["rep", "list", "radius"]
+                )
+
+    probes_ = written(distinct.select("rep", "v").mapInArrow(to_probes, "rep long, list int, radius double"), "ann-probes")
+    asking = {r["list"]: r["n"] for r in probes_.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per list
+    tiles_of = [(i, int(chunks[i]), -(-asking[i] // tile_queries)) for i in range(len(chunks)) if chunks[i] and i in asking]
+    table = F.broadcast(spark.createDataFrame(tiles_of, "list int, chunks int, blocks int"))  # 4096 rows at most
+    # a query goes to every chunk of a list it probes, a candidate to every block of the queries that probe its list
+    probing = probes_.join(table, "list").join(distinct.select("rep", "v"), "rep").withColumns({
+        "block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    tiles = placed.join(table, "list").withColumns({
+        "chunk": F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
 
     def tile(asked_: pa.Table, rows_: pa.Table) -> pa.Table:
         names = ["rep", "vec_id", "score"]
@@ -225,7 +217,7 @@ def search(
         return pa.table([pa.array(c) for c in columns], names=names)
 
     key = ["list", "chunk", "block"]
-    hits = probing.groupBy(*key).cogroup(tiles.select(*key, "vec_id", "v").groupBy(*key)).applyInArrow(tile, "rep long, vec_id long, score double")
+    hits = probing.select(*key, "rep", "v", "radius").groupBy(*key).cogroup(tiles.select(*key, "vec_id", "v").groupBy(*key)).applyInArrow(tile, "rep long, vec_id long, score double")
     nearest = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k + 1).drop("_n")
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
