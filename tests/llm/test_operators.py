@@ -149,7 +149,7 @@ def test_similar_texts(spark, docs, empty):
 def test_recall_of_planted_pairs():
     """Thousands of pairs whose shingle sets are similar to 0.8 and 0.9, by the cells and bits alone."""
     rng = np.random.default_rng(1)
-    for similarity, least in ((0.8, 0.99), (0.9, 0.9995)):
+    for similarity, least in ((0.8, 0.98), (0.9, 0.9995)):
         met = 0
         for at in range(4):
             sizes = rng.integers(40, 400, 500)
