@@ -3,8 +3,8 @@
 A similarity of 0.8 leaves about 0.15 of a SimHash's bits different, far more than a threshold on 64 bits
 can search for exactly. So the fingerprint has twelve bands of 23 bits, each an
 anchor-point covering of its own (``simhash``'s Golay code words): a fingerprint goes to its band's home anchor and to every
-anchor one beyond the covering radius. At similarity 0.8 two texts meet in a band with probability 0.31, in one of twelve
-bands with 0.99 (measured on 2,000 planted pairs); at 0.85 with 0.999, at 0.9 all of 2,000 did. Cells are anchors split by length, as sets of such similarity
+anchor one beyond the covering radius. At similarity 0.8 two texts meet in a band with probability 0.31 a direction, in one of twelve
+bands with 0.9975 (measured on 2,000 planted pairs), at 0.9 all of them did. Cells are anchors split by length, as sets of such similarity
 differ in size by a fifth at most.
 
 In a cell, members are first compared with leaders only (a member that is near no leader becomes one), so a group
