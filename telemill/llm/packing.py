@@ -25,6 +25,7 @@ import itertools
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def newer_characters() -> frozenset[str]:
 class Encoder(dict):
     """Text to ids, without special tokens, as ``tokenizers`` gives them for the file at ``path``; as a dict, the ids (little-endian, as bytes) of the pre-tokens met so far."""
 
-    def __init__(self, path: str, cache_limit: int = 400_000, longest: int = 32) -> None:
+    def __init__(self, path: str, cache_limit: int = 600_000, longest: int = 32) -> None:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,14 +67,17 @@ class Encoder(dict):
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split = regex.compile(SPLIT)
         self.cache_limit, self.longest = cache_limit, longest
+        self.older: dict[str, bytes] = {}
 
     def ask(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        found = self.ask(part)
+        found = self.older.pop(part, None) or self.ask(part)
         if len(part) <= self.longest:
             if len(self) >= self.cache_limit:
+                # what is met again comes back from the older half, what is not goes with it
+                self.older = dict(self)
                 self.clear()
             self[part] = found
         return found
