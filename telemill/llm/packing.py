@@ -8,9 +8,10 @@ merged the same way, ``merge_fan_in`` partitions at a time; the few that are lef
 then are cut into powers of two, so no sequence needs padding.
 
 Token ids are made by ``tokenizers`` from the given file. Byte-level BPE never merges across
-pre-tokens, so each worker asks the library once per distinct pre-token (a word with the space before it, a run of
-digits, of white space, of other characters) and keeps the ids of the short ones; texts are split by the library's own
-rule. Files with another pre-tokenizer, a normalizer or more than the plain BPE, texts with a special token and texts with characters
+pre-tokens (a word with the space before it, a run of digits, of white space, of other characters), and every pre-token lies in one
+run of non-blanks with the space before it, or in a run of blanks. So each worker splits texts at blanks, splits a run it has not met
+by the library's own rule, asks the library once per distinct pre-token, and keeps the ids of the short ones for all its tasks.
+Files with another pre-tokenizer, a normalizer or more than the plain BPE, texts with a special token and runs with characters
 on which the two Unicode tables differ go to the library whole.
 
 Defined results: null text is empty and packs as the end token alone; documents of
@@ -23,6 +24,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import re
 import unicodedata
 import zlib
 from array import array
@@ -35,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from telemill.llm.common import scratch, text_of
 
@@ -43,8 +46,10 @@ PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
     " closed boolean, grp long, ids binary"
 )
-#: Fixed value: the byte-level pre-tokenizer's rule.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Unicode's white space, and the byte-level pre-tokenizer's rule within a run of blanks or of non-blanks.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUNS = f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{L}\p{N}]+"
 
 
 @functools.cache
@@ -54,26 +59,50 @@ def newer_characters() -> frozenset[str]:
     return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", everything) if unicodedata.category(c) == "Cn")
 
 
+@functools.cache
+def byte_symbols() -> dict[int, str]:
+    """The symbol that byte-level pre-tokenizers write for each byte which UTF-8 has, as the library gives them."""
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    characters = [*range(0x80, 0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x110000, 0x1000)]
+    out = {}
+    for c in [*map(chr, range(0x80)), *map(chr, characters)]:
+        out.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
+    return out
+
+
 class Encoder(dict):
-    """Text to ids, without special tokens, as ``tokenizers`` gives them for the file at ``path``; as a dict, the ids (little-endian, as bytes) of the pre-tokens met so far."""
+    """Text to ids, without special tokens, as ``tokenizers`` gives them for the file at ``path``; as a dict, the ids (little-endian, as bytes) of the runs and pre-tokens met so far."""
 
     def __init__(self, path: str, cache_limit: int = 600_000, longest: int = 32) -> None:
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not spec.get("normalizer")
         self.by_parts = plain and model["type"] == "BPE" and not model.get("dropout")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split = regex.compile(SPLIT)
+        self.runs, self.split = re.compile(RUNS), regex.compile(SPLIT)
         self.cache_limit, self.longest = cache_limit, longest
         self.older: dict[str, bytes] = {}
 
     def ask(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def made(self, part: str) -> bytes:
+        """The ids of a run or pre-token: a short pre-token's by the library's model, which takes the symbols of its bytes."""
+        if not (part.isascii() or newer_characters().isdisjoint(part)):
+            return self.ask(part)
+        parts = self.split.findall(part)
+        if len(parts) > 1:
+            return b"".join(map(self.__getitem__, parts))
+        if len(part) > self.longest:
+            return self.ask(part)
+        symbols = part.encode().decode("latin-1").translate(byte_symbols())
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
     def __missing__(self, part: str) -> bytes:
-        found = self.older.pop(part, None) or self.ask(part)
+        found = self.older.pop(part, None) or self.made(part)
         if len(part) <= self.longest:
             if len(self) >= self.cache_limit:
                 # what is met again comes back from the older half, what is not goes with it
@@ -83,16 +112,22 @@ class Encoder(dict):
         return found
 
     def __call__(self, text: str, at_once: int = 1 << 18) -> np.ndarray:
-        if not self.by_parts or any(s in text for s in self.special) or not (text.isascii() or newer_characters().isdisjoint(text)):
+        if not self.by_parts or any(s in text for s in self.special):
             return np.frombuffer(self.ask(text), "<u4")
         if len(text) <= at_once:
-            return np.frombuffer(b"".join(map(self.__getitem__, self.split.findall(text))), "<u4")
-        parts, out = self.split.finditer(text), []
+            return np.frombuffer(b"".join(map(self.__getitem__, self.runs.findall(text))), "<u4")
+        parts, out = self.runs.finditer(text), []
         while some := [m.group() for m in itertools.islice(parts, at_once // 4)]:
             out.append(b"".join(map(self.__getitem__, some)))
         return np.frombuffer(b"".join(out), "<u4")
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a file; workers that are reused keep what earlier tasks have met."""
+    return Encoder(path)
+
+
 class Windows:
     """Open windows of one stream of pieces; ``out`` receives finished sequences."""
 
@@ -188,7 +223,7 @@ def pack(
     spark = docs.sparkSession
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         rows = Rows(part << 32, with_ids, _schema())
         windows = Windows(window, open_windows, rows.sequence)
         for batch in batches:
