@@ -1,18 +1,18 @@
 """Near-duplicates on word shingles by SimHash: all pairs of a Jaccard similarity of 0.8 or more, nearly.
 
 A similarity of 0.8 leaves about 0.15 of a SimHash's bits different, far more than a threshold on 64 bits
-can search for exactly. So the fingerprint has twelve bands of 23 bits, each an
+can search for exactly. So the fingerprint has sixteen bands of 23 bits, each an
 anchor-point covering of its own (``simhash``'s Golay code words): a fingerprint goes to its band's home anchor and to every
-anchor one beyond the covering radius. At similarity 0.8 two texts meet in a band with probability 0.31 a direction, in one of twelve
-bands with 0.9975 (measured on 2,000 planted pairs), at 0.9 all of them did. Cells are anchors split by length, as sets of such similarity
+anchor one beyond the covering radius. At similarity 0.8 two texts meet in a band with probability 0.31 a direction, in one of sixteen
+bands with 0.999 (measured on 2,000 planted pairs), at 0.9 all of them did. Cells are anchors split by length, as sets of such similarity
 differ in size by a fifth at most.
 
 In a cell, members are first compared with leaders only (a member that is near no leader becomes one), so a group
 of copies costs a row each, not a row per pair. What is near on 128 bits is then compared exactly on the texts'
 shingle sets, and the links that hold form groups. Then every pair in a cell that is near on 128 bits and
 not yet in one group is compared exactly too: a text near a leader, but not similar to it, still meets all
-others. Only texts that are near and not similar cost a row per pair, less those that the triangle inequality of
-Jaccard distances rules out: what was compared with the same text and differs in distance to it by over 0.2 is not similar.
+others. Only texts that are near and not similar cost a row per pair, less those that sizes, the fingerprints' 384 bits, or the triangle
+inequality of Jaccard distances rule out: what was compared with the same text and differs in distance to it by over 0.2 is not similar.
 
 Defined results: null, empty and blank texts share the empty set and form a group; repeated rows share a
 fingerprint; identifiers are taken to be unique: where texts share one, a row is dropped with the other; an empty table gives an
@@ -36,9 +36,14 @@ from telemill.llm.katz import mixed
 from telemill.llm.simhash import BLOCK_BITS, covering, syndrome_of
 
 #: Two of the words are compared in the cells: 128 bits, of which a similarity of 0.8 leaves 19 different, 34 at most but for one in ten thousand.
-BANDS, EXCESS, NEAR_BITS = 12, 1, 34
+BANDS, EXCESS, NEAR_BITS = 16, 1, 34
 WORDS = -(-BANDS * BLOCK_BITS // 64)
+#: Of all 384 bits a similarity of 0.8 leaves 58 different, 86 at most but for one in ten thousand; of sets under 16 shingles up to 72, for ties.
+NEAR_ALL, NEAR_SMALL, SMALL = 86, 102, 16
 NAMES = [f"w{i}" for i in range(WORDS)]
+#: The words that cells compare first, and the others.
+NEAR_FIRST = [1, 2]
+NEAR_THEN = [i for i in range(WORDS) if i not in NEAR_FIRST]
 SALTS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,9 +121,10 @@ def leader_links(cell: np.ndarray, home: np.ndarray, word: np.ndarray) -> tuple[
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2, sizes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (home, row) of one cell and different groups that are near, of rows sorted by cell; at most about ``most`` are looked at together.
 
+    ``word``: the two words compared in cells first; with ``sizes``, those of the sets, all the others follow and are compared as well.
     ``seen``: a text each row was compared with and the distance to it; distances that differ by more than ``apart`` rule a pair out."""
     order = np.lexsort((group, cell))
     cell, home, group, word = cell[order], home[order], group[order], word[order]
@@ -140,7 +146,13 @@ def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.n
         b = np.repeat(at[lo:hi], n[lo:hi]) + np.arange(len(a)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
         once = ~home[b] | (a < b)
         a, b = a[once], b[once]
-        near = np.bitwise_count(word[a] ^ word[b]).sum(axis=1) <= NEAR_BITS
+        near = np.bitwise_count(word[a, :2] ^ word[b, :2]).sum(axis=1) <= NEAR_BITS
+        a, b = a[near], b[near]
+        near = np.ones(len(a), bool)
+        if sizes is not None:
+            less, more = np.minimum(sizes[order[a]], sizes[order[b]]), np.maximum(sizes[order[a]], sizes[order[b]])
+            near &= less >= (1 - apart - 1e-9) * more
+            near &= np.bitwise_count(word[a] ^ word[b]).sum(axis=1) <= np.where(less < SMALL, NEAR_SMALL, NEAR_ALL)
         if seen is not None:
             by, far = seen
             near &= (by[order[a]] != by[order[b]]) | (np.abs(far[order[a]] - far[order[b]]) <= apart + 1e-9)
@@ -174,9 +186,10 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 part = slice(at, at + 4096)
                 row, cell, home = cells_of(np.ascontiguousarray(words[part]), sizes[part], similarity)
                 more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2, batch.num_columns)]
+                kept = NEAR_FIRST + NEAR_THEN if more else NEAR_FIRST
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in (1, 2))],
-                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), "w1", "w2"],
+                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in kept), *([pa.array(sizes[part][row])] if more else [])],
+                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), *(NAMES[i] for i in kept), *(["size"] if more else [])],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +217,17 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The open pairs of whole cells; a cell larger than ``chunk`` comes in parts, its homes, which come first, stay for all of them."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 2), np.uint64)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)]
         fresh = 0
 
         def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in open_pairs(x[0], x[1], x[3], x[6], seen=(x[4], x[5]), apart=1 - similarity):
+            for a, b in open_pairs(x[0], x[1], x[3], x[6], seen=(x[4], x[5]), apart=1 - similarity, sizes=x[7]):
                 yield pa.RecordBatch.from_arrays([pa.array(x[2][a]), pa.array(x[2][b])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (6, 7)], axis=1).view(np.uint64)]
+            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64), batch.column(6 + WORDS).to_numpy()]
             held = [np.concatenate(p) for p in zip(held, new, strict=True)]
             fresh += batch.num_rows
             cut = int(np.searchsorted(held[0], held[0][-1]))
@@ -265,7 +278,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = nodes.join(groups, "node", "left").join(seen, "node", "left").select(
         "node", *key, F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
     )
-    placed = grouped.mapInArrow(spread, "cell long, away boolean, node long, group long, by long, far double, w1 long, w2 long")
+    placed = grouped.mapInArrow(spread, "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in NEAR_FIRST + NEAR_THEN) + ", size long")
     met = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(meet, "a long, b long")
     more = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-open-pairs")
     links = links.unionByName(verified(more, "similar-more-links").where("similar").select("a", "b"))
