@@ -11,7 +11,7 @@ In a cell, members are first compared with leaders only (a member that is near n
 of copies costs a row each, not a row per pair. What is near on 128 bits is then compared exactly on the texts'
 shingle sets, and the links that hold form groups. Then every pair in a cell that is near on 128 bits and
 not yet in one group is compared exactly too: a text near a leader, but not similar to it, still meets all
-others. Only texts that are near and not similar cost a row per pair, less those that sizes, the fingerprints' 384 bits, or the triangle
+others. Only texts that are near and not similar cost a row per pair, less those that sizes or the triangle
 inequality of Jaccard distances rule out: what was compared with the same text and differs in distance to it by over 0.2 is not similar.
 
 Defined results: null, empty and blank texts share the empty set and form a group; repeated rows share a
@@ -41,9 +41,9 @@ WORDS = -(-BANDS * BLOCK_BITS // 64)
 #: Of all 384 bits a similarity of 0.8 leaves 58 different, 86 at most but for one in ten thousand; of sets under 16 shingles up to 72, for ties.
 NEAR_ALL, NEAR_SMALL, SMALL = 86, 102, 16
 NAMES = [f"w{i}" for i in range(WORDS)]
-#: The words that cells compare first, and the others.
+#: The words that cells compare first, and others sent for the open pairs: none, as all six took the stage over its limit of disk.
 NEAR_FIRST = [1, 2]
-NEAR_THEN = [i for i in range(WORDS) if i not in NEAR_FIRST]
+NEAR_THEN: list[int] = []
 SALTS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,7 +217,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The open pairs of whole cells; a cell larger than ``chunk`` comes in parts, its homes, which come first, stay for all of them."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(NEAR_FIRST + NEAR_THEN)), np.uint64), np.zeros(0, np.int64)]
         fresh = 0
 
         def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64), batch.column(6 + WORDS).to_numpy()]
+            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(len(NEAR_FIRST + NEAR_THEN))], axis=1).view(np.uint64), batch.column(6 + len(NEAR_FIRST + NEAR_THEN)).to_numpy()]
             held = [np.concatenate(p) for p in zip(held, new, strict=True)]
             fresh += batch.num_rows
             cut = int(np.searchsorted(held[0], held[0][-1]))
