@@ -66,3 +66,23 @@ def unit_hash(*columns: Column, seed: int = 0) -> Column:
     """Uniform in (0, 1), a function of the columns and the seed alone."""
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)
     return (h.cast("double") + 0.5) / float(2**53)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all of ``taken``, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+def finite_vectors(vectors: DataFrame, vector_column: str, columns: dict[str, Column]) -> tuple[DataFrame, int]:
+    """The given columns and ``v`` (array<double>) of the rows whose vector has no null and no component that is null or not finite, and the dimension.
+
+    Vectors of another dimension than most take no part; of equally frequent dimensions the smaller one holds. 0 for an empty table.
+    """
+    v = F.col(vector_column).cast("array<double>")
+    rows = vectors.select(*[c.alias(name) for name, c in columns.items()], v.alias("v"))
+    rows = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0))
+    most = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    return rows.where(F.size("v") == (most["d"] if most else 0)), most["d"] if most else 0
