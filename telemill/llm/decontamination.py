@@ -67,7 +67,7 @@ class Block:
     def add(self, name: int | None, text: bytes) -> None:
         n = 0
         for words in words_of(text):
-            self.pieces.append(pa.array(words, pa.binary()))
+            self.pieces.append(pa.array(words, pa.large_binary()))
             n += len(words)
         self.ids.append(name)
         self.sizes.append(n)
@@ -76,9 +76,8 @@ class Block:
     def row(self, number: int) -> tuple:
         sizes = np.array(self.sizes, np.int64)
         places = np.cumsum(sizes + 1) - sizes - 1  # a gap of one position between documents
-        coded = pa.chunked_array(self.pieces, pa.binary()).dictionary_encode().unify_dictionaries()
-        terms = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.binary())
-        codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]) if coded.num_chunks else np.zeros(0, np.int32)
+        coded = (pa.concat_arrays(self.pieces) if self.pieces else pa.array([], pa.large_binary())).dictionary_encode()
+        terms, codes = coded.dictionary, coded.indices.to_numpy()
         order = pc.sort_indices(terms).to_numpy()
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
