@@ -6,7 +6,8 @@ sources by weight until none is above. A source is first taken whole as often as
 its budget holds it (complete epochs); what is left is a fractional epoch, taken
 in the order of exponential keys -ln(u) / quality, prefix-summed to the budget.
 Documents are taken while they fit; then, of the others, the one whose size comes nearest to what is left is
-taken, when that comes nearer to the budget, and again while over half a percent is left. So a long document at the boundary moves no source off its target.
+taken, when that comes nearer to the budget, and again while over half a percent is left. So a long document at the boundary moves no source off its target. The
+candidates for that are gathered once: a few of each size.
 
 The prefix sum has two levels: key buckets are summed per source, then single
 documents are ordered only inside the bucket that the budget crosses. A source
@@ -22,11 +23,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from telemill.llm.common import WORD_PATTERN, scratch, text_of, unit_hash, written
+from telemill.llm.common import WORD_PATTERN, free_name, scratch, text_of, unit_hash, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -87,10 +90,11 @@ def take_plan(
     """
     spark = docs.sparkSession
     text = text_of(text_column)
-    mine = {"_mix_id": F.col(id_column), "_mix_source": F.col(source_column).cast("string"), "_mix_hash": F.xxhash64(text), "_mix_size": word_count(text)}
+    made = {"id": F.col(id_column), "source": F.col(source_column).cast("string"), "text_hash": F.xxhash64(text), "size": word_count(text)}
+    mine = {free_name(docs.columns, f"_mix_{n}"): c for n, c in made.items()}
     sized = docs.withColumns(mine)
     sized = quality(sized, list(mine)) if quality else sized.select(*mine, quality_weight(text).alias("quality"))
-    sized = sized.withColumnsRenamed({"_mix_id": "id", "_mix_source": "source", "_mix_hash": "text_hash", "_mix_size": "size"})
+    sized = sized.withColumnsRenamed(dict(zip(mine, made, strict=True)))
     path = scratch(spark, "mix-sizes")
     # rows are numbered once, as written, so that equal rows can be told apart
     sized.withColumns({"key": -F.log(unit_hash(F.col("id"), F.col("text_hash"), seed=seed)) / F.col("quality"), "row": F.monotonically_increasing_id()}).write.parquet(path)
@@ -124,18 +128,31 @@ def take_plan(
     path = scratch(spark, "mix-first")
     whole.unionByName(crossing).write.parquet(path)
     first = spark.read.parquet(path)
-    chosen = first.where("false").select("row")
-    for turn in range(rounds):
-        # what is left of each budget, and the document left out that fits it best: a row per source
-        now = first.join(chosen.withColumn("_chosen", F.lit(1).cast("long")), "row", "left").withColumn("extra", F.col("extra") + F.coalesce("_chosen", F.lit(0)))
-        gaps = now.groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("_gap"), F.first("target").alias("_of")).withColumnRenamed("source", "_s")
-        gaps = gaps if turn == 0 else gaps.where(F.col("_gap") > F.col("_of") * tolerance)
-        others = now.where("extra = 0 and size > 0").join(gaps, F.col("source").eqNullSafe(F.col("_s")))
-        best = others.groupBy("source", "_gap").agg(F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), "key", "id", "text_hash", "row")).alias("best"))
-        best = written(best.where(F.col("best.off") < F.col("_gap")).select(F.col("best.row").alias("row")), "mix-last")
-        if best.isEmpty():
-            break
-        chosen = chosen.unionByName(best)
+    # what is left of each budget, a row per source
+    gaps = written(first.groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap"), F.first("target").alias("of")), "mix-gaps").withColumnRenamed("source", "_s")
+    # the documents left out that could fit it: of each size at most ``rounds``, those of the smallest keys in as many classes, so a pass with partial sums is enough
+    others = first.where("extra = 0 and size > 0").join(F.broadcast(gaps) if gaps.count() <= 10_000 else gaps, F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") < 2 * F.col("gap"))
+    few = others.groupBy("source", "gap", "of", "size", F.pmod(F.xxhash64("id", "text_hash", "row"), F.lit(rounds)).alias("class")).agg(F.min(F.struct("key", "text_hash", "row")).alias("best"))
+    few = few.select("source", "gap", "of", "size", "best.key", "best.text_hash", "best.row")
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        """Of one source: again and again the document that comes nearest to what is left, while that is over the tolerance."""
+        part = part.sort_values(["key", "text_hash", "row"], kind="stable")
+        gap, most = float(part["gap"].iloc[0]), float(part["of"].iloc[0]) * tolerance
+        size, row, free, taken = part["size"].to_numpy(float), part["row"].to_numpy(), np.ones(len(part), bool), []
+        for turn in range(rounds):
+            if turn and gap <= most:
+                break
+            off = np.where(free, np.abs(gap - size), np.inf)
+            at = int(off.argmin())
+            if off[at] >= gap:
+                break
+            free[at] = False
+            taken.append(row[at])
+            gap -= size[at]
+        return pd.DataFrame({"row": np.array(taken, np.int64)})
+
+    chosen = written(few.groupBy("source").applyInPandas(fill, "row long"), "mix-last")  # as many rows as there are sizes under twice the gap, times rounds
     return (
         first.join(chosen.withColumn("_last", F.lit(1).cast("long")), "row", "left")
         .withColumn("copies", F.col("epochs") + F.col("extra") + F.coalesce("_last", F.lit(0)))
@@ -147,16 +164,18 @@ def take_plan(
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; the columns stay as they are."""
     plan = take_plan(docs, id_column, text_column, source_column, **options)
-    copies = plan.groupBy("id", "text_hash", F.col("source").alias("_source")).agg(
+    mine = {n: free_name(docs.columns, n) for n in ("_id", "_text_hash", "_source", "_least", "_most", "_sum", "_rows", "_copies", "_copy")}
+    c = {n: F.col(m) for n, m in mine.items()}
+    copies = plan.groupBy("id", "text_hash", "source").agg(
         F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")
-    ).where("_most > 0").withColumnsRenamed({"id": "_id", "text_hash": "_text_hash"})
+    ).where("_most > 0").toDF(*[mine[n] for n in ("_id", "_text_hash", "_source", "_least", "_most", "_sum", "_rows")])
     joined = docs.join(
         copies,
-        (F.xxhash64(text_of(text_column)) == F.col("_text_hash")) & F.col(id_column).eqNullSafe(F.col("_id"))
-        & F.col(source_column).cast("string").eqNullSafe(F.col("_source")),
+        (F.xxhash64(text_of(text_column)) == c["_text_hash"]) & F.col(id_column).eqNullSafe(c["_id"]) & F.col(source_column).cast("string").eqNullSafe(c["_source"]),
     )
     # of equal rows on both sides of the boundary some are taken once more than the others
-    even = joined.where("_least = _most").withColumn("_copies", F.col("_most"))
-    nth = F.row_number().over(W.partitionBy("_id", "_text_hash", "_source").orderBy(F.lit(0)))
-    uneven = joined.where("_least < _most").withColumn("_copies", F.col("_least") + (nth <= F.col("_sum") - F.col("_least") * F.col("_rows")).cast("long"))
-    return even.unionByName(uneven).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    even = joined.where(c["_least"] == c["_most"]).withColumn(mine["_copies"], c["_most"])
+    nth = F.row_number().over(W.partitionBy(c["_id"], c["_text_hash"], c["_source"]).orderBy(F.lit(0)))
+    uneven = joined.where(c["_least"] < c["_most"]).withColumn(mine["_copies"], c["_least"] + (nth <= c["_sum"] - c["_least"] * c["_rows"]).cast("long"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), c["_copies"]))
+    return even.unionByName(uneven).where(c["_copies"] > 0).withColumn(mine["_copy"], each).select(*docs.columns)
