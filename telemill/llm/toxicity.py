@@ -196,11 +196,11 @@ class Matcher:
 
 def learn_lexicon(
     sample: DataFrame, least_texts: int = 4, least_stem: int = 4, most_clean_share: float = 0.25, covers: int = 4,
-    max_entries: int = 2000, max_candidates: int = 60_000,
 ) -> list[tuple[str, float, int]]:
     """Lexicon entries, their log-odds and the edits they allow, from rows (id, text, y) of a bounded sample.
 
-    Bounds on learning only: words of 3 to 40 letters, at most ``max_candidates`` terms looked at, the most frequent in toxic texts first, and ``max_entries`` chosen.
+    Terms are words of 3 to 40 letters and their stems of ``least_stem`` to 11. All that ``least_texts`` toxic texts of the sample hold are looked at, and entries
+    are added as long as one newly covers that many: the sample's bound is the only one.
     """
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +232,14 @@ def learn_lexicon(
     share = F.size("ids") / kinds[1]
     candidates = grouped.where((F.size("ids") >= least_texts) & (F.col("clean") / kinds[0] <= share * most_clean_share)).orderBy(
         F.desc(F.size("ids")), "term"
-    ).limit(max_candidates).collect()  # of a bounded sample
+    ).collect()  # of a bounded sample
     left = {r["term"]: (set(r["ids"]), r["clean"] / kinds[0] * kinds[1]) for r in candidates}
     covered: Counter[int] = Counter()
     entries: list[tuple[str, float]] = []
     # among equals a whole word, which may be misspelled, then the longest stem, which is the most specific
     queue = [(3 * clean - len(ids), t[-1] == "*", -len(t), t) for t, (ids, clean) in left.items()]
     heapq.heapify(queue)
-    while queue and len(entries) < max_entries:
+    while queue:
         before, *rest, best = heapq.heappop(queue)
         if best not in left:
             continue
@@ -278,7 +278,7 @@ def learn(
     u = unit_hash(F.col(id_column), seed=seed)
     chosen = known.where(u < F.when(F.col("y") == 1, texts_per_label / counts[1]).otherwise(texts_per_label / counts[0]))
     texts = docs.select(id_column, text_of(text_column).alias("text")).join(F.broadcast(chosen), id_column)  # 2 * texts_per_label rows, about
-    sample = written(texts.select("text", "y").dropDuplicates(["text"]).withColumn("id", F.xxhash64("text")), "toxicity-sample")
+    sample = written(texts.groupBy("text").agg(F.max("y").alias("y")).withColumn("id", F.xxhash64("text")), "toxicity-sample")
     entries = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
