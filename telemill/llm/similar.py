@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.common import shared_dir, text_of, written
+from telemill.llm.common import free_name, shared_dir, text_of, written
 from telemill.llm.components import connected_components
 from telemill.llm.katz import mixed
 from telemill.llm.simhash import BLOCK_BITS, covering, syndrome_of
@@ -38,12 +38,9 @@ from telemill.llm.simhash import BLOCK_BITS, covering, syndrome_of
 #: Two of the words are compared in the cells: 128 bits, of which a similarity of 0.8 leaves 19 different, 34 at most but for one in ten thousand.
 BANDS, EXCESS, NEAR_BITS = 16, 1, 34
 WORDS = -(-BANDS * BLOCK_BITS // 64)
-#: Of all 384 bits a similarity of 0.8 leaves 58 different, 86 at most but for one in ten thousand; of sets under 16 shingles up to 72, for ties.
-NEAR_ALL, NEAR_SMALL, SMALL = 86, 102, 16
 NAMES = [f"w{i}" for i in range(WORDS)]
-#: The words that cells compare first, and others sent for the open pairs: none, as all six took the stage over its limit of disk.
-NEAR_FIRST = [1, 2]
-NEAR_THEN: list[int] = []
+#: The words that cells compare; all six took the stage over its limit of disk.
+COMPARED = [1, 2]
 SALTS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,7 +121,7 @@ def leader_links(cell: np.ndarray, home: np.ndarray, word: np.ndarray) -> tuple[
 def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2, sizes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (home, row) of one cell and different groups that are near, of rows sorted by cell; at most about ``most`` are looked at together.
 
-    ``word``: the two words compared in cells first; with ``sizes``, those of the sets, all the others follow and are compared as well.
+    ``word``: the words compared in cells. With ``sizes``, those of the sets, pairs whose sizes differ by more than ``apart`` of the larger are left out.
     ``seen``: a text each row was compared with and the distance to it; distances that differ by more than ``apart`` rule a pair out."""
     order = np.lexsort((group, cell))
     cell, home, group, word = cell[order], home[order], group[order], word[order]
@@ -146,13 +143,12 @@ def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.n
         b = np.repeat(at[lo:hi], n[lo:hi]) + np.arange(len(a)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
         once = ~home[b] | (a < b)
         a, b = a[once], b[once]
-        near = np.bitwise_count(word[a, :2] ^ word[b, :2]).sum(axis=1) <= NEAR_BITS
+        near = np.bitwise_count(word[a] ^ word[b]).sum(axis=1) <= NEAR_BITS
         a, b = a[near], b[near]
         near = np.ones(len(a), bool)
         if sizes is not None:
             less, more = np.minimum(sizes[order[a]], sizes[order[b]]), np.maximum(sizes[order[a]], sizes[order[b]])
             near &= less >= (1 - apart - 1e-9) * more
-            near &= np.bitwise_count(word[a] ^ word[b]).sum(axis=1) <= np.where(less < SMALL, NEAR_SMALL, NEAR_ALL)
         if seen is not None:
             by, far = seen
             near &= (by[order[a]] != by[order[b]]) | (np.abs(far[order[a]] - far[order[b]]) <= apart + 1e-9)
@@ -186,10 +182,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 part = slice(at, at + 4096)
                 row, cell, home = cells_of(np.ascontiguousarray(words[part]), sizes[part], similarity)
                 more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2, batch.num_columns)]
-                kept = NEAR_FIRST + NEAR_THEN if more else NEAR_FIRST
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in kept), *([pa.array(sizes[part][row])] if more else [])],
-                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), *(NAMES[i] for i in kept), *(["size"] if more else [])],
+                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in COMPARED), *([pa.array(sizes[part][row])] if more else [])],
+                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), *(NAMES[i] for i in COMPARED), *(["size"] if more else [])],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +212,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The open pairs of whole cells; a cell larger than ``chunk`` comes in parts, its homes, which come first, stay for all of them."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(NEAR_FIRST + NEAR_THEN)), np.uint64), np.zeros(0, np.int64)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(COMPARED)), np.uint64), np.zeros(0, np.int64)]
         fresh = 0
 
         def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +222,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(len(NEAR_FIRST + NEAR_THEN))], axis=1).view(np.uint64), batch.column(6 + len(NEAR_FIRST + NEAR_THEN)).to_numpy()]
+            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(len(COMPARED))], axis=1).view(np.uint64), batch.column(6 + len(COMPARED)).to_numpy()]
             held = [np.concatenate(p) for p in zip(held, new, strict=True)]
             fresh += batch.num_rows
             cut = int(np.searchsorted(held[0], held[0][-1]))
@@ -278,7 +273,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = nodes.join(groups, "node", "left").join(seen, "node", "left").select(
         "node", *key, F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
     )
-    placed = grouped.mapInArrow(spread, "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in NEAR_FIRST + NEAR_THEN) + ", size long")
+    placed = grouped.mapInArrow(spread, "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in COMPARED) + ", size long")
     met = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(meet, "a long, b long")
     more = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-open-pairs")
     links = links.unionByName(verified(more, "similar-more-links").where("similar").select("a", "b"))
@@ -288,5 +283,6 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def keep_one_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that are in a group of similar texts and have not its smallest identifier; all columns stay."""
-    drop = similar_groups(docs, id_column, text_column, **options).where("id <> component_id").select(F.col("id").alias("_dropped"))
-    return docs.join(drop, F.col(id_column).cast("long") == F.col("_dropped"), "left_anti")
+    name = free_name(docs.columns, "_dropped")
+    drop = similar_groups(docs, id_column, text_column, **options).where("id <> component_id").select(F.col("id").alias(name))
+    return docs.join(drop, F.col(id_column).cast("long") == F.col(name), "left_anti")
