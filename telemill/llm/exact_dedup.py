@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm.common import scratch, text_of, written
+from telemill.llm.common import free_name, scratch, text_of, written
 
 #: Session settings for the keyed state: on disk, without preallocated logs and with small buffers, so that many state
 #: partitions stay small on disk and in memory. They also hold when the state is read, so they stay set.
@@ -50,13 +50,6 @@ def with_locator(docs: DataFrame, name: str = "_locator") -> DataFrame:
     return docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
 
 
-def unused_name(docs: DataFrame, name: str = "_locator") -> str:
-    """A column name that the input does not have."""
-    while name.lower() in [c.lower() for c in docs.columns]:
-        name = f"_{name}"
-    return name
-
-
 def digest_state(spark: SparkSession, feed_path: str, checkpoint: str) -> DataFrame:
     """Run what is new in the feed through the keyed state; return the state, a row per digest.
 
@@ -98,7 +91,7 @@ def deduplicate(
     spread over n / ``rows_per_salt`` salts, to each of which the kept text goes. ``locator``: the column of ``with_locator``, if ``docs`` has it already.
     """
     spark = docs.sparkSession
-    name = locator or unused_name(docs)
+    name = locator or free_name(docs.columns, "_locator")
     located = docs if locator else with_locator(docs, name)
     rows = located.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.col(name).alias("locator"))
     feed_path = scratch(spark, "digest-feed")
@@ -159,11 +152,7 @@ def keep_first_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     Where identifiers are unique this keeps, of equal texts, the largest identifier.
     Repeated rows with one identifier and one text shrink to one row.
     """
-    name = unused_name(docs)
+    name, sha, place = (free_name(docs.columns, n) for n in ("_locator", "_dropped_sha", "_dropped_locator"))
     located = with_locator(docs, name)
-    dropped = deduplicate(located, id_column, text_column, locator=name).where("not kept").select(
-        F.col("text_sha256").alias("_dropped_sha"), F.col("locator").alias("_dropped_locator")
-    )
-    return located.join(
-        dropped, (F.col(name) == F.col("_dropped_locator")) & (F.sha2(text_of(text_column), 256) == F.col("_dropped_sha")), "left_anti"
-    ).drop(name)
+    dropped = deduplicate(located, id_column, text_column, locator=name).where("not kept").select(F.col("text_sha256").alias(sha), F.col("locator").alias(place))
+    return located.join(dropped, (F.col(name) == F.col(place)) & (F.sha2(text_of(text_column), 256) == F.col(sha)), "left_anti").drop(name)

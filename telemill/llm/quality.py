@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.llm.common import text_of, unit_hash, written
+from telemill.llm.common import free_name, text_of, unit_hash, written
 
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 UPPER = bytes(range(65, 91))
@@ -143,8 +143,13 @@ def posteriors(
     docs: DataFrame, model, keep: list[str], host: Column, path: Column, text_column: str = "text"
 ) -> DataFrame:
     """The columns ``keep`` with llr, host_rate, path_rate and p_good for every row."""
-    base = docs.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("\0")), "_path": F.coalesce(path.cast("string"), F.lit("\0"))})
-    scored = written(evidence(base, model, [*keep, "_host", "_path"], text_column), "quality-evidence")
+    # only what is needed goes on, under names of its own: the caller's columns may have any
+    mine = [f"_keep_{i}" for i in range(len(keep))]
+    base = docs.select(
+        *[F.col(c).alias(m) for c, m in zip(keep, mine, strict=True)], text_of(text_column).alias("_whole"),
+        F.coalesce(host.cast("string"), F.lit("\0")).alias("_host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("_path"),
+    )
+    scored = written(evidence(base, model, [*mine, "_host", "_path"], "_whole"), "quality-evidence")
     good = model[3] if model else 0.5
     scored = scored.withColumn("_p", 1 / (1 + F.exp(-(F.col("llr") + math.log(good / (1 - good))))))
     paths = written(scored.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum("_p").alias("s")), "quality-paths")
@@ -161,13 +166,12 @@ def posteriors(
     path_rate = (F.col("_s") - F.col("_p") + path_m * F.col("host_rate")) / (F.col("_n") - 1 + path_m)
     return joined.withColumn("path_rate", path_rate).withColumn(
         "p_good", 1 / (1 + F.exp(-(_logit(F.col("path_rate")) + F.col("llr"))))
-    ).select(*keep, "llr", "host_rate", "path_rate", "p_good")
+    ).select(*[F.col(m).alias(c) for c, m in zip(keep, mine, strict=True)], "llr", "host_rate", "path_rate", "p_good")
 
 
 def keep_good(docs: DataFrame, model, host: Column, path: Column, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose posterior is under ``least``; all columns stay."""
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(id_column), text_of(text_column)))
-    bad = posteriors(keyed, model, [id_column, "_row_key"], host, path, text_column).where(F.col("p_good") < least).select(
-        F.col(id_column).alias("_bad_id"), F.col("_row_key").alias("_bad_key")
-    )
-    return keyed.join(bad, F.col(id_column).eqNullSafe(F.col("_bad_id")) & (F.col("_row_key") == F.col("_bad_key")), "left_anti").drop("_row_key")
+    key, bad_id, bad_key = (free_name(docs.columns, n) for n in ("_row_key", "_bad_id", "_bad_key"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_column), text_of(text_column)))
+    bad = posteriors(keyed, model, [id_column, key], host, path, text_column).where(F.col("p_good") < least).select(F.col(id_column).alias(bad_id), F.col(key).alias(bad_key))
+    return keyed.join(bad, F.col(id_column).eqNullSafe(F.col(bad_id)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)

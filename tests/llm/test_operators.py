@@ -166,7 +166,6 @@ def test_recall_of_planted_pairs():
                 home = set(zip(x[0][x[2]].tolist(), x[1][x[2]].tolist(), strict=True))
                 together |= {r for r, c in zip(y[0].tolist(), y[1].tolist(), strict=True) if (r, c) in home}
             near = np.bitwise_count(a[:, 1:3] ^ b[:, 1:3]).sum(axis=1) <= similar.NEAR_BITS
-            near &= np.bitwise_count(a ^ b).sum(axis=1) <= similar.NEAR_ALL
             met += sum(near[r] for r in together)
         print(similarity, met / 2000)
         assert met / 2000 >= least, (similarity, met)
@@ -207,26 +206,19 @@ def test_open_pairs():
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_open_pairs_by_size_and_all_bits():
+def test_open_pairs_by_size():
     rng = np.random.default_rng(4)
     cell = np.sort(rng.integers(0, 4, 300))
     home, group, sizes = rng.random(300) < 0.5, rng.integers(0, 40, 300), rng.integers(8, 30, 300)
-    word = rng.integers(0, 2, (300, similar.WORDS)).astype(np.uint64) * np.uint64(0xFFFF)  # 16 bits a word that differs: up to five near, all six in small sets only
+    word = rng.integers(0, 4, (300, 2)).astype(np.uint64) * np.uint64(0xFFFFF)
 
     def near(i, j):
-        bits, less, more = [int(x).bit_count() for x in word[i] ^ word[j]], *sorted((int(sizes[i]), int(sizes[j])))
-        return sum(bits[:2]) <= similar.NEAR_BITS and less >= 0.8 * more and sum(bits) <= (similar.NEAR_SMALL if less < similar.SMALL else similar.NEAR_ALL)
+        less, more = sorted((int(sizes[i]), int(sizes[j])))
+        return sum(int(x).bit_count() for x in word[i] ^ word[j]) <= similar.NEAR_BITS and less >= 0.8 * more
 
     want = {(i, j) for i in range(300) for j in range(i) if cell[i] == cell[j] and group[i] != group[j] and (home[i] or home[j]) and near(i, j)}
     got = {(int(max(x)), int(min(x))) for a, b in similar.open_pairs(cell, home, group, word, sizes=sizes) for x in zip(a, b, strict=True)}
-    assert got == want and {similar.SMALL > min(sizes[i], sizes[j]) for i, j in want} == {True, False}
-
-
-def test_small_sets_stay_near():
-    """Five shingles against four of them, where ties move most bits."""
-    sets = np.random.default_rng(5).integers(0, 1 << 62, (2000, 5)).astype(np.uint64)
-    far = [int(np.bitwise_count(similar.wide_fingerprint(x) ^ similar.wide_fingerprint(x[:4])).sum()) for x in sets]
-    assert sum(n <= similar.NEAR_SMALL for n in far) >= 0.999 * len(far)
+    assert got == want and len(want) > 50
 
 
 # suffix dedup
