@@ -9,10 +9,12 @@ differ in size by a fifth at most.
 
 In a cell, members are first compared with leaders only (a member that is near no leader becomes one), so a group
 of copies costs a row each, not a row per pair. What is near on 128 bits is then compared exactly on the texts'
-shingle sets, and the links that hold form groups. Then every pair in a cell that is near on 128 bits and
-not yet in one group is compared exactly too: a text near a leader, but not similar to it, still meets all
-others. Only texts that are near and not similar cost a row per pair, less those that sizes or the triangle
-inequality of Jaccard distances rule out: what was compared with the same text and differs in distance to it by over 0.2 is not similar.
+shingle sets, and the links that hold form groups. A text near a leader, but not similar to it, must still meet all
+others that it is near to and not yet in one group with. That goes in rounds over the cells where such pairs are left: a text is first compared with one
+member each of the two groups it is near to most often, then with eight times as many, and so on until no pair is left that could join two groups. One
+similar member is enough to join a group, so in a large family of copies nearly all pairs are settled without being looked at;
+sizes and the triangle inequality of Jaccard distances (what was compared with the same text and differs in distance to it by over 0.2 is not similar) rule out more.
+Only texts that are near and in the end not connected cost a row per pair.
 
 Defined results: null, empty and blank texts share the empty set and form a group; repeated rows share a
 fingerprint; identifiers are taken to be unique: where texts share one, a row is dropped with the other; an empty table gives an
@@ -118,6 +120,26 @@ def leader_links(cell: np.ndarray, home: np.ndarray, word: np.ndarray) -> tuple[
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def few_each(row: np.ndarray, group: np.ndarray, turn: np.ndarray, members: int, groups: int) -> np.ndarray:
+    """Which pairs to look at first: of each row those with ``members`` rows of each of the ``groups`` groups it has most pairs with, in order of ``turn``."""
+    order = np.lexsort((turn, group, row))
+    new_row = np.r_[True, row[order][1:] != row[order][:-1]]
+    new = new_row | np.r_[True, group[order][1:] != group[order][:-1]]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    of = np.cumsum(new) - 1
+    place = np.arange(len(order)) - first[of]
+    # runs of one row, the largest first
+    owner = np.cumsum(new_row)[first]
+    by_size = np.lexsort((group[order][first], -size, owner))
+    start = np.r_[True, owner[by_size][1:] != owner[by_size][:-1]]
+    rank = np.empty(len(first), np.int64)
+    rank[by_size] = np.arange(len(first)) - np.maximum.accumulate(np.where(start, np.arange(len(first)), 0))
+    keep = np.zeros(len(order), bool)
+    keep[order[(place < members) & (rank[of] < groups)]] = True
+    return keep
+
+
 def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2, sizes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (home, row) of one cell and different groups that are near, of rows sorted by cell; at most about ``most`` are looked at together.
 
@@ -155,7 +177,7 @@ def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.n
         yield order[a[near]], order[b[near]]
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000, most_cells: int = 1_000_000) -> DataFrame:
     """(id, component_id) for every row; identifiers are taken to be unique, null ones are left alone."""
     shared_dir(docs.sparkSession)
 
@@ -173,7 +195,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # texts of one fingerprint and size are one node, but their sets are compared too, with that of the smallest identifier
     nodes = written(fps.groupBy(*key).agg(F.min("id").alias("node")), "similar-nodes")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch], only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """The places of each node, or those in the cells ``only`` (sorted)."""
         for batch in batches:
             ids = batch.column(0).to_numpy()
             words = np.stack([batch.column(i + 1).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
@@ -181,6 +204,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
             for at in range(0, len(ids), 4096):
                 part = slice(at, at + 4096)
                 row, cell, home = cells_of(np.ascontiguousarray(words[part]), sizes[part], similarity)
+                if only is not None:
+                    there = only[np.minimum(np.searchsorted(only, cell), len(only) - 1)] == cell
+                    row, cell, home = row[there], cell[there], home[there]
                 more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in COMPARED), *([pa.array(sizes[part][row])] if more else [])],
@@ -191,33 +217,43 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         """Whole cells at a time; of a cell larger than ``chunk`` its homes go on as leaders."""
         held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)]
 
-        def linked(x: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = leader_links(x[0], x[1], x[3])
-            return pa.RecordBatch.from_arrays([pa.array(x[2][a]), pa.array(x[2][b])], names=["a", "b"])
+        def linked(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[0][a]), pa.array(x[2][a]), pa.array(x[2][b])], names=["cell", "a", "b"])
+
+        def whole(x: list[np.ndarray]) -> pa.RecordBatch:
+            return linked(x, *leader_links(x[0], x[1], x[3]))
 
         for batch in batches:
             new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (3, 4)], axis=1).view(np.uint64)]
             held = [np.concatenate(p) for p in zip(held, new, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on
             if cut:
-                yield linked([x[:cut] for x in held])
+                yield whole([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
             if len(held[0]) > chunk:
                 a, b = leader_links(held[0], held[1], held[3])
-                yield pa.RecordBatch.from_arrays([pa.array(held[2][a]), pa.array(held[2][b])], names=["a", "b"])
+                yield linked(held, a, b)
                 leads = held[1] & ~np.isin(np.arange(len(held[0])), b)
                 held = [x[leads] for x in held]
         if len(held[0]):
-            yield linked(held)
+            yield whole(held)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The open pairs of whole cells; a cell larger than ``chunk`` comes in parts, its homes, which come first, stay for all of them."""
+    def meet(batches: Iterator[pa.RecordBatch], members: int, groups: int) -> Iterator[pa.RecordBatch]:
+        """Of the open pairs of whole cells ``members`` for each row and other group, in ``groups`` groups, and, without a pair, the cells that hold more. A cell larger than ``chunk``
+        comes in parts, its homes, which come first, stay for all of them."""
         held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(COMPARED)), np.uint64), np.zeros(0, np.int64)]
         fresh = 0
 
         def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for a, b in open_pairs(x[0], x[1], x[3], x[6], seen=(x[4], x[5]), apart=1 - similarity, sizes=x[7]):
-                yield pa.RecordBatch.from_arrays([pa.array(x[2][a]), pa.array(x[2][b])], names=["a", "b"])
+                if not len(a):
+                    continue
+                turn = mixed(x[2][a].view(np.uint64) ^ mixed(x[2][b].view(np.uint64)))  # another order of partners for each row, the same in all its cells
+                keep = few_each(a, x[3][b], turn, members, groups)
+                more = np.unique(x[0][a[~keep]])
+                none = pa.nulls(len(more), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x[2][a[keep]]), pa.array(x[2][b[keep]]), pa.nulls(int(keep.sum()), pa.int64())], names=["a", "b", "cell"])
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(more)], names=["a", "b", "cell"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -237,10 +273,10 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield from met(held)
 
     placed = nodes.select("node", *key).mapInArrow(spread, "cell long, away boolean, node long, w1 long, w2 long")
-    pairs = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(link, "a long, b long")
+    met = written(placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(link, "cell long, a long, b long"), "similar-cell-links")
     # members of one node: compared with it as well
     same = fps.join(nodes, key).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(same), "similar-pairs")
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(same), "similar-pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,17 +303,37 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     compared = verified(pairs, "similar-links")
     links = compared.where("similar").select("a", "b")
-    groups = written(connected_components(links, "a", "b"), "similar-first-groups")
     # of the texts that each was compared with, itself included, the one with the smallest identifier
     seen = compared.select(F.col("b").alias("node"), F.struct(F.col("a").alias("by"), "far").alias("seen")).groupBy("node").agg(F.min("seen").alias("seen"))
-    grouped = nodes.join(groups, "node", "left").join(seen, "node", "left").select(
-        "node", *key, F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
-    )
-    placed = grouped.mapInArrow(spread, "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in COMPARED) + ", size long")
-    met = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(meet, "a long, b long")
-    more = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-open-pairs")
-    links = links.unionByName(verified(more, "similar-more-links").where("similar").select("a", "b"))
-    roots = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+    cells, members, groups = None, 1, 2
+    while True:
+        roots = written(connected_components(links, "a", "b"), "similar-groups")
+        # a cell is open if the nodes that were near in it are in more than one group: wherever two rows are near, a link was found
+        ends = met.select("cell", F.explode(F.array("a", "b")).alias("node")).join(roots, "node", "left")
+        group = F.coalesce("root", "node")
+        still = ends.groupBy("cell").agg(F.min(group).alias("x"), F.max(group).alias("y")).where("x <> y").select("cell")
+        cells = written(still if cells is None else still.join(cells, "cell", "left_semi"), "similar-open-cells")
+        n = cells.count()
+        if not n:
+            break
+        grouped = nodes.join(roots, "node", "left").join(seen, "node", "left").select(
+            "node", *key, F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
+        )
+        schema = "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in COMPARED) + ", size long"
+        if n <= most_cells:
+            only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in cells.collect()], np.int64)))  # most_cells numbers at most
+            placed = grouped.mapInArrow(lambda batches, only=only: spread(batches, only.value), schema)
+        else:
+            placed = grouped.mapInArrow(spread, schema).join(cells, "cell", "left_semi")
+        found = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(lambda batches, m=members, g=groups: meet(batches, m, g), "a long, b long, cell long")
+        found = written(found, "similar-open-pairs")
+        more = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        more = written(more, "similar-more-pairs")
+        links = links.unionByName(verified(more, "similar-more-links").where("similar").select("a", "b"))
+        pairs = pairs.unionByName(more)
+        cells = found.where("cell is not null").select("cell").distinct()  # those that hold pairs not looked at yet
+        members, groups = members * 8, groups * 8
+    roots = roots.select(F.col("node").alias("id"), F.col("root").alias("component_id"))
     return fps.select("id").join(roots, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
 
 
