@@ -12,11 +12,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.operators.ranking import quantile_columns, quantiles
+from telemill.operators.ranking import SKETCH, finite, merged_sketch, quantile_columns, sketch, sketch_quantiles
 from telemill.sources.shared import kept
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -28,17 +29,42 @@ def long_form(windows: DataFrame, features: list[str], *keep: str) -> DataFrame:
     return windows.select(*keep, F.explode(pairs).alias("_e")).select(*keep, "_e.feature", "_e.value")
 
 
-def reference_profile(windows: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature: count, mean, deviation, range and percentiles (interpolated)."""
-    rows = kept(long_form(windows, features), "profile-values")
-    moments = rows.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    return moments.join(quantile_columns(rows, ["feature"], "value", {f"p{q:02d}": q / 100 for q in (1, 5, 25, 50, 75, 95, 99)}), "feature", "left")
+PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
 
-def machine_profiles(windows: DataFrame, features: list[str]) -> DataFrame:
-    """(machine_id, feature, median, iqr); the row with a null machine is the fleet's. No spread takes the fleet's, then 1."""
+def reference_profile(windows: DataFrame, features: list[str], k: int = SKETCH) -> DataFrame:
+    """Per feature: count, mean, deviation, range and percentiles, in one pass over the wide rows. Percentiles are those of sketches of size ``k``
+    (``ranking.sketch``: interpolated and exact up to ``k`` windows, beyond that with a bounded rank error)."""
+    at = {f"p{q:02d}": q / 100 for q in PERCENTS}
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    values = {f: finite(F.col(f)) for f in features}
+    row = windows.agg(*[g(x).alias(f"{name}__{f}") for f, x in values.items() for name, g in moments.items()], *[sketch(x, k).alias(f"sketch__{f}") for f, x in values.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"{name}__{f}").alias(name) for name in (*moments, "sketch")]) for f in features]))
+    long = row.select(each.alias("_e")).select("_e.*")  # a row per feature
+    got = long.withColumn("_q", sketch_quantiles(F.col("sketch"), list(at.values()), k))
+    return got.select("feature", *moments, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(at)])
+
+
+def machine_profiles(windows: DataFrame, features: list[str], k: int = SKETCH) -> DataFrame:
+    """(machine_id, feature, median, iqr); the row with a null machine is the fleet's. No spread takes the fleet's, then 1.
+
+    A sketch per machine and feature in one pass over the wide rows; the fleet's are merged from these, so rows are read once and only sketches move. Windows of no machine count for the fleet only.
+    """
+    pick = [sketch(finite(F.col(f)), k).alias(f) for f in features]
+    own = kept(windows.groupBy("machine_id").agg(*pick), "profile-sketches")
+    fleet = own.agg(*[merged_sketch(F.col(f), k).alias(f) for f in features]).select(F.lit(None).cast(own.schema["machine_id"].dataType).alias("machine_id"), *features)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("sketch")) for f in features]))
+    long = own.where(F.col("machine_id").isNotNull()).unionByName(fleet).select("machine_id", each.alias("_e")).select("machine_id", "_e.feature", "_e.sketch")
+    q = long.withColumn("_q", sketch_quantiles(F.col("sketch"), list(QUARTILES), k))
+    q = kept(q.select("machine_id", "feature", F.get("_q", F.lit(1)).alias("median"), (F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))).alias("iqr")), "profile-quartiles")
+    one = F.lit(1.0)
+    whole = q.where(F.col("machine_id").isNull()).select("feature", F.coalesce("median", F.lit(0.0)).alias("_m"), F.when(F.col("iqr") > 1e-9, F.col("iqr")).otherwise(one).alias("_i"))
+    spread = F.when(F.col("iqr") > 1e-9, F.col("iqr")).otherwise(F.col("_i"))
+    return kept(q.join(F.broadcast(whole), "feature").select("machine_id", "feature", F.coalesce("median", "_m").alias("median"), spread.alias("iqr")), "profiles")  # a row per feature
+
+
+def exact_machine_profiles(windows: DataFrame, features: list[str]) -> DataFrame:
+    """``machine_profiles`` without sketches: values are counted and ranked exactly, in several shuffles of a row per window and feature."""
     rows = long_form(windows, features, "machine_id")
     whose = F.explode(F.array(F.struct(F.lit(False).alias("fleet"), F.col("machine_id").alias("who")), F.struct(F.lit(True).alias("fleet"), F.lit(None).cast("string").alias("who"))))
     rows = kept(rows.select(whose.alias("w"), "feature", "value").select("w.fleet", F.col("w.who").alias("machine_id"), "feature", "value"), "profile-values")
@@ -68,13 +94,14 @@ def unknown_machines(windows: DataFrame, profiles: DataFrame) -> DataFrame:
     return windows.select("machine_id").distinct().join(profiles.where(F.col("machine_id").isNotNull()).select("machine_id").distinct(), "machine_id", "left_anti")
 
 
-def preparation(windows: DataFrame, features: list[str]) -> dict:
-    """Medians, which features lack values in training, and mean and deviation (of the whole) after imputation."""
+def preparation(windows: DataFrame, features: list[str], k: int = SKETCH) -> dict:
+    """Medians (of sketches of size ``k``), which features lack values in training, and mean and deviation (of the whole) after imputation. Two passes over the wide rows."""
     windows = kept(windows.select(*features), "preparation")
-    found = {r["feature"]: r["value"] for r in quantiles(long_form(windows, features), ["feature"], "value", (0.5,)).collect()}  # a row per feature
-    row = windows.agg(*[F.count_if(F.col(f).isNull()).alias(f"n_{f}") for f in features]).first()
-    medians = {f: float(found.get(f) or 0.0) for f in features}
-    missing = [f for f in features if row[f"n_{f}"]]
+    row = windows.agg(*[F.count_if(F.col(f).isNull()).alias(f"n_{f}") for f in features], *[sketch(finite(F.col(f)), k).alias(f"q_{f}") for f in features])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"q_{f}").alias("sketch")) for f in features]))
+    found = {r["feature"]: r for r in row.select(each.alias("_e")).select("_e.feature", "_e.n", F.get(sketch_quantiles(F.col("_e.sketch"), [0.5], k), F.lit(0)).alias("median")).collect()}  # a row per feature
+    medians = {f: float(found[f]["median"] or 0.0) for f in features}
+    missing = [f for f in features if found[f]["n"]]
     filled = impute(windows, features, medians, missing)
     columns = [*features, *(f"missing_{f}" for f in missing)]
     row = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
@@ -114,25 +141,62 @@ def three_sigma(model: dict[str, tuple[float, float]]) -> Column:
 # Mahalanobis
 
 
-def _moments(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean and covariance: a matrix product per task, its entries summed as rows, a matrix as wide as the columns on the driver."""
-    k = len(columns)
+Moments = tuple[int, np.ndarray, np.ndarray]  # how many rows, their mean, their centred cross products
+
+
+def merged_moments(a: Moments, b: Moments) -> Moments:
+    """The moments of two sets of rows together: a product of two differences of means is all that joins them, so nothing cancels."""
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def moments_of(x: np.ndarray) -> Moments:
+    """Rows are taken relative to the first, so a constant column has no spread at all."""
+    if not len(x):
+        return 0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+    y = x - x[0]
+    mean = y.mean(axis=0)
+    y -= mean
+    return len(x), x[0] + mean, y.T @ y
 
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, k + 1))
+
+MOMENTS = "part long, n long, mean array<double>, products array<double>"
+
+
+def _moments(rows: DataFrame, columns: list[str], fan_in: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and covariance. Tasks merge the moments of their batches, then groups of ``fan_in`` tasks merge theirs until so few
+    rows as wide as the covariance are left that the driver merges them, in order of the tasks."""
+    k, names = len(columns), [f.split()[0] for f in MOMENTS.split(", ")]
+
+    def row(part: int, m: Moments) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([m[0]]), pa.array([m[1].tolist()], pa.list_(pa.float64())), pa.array([m[2].ravel().tolist()], pa.list_(pa.float64()))], names=names)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Moments = (0, np.zeros(k), np.zeros((k, k)))
         for batch in batches:
-            x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns)])
-            total += x.T @ x
-        i, j = np.triu_indices(k + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "s"])
+            m = merged_moments(m, moments_of(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)))
+        if m[0]:
+            yield row(TaskContext.get().partitionId(), m)
+
+    def of_rows(found: list) -> Moments:
+        m: Moments = (0, np.zeros(k), np.zeros((k, k)))
+        for n, mean, products in found:
+            m = merged_moments(m, (n, np.array(mean, float), np.array(products, float).reshape(k, k)))
+        return m
 
-    sums = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
-    full = np.zeros((k + 1, k + 1))
-    for r in sums:
-        full[r["i"], r["j"]] = full[r["j"], r["i"]] = r["s"]
-    n = int(full[0, 0])
-    mean = full[0, 1:] / max(1, n)
-    return mean, (full[1:, 1:] / max(1, n) - np.outer(mean, mean)) * n / max(1, n - 1), n
+    def of_group(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("part")
+        return pa.Table.from_batches([row(key[0].as_py(), of_rows(list(zip(*(part.column(c).to_pylist() for c in names[1:]), strict=True))))])
+
+    parts = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(of_task, MOMENTS)
+    width = rows.rdd.getNumPartitions()
+    while width > fan_in:
+        parts, width = parts.withColumn("up", F.floor(F.col("part") / fan_in)).groupBy("up").applyInArrow(of_group, MOMENTS), -(-width // fan_in)
+    found = parts.orderBy("part").collect()  # fan_in rows at most
+    n, mean, products = of_rows([(r["n"], r["mean"], r["products"]) for r in found])
+    return mean, products / max(1, n - 1), n
 
 
 def independent_columns(covariance: np.ndarray, columns: list[str], least_variance: float = 1e-12, tolerance: float = 1e-6) -> list[str]:
@@ -149,32 +213,53 @@ def independent_columns(covariance: np.ndarray, columns: list[str], least_varian
     return [columns[j] for j in kept]
 
 
+FLAT = 0.01  # of its deviation over all rows, for a column that is constant in the kept share
+
+
+def _precision(covariance: np.ndarray, columns: list[str], spread: np.ndarray) -> tuple[list[int], np.ndarray, dict]:
+    """The columns that count, the inverse of their covariance, and its diagnostics.
+
+    Independent columns are those of this covariance. One without spread here that has some over all rows (``spread``, deviations) counts by itself with
+    ``FLAT`` of that: a row that leaves the constant is far away.
+    """
+    independent = [columns.index(c) for c in independent_columns(covariance, columns)]
+    d = np.sqrt(np.clip(np.diag(covariance), 0, None))
+    flat = [i for i in range(len(columns)) if d[i] ** 2 <= 1e-12 < spread[i] ** 2]
+    if independent:
+        scale = np.outer(d[independent], d[independent])
+        correlation = covariance[np.ix_(independent, independent)] / scale
+        values, inverse = np.linalg.eigvalsh(correlation), np.linalg.inv(correlation) / scale
+    else:
+        values, inverse = np.zeros(0), np.zeros((0, 0))
+    used = independent + flat
+    out = np.zeros((len(used), len(used)))
+    out[: len(independent), : len(independent)] = inverse
+    for at, i in enumerate(flat, len(independent)):
+        out[at, at] = 1 / (FLAT * spread[i]) ** 2
+    condition = float(values[-1] / values[0]) if len(values) and values[0] > 0 else float("inf")
+    return used, out, {"rank": int((values > 1e-10).sum()) + len(flat), "condition": condition, "flat": [columns[i] for i in flat], "dependent": len(columns) - len(used)}
+
+
 def fit_mahalanobis(rows: DataFrame, columns: list[str], support: float = 0.75, steps: int = 5) -> dict:
     """Robust centre and covariance: concentration steps that keep the ``support`` share of nearest rows.
 
-    Ranges are left out, as are columns that others determine. ``rank`` and ``condition`` describe the covariance.
+    Ranges are left out. In each step, columns that others determine in the rows kept are left out of the distance. ``rank`` and ``condition`` (of the
+    correlations), ``flat`` and ``dependent`` describe the last one.
     """
     columns = [c for c in columns if not c.endswith("_range")]
-    mean, covariance, n = _moments(rows, columns)
-    columns = independent_columns(covariance, columns)
-    if not columns:
-        return {"columns": [], "mean": [], "precision": [], "rank": 0, "condition": float("inf")}
     rows = kept(rows.select(*columns), "mahalanobis")
-    chosen = rows
-    for step in range(steps + 1):
-        mean, covariance, n = _moments(chosen, columns)
-        precision = np.linalg.pinv(covariance)
-        if step < steps and n > 2 * len(columns):
-            distance = mahalanobis({"columns": columns, "mean": mean.tolist(), "precision": precision.tolist()})
-            cut = rows.agg(F.percentile_approx(distance, support, 10_000)).first()[0]  # the share kept is off by a ten thousandth at most
-            chosen = rows.where(distance <= cut).select(*columns)
-    d = np.sqrt(np.diag(covariance))
-    d[d == 0] = 1.0
-    values = np.linalg.eigvalsh(covariance / np.outer(d, d))
-    return {
-        "columns": columns, "mean": mean.tolist(), "precision": precision.tolist(), "rank": int((values > 1e-10).sum()),
-        "condition": float(values[-1] / values[0]) if values[0] > 0 else float("inf"),
-    }
+    mean, covariance, n = _moments(rows, columns)
+    spread = np.sqrt(np.clip(np.diag(covariance), 0, None))
+    used, precision, about = _precision(covariance, columns, spread)
+    model = lambda: {"columns": [columns[i] for i in used], "mean": mean[used].tolist(), "precision": precision.tolist(), **about}
+    for _ in range(steps if used else 0):
+        if n <= 2 * len(used):
+            break
+        distance = mahalanobis(model())
+        cut = rows.agg(F.percentile_approx(distance, support, 10_000)).first()[0]  # the share kept is off by a ten thousandth at most
+        mean, covariance, n = _moments(rows.where(distance <= cut), columns)
+        used, precision, about = _precision(covariance, columns, spread)
+    return model()
 
 
 def mahalanobis(model: dict) -> Column:
@@ -183,12 +268,18 @@ def mahalanobis(model: dict) -> Column:
 
     @F.pandas_udf("double")
     def distance(x: pd.Series) -> pd.Series:
-        d = np.array(x.tolist(), float).reshape(len(x), len(mean)) - mean
-        return pd.Series(np.einsum("ij,ij->i", d @ precision, d)) if len(mean) else pd.Series(np.zeros(len(x)))
+        return pd.Series(mahalanobis_of(np.array(x.tolist(), float).reshape(len(x), max(1, len(mean))), mean, precision))
 
     return distance(F.array(*[F.col(c).cast("double") for c in model["columns"]]) if model["columns"] else F.array(F.lit(0.0)))
 
 
+def mahalanobis_of(x: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    if not len(mean):
+        return np.zeros(len(x))
+    d = x - mean
+    return np.einsum("ij,ij->i", d @ precision, d)
+
+
 # isolation forest
 
 TREE = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
@@ -260,27 +351,36 @@ def isolation_scores(rows: DataFrame, forest: DataFrame, columns: list[str], sub
     return forest_scores(rows, forest.orderBy("tree", "node").toPandas().to_dict("list"), columns, subsample)
 
 
+def trees_of(forest: dict[str, list]) -> list[dict[str, np.ndarray]]:
+    """The trees of a forest given as lists per column of ``TREE``, in order of tree and node."""
+    nodes = {k: np.array(v) for k, v in forest.items()}
+    if not len(nodes["tree"]):
+        return []
+    cuts = np.flatnonzero(np.diff(nodes["tree"])) + 1
+    return [dict(zip(nodes, parts, strict=True)) for parts in zip(*(np.split(v, cuts) for v in nodes.values()), strict=True)]
+
+
+def forest_of(x: np.ndarray, trees: list[dict[str, np.ndarray]], subsample: int = 256) -> np.ndarray:
+    """2 to the minus mean path length over the expected one."""
+    length = np.zeros(len(x))
+    for t in trees:
+        at = np.zeros(len(x), int)
+        for _ in range(int(t["depth"].max()) + 1):
+            inner = t["feature"][at] >= 0
+            go_left = x[np.arange(len(x)), np.maximum(t["feature"][at], 0)] <= t["split"][at]
+            at = np.where(inner, np.where(go_left, t["left"][at], t["right"][at]), at)
+        length += t["depth"][at] + _path_correction(t["size"][at])
+    return 2.0 ** (-length / max(1, len(trees)) / max(1e-9, float(_path_correction(np.array([subsample]))[0])))
+
+
 def forest_scores(rows: DataFrame, forest: dict[str, list], columns: list[str], subsample: int = 256) -> DataFrame:
     """``isolation_scores`` with the forest as lists per column of ``TREE``, in order of tree and node."""
-    nodes = {k: np.array(v) for k, v in forest.items()}
-    cuts = np.flatnonzero(np.diff(nodes["tree"])) + 1 if len(nodes["tree"]) else np.zeros(0, int)
-    trees = [dict(zip(nodes, parts, strict=True)) for parts in zip(*(np.split(v, cuts) for v in nodes.values()), strict=True)] if len(nodes["tree"]) else []
-    model = rows.sparkSession.sparkContext.broadcast(trees)
+    model = rows.sparkSession.sparkContext.broadcast(trees_of(forest))
     schema = T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[columns].to_numpy(float)
-            length = np.zeros(len(x))
-            for t in model.value:
-                at = np.zeros(len(x), int)
-                for _ in range(int(t["depth"].max()) + 1):
-                    inner = t["feature"][at] >= 0
-                    go_left = x[np.arange(len(x)), np.maximum(t["feature"][at], 0)] <= t["split"][at]
-                    at = np.where(inner, np.where(go_left, t["left"][at], t["right"][at]), at)
-                length += t["depth"][at] + _path_correction(t["size"][at])
-            mean = length / max(1, len(model.value))
-            yield batch.assign(raw_score=2.0 ** (-mean / max(1e-9, float(_path_correction(np.array([subsample]))[0]))))
+            yield batch.assign(raw_score=forest_of(batch[columns].to_numpy(float), model.value, subsample))
 
     return rows.mapInPandas(run, schema)
 
@@ -288,25 +388,65 @@ def forest_scores(rows: DataFrame, forest: dict[str, list], columns: list[str],
 # one-class boundary on random Fourier features
 
 
-def fit_one_class(rows: DataFrame, columns: list[str], nu: float = 0.05, width: int = 64, steps: int = 25, most: int = 8000, seed: int = 0) -> dict:
-    """A linear one-class boundary on random Fourier features of an RBF kernel (an approximation).
+BINS = 1024  # of scores, in each step
+
 
-    Fitted, as kernel machines must be, on a sample: the ``most`` rows of the smallest hashes, a documented bound.
-    Kernel width as 1 / (features * variance). Each step pulls the boundary towards the rows outside it.
+def fit_one_class(rows: DataFrame, columns: list[str], nu: float = 0.05, width: int = 64, steps: int = 25, seed: int = 0) -> dict:
+    """A linear one-class boundary on random Fourier features of an RBF kernel (an approximation), fitted on all rows.
+
+    Kernel width as 1 / (features * variance). Each step pulls the boundary towards the rows outside it, the ``nu`` share of lowest scores. Scores lie
+    within the length of the weights times the square root of two, so one pass counts them in ``BINS`` even bins and sums the Fourier features of each; the boundary
+    and the pull follow from these sums, the bin that the boundary crosses taken in proportion. A task sends a row per bin.
     """
-    x = np.array([list(r) for r in subsample(rows.select(*[F.col(c).cast("double") for c in columns]), columns, most, seed).collect()]).reshape(-1, len(columns))
-    variance = float(x.var()) if len(x) else 0.0
+    x = rows.select(*[F.col(c).cast("double") for c in columns])
+    mean, products, n = _moments(x, columns)
+    # the variance of all entries together, of every row and column
+    variance = float((np.trace(products) * max(1, n - 1) / max(1, n) + ((mean - mean.mean()) ** 2).sum()) / len(columns)) if n else 0.0
     rng = np.random.default_rng(seed)
     w = rng.standard_normal((width, len(columns))) * np.sqrt(2.0 / (len(columns) * (variance or 1.0)))
     b = rng.uniform(0, 2 * np.pi, width)
-    phi = np.cos(x @ w.T + b) * np.sqrt(2.0 / width)
+    model = {"columns": columns, "w": w.tolist(), "b": b.tolist()}
+    if not n:
+        return {**model, "weights": [1.0 / np.sqrt(width)] * width, "rho": 0.0}
+    phi = kept(x.select(fourier(model).alias("phi")), "fourier")
     weights, rho = np.full(width, 1.0 / np.sqrt(width)), 0.0
-    for step in range(1, steps + 1 if len(x) else 1):
-        score = phi @ weights
-        pull = phi[score < np.quantile(score, nu)].sum(axis=0) / (nu * len(x))
+    for step in range(1, steps + 2):
+        counts, sums, edges = _outside(phi, weights)
+        upto = np.cumsum(counts)
+        target = nu * n
+        at = int(np.searchsorted(upto, target))
+        before = upto[at - 1] if at else 0
+        part = (target - before) / max(1, counts[at])
+        rho = float(edges[at] + part * (edges[at + 1] - edges[at]))
+        if step > steps:  # the boundary of the last weights
+            break
+        pull = (sums[:at].sum(axis=0) + part * sums[at]) / target
         weights = weights * (1 - 1 / step) + pull / step
-        rho = float(np.quantile(phi @ weights, nu))
-    return {"columns": columns, "w": w.tolist(), "b": b.tolist(), "weights": weights.tolist(), "rho": rho}
+    return {**model, "weights": weights.tolist(), "rho": rho}
+
+
+def _outside(phi: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many rows have their score in each bin, the sums of their features, and the bins' edges."""
+    width = len(weights)
+    most = float(np.linalg.norm(weights) * np.sqrt(2.0)) + 1e-12
+    edges = np.linspace(-most, most, BINS + 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sums = np.zeros(BINS, np.int64), np.zeros((BINS, width))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            bin_ = np.clip(((x @ weights + most) * (BINS / (2 * most))).astype(int), 0, BINS - 1)
+            counts += np.bincount(bin_, minlength=BINS)
+            np.add.at(sums, bin_, x)
+        used = np.flatnonzero(counts)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * width, pa.int32()), pa.array(sums[used].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used]), flat], names=["bin", "n", "s"])
+
+    found = phi.mapInArrow(add, "bin int, n long, s array<double>").groupBy("bin").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(width)]).alias("s")).collect()  # BINS rows
+    counts, sums = np.zeros(BINS, np.int64), np.zeros((BINS, width))
+    for r in found:
+        counts[r["bin"]], sums[r["bin"]] = r["n"], r["s"]
+    return counts, sums, edges
 
 
 def fourier(model: dict) -> Column:
@@ -315,11 +455,15 @@ def fourier(model: dict) -> Column:
 
     @F.pandas_udf("array<double>")
     def features(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.cos(np.array(x.tolist(), float).reshape(len(x), w.shape[1]) @ w.T + b) * np.sqrt(2.0 / len(b))))
+        return pd.Series(list(fourier_of(np.array(x.tolist(), float).reshape(len(x), w.shape[1]), w, b)))
 
     return features(F.array(*[F.col(c).cast("double") for c in model["columns"]]))
 
 
+def fourier_of(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.cos(x @ w.T + b) * np.sqrt(2.0 / len(b))
+
+
 def _sum(columns: list[Column]) -> Column:
     return reduce(Column.__add__, columns)
 

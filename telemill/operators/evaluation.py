@@ -119,14 +119,20 @@ def false_positives(scored: DataFrame, threshold: Column | float) -> DataFrame:
 
 
 def false_positive_profile(scored: DataFrame, threshold: Column | float) -> DataFrame:
-    """(dimension, value, n): false alarms by machine (the ten worst), by hour and by state, and in all."""
-    wrong = false_positives(scored, threshold)
+    """(dimension, value, n, share, median_fraction): false alarms by machine (the ten worst), by hour and by state; the row ``all`` has their share of all alarms and
+    the median share of anomalous samples in their windows."""
+    wrong = kept(false_positives(scored, threshold), "false-alarms")
     hour = F.lpad((F.floor(F.col("window_start") / 3600) % 24).cast("string"), 2, "0")
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (
         ("all", F.lit("")), ("machine", F.col("machine_id")), ("hour", hour), ("state", F.col("machine_state")))]))
     counts = wrong.select(each.alias("e")).groupBy("e.dimension", "e.value").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("dimension").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("_r", rank).where((F.col("dimension") != "machine") | (F.col("_r") <= 10)).drop("_r")
+    few = counts.withColumn("_r", rank).where((F.col("dimension") != "machine") | (F.col("_r") <= 10)).drop("_r")
+    alarms = scored.agg(F.count_if(F.col("score") >= threshold).alias("_alarms"))
+    middle = ranking.quantile_columns(wrong, [], "anomaly_fraction", {"_median": 0.5})
+    whole = F.col("dimension") == "all"
+    return few.crossJoin(alarms).crossJoin(middle).select(  # single rows
+        "dimension", "value", "n", F.when(whole, F.col("n") / F.greatest("_alarms", F.lit(1))).alias("share"), F.when(whole, F.col("_median")).alias("median_fraction"))
 
 
 def missed_profile(outcomes: DataFrame) -> DataFrame:

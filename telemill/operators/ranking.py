@@ -3,6 +3,9 @@
 Equal values are counted first. Distinct values are dealt to range partitions (Spark samples the bounds), partitions
 are summed, and only inside a partition values are ordered. Memory per task does not depend on how
 scores crowd, on the number of keys, or on how many rows share a value.
+
+Beside it, mergeable sketches (KLL): one pass, a few kilobytes a group. They keep every value of a group of up to ``k`` and are then
+exact; beyond, a quantile's rank is off by at most about ``2.3 / k ** 0.97`` of the group with 99 % confidence.
 """
 
 from __future__ import annotations
@@ -74,3 +77,37 @@ def quantile_columns(rows: DataFrame, keys: list[str], column: str | Column, nam
     """(keys, a column per name): quantiles side by side; with no keys one row, of nulls where there is no value."""
     q = quantiles(rows, keys, column, tuple(named.values()))
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(named)])
+
+
+SKETCH = 2048  # values that a sketch keeps before it starts to thin them: a rank error of 0.14 % beyond that
+
+
+def finite(x: Column) -> Column:
+    """The value as a double, null where it is not a number."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def sketch(x: Column, k: int = SKETCH) -> Column:
+    return F.kll_sketch_agg_double(x, F.lit(k))
+
+
+def merged_sketch(sketches: Column, k: int = SKETCH) -> Column:
+    return F.kll_merge_agg_double(sketches, F.lit(k))
+
+
+def sketch_quantiles(sketched: Column, probabilities: list[float], k: int = SKETCH) -> Column:
+    """An array of quantiles, interpolated between the values at neighbouring ranks; nulls where the sketch is empty.
+
+    The sketch is asked at ``k`` even ranks, as ranks must be constants; of up to ``k`` values each has one of these to itself.
+    """
+    n = F.kll_sketch_get_n_double(sketched)
+    ranks = F.expr(f"array({', '.join(repr((i + 0.5) / k) + 'D' for i in range(k))})")
+    values = F.kll_sketch_get_quantile_double(sketched, ranks)
+    value = lambda v, rank: F.get(v, F.least(F.floor((rank + 0.5) / n * k), F.lit(k - 1)).cast("int"))
+    place = lambda p: p * (n - 1)
+    between = lambda v, p: value(v, F.floor(place(p))) + (value(v, F.ceil(place(p))) - value(v, F.floor(place(p)))) * (place(p) - F.floor(place(p)))
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    # an array of one, so that the values are looked up once
+    got = F.transform(F.array(values), lambda v: F.transform(wanted, lambda p: between(v, p)))[0]
+    return F.when(n > 0, got).otherwise(F.array(*[F.lit(None).cast("double") for _ in probabilities]))

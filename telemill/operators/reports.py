@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemill.functions import contracts as C
 from telemill.operators.alerting import out_of_order
 from telemill.operators.ranking import quantile_columns, running
 
 
 def update_ratio(scored: DataFrame) -> DataFrame:
-    """Messages per window: how often windows are emitted again."""
-    per = scored.groupBy("machine_id", "window_start").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("messages"), F.count(F.lit(1)).alias("windows"), F.max("n").alias("most"), F.try_divide(F.sum("n"), F.count(F.lit(1))).alias("ratio"))
+    """One row on scored messages: how often windows are emitted again, how many were scored and anomalous, and why the others were not scored."""
+    per = scored.groupBy("machine_id", "window_start").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_scored").alias("_scored"), F.count_if(F.col("is_scored") & F.col("is_anomaly")).alias("_anomalous"),
+        *[F.count_if(~F.col("is_scored") & F.col("skip_reason").eqNullSafe(r)).alias(f"_{r}") for r in C.SKIP_REASONS],
+    )
+    return per.agg(
+        F.sum("n").alias("messages"), F.count(F.lit(1)).alias("windows"), F.max("n").alias("most"), F.try_divide(F.sum("n"), F.count(F.lit(1))).alias("ratio"), F.count_distinct("machine_id").alias("machines"),
+        F.sum("_scored").alias("scored"), F.sum("_anomalous").alias("anomalous"), *[F.sum(f"_{r}").alias(f"skipped_{r.lower()}") for r in C.SKIP_REASONS],
+    )
 
 
 def delay_statistics(scored: DataFrame) -> DataFrame:
@@ -25,8 +32,15 @@ def delay_statistics(scored: DataFrame) -> DataFrame:
 
 
 def duplicate_deliveries(alerts: DataFrame) -> DataFrame:
-    per = alerts.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"), F.min("consecutive_windows").alias("a"), F.max("consecutive_windows").alias("b"))
-    return per.agg(F.count(F.lit(1)).alias("alert_ids"), F.sum(F.col("n") - 1).alias("duplicates"), F.min("a").alias("fewest_windows"), F.max("b").alias("most_windows"))
+    """One row on alert messages: distinct alerts, deliveries beyond the first, machines, messages by severity, least and most windows at opening."""
+    per = alerts.groupBy("alert_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("consecutive_windows").alias("a"), F.max("consecutive_windows").alias("b"), *[F.count_if(F.col("severity") == x).alias(f"_{x}") for x in C.SEVERITIES],
+    )
+    machines = alerts.agg(F.count_distinct("machine_id").alias("machines"))
+    return per.agg(
+        F.sum("n").alias("messages"), F.count(F.lit(1)).alias("alert_ids"), F.sum(F.col("n") - 1).alias("duplicates"), F.min("a").alias("fewest_windows"), F.max("b").alias("most_windows"),
+        *[F.sum(f"_{x}").alias(f"severity_{x.lower()}") for x in C.SEVERITIES],
+    ).crossJoin(machines)  # single rows
 
 
 def dead_letters(envelopes: DataFrame) -> DataFrame:
@@ -52,28 +66,47 @@ def nearest_rank(rows: DataFrame, column: str, fractions: tuple[float, ...]) ->
     return spread.where((place >= F.col("_to") - F.col("_c")) & (place < F.col("_to"))).select("fraction", "value")
 
 
+def long_rows(row: DataFrame) -> DataFrame:
+    """A single row as (kind, value, n), a row per column, ``value`` null."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(None).cast("string").alias("value"), F.col(c).cast("long").alias("n")) for c in row.columns]))
+    return row.select(each.alias("e")).select("e.kind", "e.value", "e.n")
+
+
+def counted(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(kind, value, n): how often each value of each column occurs, in one pass; missing values are left out."""
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in kinds.items()]))
+    return rows.select(each.alias("e")).where(F.col("e.value").isNotNull()).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def raw_topic(records: DataFrame) -> DataFrame:
-    """One row on raw samples with their coordinates and key: mismatched keys, spread machines, order, nulls, lateness, span."""
+    """(kind, value, n) on raw samples with their coordinates and key: missing and mismatched keys, spread machines, order, nulls, lateness, span; counts by state, machine and partition."""
     spread = records.groupBy("machine_id").agg(F.count_distinct("partition").alias("_p")).agg(F.count_if(F.col("_p") > 1).alias("machines_on_partitions"), F.count(F.lit(1)).alias("machines"))
     late = nearest_rank(records, "lateness_seconds", (0.5, 0.95, 0.99)).groupBy().pivot("fraction", [0.5, 0.95, 0.99]).agg(F.first("value")).toDF("lateness_p50", "lateness_p95", "lateness_p99")
     turned = out_of_order(records, "offset").agg(F.count(F.lit(1)).alias("out_of_order"))
-    return (
-        records.agg(
-            F.count(F.lit(1)).alias("messages"), F.count_if(~F.col("key").eqNullSafe(F.col("machine_id"))).alias("key_mismatches"),
-            F.sum("null_count").alias("null_readings"), F.unix_micros(F.min("event_time")).alias("first_us"), F.unix_micros(F.max("event_time")).alias("last_us"),
-        ).crossJoin(spread).crossJoin(turned).crossJoin(late)  # single rows
-    )
+    one = records.agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if(F.col("key").isNull()).alias("missing_keys"), F.count_if(F.col("key") != F.col("machine_id")).alias("key_mismatches"),
+        F.sum("null_count").alias("null_readings"), F.unix_micros(F.min("event_time")).alias("first_us"), F.unix_micros(F.max("event_time")).alias("last_us"), F.max("lateness_seconds").alias("lateness_max"),
+    ).crossJoin(spread).crossJoin(turned).crossJoin(late)  # single rows
+    return long_rows(one).unionByName(counted(records, {"state": "machine_state", "machine": "machine_id", "partition": "partition"}))
 
 
 def label_topic(labels: DataFrame) -> DataFrame:
-    """(kind, value, n): anomalous and normal labels, by type and by machine, and the number of episodes."""
-    each = F.explode(F.array(
-        F.struct(F.lit("is_anomaly").alias("kind"), F.col("is_anomaly").cast("string").alias("value")),
-        F.struct(F.lit("type").alias("kind"), F.col("anomaly_type").alias("value")), F.struct(F.lit("machine").alias("kind"), F.col("machine_id").alias("value")),
-    ))
-    counts = labels.select(each.alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
-    episodes = labels.agg(F.lit("episodes").alias("kind"), F.lit(None).cast("string").alias("value"), F.count_distinct("episode_id").alias("n"))
-    return counts.unionByName(episodes)
+    """(kind, value, n): anomalous and normal labels, by type, by source and by machine, the number of episodes, and the lag of labels behind their events."""
+    rows = labels.withColumn("_lag", F.unix_millis("emitted_at") - F.unix_millis("event_time"))
+    one = rows.agg(F.count_distinct("episode_id").alias("episodes"), F.max("_lag").alias("lag_max_ms"))
+    middle = nearest_rank(rows, "_lag", (0.5,)).agg(F.max("value").alias("lag_p50_ms"))
+    return counted(labels, {"is_anomaly": "is_anomaly", "type": "anomaly_type", "machine": "machine_id", "source": "source"}).unionByName(long_rows(one.crossJoin(middle)))  # single rows
+
+
+def tables(**named: tuple[DataFrame, str]) -> DataFrame:
+    """Report tables in long form, (table, row, metric, value): for each name a table and the column that names its rows; its numbers and flags are the metrics."""
+    out = None
+    for name, (df, key) in named.items():
+        metrics = [c for c, kind in df.dtypes if c != key and (kind in ("int", "bigint", "double", "float", "boolean") or kind.startswith("decimal"))]
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+        rows = df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("row"), each.alias("e")).select("table", "row", "e.metric", "e.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def admission_counts(windows: DataFrame) -> DataFrame:

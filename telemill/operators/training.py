@@ -57,7 +57,7 @@ def with_detector(model: dict, rows: DataFrame, detector: str) -> dict:
     else:
         raise ValueError(f"no detector {detector}")
     model = {**model, "detector": {"name": detector, **fit}}
-    return {**model, "calibration": calibration.fit_ecdf(raw_scores(rows, model), "raw_score")}
+    return {**model, "calibration": calibration.fit_ecdf(raw_scores(rows, model), "raw_score", exact=False)}
 
 
 def fitted(windows: DataFrame, features: list[str], detector: str = "three_sigma") -> dict:
@@ -167,9 +167,3 @@ def champion(rows: DataFrame) -> DataFrame:
     """``challenger`` wins when it beats champion and baseline in (episode recall, F1) on the same test set, else ``champion`` stays."""
     key = F.max(F.when(F.col("role") != "challenger", F.struct("episode_recall", "f1"))) < F.max(F.when(F.col("role") == "challenger", F.struct("episode_recall", "f1")))
     return rows.agg(F.when(key, "challenger").otherwise("champion").alias("winner"))
-
-
-def report(results: DataFrame) -> DataFrame:
-    """The comparison in long form: (name, metric, value)."""
-    metrics = [c for c, kind in results.dtypes if kind == "double"]
-    return results.select("name", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("e")).select("name", "e.metric", "e.value")

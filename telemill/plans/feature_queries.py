@@ -72,10 +72,16 @@ def agg_first_last_by_time(spark, d):
     return rows.select("machine_id", F.unix_seconds("window_start").alias("window_start"), near("_power_kw_first", 6).alias("first_power"), near("_power_kw_last", 6).alias("last_power"))
 
 
-@query("pane_features", BASE + "SELECT machine_id, window_start, sample_count, round(power_kw_mean, 6) + 0 AS power_kw_mean, round(power_kw_stddev, 4) + 0 AS power_kw_stddev FROM features")
+@query("pane_features", t.with_(t.SAMPLES, t.window_sql(), t.features_sql()) + "SELECT machine_id, window_start, " + ", ".join(f"round({c}, 6) + 0 AS {c}" if c != "sample_count" else c for c in C.feature_names()) + ", TRUE AS same FROM features")
 def pane_features(spark, d):
-    rows = X.pane_features(t.samples(spark, d), t.WINDOW, t.SLIDE)
-    return rows.select(*KEYS, "sample_count", (near("power_kw_mean", 6) + 0.0).alias("power_kw_mean"), (near("power_kw_stddev", 4) + 0.0).alias("power_kw_stddev"))
+    """All 52 features from panes, and whether each equals that of windows aggregated sample by sample to a billionth."""
+    panes, direct = X.pane_features(t.samples(spark, d), t.WINDOW, t.SLIDE), X.derived(X.sliding(t.samples(spark, d), t.WINDOW, t.SLIDE))
+    direct = direct.select("machine_id", F.unix_seconds("window_start").alias("window_start"), *[F.col(c).alias(f"_{c}") for c in C.feature_names()])
+    same = F.lit(True)
+    for c in C.feature_names():
+        a, b = F.col(c), F.col(f"_{c}")
+        same &= a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(b)), F.lit(False))
+    return t.rounded(panes.join(direct, KEYS, "full_outer").select(*KEYS, *C.feature_names(), same.alias("same")))
 
 
 @query("join_range_window_samples", t.with_(t.SAMPLES, t.window_sql()) + "SELECT machine_id, window_start, count(*) AS n FROM windowed GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from telemill.functions import contracts as C
 from telemill.functions import scalars as S
 from telemill.operators import alerting, constraints, reports
-from telemill.sources import ingest, tables
+from telemill.sources import ingest, tables, versions
 from telemill.plans import tables as t
 from telemill.plans.registry import near, query
 from telemill.plans.scratch import scratch
@@ -244,9 +244,17 @@ def fn_sha256_digest(spark, d):
 # topic reports
 
 
-@query("agg_update_ratio", "SELECT CAST(count(*) AS BIGINT) AS messages, count(DISTINCT (l_suppkey, l_shipdate)) AS windows, (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_shipdate)) AS most, round(count(*) / count(DISTINCT (l_suppkey, l_shipdate)), 6) AS ratio FROM lineitem")
+SKIPPED = "CASE l_linenumber % 4 WHEN 1 THEN 'MACHINE_NOT_RUNNING' WHEN 2 THEN 'INSUFFICIENT_SAMPLES' WHEN 3 THEN 'WINDOW_NOT_MATURE' END"
+
+
+@query("agg_update_ratio", f"WITH m AS (SELECT l_suppkey, l_shipdate, l_quantity > 20 AS scored, l_discount > 0.05 AS bad, CASE WHEN l_quantity <= 20 THEN {SKIPPED} END AS reason FROM lineitem) "
+       + "SELECT count(*) AS messages, count(DISTINCT (l_suppkey, l_shipdate)) AS windows, (SELECT max(n) FROM (SELECT count(*) AS n FROM m GROUP BY l_suppkey, l_shipdate)) AS most, round(count(*) / count(DISTINCT (l_suppkey, l_shipdate)), 6) AS ratio,"
+       + " count(DISTINCT l_suppkey) AS machines, count(*) FILTER (WHERE scored) AS scored, count(*) FILTER (WHERE scored AND bad) AS anomalous, "
+       + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS skipped_{r.lower()}" for r in C.SKIP_REASONS) + " FROM m")
 def agg_update_ratio(spark, d):
-    rows = t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("machine_id"), F.col("l_shipdate").alias("window_start"))
+    scored = F.col("l_quantity") > 20
+    rows = t.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("machine_id"), F.col("l_shipdate").alias("window_start"), scored.alias("is_scored"), (F.col("l_discount") > 0.05).alias("is_anomaly"), F.when(~scored, F.expr(SKIPPED)).alias("skip_reason"))
     return t.rounded(reports.update_ratio(rows))
 
 
@@ -257,9 +265,14 @@ def agg_delay_stats(spark, d):
     return t.rounded(reports.delay_statistics(rows))
 
 
-@query("agg_duplicate_deliveries", "SELECT count(DISTINCT l_orderkey) AS alert_ids, count(*) - count(DISTINCT l_orderkey) AS duplicates, min(l_linenumber) AS fewest_windows, max(l_linenumber) AS most_windows FROM lineitem")
+GRADE = "CASE l_linenumber % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END"
+
+
+@query("agg_duplicate_deliveries", "SELECT count(*) AS messages, count(DISTINCT l_orderkey) AS alert_ids, count(*) - count(DISTINCT l_orderkey) AS duplicates, min(l_linenumber) AS fewest_windows, max(l_linenumber) AS most_windows, "
+       + ", ".join(f"count(*) FILTER (WHERE {GRADE} = '{x}') AS severity_{x.lower()}" for x in C.SEVERITIES) + ", count(DISTINCT l_suppkey) AS machines FROM lineitem")
 def agg_duplicate_deliveries(spark, d):
-    rows = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alert_id"), F.col("l_linenumber").alias("consecutive_windows"))
+    rows = t.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("alert_id"), F.col("l_suppkey").alias("machine_id"), F.col("l_linenumber").alias("consecutive_windows"), F.expr(GRADE).alias("severity"))
     return reports.duplicate_deliveries(rows)
 
 
@@ -277,18 +290,29 @@ def agg_late_report(spark, d):
 RANK = "(SELECT lag FROM (SELECT lag, row_number() OVER (ORDER BY lag) - 1 AS i FROM late) WHERE i = (SELECT CAST(round_even({q} * (count(*) - 1), 0) AS BIGINT) FROM late))"
 
 
-@query("agg_raw_topic_report", t.with_(t.SAMPLES, 'late AS (SELECT "offset" % 400 AS lag FROM samples)') + f"""
-SELECT count(*) AS messages, 0::BIGINT AS key_mismatches, CAST(sum({' + '.join(f'({s} IS NULL)::INT' for s in C.SENSORS)}) AS BIGINT) AS null_readings, epoch_us(min(event_time)) AS first_us, epoch_us(max(event_time)) AS last_us,
+KEYED = "CASE WHEN \"offset\" % 29 = 0 THEN NULL WHEN \"offset\" % 31 = 0 THEN 'M-999' ELSE machine_id END"
+ONE_ROW = f"""SELECT count(*) AS messages, count(*) - count(key) AS missing_keys, count(*) FILTER (WHERE key <> machine_id) AS key_mismatches, CAST(sum({' + '.join(f'({s} IS NULL)::INT' for s in C.SENSORS)}) AS BIGINT) AS null_readings,
+  epoch_us(min(event_time)) AS first_us, epoch_us(max(event_time)) AS last_us, (SELECT max(lag) FROM late) AS lateness_max,
   (SELECT count(*) FROM (SELECT machine_id FROM samples GROUP BY 1 HAVING count(DISTINCT "partition") > 1)) AS machines_on_partitions, count(DISTINCT machine_id) AS machines,
   (SELECT count(*) FROM (SELECT event_time, max(event_time) OVER (PARTITION BY machine_id ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM samples) WHERE event_time < m) AS out_of_order,
-  {RANK.format(q=0.5)} AS lateness_p50, {RANK.format(q=0.95)} AS lateness_p95, {RANK.format(q=0.99)} AS lateness_p99 FROM samples""")
+  {RANK.format(q=0.5)} AS lateness_p50, {RANK.format(q=0.95)} AS lateness_p95, {RANK.format(q=0.99)} AS lateness_p99 FROM (SELECT *, {KEYED} AS key FROM samples)"""
+
+
+@query("agg_raw_topic_report", t.with_(t.SAMPLES, 'late AS (SELECT "offset" % 400 AS lag FROM samples)', f"one AS ({ONE_ROW})") + """
+SELECT kind, NULL AS value, n FROM (SELECT """ + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in (
+    "messages", "missing_keys", "key_mismatches", "null_readings", "first_us", "last_us", "lateness_max", "machines_on_partitions", "machines", "out_of_order", "lateness_p50", "lateness_p95", "lateness_p99")) + """ FROM one) UNPIVOT (n FOR kind IN (COLUMNS(*)))
+UNION ALL SELECT 'state', machine_state, count(*) FROM samples GROUP BY 2 UNION ALL SELECT 'machine', machine_id, count(*) FROM samples GROUP BY 2 UNION ALL SELECT 'partition', CAST("partition" AS VARCHAR), count(*) FROM samples GROUP BY 2""")
 def agg_raw_topic_report(spark, d):
-    rows = t.samples(spark, d).withColumns({"key": F.col("machine_id"), "null_count": S.null_count(), "lateness_seconds": ingest.lateness()})
+    rows = t.samples(spark, d).withColumns({"key": F.expr(KEYED.replace('"', "`")), "null_count": S.null_count(), "lateness_seconds": ingest.lateness()})
     return reports.raw_topic(rows)
 
 
-@query("agg_label_topic_report", t.with_(t.SAMPLES, t.LABELS) + """SELECT 'is_anomaly' AS kind, 'true' AS value, count(*) AS n FROM labelled UNION ALL SELECT 'type', anomaly_type, count(*) FROM labelled GROUP BY 2
-UNION ALL SELECT 'machine', machine_id, count(*) FROM labelled GROUP BY 2 UNION ALL SELECT 'episodes', NULL, count(DISTINCT episode_id) FROM labelled""")
+LAG_RANK = "(SELECT lag FROM (SELECT lag, row_number() OVER (ORDER BY lag) - 1 AS i FROM lags) WHERE i = (SELECT CAST(round_even(0.5 * (count(*) - 1), 0) AS BIGINT) FROM lags))"
+
+
+@query("agg_label_topic_report", t.with_(t.SAMPLES, t.LABELS, "lags AS (SELECT epoch_ms(emitted_at) - epoch_ms(event_time) AS lag FROM labelled)") + f"""SELECT 'is_anomaly' AS kind, 'true' AS value, count(*) AS n FROM labelled UNION ALL SELECT 'type', anomaly_type, count(*) FROM labelled GROUP BY 2
+UNION ALL SELECT 'machine', machine_id, count(*) FROM labelled GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM labelled GROUP BY 2 UNION ALL SELECT 'episodes', NULL, count(DISTINCT episode_id) FROM labelled
+UNION ALL SELECT 'lag_max_ms', NULL, max(lag) FROM lags UNION ALL SELECT 'lag_p50_ms', NULL, {LAG_RANK}""")
 def agg_label_topic_report(spark, d):
     return reports.label_topic(t.labels(spark, d))
 
@@ -316,9 +340,14 @@ incoming AS (SELECT * FROM w WHERE l_linenumber > 2 QUALIFY row_number() OVER (P
   s.machine_id IS NULL AS was_inserted FROM stored s FULL JOIN incoming i ON s.machine_id = i.machine_id AND s.window_start = i.window_start""")
 def snk_upsert_window(spark, d):
     order = [F.col("seq"), F.col("l_linenumber")]
-    stored = tables.latest(windows_by_supplier(spark, d, 1, 2), ["machine_id", "window_start"], order)
-    merged = tables.upsert_windows(stored, windows_by_supplier(spark, d, 3, 99), order)
-    return merged.select("machine_id", F.unix_micros("window_start").alias("window_start"), "score", "was_inserted")
+    first, later = windows_by_supplier(spark, d, 1, 2), windows_by_supplier(spark, d, 3, 99)
+    table = versions.VersionedTable(spark, scratch(spark, "windows-table"), first.schema, F.col("machine_id") % 4)
+    merge = lambda stored, new: tables.upsert_windows(stored, new, order)
+    table.apply(first, 0, merge)
+    merged = table.apply(later, 1, merge)
+    assert table.apply(later, 1, merge) is None  # delivered again
+    untouched = table.read().join(merged.select("machine_id", "window_start"), ["machine_id", "window_start"], "left_anti").withColumn("was_inserted", F.lit(False))
+    return merged.select(*first.columns, "was_inserted").unionByName(untouched).select("machine_id", F.unix_micros("window_start").alias("window_start"), "score", "was_inserted")
 
 
 @query("wfn_latest_emission", t.with_(WRITES) + "SELECT machine_id, epoch_us(window_start) AS window_start, max(seq) AS seq FROM w GROUP BY ALL")
@@ -333,16 +362,25 @@ merged AS (SELECT coalesce(a.alert_id, i.alert_id) AS alert_id, coalesce(a.statu
   a.alert_id IS NULL AS was_inserted, coalesce(i.alert_id IS NOT NULL AND a.status = 'NEW', FALSE) AS was_changed FROM alerts a FULL JOIN incoming i ON a.alert_id = i.alert_id)"""
 
 
-def merged_alerts(spark, d):
+def alert_writes(spark, d):
+    """Stored alerts, and a batch of known and new ones."""
     stored = t.alerts(spark, d).select("alert_id", "machine_id", "status", "severity", "anomaly_score")
     again = stored.where("alert_id % 4 = 0").withColumns({"status": F.lit("NEW"), "severity": F.lit("CRITICAL"), "anomaly_score": F.lit(0.99)})
     new = stored.where("alert_id % 100 = 0").withColumns({"alert_id": F.col("alert_id") + 100_000_000, "status": F.lit("NEW"), "severity": F.lit("HIGH"), "anomaly_score": F.lit(0.5)})
-    return tables.upsert_alerts(stored, again.unionByName(new))
+    return stored, again.unionByName(new)
+
+
+def merged_alerts(spark, d):
+    return tables.upsert_alerts(*alert_writes(spark, d))
 
 
 @query("snk_upsert_alert", t.with_(t.ALERTS, MERGED) + "SELECT * FROM merged")
 def snk_upsert_alert(spark, d):
-    return merged_alerts(spark, d).select("alert_id", "status", "severity", "was_inserted", "was_changed")
+    """Two batches merged into a versioned table; the rows as the second one wrote them."""
+    first, later = alert_writes(spark, d)
+    table = versions.VersionedTable(spark, scratch(spark, "alerts-table"), first.schema, F.pmod(F.xxhash64("alert_id"), F.lit(4)))
+    table.apply(first, 0, tables.upsert_alerts)
+    return table.apply(later, 1, tables.upsert_alerts).select("alert_id", "status", "severity", "was_inserted", "was_changed")
 
 
 @query("lc_change_feed", t.with_(t.ALERTS, MERGED) + "SELECT alert_id, CASE WHEN was_inserted THEN 'created' ELSE 'updated' END AS event FROM merged WHERE was_inserted OR was_changed")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
 from telemill.functions import scalars as S
-from telemill.operators import alerting, artifacts, calibration, constraints, detectors, drift, evaluation, labels, policy, training
+from telemill.operators import alerting, artifacts, calibration, constraints, detectors, drift, evaluation, labels, policy, reports, scorer, training
 from telemill.plans import feature_queries as fq
 from telemill.plans import tables as t
 from telemill.plans.registry import near, query
@@ -227,9 +227,12 @@ def split_windows(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("agg_split_summary", t.with_(t.SAMPLES, t.LABELS, SPLIT, f"w AS (SELECT split, machine_id, epoch_us(event_time) // 1000000 // {t.WINDOW} * {t.WINDOW} AS window_start, count(*) AS n, count(*) FILTER (WHERE power_kw >= 100) AS bad FROM split GROUP BY 1, 2, 3)") + """
+SPLIT_SQL = t.with_(t.SAMPLES, t.LABELS, SPLIT, f"w AS (SELECT split, machine_id, epoch_us(event_time) // 1000000 // {t.WINDOW} * {t.WINDOW} AS window_start, count(*) AS n, count(*) FILTER (WHERE power_kw >= 100) AS bad FROM split GROUP BY 1, 2, 3)") + """
 SELECT split, count(*) AS windows, count(DISTINCT machine_id) AS machines, round((max(window_start) - min(window_start)) / 3600, 6) AS hours, count(*) FILTER (WHERE bad / n >= 0.25) AS anomalous,
-  round(avg((bad / n >= 0.25)::INT), 6) AS prevalence, count(DISTINCT CASE WHEN bad > 0 THEN machine_id || window_start END) AS episodes, min(window_start) AS first_window, max(window_start) AS last_window FROM w GROUP BY 1""")
+  round(avg((bad / n >= 0.25)::INT), 6) AS prevalence, count(DISTINCT CASE WHEN bad > 0 THEN machine_id || window_start END) AS episodes, min(window_start) AS first_window, max(window_start) AS last_window FROM w GROUP BY 1"""
+
+
+@query("agg_split_summary", SPLIT_SQL)
 def agg_split_summary(spark, d):
     rows = labels.temporal_split(t.samples(spark, d), 240, 480)
     bad = labels.align(t.labels(spark, d).join(rows.select("event_id", "split"), "event_id").withColumn("machine_id", F.concat_ws("|", "machine_id", "split")),
@@ -355,8 +358,11 @@ points AS (SELECT quantile, threshold, count(*) FILTER (WHERE score >= threshold
 """
 
 
-@query("ev_operating_points", POINTS + """SELECT quantile, round(threshold, 6) AS threshold, alert_windows, alert_events, episodes_detected, episodes_total, round(tp / positives, 6) AS window_recall,
-  round(alert_events / hours / machines, 6) AS alert_events_per_machine_hour FROM points""")
+POINTS_SQL = POINTS + """SELECT quantile, round(threshold, 6) AS threshold, alert_windows, alert_events, episodes_detected, episodes_total, round(tp / positives, 6) AS window_recall,
+  round(alert_events / hours / machines, 6) AS alert_events_per_machine_hour FROM points"""
+
+
+@query("ev_operating_points", POINTS_SQL)
 def ev_operating_points(spark, d):
     return t.rounded(points(spark, d).select("quantile", "threshold", "alert_windows", "alert_events", "episodes_detected", "episodes_total", "window_recall", "alert_events_per_machine_hour"))
 
@@ -367,15 +373,19 @@ def ev_select_budget(spark, d):
 
 
 @query("ev_false_positive_profile", EV + f""", wrong AS (SELECT *, lpad(CAST(window_start // 3600 % 24 AS VARCHAR), 2, '0') AS h FROM scored WHERE {HIT} AND NOT is_anomaly)
-SELECT 'all' AS dimension, '' AS value, count(*) AS n FROM wrong HAVING count(*) > 0 UNION ALL SELECT 'hour', h, count(*) FROM wrong GROUP BY 2 UNION ALL SELECT 'state', machine_state, count(*) FROM wrong GROUP BY 2
-UNION ALL SELECT * FROM (SELECT 'machine', machine_id, count(*) FROM wrong GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
+SELECT 'all' AS dimension, '' AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM scored WHERE {HIT}), 6) AS share, round(median(anomaly_fraction), 6) + 0 AS median_fraction FROM wrong HAVING count(*) > 0
+UNION ALL SELECT 'hour', h, count(*), NULL, NULL FROM wrong GROUP BY 2 UNION ALL SELECT 'state', machine_state, count(*), NULL, NULL FROM wrong GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'machine', machine_id, count(*), NULL, NULL FROM wrong GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
 def ev_false_positive_profile(spark, d):
-    return evaluation.false_positive_profile(scored(spark, d), 0.35)
+    return t.rounded(evaluation.false_positive_profile(scored(spark, d), 0.35))
 
 
-@query("ev_missed_profile", EV + OUT + """SELECT anomaly_type, count(*) AS total, count(*) FILTER (WHERE NOT detected) AS missed, count(*) FILTER (WHERE detected) AS found,
+MISSED_SQL = EV + OUT + """SELECT anomaly_type, count(*) AS total, count(*) FILTER (WHERE NOT detected) AS missed, count(*) FILTER (WHERE detected) AS found,
   round(median(duration_seconds) FILTER (WHERE NOT detected), 3) AS median_missed_seconds, round(median(duration_seconds) FILTER (WHERE detected), 3) AS median_detected_seconds,
-  round(median(max_score) FILTER (WHERE NOT detected), 6) AS median_missed_score FROM outcomes GROUP BY 1""")
+  round(median(max_score) FILTER (WHERE NOT detected), 6) AS median_missed_score FROM outcomes GROUP BY 1"""
+
+
+@query("ev_missed_profile", MISSED_SQL)
 def ev_missed_profile(spark, d):
     rows = evaluation.missed_profile(evaluation.episode_outcomes(scored(spark, d), episodes(spark, d), 0.35))
     return rows.withColumns({"median_missed_seconds": near("median_missed_seconds", 3), "median_detected_seconds": near("median_detected_seconds", 3), "median_missed_score": near("median_missed_score", 6)})
@@ -385,8 +395,6 @@ def ev_missed_profile(spark, d):
   count(*) FILTER (WHERE state AND NOT idle AND NOT few) AS state_alone, round(count(*) FILTER (WHERE state AND NOT idle AND NOT few) / count(*) FILTER (WHERE NOT idle AND NOT few), 6) AS state_alone_share
 FROM (SELECT sample_count < {t.GATE} AS few, running_ratio < 0.9 AS idle, machine_state <> 'RUNNING' AS state FROM features)""")
 def agg_conditional_counts(spark, d):
-    from telemill.operators import reports
-
     return t.rounded(reports.admission_counts(t.features(spark, d).withColumn("min_samples", F.lit(t.GATE))))
 
 
@@ -398,11 +406,6 @@ def ml_train_pipeline(spark, d):
     return t.rounded(training.run(t.samples(spark, d), t.labels(spark, d), training.Settings(window=t.WINDOW, slide=t.SLIDE, gate=t.GATE, train_hours=240, validation_hours=480, features=tuple(ALL))))
 
 
-@query("ev_report_tables")
-def ev_report_tables(spark, d):
-    return training.report(ml_train_pipeline(spark, d))
-
-
 # Simple scores of the windows, so that SQL can compute what the choice rests on.
 SCORES = {"power": "power / 200", "temperature": "(temperature - 20) / 20", "pressure": "pressure / 5", "mixture": "(power / 200 + pressure / 5) / 2"}
 COMPARED = EV.replace("avg(power_kw) AS power FROM windowed", "avg(power_kw) AS power, avg(temperature_c) AS temperature, avg(pressure_bar) AS pressure FROM windowed") + """,
@@ -412,11 +415,16 @@ results AS (SELECT name, count(DISTINCT CASE WHEN {HIT} THEN episode_id END) / c
 """
 
 
-def compared(spark, d):
-    """(name, episode_recall, f1) of each simple score on the labelled windows."""
+def simple_scores(spark, d):
+    """Labelled windows with what the simple scores need."""
     rows = t.features(spark, d).select(
         *KEYS, "window_end", "sample_count", "machine_state", F.col("power_kw_mean").alias("power"), F.col("temperature_c_mean").alias("temperature"), F.col("pressure_bar_mean").alias("pressure"))
-    rows = kept(labels.align(t.labels(spark, d), rows, t.WINDOW, t.SLIDE), "compared")
+    return kept(labels.align(t.labels(spark, d), rows, t.WINDOW, t.SLIDE), "compared")
+
+
+def compared(spark, d):
+    """(name, episode_recall, f1) of each simple score on the labelled windows."""
+    rows = simple_scores(spark, d)
     out = None
     for name, x in SCORES.items():
         scored_ = rows.withColumn("score", F.coalesce(F.expr(x), F.lit(0.0)))
@@ -426,6 +434,31 @@ def compared(spark, d):
     return kept(out, "results")
 
 
+def long_table(name, key, sql, metrics):
+    """A table of the report in long form, as SQL."""
+    each = " UNION ALL ".join(f"SELECT '{name}' AS \"table\", CAST({key} AS VARCHAR) AS row, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) + 0 AS value FROM t" for m in metrics)
+    return f"SELECT * FROM (WITH t AS ({sql}) {each})"
+
+
+@query("ev_report_tables", " UNION ALL ".join((
+    long_table("comparison", "name", COMPARED + "SELECT * FROM results", ("episode_recall", "f1")),
+    long_table("split", "split", SPLIT_SQL, ("windows", "machines", "hours", "anomalous", "prevalence", "episodes", "first_window", "last_window")),
+    long_table("operating_point", "quantile", POINTS_SQL, ("threshold", "alert_windows", "alert_events", "episodes_detected", "episodes_total", "window_recall", "alert_events_per_machine_hour")),
+    long_table("missed", "anomaly_type", MISSED_SQL, ("total", "missed", "found", "median_missed_seconds", "median_detected_seconds", "median_missed_score")),
+)))
+def ev_report_tables(spark, d):
+    """The four tables of the report: candidates side by side, splits, operating points, missed episodes; here over the simple scores, which SQL can compute."""
+    return t.rounded(reports.tables(
+        comparison=(compared(spark, d), "name"), split=(agg_split_summary(spark, d), "split"), operating_point=(ev_operating_points(spark, d), "quantile"), missed=(ev_missed_profile(spark, d), "anomaly_type"),
+    ))
+
+
+@query("ml_train_report")
+def ml_train_report(spark, d):
+    """The comparison table over trained detectors."""
+    return reports.tables(comparison=(ml_train_pipeline(spark, d), "name"))
+
+
 @query("ml_select_model", COMPARED + "SELECT name, round(episode_recall, 6) AS episode_recall, round(f1, 6) AS f1 FROM results WHERE name <> 'mixture' ORDER BY episode_recall DESC, f1 DESC, name LIMIT 1")
 def ml_select_model(spark, d):
     """The best of the simple scores by what it finds on the labelled windows; the mixture is secondary and may not be chosen."""
@@ -473,9 +506,10 @@ model_scores AS (SELECT machine_id, window_start, max(abs((x - a) / s)) AS raw_s
 
 
 def model_scores(spark, d):
+    """Windows scored by a model that was saved and loaded, on the workers."""
     f = windows(spark, d)
-    model = training.fitted(f, ALL)
-    return training.score(f, model).withColumns({"threshold": F.lit(0.9), "z": detectors.contributions(ALL, model["reference_profile"])})
+    model = artifacts.load(spark, artifacts.save(spark, scratch(spark, "model"), training.fitted(f, ALL)), ALL)
+    return scorer.score(f, model).withColumns({"threshold": F.lit(0.9), "z": detectors.contributions(ALL, model["reference_profile"])})
 
 
 @query("ml_score_windows", FITTED + f"SELECT machine_id, window_start, CASE WHEN sample_count >= {t.GATE} THEN round(raw_score, 5) + 0 END AS raw_score, TRUE AS calibrated FROM features JOIN model_scores USING (machine_id, window_start)")
@@ -510,11 +544,35 @@ def halves(spark, d):
     return e.where("old").drop("old"), e.where("not old").drop("old")
 
 
-@query("dr_psi", f"""WITH h AS ({HALVES}), edges AS (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM h WHERE side = 'reference'),
+DAY_OF_CHANGE = 1705363200
+STEADY = LONG.replace("value FROM (SELECT", "round(value, 9) + 0 AS value FROM (SELECT")
+QUANTILE_BINS = " + ".join(f"(value >= q[{i}])::INT" for i in range(1, 10))
+PSI = t.with_(t.SAMPLES, t.LABELS, t.window_sql(), t.features_sql(), ALIGNED) + STEADY + EPISODE_ALERTS.rpartition("SELECT machine_id")[0] + f""", busy AS (SELECT DISTINCT machine_id, window_start // 86400 + i AS day FROM opened, range(3) r(i) WHERE consecutive_windows = 2),
+ref AS (SELECT feature, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM long WHERE window_start < {DAY_OF_CHANGE} GROUP BY 1),
+binned AS (SELECT machine_id, window_start, feature, {QUANTILE_BINS} AS bin FROM long JOIN ref USING (feature) WHERE value IS NOT NULL),
+was AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM binned WHERE window_start < {DAY_OF_CHANGE} GROUP BY 1, 2),
+days AS (SELECT DISTINCT window_start // 86400 + i AS day FROM binned, range(7) r(i) WHERE window_start >= {DAY_OF_CHANGE} AND window_start // 86400 + i <= (SELECT max(window_start) // 86400 FROM features)),
+now AS (SELECT day, feature, bin, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY day, feature) AS c FROM binned JOIN days ON window_start // 86400 BETWEEN day - 6 AND day
+  WHERE window_start >= {DAY_OF_CHANGE} AND (machine_id, day) NOT IN (SELECT (machine_id, day) FROM busy) GROUP BY 1, 2, 3),
+pair AS (SELECT day, feature, greatest(coalesce(c, 0), 1e-4) AS c, greatest(coalesce(p, 0), 1e-4) AS p, coalesce(n, 0) AS n FROM (SELECT day, feature, bin FROM (SELECT DISTINCT day, feature FROM now) CROSS JOIN range(10) b(bin)) LEFT JOIN now USING (day, feature, bin) LEFT JOIN was USING (feature, bin))
+SELECT day, feature, CAST(sum(n) AS BIGINT) AS windows, round(sum((c - p) * ln(c / p)), 6) + 0 AS psi, CASE WHEN sum((c - p) * ln(c / p)) < 0.1 THEN 'stable' WHEN sum((c - p) * ln(c / p)) <= 0.25 THEN 'moderate' ELSE 'major' END AS band FROM pair GROUP BY 1, 2"""
+
+
+@query("dr_psi", PSI)
+def dr_psi(spark, d):
+    """The first half of the month frozen and stored; each later day looks back over a week of the machines without an alert in its first three days. All 52 features."""
+    f = kept(t.rounded(windows(spark, d).select(*KEYS, *ALL), 9), "steady-windows")
+    path = scratch(spark, "frozen")
+    drift.freeze(f.where(F.col("window_start") < DAY_OF_CHANGE), ALL).write.parquet(path)
+    opened = alerting.episode_alerts(scored(spark, d).where("score >= 0.35"), 2 * t.SLIDE).select("machine_id", F.col("window_start").alias("opened"), (F.col("window_start") + 2 * 86_400).alias("closed"))
+    return t.rounded(drift.weekly_psi(spark.read.parquet(path), f.where(F.col("window_start") >= DAY_OF_CHANGE), opened))
+
+
+@query("psi_halves", f"""WITH h AS ({HALVES}), edges AS (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM h WHERE side = 'reference'),
 b AS (SELECT side, (SELECT count(*) FROM (SELECT unnest(q) AS v) WHERE v <= value) AS bin FROM h, edges),
 f AS (SELECT bin, greatest(count(*) FILTER (WHERE side = 'reference') / (SELECT count(*) FROM h WHERE side = 'reference'), 1e-4) AS p, greatest(count(*) FILTER (WHERE side = 'current') / (SELECT count(*) FROM h WHERE side = 'current'), 1e-4) AS q FROM b GROUP BY 1)
 SELECT 'value' AS feature, round(sum((q - p) * ln(q / p)), 6) AS psi, CASE WHEN sum((q - p) * ln(q / p)) < 0.1 THEN 'stable' WHEN sum((q - p) * ln(q / p)) <= 0.25 THEN 'moderate' ELSE 'major' END AS band FROM f""")
-def dr_psi(spark, d):
+def psi_halves(spark, d):
     return t.rounded(drift.psi(*halves(spark, d)))
 
 
@@ -529,9 +587,15 @@ def dr_alert_rate(spark, d):
     return t.rounded(drift.unusual_days(t.alerts(spark, d), 6.0, 0.2, 2.0))
 
 
-@query("dr_score_stability", t.with_(t.SAMPLES) + "SELECT machine_id, epoch_us(date_trunc('day', event_time)) AS day, count(*) AS n, round(quantile_cont(pressure_bar, 0.5), 6) AS median, round(quantile_cont(pressure_bar, 0.95), 6) AS p95 FROM samples GROUP BY 1, 2")
+@query("dr_score_stability", COMPARED.rpartition("candidates AS")[0].rstrip().rstrip(",") + f""", s AS (SELECT machine_id, window_start // 86400 AS day, coalesce({SCORES['power']}, 0) AS score, coalesce({SCORES['power']}, 0) >= 0.35 AS x, coalesce({SCORES['temperature']}, 0) >= 0.35 AS y FROM aligned)
+SELECT machine_id, day, count(*) AS n, round(quantile_cont(score, 0.5), 6) + 0 AS median, round(quantile_cont(score, 0.95), 6) + 0 AS p95, round(avg((x <> y)::INT), 6) + 0 AS disagreement FROM s GROUP BY 1, 2""")
 def dr_score_stability(spark, d):
-    return t.rounded(drift.daily_scores(t.samples(spark, d).withColumn("score", F.col("pressure_bar"))))
+    """Per machine and day: the distribution of the scores, and how often two detectors disagree."""
+    rows = simple_scores(spark, d)
+    score = lambda name: F.coalesce(F.expr(SCORES[name]), F.lit(0.0))
+    a, b = (rows.select(*KEYS, F.floor(F.col("window_start") / 86_400).alias("day"), score(n).alias("score"), (score(n) >= 0.35).alias("is_anomaly")) for n in ("power", "temperature"))
+    days = drift.daily_scores(a.withColumn("event_time", F.timestamp_seconds("window_start"))).withColumn("day", F.floor(F.unix_seconds("day") / 86_400))
+    return t.rounded(days.join(drift.disagreement(a, b, KEYS, ["machine_id", "day"]).drop("windows"), ["machine_id", "day"]))
 
 
 assert len(C.feature_names()) == 52

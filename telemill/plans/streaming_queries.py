@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
 from telemill.functions import scalars as S
-from telemill.operators import alerting, calibration, detectors, reports
+from telemill.operators import alerting, artifacts, reports, training
 from telemill.plans import feature_queries as fq
 from telemill.plans import ingest_queries as iq
 from telemill.plans import ml_queries as mq
 from telemill.plans import tables as t
 from telemill.plans.registry import query
 from telemill.plans.scratch import kept, scratch
-from telemill.sources import ingest, tables
-from telemill.streaming import alert_state, jobs
+from telemill.sources import ingest, tables, versions
+from telemill.streaming import alert_state, jobs, progress
 
 
 def raw_stream(spark, d, **options):
@@ -27,32 +28,39 @@ def raw_stream(spark, d, **options):
 
 def run(spark, df, mode="append", name=None):
     out = scratch(spark, "stream-out")
-    q = jobs.start(df, out, scratch(spark, "stream-checkpoint"), mode, name)
-    q.awaitTermination()
-    return spark.read.parquet(out), q
+    jobs.start(df, out, scratch(spark, "stream-checkpoint"), mode, name).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def watched(spark, df, mode="append", name=None):
+    """What the query wrote, and the reports of its batches that had rows."""
+    path = scratch(spark, "progress")
+    with progress.ProgressTable(spark, path):
+        out = run(spark, df, mode, name)
+    return out, progress.batches(spark, path).where((F.col("input_rows") > 0) & (F.col("name") == name))
 
 
 @query("src_raw_stream", t.with_(t.SAMPLES) + 'SELECT "partition", count(*) AS n FROM samples GROUP BY 1')
 def src_raw_stream(spark, d):
-    return run(spark, raw_stream(spark, d))[0].groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, raw_stream(spark, d)).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_trigger_rate_limit", t.with_(t.SAMPLES) + "SELECT 4 AS batches, count(*) AS n FROM samples")
 def str_trigger_rate_limit(spark, d):
     """Four files, one a batch."""
-    out, q = run(spark, raw_stream(spark, d, maxFilesPerTrigger="1"), name="limited")
-    batches = jobs.progress(spark, [q]).where("input_rows > 0").agg(F.count(F.lit(1)).alias("batches"))
+    out, reported = watched(spark, raw_stream(spark, d, maxFilesPerTrigger="1"), name="limited")
+    batches = reported.agg(F.count(F.lit(1)).alias("batches"))
     return out.agg(F.count(F.lit(1)).alias("n")).crossJoin(batches)  # single rows
 
 
 @query("str_validation_query", iq.SIDES)
 def str_validation_query(spark, d):
-    return run(spark, jobs.validation(raw_stream(spark, d)))[0].groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, jobs.validation(raw_stream(spark, d))).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_late_side_output", iq.FAULTY + "SELECT count(*) AS n FROM parsed WHERE dlq_reason IS NULL AND lag > 90")
 def str_late_side_output(spark, d):
-    return run(spark, jobs.validation(raw_stream(spark, d)))[0].where("topic = 'telemetry.late'").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, jobs.validation(raw_stream(spark, d))).where("topic = 'telemetry.late'").agg(F.count(F.lit(1)).alias("n"))
 
 
 LONG_ENOUGH = 40 * 86_400  # over the span of the table: nothing is late
@@ -67,7 +75,7 @@ def sample_stream(spark, d, twice=False):
 
 @query("str_dedup_samples", t.with_(t.SAMPLES) + "SELECT machine_id, count(*) AS n FROM samples GROUP BY 1")
 def str_dedup_samples(spark, d):
-    return run(spark, jobs.distinct_samples(sample_stream(spark, d, twice=True), LONG_ENOUGH))[0].groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, jobs.distinct_samples(sample_stream(spark, d, twice=True), LONG_ENOUGH)).groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 LATE = "(\"offset\" % 50 = 7 AND event_time < TIMESTAMP '2024-01-10')"
@@ -89,34 +97,56 @@ def late_stream(spark, d):
 def str_watermark_window(spark, d):
     """Windows in update mode, the last emission of each: the batch result without the samples that came behind the watermark, which are dropped and counted."""
     stream = jobs.features(late_stream(spark, d), t.WINDOW, t.SLIDE, t.WINDOW)
-    out, q = run(spark, stream.select("machine_id", F.unix_seconds("window_start").alias("window_start"), "sample_count", "temperature_c_mean"), "update", "watermark")
-    dropped = jobs.progress(spark, [q]).agg((F.sum("dropped_rows") > 0).alias("some_dropped"))
+    out, reported = watched(spark, stream.select("machine_id", F.unix_seconds("window_start").alias("window_start"), "sample_count", "temperature_c_mean"), "update", "watermark")
+    dropped = reported.agg((F.sum("dropped_rows") > 0).alias("some_dropped"))
     last = alerting.latest_emission(out.withColumn("offset", F.col("batch_id")), "offset").select("machine_id", "window_start", "sample_count", "temperature_c_mean")
     return t.rounded(last.crossJoin(dropped))  # single row
 
 
-GRID = fq.SIGMA + f", raws AS (SELECT *, {fq.SIGMA_SCORE} AS raw_score FROM features, stats), grid AS (SELECT quantile_cont(raw_score, 0.9) AS cut FROM raws)\n"
+GRID = mq.FITTED + """, grid AS (SELECT quantile_cont(raw_score, [""" + ", ".join(str(i / 1000) for i in range(1001)) + """]) AS g FROM model_scores),
+placed AS (SELECT m.*, g, (SELECT count(*) FROM (SELECT unnest(g) AS v) WHERE v <= raw_score) AS n FROM model_scores m, grid),
+graded AS (SELECT machine_id, window_start, raw_score, CASE WHEN n = 1001 THEN 1.0 WHEN n = 0 THEN 0.0 ELSE (n - 1 + CASE WHEN g[n + 1] > g[n] THEN (raw_score - g[n]) / (g[n + 1] - g[n]) ELSE 0 END) / 1000 END AS score FROM placed)
+"""
 
 
-@query("str_scoring_query", GRID + f"""SELECT machine_id, window_start, skip_reason IS NULL AS is_scored, skip_reason, CASE WHEN skip_reason IS NULL THEN round(raw_score, 6) + 0 END AS raw_score,
-  CASE WHEN skip_reason IS NULL THEN raw_score >= cut END AS is_anomaly, CASE WHEN skip_reason IS NULL THEN 3 ELSE 0 END AS contributors, round(null_ratio, 6) + 0 AS null_ratio, 'three_sigma' AS model
-FROM (SELECT *, {fq.SKIP} AS skip_reason FROM raws, grid)""")
-def str_scoring_query(spark, d):
-    """A detector fitted and calibrated on the windows of the table scores the stream; the messages are read back by the contract's schema."""
+def scored_messages(spark, d, detector):
+    """A detector trained on the windows of the table, saved and loaded, scores the stream; (messages, the windows, the loaded model)."""
     f = kept(t.features(spark, d), "training-windows")
-    sigma = detectors.fit_three_sigma(f, fq.FIVE)
-    model = {
-        "sigma": sigma, "calibration": calibration.fit_ecdf(f.select(detectors.three_sigma(sigma).alias("raw_score")), size=21),
-        "reference_profile": detectors.reference_profile(f, C.feature_names()),
-    }
+    model = artifacts.load(spark, artifacts.save(spark, scratch(spark, "model"), training.fitted(f, mq.ALL, detector)), mq.ALL)
     windows = jobs.features(sample_stream(spark, d), t.WINDOW, t.SLIDE, LONG_ENOUGH)
-    messages = jobs.scoring(windows, model, fq.MODEL, 0.9, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE)
-    out, _ = run(spark, messages, "update")
+    out = run(spark, jobs.scoring(windows, model, {**fq.MODEL, "name": detector}, 0.90005, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE), "update")
     m = out.select("batch_id", F.from_json("value", C.SCORED_DDL).alias("m")).select(
-        F.col("batch_id").alias("offset"), "m.machine_id", F.unix_seconds(S.parse_instant(F.col("m.window_start"))).alias("window_start"), "m.is_scored", "m.skip_reason", "m.raw_score", "m.is_anomaly",
-        F.size("m.top_contributors").alias("contributors"), F.try_element_at("m.features", F.lit("null_ratio")).alias("null_ratio"), F.col("m.model.name").alias("model"),
+        F.col("batch_id").alias("offset"), "m.machine_id", F.unix_seconds(S.parse_instant(F.col("m.window_start"))).alias("window_start"), "m.is_scored", "m.skip_reason", "m.raw_score",
+        F.col("m.anomaly_score").alias("score"), "m.is_anomaly", F.size("m.top_contributors").alias("contributors"), F.try_element_at("m.features", F.lit("null_ratio")).alias("null_ratio"), F.col("m.model.name").alias("model"),
     )
-    return t.rounded(alerting.latest_emission(m).drop("offset"))
+    return alerting.latest_emission(m).drop("offset"), f, model
+
+
+@query("str_scoring_query", GRID + f"""SELECT machine_id, window_start, skip_reason IS NULL AS is_scored, skip_reason, CASE WHEN skip_reason IS NULL THEN round(raw_score, 5) + 0 END AS raw_score,
+  CASE WHEN skip_reason IS NULL THEN round(score, 5) + 0 END AS score, CASE WHEN skip_reason IS NULL THEN score >= 0.90005 END AS is_anomaly, CASE WHEN skip_reason IS NULL THEN 3 ELSE 0 END AS contributors,
+  round(null_ratio, 5) + 0 AS null_ratio, 'three_sigma' AS model
+FROM (SELECT *, {fq.SKIP} AS skip_reason FROM features JOIN graded USING (machine_id, window_start))""")
+def str_scoring_query(spark, d):
+    """Samples to windows to scores by a trained artefact (profiles, gaps, scales, detector, grid of 1001 quantiles) to messages, on a stream."""
+    return t.rounded(scored_messages(spark, d, "three_sigma")[0], 5)
+
+
+def stream_equals_batch(detector):
+    """A query that compares the messages of a stream, window by window, with ``training.score`` over the table."""
+
+    @query(f"str_scoring_{detector}", fq.BASE + f"SELECT machine_id, window_start, {fq.SKIP} IS NULL AS is_scored, TRUE AS same, '{detector}' AS model FROM features")
+    def compared(spark, d):
+        messages, f, model = scored_messages(spark, d, detector)
+        batch = training.score(f, model).select("machine_id", "window_start", F.col("raw_score").alias("_raw"), F.col("score").alias("_score"))
+        close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col(b)))
+        same = ~F.col("is_scored") | (close("raw_score", "_raw") & close("score", "_score"))
+        return messages.join(batch, ["machine_id", "window_start"], "full_outer").select("machine_id", "window_start", "is_scored", F.coalesce(same, F.lit(False)).alias("same"), "model")
+
+    return compared
+
+
+for _detector in ("three_sigma_all", "mahalanobis", "isolation_forest", "one_class"):
+    stream_equals_batch(_detector)
 
 
 def anomalous_stream(spark, d):
@@ -132,7 +162,7 @@ STATE_SQL = mq.EV + mq.EPISODE_ALERTS.replace("SELECT machine_id, window_start,
 @query("str_alert_state", STATE_SQL)
 def str_alert_state(spark, d):
     stream = anomalous_stream(spark, d).withColumn("event_time", F.timestamp_seconds("window_start")).withWatermark("event_time", f"{LONG_ENOUGH} seconds")
-    return t.rounded(run(spark, alert_state.alerts(stream, 2, 2 * t.SLIDE))[0])
+    return t.rounded(run(spark, alert_state.alerts(stream, 2, 2 * t.SLIDE)))
 
 
 WEEK = 7 * 86_400
@@ -148,16 +178,25 @@ def str_event_time_timeout(spark, d):
     for start in weeks:
         rows.where(F.col("window_start").between(start, start + WEEK - 1)).coalesce(1).write.mode("append").parquet(path)
     stream = ingest.read_stream(spark, "parquet", rows.schema, path, maxFilesPerTrigger="1").withColumn("event_time", F.timestamp_seconds("window_start")).withWatermark("event_time", "0 seconds")
-    out = kept(run(spark, alert_state.alerts(stream, 2, 2 * t.SLIDE, closings=True))[0], "openings")
+    out = kept(run(spark, alert_state.alerts(stream, 2, 2 * t.SLIDE, closings=True)), "openings")
     silent = out.agg((F.count_if(F.col("consecutive_windows") == 0) > 0).alias("some_fell_silent"))
     return t.rounded(out.where("consecutive_windows > 0").crossJoin(silent))  # single row
 
 
-@query("udf_state_handler", STATE_SQL)
+@query("udf_state_handler", STATE_SQL.replace("consecutive_windows FROM opened", "consecutive_windows, TRUE AS some_fell_silent FROM opened"))
 def udf_state_handler(spark, d):
-    """The handler's state carried over a machine's days in a grouped pandas function."""
-    rows = mq.scored(spark, d).where("score >= 0.35").select("machine_id", "window_start", F.col("score").alias("anomaly_score"), F.floor(F.col("window_start") / 86_400).alias("day"))
-    return t.rounded(alert_state.replayed(rows, "day", 2, 2 * t.SLIDE))
+    """A stateful processor with a value state and a timer per machine. The stream is stopped in the middle of the month and started again: state and timers go on from the checkpoint."""
+    rows = kept(mq.scored(spark, d).where("score >= 0.35").select("machine_id", "window_start", F.col("score").alias("anomaly_score")), "anomalous")
+    path, out, checkpoint = scratch(spark, "halves-topic"), scratch(spark, "halves-out"), scratch(spark, "halves-checkpoint")
+    first, last = rows.agg(F.min("window_start"), F.max("window_start")).first()
+    cut = ((first or 0) + (last or 0)) // 2
+    for part in (F.col("window_start") <= cut, F.col("window_start") > cut):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        stream = ingest.read_stream(spark, "parquet", rows.schema, path, maxFilesPerTrigger="1").withColumn("event_time", F.timestamp_seconds("window_start")).withWatermark("event_time", "0 seconds")
+        jobs.start(alert_state.episodes(stream, 2, 2 * t.SLIDE, closings=True), out, checkpoint).awaitTermination()
+    found = kept(spark.read.parquet(out), "openings")
+    silent = found.agg((F.count_if(F.col("consecutive_windows") == 0) > 0).alias("some_fell_silent"))
+    return t.rounded(found.where("consecutive_windows > 0").crossJoin(silent))  # single row
 
 
 @query("src_scored_stream", mq.EV + "SELECT machine_id, window_start, round(score, 6) AS anomaly_score FROM scored WHERE score >= 0.35")
@@ -168,7 +207,7 @@ def src_scored_stream(spark, d):
     rows.write.parquet(path)
     stream = ingest.read_stream(spark, "parquet", rows.schema, path)
     event = F.from_json("value", "machine_id string, window_start long, anomaly_score double")
-    return t.rounded(run(spark, stream.select(event.alias("event")).select("event.*"))[0])
+    return t.rounded(run(spark, stream.select(event.alias("event")).select("event.*")))
 
 
 @query("str_checkpoint_per_query", t.with_(t.SAMPLES) + "SELECT count(*) AS n, 2::BIGINT AS runs FROM samples")
@@ -192,40 +231,45 @@ def str_bounded_run(spark, d):
     return spark.read.parquet(out).agg(F.lit(len(failures)).cast("long").alias("failures"), F.count(F.lit(1)).alias("n"))
 
 
-@query("str_progress_metrics", "SELECT 'progress' AS name, row_number() OVER () - 1 AS batch_id, n AS input_rows, 0::BIGINT AS dropped_rows FROM (SELECT count(*) AS n FROM events GROUP BY event_id % 4 ORDER BY min(event_id % 4))")
+FILES = 104  # more than the hundred reports that a query itself remembers
+
+
+@query("str_progress_metrics", f"SELECT 'progress' AS name, row_number() OVER (ORDER BY n, p) AS place, n AS input_rows, 0::BIGINT AS dropped_rows FROM (SELECT event_id % {FILES} AS p, count(*) AS n FROM events GROUP BY 1)")
 def str_progress_metrics(spark, d):
-    """A row per batch of a query over four files."""
-    batch, path = t.records(spark, d), scratch(spark, "progress-topic")
-    for p in range(4):
-        batch.where(F.col("offset") % 4 == p).coalesce(1).write.mode("append").parquet(path)
-    q = run(spark, ingest.read_stream(spark, "parquet", batch.schema, path, maxFilesPerTrigger="1"), name="progress")[1]
-    return jobs.progress(spark, [q]).where("input_rows > 0").select("name", "batch_id", "input_rows", "dropped_rows")
+    """A row per batch of a query over 104 files, a file a batch, ordered by the rows it read."""
+    batch, path = t.records(spark, d).withColumn("part", F.col("offset") % FILES), scratch(spark, "progress-topic")
+    batch.repartition(FILES, "part").write.partitionBy("part").parquet(path)
+    stream = ingest.read_stream(spark, "parquet", batch.schema, path, maxFilesPerTrigger="1")
+    reported = watched(spark, stream.select("offset"), name="progress")[1]
+    place = F.row_number().over(W.orderBy("input_rows", "batch_id")).cast("long")  # a row per batch
+    return reported.select("name", place.alias("place"), "input_rows", "dropped_rows")
 
 
 @query("agg_progress_totals", "SELECT 'totals' AS name, 3::BIGINT AS batches, count(*) AS input_rows, TRUE AS some_dropped FROM events")
 def agg_progress_totals(spark, d):
     """Batches, rows in and rows dropped by the watermark, summed over a windowed query with late samples."""
-    q = run(spark, jobs.features(late_stream(spark, d), t.WINDOW, t.SLIDE, t.WINDOW), "update", "totals")[1]
-    found = jobs.progress(spark, [q]).where("input_rows > 0")
-    return reports.progress_totals(found).select("name", "batches", "input_rows", (F.col("dropped_rows") > 0).alias("some_dropped"))
+    reported = watched(spark, jobs.features(late_stream(spark, d), t.WINDOW, t.SLIDE, t.WINDOW), "update", "totals")[1]
+    return reports.progress_totals(reported).select("name", "batches", "input_rows", (F.col("dropped_rows") > 0).alias("some_dropped"))
 
 
-@query("str_upsert_sinks", t.with_(t.ALERTS) + "SELECT count(*) AS alerts, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM alerts")
+@query("str_upsert_sinks", t.with_(t.ALERTS) + "SELECT count(*) AS alerts, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, TRUE AS was_cut_off FROM alerts")
 def str_upsert_sinks(spark, d):
-    """Alerts delivered twice, merged by batch into a table of versions; the table ends with every alert once."""
-    a = t.alerts(spark, d).select("alert_id", "machine_id", F.lit("NEW").alias("status"), "severity", "anomaly_score")
-    path, table = scratch(spark, "alerts-topic"), scratch(spark, "alerts-table")
+    """Alerts delivered twice, merged by batch into a versioned table. The run is cut off between the writing and the committing of its second batch and started again: every alert once."""
+    a = t.alerts(spark, d).select("alert_id", "machine_id", F.lit("NEW").alias("status"), "severity", "anomaly_score", "detected_at")
+    path, checkpoint = scratch(spark, "alerts-topic"), scratch(spark, "alerts-checkpoint")
     for _ in range(2):
-        a.write.mode("append").parquet(path)
-    spark.createDataFrame([], a.schema).write.parquet(f"{table}/v=0")
-    versions = [0]
-
-    def apply(batch, batch_id):
-        new = batch.dropDuplicates(["alert_id"])
-        merged = tables.upsert_alerts(spark.read.schema(a.schema).parquet(f"{table}/v={versions[-1]}"), new).select(*a.columns)
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id + 1}")
-        versions.append(batch_id + 1)
-
-    stream = ingest.read_stream(spark, "parquet", a.schema, path, maxFilesPerTrigger="1")
-    jobs.upserts(stream, scratch(spark, "alerts-checkpoint"), apply).awaitTermination()
-    return spark.read.parquet(f"{table}/v={versions[-1]}").agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+        a.repartition(2, "alert_id").write.mode("append").parquet(path)
+    part = F.date_format("detected_at", "yyyy")
+    place = scratch(spark, "alerts-table")
+
+    def cut_off(batch_id):
+        if batch_id == 1:
+            raise InterruptedError("cut off before the commit")
+
+    merge = lambda stored, new: tables.upsert_alerts(stored, new.dropDuplicates(["alert_id"]))
+    failures = []
+    for before_commit in (cut_off, None):  # a new table object each time: nothing is remembered in the driver
+        stream = ingest.read_stream(spark, "parquet", a.schema, path, maxFilesPerTrigger="1")
+        failures += jobs.run_bounded([jobs.upserts(stream, checkpoint, versions.VersionedTable(spark, place, a.schema, part)(merge, before_commit))])
+    merged = versions.VersionedTable(spark, place, a.schema, part).read()
+    return merged.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.lit(len(failures) == 1).alias("was_cut_off"))

@@ -57,14 +57,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "machine_id", "event_time", F.lit(True).alias("is_anomaly"),
         F.when(F.col("offset") % 3 == 0, "OVERHEAT").when(F.col("offset") % 3 == 1, "POWER_SURGE").otherwise("BEARING_WEAR").alias("anomaly_type"),
         F.concat_ws("-", F.lit("EP"), "machine_id", F.date_format("event_time", "yyyyMMdd")).alias("episode_id"),
-        F.col("event_time").alias("emitted_at"),
+        (F.col("event_time") + F.make_dt_interval(secs=(F.col("offset") % 97).cast("decimal(18,6)"))).alias("emitted_at"),
+        F.when(F.col("offset") % 5 == 0, "OPERATOR").otherwise("SIMULATOR").alias("source"),
     )
 
 
 LABELS = """labelled AS (
   SELECT event_id, machine_id, event_time, TRUE AS is_anomaly,
     CASE "offset" % 3 WHEN 0 THEN 'OVERHEAT' WHEN 1 THEN 'POWER_SURGE' ELSE 'BEARING_WEAR' END AS anomaly_type,
-    'EP-' || machine_id || '-' || strftime(event_time, '%Y%m%d') AS episode_id
+    'EP-' || machine_id || '-' || strftime(event_time, '%Y%m%d') AS episode_id, event_time + to_seconds("offset" % 97) AS emitted_at,
+    CASE WHEN "offset" % 5 = 0 THEN 'OPERATOR' ELSE 'SIMULATOR' END AS source
   FROM samples WHERE power_kw >= 100
 )"""
 

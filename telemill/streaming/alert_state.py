@@ -7,10 +7,12 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Windows that open an alert; ``window_start`` in epoch seconds.
 OPENED = "machine_id string, window_start long, anomaly_score double, consecutive_windows int"
+COLUMNS = ["machine_id", "window_start", "anomaly_score", "consecutive_windows"]
 STATE = "is_open int, consecutive int, last_window_start long"
 
 
@@ -42,12 +44,11 @@ def alerts(anomalous: DataFrame, open_after: int = 2, gap_seconds: int = 120, cl
     """
 
     def handle(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["machine_id", "window_start", "anomaly_score", "consecutive_windows"]
         if state.hasTimedOut:
             last = state.get[2]
             state.remove()
             if closings:
-                yield pd.DataFrame([(key[0], last, float("nan"), 0)], columns=columns)
+                yield pd.DataFrame([(key[0], last, float("nan"), 0)], columns=COLUMNS)
             return
         rows = [f[["window_start", "anomaly_score"]] for f in frames]
         if not rows:
@@ -58,19 +59,44 @@ def alerts(anomalous: DataFrame, open_after: int = 2, gap_seconds: int = 120, cl
             # a timeout behind the watermark would fail the query; then the silence has passed already
             state.setTimeoutTimestamp(max((now[2] + gap_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         if opened:
-            yield pd.DataFrame([(key[0], *o) for o in opened], columns=columns)
+            yield pd.DataFrame([(key[0], *o) for o in opened], columns=COLUMNS)
 
     return anomalous.groupBy("machine_id").applyInPandasWithState(handle, OPENED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replayed(anomalous: DataFrame, batch: str, open_after: int = 2, gap_seconds: int = 120) -> DataFrame:
-    """The same handler over a bounded table: a machine's windows in batches, in order of the column ``batch``."""
+class Episodes(StatefulProcessor):
+    """The same rules as a stateful processor: the episode is a value state of the machine, silence is a timer in event time."""
 
-    def handle(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for _, part in frame.groupby(batch, sort=True):
-            state, opened = advance(state, part[["window_start", "anomaly_score"]], open_after, gap_seconds)
-            out += [(key[0], *o) for o in opened]
-        return pd.DataFrame(out, columns=["machine_id", "window_start", "anomaly_score", "consecutive_windows"])
+    def __init__(self, open_after: int, gap_seconds: int, closings: bool) -> None:
+        self.open_after, self.gap_seconds, self.closings = open_after, gap_seconds, closings
 
-    return anomalous.groupBy("machine_id").applyInPandas(handle, OPENED)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.episode = handle.getValueState("episode", STATE)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        windows = [f[["window_start", "anomaly_score"]] for f in rows]
+        if not windows:
+            return
+        now, opened = advance(tuple(map(int, self.episode.get())) if self.episode.exists() else None, pd.concat(windows), self.open_after, self.gap_seconds)
+        self.episode.update(now)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        # where the silence has passed already, the next batch ends the episode
+        self.handle.registerTimer(max((now[2] + self.gap_seconds) * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        if opened:
+            yield pd.DataFrame([(key[0], *o) for o in opened], columns=COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        last = int(self.episode.get()[2])
+        self.episode.clear()
+        if self.closings:
+            yield pd.DataFrame([(key[0], last, float("nan"), 0)], columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def episodes(anomalous: DataFrame, open_after: int = 2, gap_seconds: int = 120, closings: bool = False) -> DataFrame:
+    """``alerts`` by a stateful processor (needs the RocksDB state store, see ``jobs.STATE_STORE``): value state per machine, a timer ends the episode."""
+    return anomalous.groupBy("machine_id").transformWithStateInPandas(Episodes(open_after, gap_seconds, closings), OPENED, "Append", "EventTime")

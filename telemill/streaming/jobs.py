@@ -5,12 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemill.functions import contracts as C
-from telemill.operators import calibration, detectors, policy
+from telemill.operators import detectors, policy, scorer
 from telemill.operators.features import derived, sliding
 from telemill.sources import ingest
 
@@ -36,15 +36,11 @@ def accepted_samples(raw: DataFrame, watermark_seconds: int = 90, late_detection
 
 
 def scoring(windows: DataFrame, model: dict, version: dict[str, str], threshold: float, scored_at: Column | None = None, **gate) -> DataFrame:
-    """Windows of features to scored messages: a fitted detector's score, calibrated, with the gates, the contributors and all features.
+    """Windows of features to scored messages: a trained model's score, calibrated, with the gates, the contributors and all features.
 
-    ``model``: ``sigma`` (see ``detectors.fit_three_sigma``), ``calibration`` (a grid) and ``reference_profile``.
+    ``model``: any detector's, from ``training.fitted`` or ``artifacts.load``; workers load it once (``scorer``).
     """
-    rows = windows.withColumn("raw_score", detectors.three_sigma(model["sigma"]))
-    rows = rows.withColumns({
-        "score": calibration.ecdf(model["calibration"])("raw_score"), "threshold": F.lit(threshold),
-        "z": detectors.contributions(C.feature_names(), model["reference_profile"]),
-    })
+    rows = scorer.score(windows, model).withColumns({"threshold": F.lit(threshold), "z": detectors.contributions(C.feature_names(), model["reference_profile"])})
     return policy.encoded(policy.scored_event(rows, version, F.current_timestamp() if scored_at is None else scored_at, **gate))
 
 
@@ -80,19 +76,3 @@ def run_bounded(queries: list[StreamingQuery], seconds: float | None = None, pol
         if q.isActive:
             q.stop()
     return [str(q.exception()) for q in queries if q.exception()]
-
-
-def progress(spark: SparkSession, queries: list[StreamingQuery]) -> DataFrame:
-    """Each batch once: (name, batch_id, input_rows, output_rows, dropped_rows, state_rows)."""
-    rows = {}
-    for q in queries:
-        for p in q.recentProgress:
-            state = p["stateOperators"] if isinstance(p, dict) else p.stateOperators
-            get = (lambda x, k: x.get(k)) if isinstance(p, dict) else getattr
-            name, batch = get(p, "name") or str(q.id), get(p, "batchId")
-            dropped = sum(int((s.get("numRowsDroppedByWatermark") if isinstance(s, dict) else s.numRowsDroppedByWatermark) or 0) for s in state)
-            kept = sum(int((s.get("numRowsTotal") if isinstance(s, dict) else s.numRowsTotal) or 0) for s in state)
-            sink = get(p, "sink")
-            out = sink.get("numOutputRows", 0) if isinstance(sink, dict) else sink.numOutputRows
-            rows[name, batch] = (name, int(batch), int(get(p, "numInputRows") or 0), max(0, int(out or 0)), dropped, kept)
-    return spark.createDataFrame(list(rows.values()), "name string, batch_id long, input_rows long, output_rows long, dropped_rows long, state_rows long")
