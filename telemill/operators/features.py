@@ -110,7 +110,7 @@ def assign_windows(rows: DataFrame, window_seconds: int, slide_seconds: int, tim
 
 # panes: what a slide's worth of samples tells about any window that covers it
 
-SUMS = ("n", "mean", "square", "least", "most", "first", "last", "since", "until")  # of a signal
+SUMS = ("n", "sum", "mean", "square", "least", "most", "first", "last", "since", "until")  # of a signal
 CROSS = ("n", "x", "y", "xx", "yy", "xy", "low_x", "high_x", "low_y", "high_y")  # of a pair of signals, over complete pairs
 
 
@@ -121,7 +121,7 @@ def panes(samples: DataFrame, slide_seconds: int) -> DataFrame:
     for s in SIGNALS:
         x = F.col(s)
         at = F.when(x.isNotNull(), t)
-        made = (F.count(x), F.avg(x), F.var_pop(x) * F.count(x), F.min(x), F.max(x), F.min_by(x, at), F.max_by(x, at), F.min(at), F.max(at))
+        made = (F.count(x), F.sum(x), F.avg(x), F.var_pop(x) * F.count(x), F.min(x), F.max(x), F.min_by(x, at), F.max_by(x, at), F.min(at), F.max(at))
         out.append(F.struct(*[c.alias(name) for name, c in zip(SUMS, made, strict=True)]).alias(s))
     for a, b in C.CORRELATED:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -136,9 +136,9 @@ def panes(samples: DataFrame, slide_seconds: int) -> DataFrame:
 
 
 def merged_cross(pairs: Column) -> Column:
-    """Counts, means, squares and products about the means of an array of ``n, x, y, xx, yy, xy`` put together pair by pair (nothing cancels)."""
+    """Counts, means, squares and products about the means, and plain sums, of an array of ``n, x, y, xx, yy, xy, sum`` put together pair by pair (nothing cancels)."""
     zero = F.lit(0.0)
-    start = F.struct(F.lit(0).cast("long").alias("n"), *[zero.alias(c) for c in ("x", "y", "xx", "yy", "xy")])
+    start = F.struct(F.lit(0).cast("long").alias("n"), *[zero.alias(c) for c in ("x", "y", "xx", "yy", "xy", "sum")])
 
     def put(a: Column, b: Column) -> Column:
         n = a["n"] + b["n"]
@@ -146,7 +146,7 @@ def merged_cross(pairs: Column) -> Column:
         weight = a["n"] * share
         return F.when(b["n"] == 0, a).otherwise(F.struct(
             n.alias("n"), (a["x"] + dx * share).alias("x"), (a["y"] + dy * share).alias("y"), (a["xx"] + b["xx"] + dx * dx * weight).alias("xx"),
-            (a["yy"] + b["yy"] + dy * dy * weight).alias("yy"), (a["xy"] + b["xy"] + dx * dy * weight).alias("xy")))
+            (a["yy"] + b["yy"] + dy * dy * weight).alias("yy"), (a["xy"] + b["xy"] + dx * dy * weight).alias("xy"), (a["sum"] + b["sum"]).alias("sum")))
 
     return F.aggregate(pairs, start, put)
 
@@ -162,23 +162,24 @@ def from_panes(samples: DataFrame, window_seconds: int, slide_seconds: int) -> D
         x = F.col(s)
         had = x["n"] > 0
         # of one signal: as a pair with itself
-        alone = F.struct(x["n"].alias("n"), F.coalesce(x["mean"], F.lit(0.0)).alias("x"), F.lit(0.0).alias("y"), F.coalesce(x["square"], F.lit(0.0)).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy"))
+        alone = F.struct("pane", x["n"].alias("n"), F.coalesce(x["mean"], F.lit(0.0)).alias("x"), F.lit(0.0).alias("y"), F.coalesce(x["square"], F.lit(0.0)).alias("xx"), F.lit(0.0).alias("yy"), F.lit(0.0).alias("xy"), F.coalesce(x["sum"], F.lit(0.0)).alias("sum"))
         out += [F.collect_list(alone).alias(f"_{s}"), F.min(x["least"]).alias(f"{s}_min"), F.max(x["most"]).alias(f"{s}_max"), F.min_by(x["first"], F.when(had, x["since"])).alias(f"_{s}_first"),
                 F.max_by(x["last"], F.when(had, x["until"])).alias(f"_{s}_last"), F.min(x["since"]).alias(f"_{s}_from"), F.max(x["until"]).alias(f"_{s}_to")]
     for a, b in C.CORRELATED:
         x = F.col(f"{a}__{b}")
-        pair = F.struct(x["n"].alias("n"), *[F.coalesce(x[c], F.lit(0.0)).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
+        pair = F.struct("pane", x["n"].alias("n"), *[F.coalesce(x[c], F.lit(0.0)).alias(c) for c in ("x", "y", "xx", "yy", "xy")], F.lit(0.0).alias("sum"))
         flat = (F.min(x["low_x"]) == F.max(x["high_x"])) | (F.min(x["low_y"]) == F.max(x["high_y"]))
         out += [F.collect_list(pair).alias(f"_{a}__{b}"), flat.alias(f"_flat_{a}__{b}")]
     whole = spread.groupBy("machine_id", "_at").agg(
         *out, F.sum("samples").alias("sample_count"), F.sum("nulls").alias("_nulls"), F.sum("running").alias("_running"), F.min("since").alias("first_event"), F.max("until").alias("last_event"),
         F.max_by("machine_state", "until").alias("machine_state"), F.max_by("line_id", "until").alias("line_id"),
     )
-    whole = whole.withColumns({f"_{n}": merged_cross(F.col(f"_{n}")) for n in (*SIGNALS, *(f"{a}__{b}" for a, b in C.CORRELATED))})
+    # in order of time, so that windows of the same samples have the same last bits
+    whole = whole.withColumns({f"_{n}": merged_cross(F.array_sort(f"_{n}")) for n in (*SIGNALS, *(f"{a}__{b}" for a, b in C.CORRELATED))})
     made = {"window_start": F.timestamp_seconds("_at"), "window_end": F.timestamp_seconds(F.col("_at") + window_seconds), "running_ratio": F.col("_running") / F.col("sample_count")}
     for s in SIGNALS:
         m = F.col(f"_{s}")
-        made[f"{s}_mean"] = F.when(m["n"] > 0, m["x"])
+        made[f"{s}_mean"] = F.when(m["n"] > 0, m["sum"] / m["n"])  # as a plain mean rounds, so that equal means stay equal
         # equal values have no spread, whatever the last bits of the panes' means say
         made[f"{s}_stddev"] = F.when(m["n"] > 1, F.when(F.col(f"{s}_min") == F.col(f"{s}_max"), 0.0).otherwise(F.sqrt(m["xx"] / (m["n"] - 1))))
     for a, b in C.CORRELATED:

@@ -172,7 +172,7 @@ lsum AS (SELECT machine_id, window_start, count(*)::DOUBLE AS anomalous_samples,
 counts AS (SELECT machine_id, window_start, count(*) AS sample_count, arg_max(machine_state, event_time) AS machine_state, avg(power_kw) AS power FROM windowed GROUP BY 1, 2),
 aligned AS (SELECT c.*, coalesce(anomalous_samples, 0) AS anomalous_samples, episode_id, anomaly_type, coalesce(anomalous_samples, 0) / sample_count AS anomaly_fraction, coalesce(anomalous_samples, 0) / sample_count >= 0.25 AS is_anomaly
   FROM counts c LEFT JOIN lsum USING (machine_id, window_start)),
-scored AS (SELECT *, window_start + {t.WINDOW} AS window_end, coalesce(power, 0) / 200 AS score FROM aligned),
+scored AS (SELECT *, window_start + {t.WINDOW} AS window_end, round(coalesce(power, 0) / 200, 9) AS score FROM aligned),
 episodes AS (SELECT episode_id, arg_min(machine_id, event_time) AS machine_id, arg_min(anomaly_type, event_time) AS anomaly_type, min(event_time) AS started_at, max(event_time) AS ended_at, count(*) AS labelled_samples,
   (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 1e6 AS duration_seconds FROM labelled GROUP BY 1)"""
 EV = t.with_(t.SAMPLES, t.LABELS, t.window_sql(), ALIGNED)
@@ -182,7 +182,7 @@ def scored(spark, d):
     """Windows with labels, scored by their mean power."""
     windows = labels_windows(spark, d)
     rows = labels.align(t.labels(spark, d), windows, t.WINDOW, t.SLIDE)
-    return rows.withColumns({"window_end": F.col("window_start") + t.WINDOW, "score": F.coalesce("power", F.lit(0.0)) / 200})
+    return rows.withColumns({"window_end": F.col("window_start") + t.WINDOW, "score": near(F.coalesce("power", F.lit(0.0)) / 200, 9)})  # equal scores stay equal in both engines
 
 
 def labels_windows(spark, d):
@@ -409,7 +409,7 @@ def ml_train_pipeline(spark, d):
 # Simple scores of the windows, so that SQL can compute what the choice rests on.
 SCORES = {"power": "power / 200", "temperature": "(temperature - 20) / 20", "pressure": "pressure / 5", "mixture": "(power / 200 + pressure / 5) / 2"}
 COMPARED = EV.replace("avg(power_kw) AS power FROM windowed", "avg(power_kw) AS power, avg(temperature_c) AS temperature, avg(pressure_bar) AS pressure FROM windowed") + """,
-candidates AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS name, coalesce({x}, 0) AS score, is_anomaly, episode_id FROM aligned" for n, x in SCORES.items()) + f"""),
+candidates AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS name, round(coalesce({x}, 0), 9) AS score, is_anomaly, episode_id FROM aligned" for n, x in SCORES.items()) + f"""),
 results AS (SELECT name, count(DISTINCT CASE WHEN {HIT} THEN episode_id END) / count(DISTINCT episode_id) AS episode_recall, 2 * tp / (2 * tp + fp + fn) AS f1
   FROM candidates JOIN (SELECT name, {CONF} FROM candidates GROUP BY 1) USING (name) GROUP BY name, tp, fp, fn)
 """
@@ -427,7 +427,7 @@ def compared(spark, d):
     rows = simple_scores(spark, d)
     out = None
     for name, x in SCORES.items():
-        scored_ = rows.withColumn("score", F.coalesce(F.expr(x), F.lit(0.0)))
+        scored_ = rows.withColumn("score", near(F.coalesce(F.expr(x), F.lit(0.0)), 9))
         caught = evaluation.episode_outcomes(scored_, episodes(spark, d), 0.35).where("scorable_windows > 0").agg(F.avg(F.col("detected").cast("double")).alias("episode_recall"))
         one = evaluation.window_metrics(scored_, 0.35).select(F.lit(name).alias("name"), "f1").crossJoin(caught)  # single rows
         out = one if out is None else out.unionByName(one)

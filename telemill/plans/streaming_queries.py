@@ -110,16 +110,16 @@ graded AS (SELECT machine_id, window_start, raw_score, CASE WHEN n = 1001 THEN 1
 
 
 def scored_messages(spark, d, detector):
-    """A detector trained on the windows of the table, saved and loaded, scores the stream; (messages, the windows, the loaded model)."""
+    """A detector trained on the windows of the table, saved and loaded, scores the stream; (the last message of each window, the loaded model)."""
     f = kept(t.features(spark, d), "training-windows")
     model = artifacts.load(spark, artifacts.save(spark, scratch(spark, "model"), training.fitted(f, mq.ALL, detector)), mq.ALL)
     windows = jobs.features(sample_stream(spark, d), t.WINDOW, t.SLIDE, LONG_ENOUGH)
     out = run(spark, jobs.scoring(windows, model, {**fq.MODEL, "name": detector}, 0.90005, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE), "update")
     m = out.select("batch_id", F.from_json("value", C.SCORED_DDL).alias("m")).select(
         F.col("batch_id").alias("offset"), "m.machine_id", F.unix_seconds(S.parse_instant(F.col("m.window_start"))).alias("window_start"), "m.is_scored", "m.skip_reason", "m.raw_score",
-        F.col("m.anomaly_score").alias("score"), "m.is_anomaly", F.size("m.top_contributors").alias("contributors"), F.try_element_at("m.features", F.lit("null_ratio")).alias("null_ratio"), F.col("m.model.name").alias("model"),
+        F.col("m.anomaly_score").alias("score"), "m.is_anomaly", F.size("m.top_contributors").alias("contributors"), F.try_element_at("m.features", F.lit("null_ratio")).alias("null_ratio"), F.col("m.model.name").alias("model"), "m.features",
     )
-    return alerting.latest_emission(m).drop("offset"), f, model
+    return alerting.latest_emission(m).drop("offset"), model
 
 
 @query("str_scoring_query", GRID + f"""SELECT machine_id, window_start, skip_reason IS NULL AS is_scored, skip_reason, CASE WHEN skip_reason IS NULL THEN round(raw_score, 5) + 0 END AS raw_score,
@@ -128,16 +128,18 @@ def scored_messages(spark, d, detector):
 FROM (SELECT *, {fq.SKIP} AS skip_reason FROM features JOIN graded USING (machine_id, window_start))""")
 def str_scoring_query(spark, d):
     """Samples to windows to scores by a trained artefact (profiles, gaps, scales, detector, grid of 1001 quantiles) to messages, on a stream."""
-    return t.rounded(scored_messages(spark, d, "three_sigma")[0], 5)
+    return t.rounded(scored_messages(spark, d, "three_sigma")[0].drop("features"), 5)
 
 
 def stream_equals_batch(detector):
-    """A query that compares the messages of a stream, window by window, with ``training.score`` over the table."""
+    """A query that compares the scores in the messages of a stream with ``training.score`` over the features that the messages carry."""
 
     @query(f"str_scoring_{detector}", fq.BASE + f"SELECT machine_id, window_start, {fq.SKIP} IS NULL AS is_scored, TRUE AS same, '{detector}' AS model FROM features")
     def compared(spark, d):
-        messages, f, model = scored_messages(spark, d, detector)
-        batch = training.score(f, model).select("machine_id", "window_start", F.col("raw_score").alias("_raw"), F.col("score").alias("_score"))
+        messages, model = scored_messages(spark, d, detector)
+        messages = kept(messages, "messages")
+        windows = messages.select("machine_id", "window_start", *[F.try_element_at("features", F.lit(c)).alias(c) for c in mq.ALL])
+        batch = training.score(windows, model).select("machine_id", "window_start", F.col("raw_score").alias("_raw"), F.col("score").alias("_score"))
         close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col(b)))
         same = ~F.col("is_scored") | (close("raw_score", "_raw") & close("score", "_score"))
         return messages.join(batch, ["machine_id", "window_start"], "full_outer").select("machine_id", "window_start", "is_scored", F.coalesce(same, F.lit(False)).alias("same"), "model")
