@@ -10,10 +10,9 @@ differ in size by a fifth at most.
 In a cell, members are first compared with leaders only (a member that is near no leader becomes one), so a group
 of copies costs a row each, not a row per pair. What is near on 128 bits is then compared exactly on the texts'
 shingle sets, and the links that hold form groups. A text near a leader, but not similar to it, must still meet all
-others that it is near to and not yet in one group with. That goes in rounds over the cells where such pairs are left: a text is first compared with one
-member each of the two groups it is near to most often, then with eight times as many, and so on until no pair is left that could join two groups. One
-similar member is enough to join a group, so in a large family of copies nearly all pairs are settled without being looked at;
-sizes and the triangle inequality of Jaccard distances (what was compared with the same text and differs in distance to it by over 0.2 is not similar) rule out more.
+others that it is near to and not yet in one group with; only the cells where more than one group is left are dealt out again for that. It can go in rounds: a text is
+first compared with ``members`` members each of the ``groups`` groups it is near to most often, then with eight times as many, and so on until no pair is left that
+could join two groups. By default one round looks at all pairs: rounds write their tables anew, and where few texts connect they spare few pairs. Sizes and the triangle inequality of Jaccard distances (what was compared with the same text and differs in distance to it by over 0.2 is not similar) rule out more.
 Only texts that are near and in the end not connected cost a row per pair.
 
 Defined results: null, empty and blank texts share the empty set and form a group; repeated rows share a
@@ -177,8 +176,8 @@ def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.n
         yield order[a[near]], order[b[near]]
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000, most_cells: int = 1_000_000) -> DataFrame:
-    """(id, component_id) for every row; identifiers are taken to be unique, null ones are left alone."""
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000, most_cells: int = 1_000_000, members: int = 1 << 40, groups: int = 1 << 40) -> DataFrame:
+    """(id, component_id) for every row; identifiers are taken to be unique, null ones are left alone. ``members`` and ``groups``: see the module."""
     shared_dir(docs.sparkSession)
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +304,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = compared.where("similar").select("a", "b")
     # of the texts that each was compared with, itself included, the one with the smallest identifier
     seen = compared.select(F.col("b").alias("node"), F.struct(F.col("a").alias("by"), "far").alias("seen")).groupBy("node").agg(F.min("seen").alias("seen"))
-    cells, members, groups = None, 1, 2
+    cells = None
     while True:
         roots = written(connected_components(links, "a", "b"), "similar-groups")
         # a cell is open if the nodes that were near in it are in more than one group: wherever two rows are near, a link was found

@@ -187,7 +187,9 @@ def test_similar_texts_near_a_leader_that_is_not_similar(spark):
     rows = [(i, " ".join(words)) for i, words in rows]
     sets = {i: set(similar.shingle_set(t.encode(), 5).tolist()) for i, t in rows}
     want = components(set(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = {r["id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in similar.similar_groups(df).collect()}
+    assert got == {r["id"]: r["component_id"] for r in similar.similar_groups(df, members=1, groups=1).collect()}  # in rounds
     assert len(set(want.values())) > 20
     pairs = [(a, b) for a in sets for b in sets if a < b and want[a] == want[b]]
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
