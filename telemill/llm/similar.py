@@ -13,7 +13,9 @@ shingle sets, and the links that hold form groups. A text near a leader, but not
 others that it is near to and not yet in one group with; only the cells where more than one group is left are dealt out again for that. It can go in rounds: a text is
 first compared with ``members`` members each of the ``groups`` groups it is near to most often, then with eight times as many, and so on until no pair is left that
 could join two groups. By default one round looks at all pairs: rounds write their tables anew, and where few texts connect they spare few pairs. Sizes and the triangle inequality of Jaccard distances (what was compared with the same text and differs in distance to it by over 0.2 is not similar) rule out more.
-Only texts that are near and in the end not connected cost a row per pair.
+So does a parity sketch of the shingle sets: a bit that differs between two sketches holds a shingle that one text has and the other has not, so as many bits
+as differ is the least the sets differ by, and a pair that differs in more than a similarity of 0.8 allows is left out before it becomes a row. No similar pair is lost by that.
+Only texts that are near, and neither connected in the end nor told apart by these bounds, cost a row per pair.
 
 Defined results: null, empty and blank texts share the empty set and form a group; repeated rows share a
 fingerprint; identifiers are taken to be unique: where texts share one, a row is dropped with the other; an empty table gives an
@@ -42,6 +44,9 @@ WORDS = -(-BANDS * BLOCK_BITS // 64)
 NAMES = [f"w{i}" for i in range(WORDS)]
 #: The words that cells compare; all six took the stage over its limit of disk.
 COMPARED = [1, 2]
+#: 64-bit words of the parity sketch; it tells sets apart that differ in up to about half as many shingles as it has bits.
+PARITY = 8
+SKETCH = [f"p{i}" for i in range(PARITY)]
 SALTS = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,6 +71,12 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY`` words: a bit is 1 if an odd number of the hashes falls on it. Two sketches differ in no more bits than the sets do in hashes."""
+    odd = np.bincount((mixed(hashes) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def cells_of(words: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, is home) of every place that fingerprints (``WORDS`` words a row) of sets of the given sizes go to."""
     nearest, lists = covering(EXCESS)
@@ -139,10 +150,11 @@ def few_each(row: np.ndarray, group: np.ndarray, turn: np.ndarray, members: int,
     return keep
 
 
-def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2, sizes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.ndarray, most: int = 2_000_000, seen: tuple[np.ndarray, np.ndarray] | None = None, apart: float = 0.2, sizes: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (home, row) of one cell and different groups that are near, of rows sorted by cell; at most about ``most`` are looked at together.
 
-    ``word``: the words compared in cells. With ``sizes``, those of the sets, pairs whose sizes differ by more than ``apart`` of the larger are left out.
+    ``word``: the words compared in cells. With ``sizes``, those of the sets, pairs whose sizes differ by more than ``apart`` of the larger are left out, with ``sketch``
+    those whose parity sketches differ in more bits than sets of these sizes and similarity can.
     ``seen``: a text each row was compared with and the distance to it; distances that differ by more than ``apart`` rule a pair out."""
     order = np.lexsort((group, cell))
     cell, home, group, word = cell[order], home[order], group[order], word[order]
@@ -170,6 +182,9 @@ def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.n
         if sizes is not None:
             less, more = np.minimum(sizes[order[a]], sizes[order[b]]), np.maximum(sizes[order[a]], sizes[order[b]])
             near &= less >= (1 - apart - 1e-9) * more
+            if sketch is not None:
+                bits = np.bitwise_count(sketch[order[a]] ^ sketch[order[b]]).sum(axis=1)
+                near &= bits <= apart / (2 - apart) * (less + more) + 1e-9
         if seen is not None:
             by, far = seen
             near &= (by[order[a]] != by[order[b]]) | (np.abs(far[order[a]] - far[order[b]]) <= apart + 1e-9)
@@ -180,18 +195,19 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, component_id) for every row; identifiers are taken to be unique, null ones are left alone. ``members`` and ``groups``: see the module."""
     shared_dir(docs.sparkSession)
 
+    key = [*NAMES, "size", *SKETCH]
+
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            words = np.array([wide_fingerprint(s) for s in sets], np.uint64).reshape(-1, WORDS)
+            words = np.array([np.concatenate([wide_fingerprint(s), parity_sketch(s)]) for s in sets], np.uint64).reshape(-1, WORDS + PARITY).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(words[:, i].view(np.int64)) for i in range(WORDS)), pa.array([len(s) for s in sets], pa.int64())], names=["id", *NAMES, "size"]
+                [batch.column(0), *(pa.array(words[:, i]) for i in range(WORDS)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(words[:, WORDS + i]) for i in range(PARITY))], names=["id", *key]
             )
 
     known = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), text_of(text_column).cast("binary").alias("text"))
-    fps = written(known.mapInArrow(fingerprints, "id long, " + ", ".join(f"{w} long" for w in NAMES) + ", size long"), "similar-fingerprints")
-    key = [*NAMES, "size"]
-    # texts of one fingerprint and size are one node, but their sets are compared too, with that of the smallest identifier
+    fps = written(known.mapInArrow(fingerprints, "id long, " + ", ".join(f"{w} long" for w in key)), "similar-fingerprints")
+    # texts of one fingerprint, size and sketch are one node, but their sets are compared too, with that of the smallest identifier
     nodes = written(fps.groupBy(*key).agg(F.min("id").alias("node")), "similar-nodes")
 
     def spread(batches: Iterator[pa.RecordBatch], only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -206,10 +222,12 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 if only is not None:
                     there = only[np.minimum(np.searchsorted(only, cell), len(only) - 1)] == cell
                     row, cell, home = row[there], cell[there], home[there]
-                more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2, batch.num_columns)]
+                # with groups: the sketch, then group, by and far
+                more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2 + PARITY, batch.num_columns)]
+                last = [pa.array(sizes[part][row]), *(pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2, WORDS + 2 + PARITY))] if more else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in COMPARED), *([pa.array(sizes[part][row])] if more else [])],
-                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), *(NAMES[i] for i in COMPARED), *(["size"] if more else [])],
+                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in COMPARED), *last],
+                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), *(NAMES[i] for i in COMPARED), *(["size", *SKETCH] if more else [])],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,11 +258,11 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def meet(batches: Iterator[pa.RecordBatch], members: int, groups: int) -> Iterator[pa.RecordBatch]:
         """Of the open pairs of whole cells ``members`` for each row and other group, in ``groups`` groups, and, without a pair, the cells that hold more. A cell larger than ``chunk``
         comes in parts, its homes, which come first, stay for all of them."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(COMPARED)), np.uint64), np.zeros(0, np.int64)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(COMPARED)), np.uint64), np.zeros(0, np.int64), np.zeros((0, PARITY), np.uint64)]
         fresh = 0
 
         def met(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in open_pairs(x[0], x[1], x[3], x[6], seen=(x[4], x[5]), apart=1 - similarity, sizes=x[7]):
+            for a, b in open_pairs(x[0], x[1], x[3], x[6], seen=(x[4], x[5]), apart=1 - similarity, sizes=x[7], sketch=x[8]):
                 if not len(a):
                     continue
                 turn = mixed(x[2][a].view(np.uint64) ^ mixed(x[2][b].view(np.uint64)))  # another order of partners for each row, the same in all its cells
@@ -257,7 +275,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(0).to_numpy(), ~batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(len(COMPARED))], axis=1).view(np.uint64), batch.column(6 + len(COMPARED)).to_numpy()]
+            column = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            at = 6 + len(COMPARED)
+            new = [column[0], ~column[1], *column[2:6], np.stack(column[6:at], axis=1).view(np.uint64), column[at], np.stack(column[at + 1 :], axis=1).view(np.uint64)]
             held = [np.concatenate(p) for p in zip(held, new, strict=True)]
             fresh += batch.num_rows
             cut = int(np.searchsorted(held[0], held[0][-1]))
@@ -271,7 +291,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if len(held[0]):
             yield from met(held)
 
-    placed = nodes.select("node", *key).mapInArrow(spread, "cell long, away boolean, node long, w1 long, w2 long")
+    placed = nodes.select("node", *NAMES, "size").mapInArrow(spread, "cell long, away boolean, node long, w1 long, w2 long")
     met = written(placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(link, "cell long, a long, b long"), "similar-cell-links")
     # members of one node: compared with it as well
     same = fps.join(nodes, key).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
@@ -318,7 +338,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         grouped = nodes.join(roots, "node", "left").join(seen, "node", "left").select(
             "node", *key, F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
         )
-        schema = "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in COMPARED) + ", size long"
+        schema = "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in COMPARED) + ", size long, " + ", ".join(f"{p} long" for p in SKETCH)
         if n <= most_cells:
             only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in cells.collect()], np.int64)))  # most_cells numbers at most
             placed = grouped.mapInArrow(lambda batches, only=only: spread(batches, only.value), schema)

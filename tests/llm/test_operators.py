@@ -223,6 +223,30 @@ def test_open_pairs_by_size():
     assert got == want and len(want) > 50
 
 
+def test_parity_sketches_rule_out_no_similar_pair():
+    """Sketches never differ in more bits than sets do; of pairs near on all bits those at 0.8 and more stay, most others of up to some hundreds of shingles go."""
+    rng = np.random.default_rng(5)
+    sets, sizes = [], []
+    for base in range(3):
+        first = rng.integers(0, 1 << 62, (60, 150, 400)[base]).astype(np.uint64)
+        for share in rng.uniform(0.02, 0.35, 40):
+            own = int(share * len(first))
+            sets.append(np.unique(np.concatenate([first[rng.permutation(len(first))[own:]], rng.integers(0, 1 << 62, own).astype(np.uint64)])))
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    sizes = np.array([len(x) for x in sets])
+    sketch = np.array([similar.parity_sketch(x) for x in sets])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    common = {p: len(np.intersect1d(sets[p[0]], sets[p[1]])) for p in pairs}
+    for i, j in pairs:
+        assert np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= sizes[i] + sizes[j] - 2 * common[i, j]
+    n = len(sets)
+    same = (np.zeros(n, np.int64), np.ones(n, bool), np.arange(n), np.zeros((n, 2), np.uint64))
+    got = {(int(max(x)), int(min(x))) for a, b in similar.open_pairs(*same, sizes=sizes, sketch=sketch) for x in zip(a, b, strict=True)}
+    alike = {(i, j) for i, j in pairs if common[i, j] >= 0.8 * (sizes[i] + sizes[j] - common[i, j])}
+    by_size = {(int(max(x)), int(min(x))) for a, b in similar.open_pairs(*same, sizes=sizes) for x in zip(a, b, strict=True)}
+    assert alike <= got and len(alike) > 50 and len(got - alike) < 0.2 * len(by_size - alike)
+
+
 # suffix dedup
 
 
