@@ -10,7 +10,7 @@ differ in size by a fifth at most.
 In a cell, members are first compared with leaders only (a member that is near no leader becomes one), so a group
 of copies costs a row each, not a row per pair. What is near on 128 bits is then compared exactly on the texts'
 shingle sets, and the links that hold form groups. A text near a leader, but not similar to it, must still meet all
-others that it is near to and not yet in one group with; only the cells where more than one group is left are dealt out again for that. It can go in rounds: a text is
+others that it is near to and not yet in one group with; only the texts that are near another one in a cell, of the cells where more than one group is left, are dealt out again for that. It can go in rounds: a text is
 first compared with ``members`` members each of the ``groups`` groups it is near to most often, then with eight times as many, and so on until no pair is left that
 could join two groups. By default one round looks at all pairs: rounds write their tables anew, and where few texts connect they spare few pairs. Sizes and the triangle inequality of Jaccard distances (what was compared with the same text and differs in distance to it by over 0.2 is not similar) rule out more.
 So does a parity sketch of the shingle sets: a bit that differs between two sketches holds a shingle that one text has and the other has not, so as many bits
@@ -108,7 +108,9 @@ def cells_of(words: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[n
 
 
 def leader_links(cell: np.ndarray, home: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (leader, member) of rows sorted by cell, homes first: each round the first home left in every cell leads, the rows near it leave with it."""
+    """Pairs (leader, member) of rows sorted by cell, homes first: each round the first home left in every cell leads, the rows near it leave with it.
+
+    A row in no such pair that is near one of the rows that are, one of the two at home, is linked with it: so both rows of every near pair with a home are in some link of the cell."""
     left = np.arange(len(cell))
     a, b = [], []
     while len(left):
@@ -127,7 +129,23 @@ def leader_links(cell: np.ndarray, home: np.ndarray, word: np.ndarray) -> tuple[
         a.append(leaders[link])
         b.append(members[link])
         left = members[~near & (leaders != members)]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    taken = np.unique(np.concatenate([*a, *b]))
+    alone = np.setdiff1d(np.arange(len(cell)), taken)
+    first, last = np.searchsorted(cell[taken], cell[alone]), np.searchsorted(cell[taken], cell[alone], "right")
+    alone, first, last = (x[last > first] for x in (alone, first, last))
+    part = np.cumsum(last - first) // 2_000_000
+    for k in np.unique(part):
+        one, at, n = alone[part == k], first[part == k], (last - first)[part == k]
+        each = np.repeat(one, n)
+        other = taken[np.repeat(at, n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
+        near = np.flatnonzero((home[each] | home[other]) & (np.bitwise_count(word[each] ^ word[other]).sum(axis=1) <= NEAR_BITS))
+        near = near[np.unique(each[near], return_index=True)[1]]
+        each, other = each[near], other[near]
+        a.append(np.where(home[other], other, each))
+        b.append(np.where(home[other], each, other))
+    return np.concatenate(a), np.concatenate(b)
 
 
 def few_each(row: np.ndarray, group: np.ndarray, turn: np.ndarray, members: int, groups: int) -> np.ndarray:
@@ -191,7 +209,7 @@ def open_pairs(cell: np.ndarray, home: np.ndarray, group: np.ndarray, word: np.n
         yield order[a[near]], order[b[near]]
 
 
-def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000, most_cells: int = 1_000_000, members: int = 1 << 40, groups: int = 1 << 40) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 400_000, members: int = 1 << 40, groups: int = 1 << 40) -> DataFrame:
     """(id, component_id) for every row; identifiers are taken to be unique, null ones are left alone. ``members`` and ``groups``: see the module."""
     shared_dir(docs.sparkSession)
 
@@ -210,8 +228,8 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # texts of one fingerprint, size and sketch are one node, but their sets are compared too, with that of the smallest identifier
     nodes = written(fps.groupBy(*key).agg(F.min("id").alias("node")), "similar-nodes")
 
-    def spread(batches: Iterator[pa.RecordBatch], only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """The places of each node, or those in the cells ``only`` (sorted)."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of each node."""
         for batch in batches:
             ids = batch.column(0).to_numpy()
             words = np.stack([batch.column(i + 1).to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
@@ -219,15 +237,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
             for at in range(0, len(ids), 4096):
                 part = slice(at, at + 4096)
                 row, cell, home = cells_of(np.ascontiguousarray(words[part]), sizes[part], similarity)
-                if only is not None:
-                    there = only[np.minimum(np.searchsorted(only, cell), len(only) - 1)] == cell
-                    row, cell, home = row[there], cell[there], home[there]
-                # with groups: the sketch, then group, by and far
-                more = [pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2 + PARITY, batch.num_columns)]
-                last = [pa.array(sizes[part][row]), *(pa.array(batch.column(i).to_numpy()[part][row]) for i in range(WORDS + 2, WORDS + 2 + PARITY))] if more else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *more, *(pa.array(words[part][row, i].view(np.int64)) for i in COMPARED), *last],
-                    names=["cell", "away", "node", *(["group", "by", "far"] if more else []), *(NAMES[i] for i in COMPARED), *(["size", *SKETCH] if more else [])],
+                    [pa.array(cell), pa.array(~home), pa.array(ids[part][row]), *(pa.array(words[part][row, i].view(np.int64)) for i in COMPARED)],
+                    names=["cell", "away", "node", *(NAMES[i] for i in COMPARED)],
                 )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +247,7 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)]
 
         def linked(x: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[0][a]), pa.array(x[2][a]), pa.array(x[2][b])], names=["cell", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x[0][a]), pa.array(x[2][a]), pa.array(x[2][b]), pa.array(~x[1][b])], names=["cell", "a", "b", "away"])
 
         def whole(x: list[np.ndarray]) -> pa.RecordBatch:
             return linked(x, *leader_links(x[0], x[1], x[3]))
@@ -292,10 +304,18 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield from met(held)
 
     placed = nodes.select("node", *NAMES, "size").mapInArrow(spread, "cell long, away boolean, node long, w1 long, w2 long")
-    met = written(placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(link, "cell long, a long, b long"), "similar-cell-links")
+    met = written(placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(link, "cell long, a long, b long, away boolean"), "similar-cell-links")
     # members of one node: compared with it as well
     same = fps.join(nodes, key).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(same), "similar-pairs")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(same)
+
+    def end(name: str) -> DataFrame:
+        return fps.select(F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("size", *SKETCH)))
+
+    # whole sets are compared of pairs only that sizes and sketches leave
+    bits = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH)
+    possible = bits <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9
+    pairs = written(pairs.join(end("a"), "a").join(end("b"), "b").where(possible).select("a", "b"), "similar-pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,26 +344,22 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = compared.where("similar").select("a", "b")
     # of the texts that each was compared with, itself included, the one with the smallest identifier
     seen = compared.select(F.col("b").alias("node"), F.struct(F.col("a").alias("by"), "far").alias("seen")).groupBy("node").agg(F.min("seen").alias("seen"))
+    # the nodes that are near another one in a cell; leaders are at home there
+    ends = met.select("cell", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(False).alias("away")), F.struct(F.col("b").alias("node"), "away"))).alias("end"))
+    ends = written(ends.select("cell", "end.*").distinct(), "similar-cell-ends")
     cells = None
     while True:
         roots = written(connected_components(links, "a", "b"), "similar-groups")
         # a cell is open if the nodes that were near in it are in more than one group: wherever two rows are near, a link was found
-        ends = met.select("cell", F.explode(F.array("a", "b")).alias("node")).join(roots, "node", "left")
         group = F.coalesce("root", "node")
-        still = ends.groupBy("cell").agg(F.min(group).alias("x"), F.max(group).alias("y")).where("x <> y").select("cell")
+        still = ends.join(roots, "node", "left").groupBy("cell").agg(F.min(group).alias("x"), F.max(group).alias("y")).where("x <> y").select("cell")
         cells = written(still if cells is None else still.join(cells, "cell", "left_semi"), "similar-open-cells")
-        n = cells.count()
-        if not n:
+        if cells.isEmpty():
             break
         grouped = nodes.join(roots, "node", "left").join(seen, "node", "left").select(
-            "node", *key, F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far")
+            "node", F.coalesce("root", "node").alias("group"), F.coalesce("seen.by", "node").alias("by"), F.coalesce("seen.far", F.lit(0.0)).alias("far"), *(NAMES[i] for i in COMPARED), "size", *SKETCH
         )
-        schema = "cell long, away boolean, node long, group long, by long, far double, " + ", ".join(f"{NAMES[i]} long" for i in COMPARED) + ", size long, " + ", ".join(f"{p} long" for p in SKETCH)
-        if n <= most_cells:
-            only = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in cells.collect()], np.int64)))  # most_cells numbers at most
-            placed = grouped.mapInArrow(lambda batches, only=only: spread(batches, only.value), schema)
-        else:
-            placed = grouped.mapInArrow(spread, schema).join(cells, "cell", "left_semi")
+        placed = ends.join(cells, "cell", "left_semi").join(grouped, "node").select("cell", "away", "node", "group", "by", "far", *(NAMES[i] for i in COMPARED), "size", *SKETCH)
         found = placed.repartition("cell").sortWithinPartitions("cell", "away", "node").mapInArrow(lambda batches, m=members, g=groups: meet(batches, m, g), "a long, b long, cell long")
         found = written(found, "similar-open-pairs")
         more = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")

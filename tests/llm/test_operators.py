@@ -196,6 +196,22 @@ def test_similar_texts_near_a_leader_that_is_not_similar(spark):
     assert all(want[a] == want[b] for a in sets for b in sets if got[a] == got[b])
 
 
+def test_links_of_a_cell_hold_every_near_row():
+    """Both rows of every near pair with a home are in a link of their cell, and links join near rows of one cell."""
+    rng = np.random.default_rng(6)
+    cell = np.sort(rng.integers(0, 40, 600))
+    home = rng.random(600) < 0.5
+    order = np.lexsort((~home, cell))
+    home = home[order]
+    word = np.stack([np.uint64((1 << int(n)) - 1) for n in rng.integers(0, 63, 600)])[:, None].repeat(2, axis=1)
+    near = lambda i, j: 2 * int(word[i, 0] ^ word[j, 0]).bit_count() <= similar.NEAR_BITS
+    a, b = similar.leader_links(cell, home, word)
+    assert all(cell[i] == cell[j] and near(i, j) and home[i] and i != j for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    linked = set(zip(cell[a].tolist(), a.tolist(), strict=True)) | set(zip(cell[b].tolist(), b.tolist(), strict=True))
+    want = {i for i in range(600) for j in range(600) if i != j and cell[i] == cell[j] and (home[i] or home[j]) and near(i, j)}
+    assert want == {i for _, i in linked} and len(want) > 300
+
+
 def test_open_pairs():
     rng = np.random.default_rng(3)
     cell = np.sort(rng.integers(0, 6, 300))
