@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, queries.TOKENIZER, with_ids=False).drop("ids")
+    """Pieces of sequences of 2048 tokens. Workers that are reused hold other stages' tables too, so they keep fewer pre-tokens."""
+    return packing.pack(docs, queries.TOKENIZER, with_ids=False, cache_limit=100_000).drop("ids")
 
 
 STAGES = [

@@ -123,9 +123,9 @@ class Encoder(dict):
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_limit: int) -> Encoder:
     """The worker's encoder for a file; workers that are reused keep what earlier tasks have met."""
-    return Encoder(path)
+    return Encoder(path, cache_limit)
 
 
 class Windows:
@@ -213,17 +213,19 @@ def pack(
     merge_fan_in: int = 64,
     end_id: int = END_ID,
     with_ids: bool = True,
+    cache_limit: int = 600_000,
 ) -> DataFrame:
     """Pieces of all documents, a row each, in the columns of ``PIECE_SCHEMA`` without closed and grp.
 
     ``ids`` holds a piece's ids as little-endian unsigned 32-bit integers; it is null
     with ``with_ids=False``. Sequence ids are the partition's number in the upper and a
-    counter in the lower 32 bits; merged sequences have bit 62 set.
+    counter in the lower 32 bits; merged sequences have bit 62 set. ``cache_limit``: a worker
+    keeps the ids of up to twice as many pre-tokens; it changes time and memory, not the ids.
     """
     spark = docs.sparkSession
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer_path, cache_limit), TaskContext.get().partitionId()
         rows = Rows(part << 32, with_ids, _schema())
         windows = Windows(window, open_windows, rows.sequence)
         for batch in batches:
