@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,31 +39,30 @@ def parse(raw: DataFrame) -> DataFrame:
     """Records with their message's fields, ``dlq_reason`` and ``dlq_detail``; original bytes and coordinates stay."""
     text = F.col("value").cast("string")
     read = F.from_json(text, C.RAW_DDL + ", _rest string", {"columnNameOfCorruptRecord": "_rest"})
-    rows = raw.withColumn("_m", read)
+    # a generated row of one: each message is read once, however many fields a filter or a projection above asks for
+    rows = raw.select("*", F.explode(F.array(read)).alias("_m"))
     unreadable = F.col("_m").isNull() | F.col("_m._rest").isNotNull()  # no JSON, or not of the contract's types
     plain = [n for n in (*REQUIRED, "firmware_version") if n != "event_time"]
     found = {**{n: F.col(f"_m.{n}") for n in plain}, **{n: S.parse_instant(F.col(f"_m.{n}")) for n in ("event_time", "ingest_time")}, **{s: F.col(f"_m.readings.{s}") for s in C.SENSORS}}
     # faults in order of rank, each with its reason and what a person needs to see; the first that holds is the record's
     foreign = found["schema_version"].isNotNull() & ~S.schema_major_is_one(found["schema_version"])
-    lacking = F.map_filter(F.create_map(*[x for n in REQUIRED for x in (F.lit(n), found[n].isNull())]), lambda _, gone: gone)
-    absent = F.array_join(F.map_keys(lacking), ", ")
-    faults = F.array(
-        F.when(unreadable, _fault("MALFORMED_JSON", F.concat(F.lit("unreadable message: "), F.substring(F.coalesce(text, F.lit("")), 1, 200)))),
-        F.when(foreign, _fault("UNSUPPORTED_SCHEMA_VERSION", F.concat(F.lit("version "), found["schema_version"], F.lit(" is not of the 1.x family")))),
-        F.when(F.size(lacking) > 0, _fault("SCHEMA_VALIDATION_FAILED", F.when(
-            F.col("_m.event_time").isNotNull() & found["event_time"].isNull(), F.concat(absent, F.lit("; event_time was "), F.col("_m.event_time"))).otherwise(absent))),
+    lacks = reduce(Column.__or__, [found[n].isNull() for n in REQUIRED])
+    absent = F.array_join(F.array_compact(F.array(*[F.when(found[n].isNull(), F.lit(n)) for n in REQUIRED])), ", ")
+    bad_time = F.col("_m.event_time").isNotNull() & found["event_time"].isNull()
+    faults = (
+        (unreadable, "MALFORMED_JSON", F.concat(F.lit("unreadable message: "), F.substring(F.coalesce(text, F.lit("")), 1, 200))),
+        (foreign, "UNSUPPORTED_SCHEMA_VERSION", F.concat(F.lit("version "), found["schema_version"], F.lit(" is not of the 1.x family"))),
+        (lacks, "SCHEMA_VALIDATION_FAILED", F.when(bad_time, F.concat(absent, F.lit("; event_time was "), F.col("_m.event_time"))).otherwise(absent)),
     )
-    fault = F.try_element_at(F.array_compact(faults), F.lit(1))
+    # a column each, so that what asks for the reason only makes no details
+    first = lambda values: F.coalesce(*[F.when(holds, value) for (holds, *_), value in zip(faults, values, strict=True)])
+    reason, detail = first([F.lit(r) for _, r, _ in faults]), first([x for *_, x in faults])
     return rows.select(
         "topic", "partition", "offset", F.col("key").alias("raw_key"), F.col("value").alias("raw_payload"), *[v.alias(k) for k, v in found.items()],
-        fault["reason"].alias("dlq_reason"), fault["detail"].alias("dlq_detail"),
+        reason.alias("dlq_reason"), detail.alias("dlq_detail"),
     )
 
 
-def _fault(reason: str, detail: Column) -> Column:
-    return F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))
-
-
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by whether a record has a fault."""
     faulty = F.col("dlq_reason").isNotNull()
