@@ -18,12 +18,8 @@ from telemill.sources import ingest, tables, versions
 from telemill.streaming import alert_state, jobs, progress
 
 
-def raw_stream(spark, d, **options):
-    batch = t.records(spark, d)
-    path = scratch(spark, "raw-topic")
-    batch.repartition(4).write.parquet(path)
-    return ingest.read_stream(spark, "parquet", batch.schema, path, **options)
-
+def raw_stream(spark, path, **options):
+    return ingest.read_stream(spark, "parquet", spark.read.parquet(path).schema, path, **options)
 
 
 def run(spark, df, mode="append", name=None):
@@ -42,25 +38,27 @@ def watched(spark, df, mode="append", name=None):
 
 @query("src_raw_stream", t.with_(t.SAMPLES) + 'SELECT "partition", count(*) AS n FROM samples GROUP BY 1')
 def src_raw_stream(spark, d):
-    return run(spark, raw_stream(spark, d)).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, raw_stream(spark, t.topic(spark, d))).groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_trigger_rate_limit", t.with_(t.SAMPLES) + "SELECT 4 AS batches, count(*) AS n FROM samples")
 def str_trigger_rate_limit(spark, d):
     """Four files, one a batch."""
-    out, reported = watched(spark, raw_stream(spark, d, maxFilesPerTrigger="1"), name="limited")
+    path = scratch(spark, "raw-topic")
+    t.records(spark, d).repartition(4).write.parquet(path)
+    out, reported = watched(spark, raw_stream(spark, path, maxFilesPerTrigger="1"), name="limited")
     batches = reported.agg(F.count(F.lit(1)).alias("batches"))
     return out.agg(F.count(F.lit(1)).alias("n")).crossJoin(batches)  # single rows
 
 
 @query("str_validation_query", iq.SIDES)
 def str_validation_query(spark, d):
-    return run(spark, jobs.validation(raw_stream(spark, d))).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, jobs.validation(raw_stream(spark, t.topic(spark, d)))).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_late_side_output", iq.FAULTY + "SELECT count(*) AS n FROM parsed WHERE dlq_reason IS NULL AND lag > 90")
 def str_late_side_output(spark, d):
-    return run(spark, jobs.validation(raw_stream(spark, d))).where("topic = 'telemetry.late'").agg(F.count(F.lit(1)).alias("n"))
+    return run(spark, jobs.validation(raw_stream(spark, t.topic(spark, d)))).where("topic = 'telemetry.late'").agg(F.count(F.lit(1)).alias("n"))
 
 
 LONG_ENOUGH = 40 * 86_400  # over the span of the table: nothing is late
@@ -69,7 +67,7 @@ LONG_ENOUGH = 40 * 86_400  # over the span of the table: nothing is late
 def sample_stream(spark, d, twice=False):
     s = t.samples(spark, d)
     path = scratch(spark, "samples-topic")
-    (s.unionByName(s) if twice else s).coalesce(2).write.parquet(path)
+    (s.unionByName(s) if twice else s).write.options(**t.FILE_ROWS).parquet(path)
     return ingest.read_stream(spark, "parquet", s.schema, path)
 
 
@@ -83,14 +81,20 @@ ON_TIME = t.with_(t.SAMPLES, f"on_time AS (SELECT * FROM samples WHERE NOT {LATE
 
 
 def late_stream(spark, d):
-    """Samples in three files, a batch each; those of the third are weeks behind what the watermark has reached by then."""
+    """Samples in three batches; those of the third are weeks behind what the watermark has reached by then.
+
+    A batch is so many files, enough for tasks of a bounded size, and each of the first two parts has as many.
+    """
     s = t.samples(spark, d)
     late = (F.col("offset") % 50 == 7) & (F.col("event_time") < F.timestamp_seconds(F.lit(1704844800)))
     early = F.col("event_time") < F.timestamp_seconds(F.lit(1705968000))
     path = scratch(spark, "late-topic")
+    counts = s.agg(F.count_if(~late & early), F.count_if(~late & ~early), F.count_if(late)).first()
+    files = max(1, min(-(-max(counts) // 200_000), min(counts[:2]) // 1_000))  # none of them empty
     for part in (~late & early, ~late & ~early, late):
-        s.where(part).coalesce(1).write.mode("append").parquet(path)
-    return ingest.read_stream(spark, "parquet", s.schema, path, maxFilesPerTrigger="1")
+        dealt = s.where(part).coalesce(1) if files == 1 else s.where(part).repartition(files)
+        dealt.write.mode("append").parquet(path)
+    return ingest.read_stream(spark, "parquet", s.schema, path, maxFilesPerTrigger=str(files))
 
 
 @query("str_watermark_window", ON_TIME + "SELECT machine_id, window_start, sample_count, round(temperature_c_mean, 6) + 0 AS temperature_c_mean, TRUE AS some_dropped FROM features")
@@ -225,11 +229,11 @@ def str_checkpoint_per_query(spark, d):
 
 @query("str_bounded_run", iq.FAULTY + "SELECT 0::BIGINT AS failures, count(*) AS n FROM parsed WHERE dlq_reason IS NOT NULL OR lag > 90")
 def str_bounded_run(spark, d):
-    """Two queries together until both have ended."""
-    out = scratch(spark, "bounded-out")
-    a = jobs.start(jobs.validation(raw_stream(spark, d)), out, scratch(spark, "bounded-a"))
-    b = jobs.start(raw_stream(spark, d), scratch(spark, "bounded-copy"), scratch(spark, "bounded-b"))
-    failures = jobs.run_bounded([a, b], 600)
+    """Two queries on one topic together until both have ended, however long that takes: a time limit would cut off what is counted."""
+    out, path = scratch(spark, "bounded-out"), t.topic(spark, d)
+    a = jobs.start(jobs.validation(raw_stream(spark, path)), out, scratch(spark, "bounded-a"))
+    b = jobs.start(raw_stream(spark, path), scratch(spark, "bounded-copy"), scratch(spark, "bounded-b"))
+    failures = jobs.run_bounded([a, b])
     return spark.read.parquet(out).agg(F.lit(len(failures)).cast("long").alias("failures"), F.count(F.lit(1)).alias("n"))
 
 
