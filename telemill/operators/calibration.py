@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.operators.ranking import finite, quantiles, sketch, sketch_quantiles
+from telemill.operators.ranking import finite, quantiles, sketch, sketch_grid
 
 GRID = 1001
 
@@ -17,9 +17,7 @@ GRID = 1001
 def fit_ecdf(scores: DataFrame, column: str = "raw_score", size: int = GRID, exact: bool = True, k: int = 8192) -> list[float]:
     """Quantiles at ``size`` even steps, interpolated: exactly, or of a sketch of size ``k`` in one pass (exact up to ``k`` scores, then a rank error of 0.04 %)."""
     if not exact:
-        made = scores.agg(sketch(finite(F.col(column)), k).alias("s"))
-        found = made.select(sketch_quantiles(F.col("s"), np.linspace(0.0, 1.0, size).tolist(), k).alias("q")).first()["q"]
-        return [] if found[0] is None else found
+        return sketch_grid(scores.agg(sketch(finite(F.col(column)), k).alias("s")), "s", np.linspace(0.0, 1.0, size), k)
     return [r["value"] for r in quantiles(scores, [], column, size).orderBy("i").collect()]  # ``size`` rows
 
 

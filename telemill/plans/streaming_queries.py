@@ -64,11 +64,17 @@ def str_late_side_output(spark, d):
 LONG_ENOUGH = 40 * 86_400  # over the span of the table: nothing is late
 
 
-def sample_stream(spark, d, twice=False):
+def sample_topic(spark, d, twice=False):
+    """Samples as files: (their folder, their schema)."""
     s = t.samples(spark, d)
     path = scratch(spark, "samples-topic")
     (s.unionByName(s) if twice else s).write.options(**t.FILE_ROWS).parquet(path)
-    return ingest.read_stream(spark, "parquet", s.schema, path)
+    return path, s.schema
+
+
+def sample_stream(spark, d, twice=False):
+    path, schema = sample_topic(spark, d, twice)
+    return ingest.read_stream(spark, "parquet", schema, path)
 
 
 @query("str_dedup_samples", t.with_(t.SAMPLES) + "SELECT machine_id, count(*) AS n FROM samples GROUP BY 1")
@@ -114,10 +120,14 @@ graded AS (SELECT machine_id, window_start, raw_score, CASE WHEN n = 1001 THEN 1
 
 
 def scored_messages(spark, d, detector):
-    """A detector trained on the windows of the table, saved and loaded, scores the stream; (the last message of each window, the loaded model)."""
-    f = kept(t.features(spark, d), "training-windows")
+    """A detector trained on the windows of the table, saved and loaded, scores the stream; (the last message of each window, the loaded model).
+
+    Samples are made from the table once; training and the stream read the same files.
+    """
+    path, schema = sample_topic(spark, d)
+    f = t.features_of(spark.read.schema(schema).parquet(path))  # written by the training, which reads it many times
     model = artifacts.load(spark, artifacts.save(spark, scratch(spark, "model"), training.fitted(f, mq.ALL, detector)), mq.ALL)
-    windows = jobs.features(sample_stream(spark, d), t.WINDOW, t.SLIDE, LONG_ENOUGH)
+    windows = jobs.features(ingest.read_stream(spark, "parquet", schema, path), t.WINDOW, t.SLIDE, LONG_ENOUGH)
     out = run(spark, jobs.scoring(windows, model, {**fq.MODEL, "name": detector}, 0.90005, F.col("window_end") + F.expr("INTERVAL 5 SECONDS"), min_samples=t.GATE), "update")
     m = out.select("batch_id", F.from_json("value", C.SCORED_DDL).alias("m")).select(
         F.col("batch_id").alias("offset"), "m.machine_id", F.unix_seconds(S.parse_instant(F.col("m.window_start"))).alias("window_start"), "m.is_scored", "m.skip_reason", "m.raw_score",
