@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions import contracts as C
 from telemill.operators import calibration, detectors, evaluation, labels
-from telemill.operators.features import window_features
+from telemill.operators.features import derived, panes, windows_of
 from telemill.operators.policy import admitted_for_training
 from telemill.sources.shared import kept
 
@@ -92,12 +95,12 @@ def score(windows: DataFrame, model: dict) -> DataFrame:
 
 
 def splits(samples: DataFrame, truth: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """Labelled, admitted windows per split: tumbling for training, sliding for the others."""
-    parted = labels.temporal_split(samples, s.train_hours, s.validation_hours)
+    """Labelled, admitted windows per split: tumbling for training, sliding for the others. All come from the panes of one pass over the samples."""
+    made = kept(panes(labels.temporal_split(samples, s.train_hours, s.validation_hours), s.slide, "split"), "split-panes")
     out = {}
     for name in ("train", "validation", "test"):
         slide = s.window if name == "train" else s.slide
-        windows = window_features(parted.where(F.col("split") == name), s.window, slide).where(admitted_for_training(s.gate)).withColumns(
+        windows = derived(windows_of(made.where(F.col("split") == name), s.window, slide)).where(admitted_for_training(s.gate)).withColumns(
             {"window_start": F.unix_seconds("window_start"), "window_end": F.unix_seconds("window_end")})
         out[name] = kept(labels.align(truth, windows, s.window, slide, s.least_fraction), f"split-{name}")  # read by every candidate
     return out
@@ -127,14 +130,17 @@ def prepared_splits(parts: dict[str, DataFrame], train: DataFrame, features: lis
 
 
 def run(samples: DataFrame, truth: DataFrame, s: Settings, candidates: dict[str, str] = CANDIDATES) -> DataFrame:
-    """A row per candidate (name: role), with ``selected`` for the one that validation prefers."""
+    """A row per candidate (name: role), with ``selected`` for the one that validation prefers.
+
+    Candidates are fitted and judged side by side, a thread each: their many small jobs wait for one another within a candidate only.
+    """
+    truth = kept(truth, "truth")
     parts, episodes = splits(samples, truth, s), kept(labels.episode_table(truth), "episodes")
     model, ready_rows = prepared_splits(parts, parts["train"], list(s.features))
-    rows = None
-    for name, role in candidates.items():
-        one = evaluate(name, model, ready_rows, episodes, s).withColumn("role", F.lit(role))
-        rows = one if rows is None else rows.unionByName(one)
-    return choose(kept(rows, "candidates"))
+    one = inheritable_thread_target(samples.sparkSession)(lambda name, role: evaluate(name, model, ready_rows, episodes, s).withColumn("role", F.lit(role)))
+    with ThreadPoolExecutor(max(1, len(candidates))) as pool:
+        rows = list(pool.map(one, *zip(*candidates.items(), strict=True)))
+    return choose(kept(reduce(DataFrame.unionByName, rows), "candidates"))
 
 
 def choose(rows: DataFrame) -> DataFrame:
@@ -155,6 +161,7 @@ def select_model(candidates: DataFrame) -> DataFrame:
 
 def clean_variant(samples: DataFrame, truth: DataFrame, s: Settings, detector: str = "three_sigma") -> DataFrame:
     """The same detector fitted on all training windows and on those without labelled anomalies, side by side."""
+    truth = kept(truth, "truth")
     parts, episodes = splits(samples, truth, s), kept(labels.episode_table(truth), "episodes")
     out = None
     for variant, train in (("all", parts["train"]), ("clean", parts["train"].where(~F.col("is_anomaly")))):
